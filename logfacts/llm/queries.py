@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logfacts.llm import near_dedup
+from logfacts.llm import language_id, near_dedup, toxicity, warc
 from logfacts.llm.shared import table
 
 OP4_SQL = r"""
@@ -22,10 +22,35 @@ c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT s.doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON s.doc_id = c.doc_id
 """
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM r
+"""
+
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op4(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_near_dedup": op4_near_dedup}
-ORACLES: dict[str, str] = {"op4_near_dedup": OP4_SQL}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op3(table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op5(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_language_id": op5_language_id,
+}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_near_dedup": OP4_SQL}
