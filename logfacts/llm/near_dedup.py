@@ -6,19 +6,23 @@ first m - matches + 1 of either side's m shared postings, in order of rarity, so
 that one document alone holds are skipped before that. Pairs are kept if their postings collide often enough, and then
 if the full sets are similar enough.
 
-Documents with equal sets are one class, and a class takes part once. In each posting list every class is first
-tried against the list's smallest one; lists that are a single cluster after that produce no further pairs, in the
-others only pairs across clusters are tried. So a group of copies never turns into all of its pairs, while a link
-between any two clusters is found as before.
+Documents with equal sets are one class, and a class takes part once. In a few rounds every class is first tried
+against one other of each of its posting lists: the one whose postings are the most common (in a group of near copies
+that is the one that the others derive from), then the smallest, then one by chance. Lists that are a single cluster
+after that produce no further pairs. Of the others, classes that were tried against the same one are compared with
+each other in blocks, each pair of blocks a task of bounded size that gives out links only; pairs beyond that come from
+the posting lists, across clusters alone. So a group of copies never turns into all of its pairs, while a link between
+any two clusters is found as before.
 
 Rows: a null id is left out; a null or blank text has an empty set and no links; repeated rows are linked with each
-other; other columns are ignored. With matches = 28 of 64 coordinates a pair of similarity 0.75 is missed with a
-chance of about 1e-8, and no pair below the threshold is ever linked, as links are confirmed on full sets.
+other; other columns are ignored. With matches = 70 of 128 coordinates a pair of similarity 0.75 is missed with a
+chance of about 1e-7, and no pair below the threshold is ever linked, as links are confirmed on full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +126,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 28) -> DataFrame:
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of the other, a slice of the shared items at a time."""
+    flat = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(v) for v in s])) for s in (x, y)]
+    shared = np.intersect1d(*(items for items, _ in flat))
+    total = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, len(shared), 4096):
+        part = shared[a : a + 4096]
+        grids = []
+        for (items, owner), size in zip(flat, (len(x), len(y)), strict=True):
+            at = np.minimum(np.searchsorted(part, items), len(part) - 1)
+            hit = part[at] == items
+            grid = np.zeros((size, len(part)), np.float32)
+            grid[owner[hit], at[hit]] = 1
+            grids.append(grid)
+        total += grids[0] @ grids[1].T
+    return total.astype(np.int64)
+
+
+def _within_groups(rows: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, b) between rows of one group with different labels: (group, id, label), compared in pairs of blocks."""
+    sizes = rows.groupBy("group").agg(F.count("*").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    rows = rows.join(sizes.select("group", F.ceil(F.col("held") / block).alias("blocks")), "group")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.join(sets, "id").select("group", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "label", "items")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, labels, mine = (table.column(c).to_numpy() for c in ("id", "label", "mine"))
+        items = [np.asarray(v.values) for v in table.column("items")]
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(left) and len(right):
+            i = _common([items[k] for k in left], [items[k] for k in right])
+            n = np.array([len(v) for v in items])
+            linked = (100 * i >= percent * (n[left][:, None] + n[right] - i)) & (labels[left][:, None] != labels[right])
+            x, y = np.nonzero(linked)
+            a, b = ids[left[x]], ids[right[y]]
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return rows.groupBy("group", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, coordinates: int = 128, matches: int = 70, rounds: int = 3) -> DataFrame:
     """(id, n, component): for each document its set's size and the smallest id reachable over links."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     marks = cut(signatures(source, size, coordinates))
@@ -131,30 +177,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = classes.select("id", "n", F.posexplode("sig").alias("c", "v"))
     posted = posted.select("id", "n", F.expr("shiftleft(cast(c as bigint), 32) | (v & 4294967295L)").alias("post"))
     shared = posted.groupBy("post").agg(F.count("*").alias("held")).where("held > 1")
-    lists = posted.join(shared, "post").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "post"))).alias("posts"))
-    lists = cut(lists.where(F.size("posts") >= matches).select("id", "n", F.col("posts.post").alias("posts")))
-    prefix = cut(lists.select("id", "n", F.explode(F.slice("posts", F.lit(1), F.size("posts") - matches + 1)).alias("post")))
+    lists = posted.join(shared, "post").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "post"))).alias("posts"), F.sum("held").alias("weight"))
+    lists = cut(lists.where(F.size("posts") >= matches).select("id", "n", "weight", F.col("posts.post").alias("posts")))
+    prefix = cut(lists.select("id", "n", "weight", F.explode(F.slice("posts", F.lit(1), F.size("posts") - matches + 1)).alias("post")))
     sets = cut(full_sets(source.join(lists.select("id"), "id", "left_semi"), size))
 
-    first = prefix.groupBy("post").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("held")).where("held > 1")
-    star = prefix.join(first, "post").where((F.col("id") != F.col("head.id")) & _may_reach(F.col("n"), F.col("head.n"), percent))
-    star = star.groupBy(F.col("head.id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("hits"))
-    star = star.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
-    to_heads = cut(_confirmed(star.select("a", "b"), sets, percent))
-
-    labels = lists.select("id").join(to_heads.select(F.col("b").alias("id"), "a"), "id", "left").select("id", F.coalesce("a", "id").alias("label"))
-    for _ in range(3):  # any labels that only join linked classes will do
-        labels = cut(labels)
-        labels = labels.join(labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label"))
+    def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Labels after joining the clusters of linked (a, b)."""
+        of = [labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
+        joined = components(pairs.join(of[0], "a").join(of[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        return cut(labels.join(joined.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("component", "label").alias("label")))
+
+    labels, links = lists.select("id", F.col("id").alias("label")), []
+    for turn in range(rounds):
+        members = cut(prefix.join(labels, "id"))
+        choice = [F.struct("weight", -F.col("id")), F.struct(-F.col("id")), F.struct(F.xxhash64("id", F.lit(turn)))][min(turn, 2)]
+        heads = members.groupBy("post").agg(F.max_by(F.struct("id", "n", "label"), choice).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("post", "head")
+        star = members.join(heads, "post").where(F.col("id") != F.col("head.id"))
+        star = star.groupBy(F.col("head.id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("hits"), F.any_value((F.col("label") != F.col("head.label")) & _may_reach(F.col("n"), F.col("head.n"), percent)).alias("open"))
+        best = cut(star.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("hub"), F.max_by(F.struct("a", "open"), F.struct("open", "hits", -F.col("a"))).alias("try")))
+        tried = best.where("try.open").select("try.a", "b")
+        links.append(cut(_confirmed(tried, sets, percent)))
+        labels = merged(labels, links[-1])
+        group = f"group{turn}"
+        hubs = best.select(F.col("hub").alias("id")).distinct()
+        of_hub = hubs.withColumn(group, F.col("id")).union(best.join(hubs.withColumnRenamed("id", "b"), "b", "left_anti").select("b", "hub"))
+        prefix = prefix.join(of_hub, "id", "left").withColumn(group, F.coalesce(group, "id"))
+        links.append(cut(_within_groups(labels.join(of_hub, "id").withColumnRenamed(group, "group"), sets, percent)))
+        labels = merged(labels, links[-1])
     members = cut(prefix.join(labels, "id"))
+    groups = [f"group{turn}" for turn in range(rounds)]
     sizes = members.groupBy("post", "label").agg(F.count("*").alias("held"))
     mixed = sizes.groupBy("post").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("post", "main")
-    odd = members.join(mixed, "post").where("label <> main").select("post", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2"), "main")
-    across = members.join(odd, "post").where((F.col("label") != F.col("label2")) & ((F.col("label") == F.col("main")) | (F.col("id") < F.col("id2"))) & _may_reach(F.col("n"), F.col("n2"), percent))
+    odd = members.join(mixed, "post").where("label <> main").select("post", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2"), *(F.col(g).alias(f"{g}2") for g in groups), "main")
+    new = reduce(lambda x, g: x & (F.col(g) != F.col(f"{g}2")), groups, F.col("label") != F.col("label2"))
+    across = members.join(odd, "post").where(new & ((F.col("label") == F.col("main")) | (F.col("id") < F.col("id2"))) & _may_reach(F.col("n"), F.col("n2"), percent))
     across = cut(across.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
     left, right = lists.select(F.col("id").alias("a"), F.col("posts").alias("x")), lists.select(F.col("id").alias("b"), F.col("posts").alias("y"))
     across = across.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= matches).select("a", "b")
-    links = to_heads.union(_confirmed(cut(across), sets, percent))
+    links = reduce(DataFrame.union, [*links, _confirmed(cut(across), sets, percent)])
 
     reached = classes.select("key", F.col("id").alias("rep")).join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     whole = marks.where("n > 0").select("id", "n", "key").join(reached, "key").select("id", "n", "component")
