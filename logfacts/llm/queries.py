@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logfacts.llm import language_id, near_dedup, toxicity, warc
+from logfacts.llm import chat, gif, language_id, mixing, near_dedup, sentence_pieces, suffix_array, topk, toxicity, warc
 from logfacts.llm.shared import table
 
 OP4_SQL = r"""
@@ -30,6 +30,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
   CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM r
 """
 
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op4(table(spark, sf_dir, "documents"))
@@ -47,10 +56,40 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op5(table(spark, sf_dir, "documents"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.op6(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.op7(table(spark, sf_dir, "documents"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op8(table(spark, sf_dir, "embeddings"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.op9(table(spark, sf_dir, "documents"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op10(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_near_dedup": op4_near_dedup,
     "op5_language_id": op5_language_id,
+    "op6_gif": op6_gif,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_top_k": op8_top_k,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_chat": op10_chat,
 }
-ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_near_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_near_dedup": OP4_SQL, "op8_top_k": OP8_SQL}
