@@ -61,7 +61,7 @@ def _coordinates(values: np.ndarray, multipliers: np.ndarray, offsets: np.ndarra
 
 
 def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
-    """(id, text) to (id, n, key, sig): set size, 128-bit hash of the whole set, MinHash coordinates."""
+    """(id, text) to (id, n, key, sig, sketch): set size, 128-bit hash of the whole set, MinHash coordinates, and 16 bits of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = K.mix(np.arange(1, coordinates + 1, dtype=np.uint64)) | K.U64(1)
@@ -76,9 +76,10 @@ def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
                     sig.append(_coordinates(values, multipliers, offsets) if len(values) else np.zeros(coordinates, np.int32))
             flat = np.concatenate(sig) if sig else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * coordinates), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists], ["id", "n", "key", "sig"])
+            sketch = pa.array([v.astype(np.uint16).tobytes() for v in sig], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists, sketch], ["id", "n", "key", "sig", "sketch"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, key binary, sig array<int>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, key binary, sig array<int>, sketch binary")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -168,11 +169,45 @@ def _within_groups(rows: DataFrame, sets: DataFrame, percent: int, block: int =
     return rows.groupBy("group", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
+def _across(rows: DataFrame, groups: list[str], matches: int, percent: int, block: int = 2048) -> DataFrame:
+    """Pairs (a, b) of one posting list with different labels and groups whose coordinates collide often enough.
+
+    A list's largest cluster is not compared with itself. Lists are compared in pairs of blocks, and a task gives out
+    the pairs that pass.
+    """
+    clusters = rows.groupBy("post", "label").agg(F.count("*").alias("held"))
+    mixed = clusters.groupBy("post").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.count("*").alias("labels"), F.sum("held").alias("held")).where("labels > 1")
+    rows = rows.join(mixed.select("post", "main", F.ceil(F.col("held") / block).alias("blocks")), "post")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("post", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "n", "label", (F.col("label") != F.col("main")).alias("odd"), *groups, "sketch")
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy() for c in ("mine", "id", "n", "label", "odd", *groups)}
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        n, label, mine = columns["n"], columns["label"], columns["mine"]
+        a, b = [], []
+        for i in np.flatnonzero(columns["odd"]).tolist():
+            open_ = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (~columns["odd"] | (columns["id"] < columns["id"][i]))
+            open_ &= (mine != mine[i]) | (lo == hi)
+            for g in groups:
+                open_ &= columns[g] != columns[g][i]
+            at = np.flatnonzero(open_)
+            if len(at):
+                hit = at[(sketch[at] == sketch[i]).sum(axis=1) >= matches]
+                b += columns["id"][hit].tolist()
+                a += [int(columns["id"][i])] * len(hit)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return rows.groupBy("post", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, coordinates: int = 128, matches: int = 70, rounds: int = 3) -> DataFrame:
     """(id, n, component): for each document its set's size and the smallest id reachable over links."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     marks = cut(signatures(source, size, coordinates))
-    classes = cut(marks.where("n > 0").groupBy("key").agg(F.min_by(F.struct("id", "n", "sig"), "id").alias("r")).select("key", "r.*"))
+    classes = cut(marks.where("n > 0").groupBy("key").agg(F.min_by(F.struct("id", "n", "sig", "sketch"), "id").alias("r")).select("key", "r.*"))
 
     posted = classes.select("id", "n", F.posexplode("sig").alias("c", "v"))
     posted = posted.select("id", "n", F.expr("shiftleft(cast(c as bigint), 32) | (v & 4294967295L)").alias("post"))
@@ -207,15 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = merged(labels, links[-1])
     members = cut(prefix.join(labels, "id"))
     groups = [f"group{turn}" for turn in range(rounds)]
-    sizes = members.groupBy("post", "label").agg(F.count("*").alias("held"))
-    mixed = sizes.groupBy("post").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("post", "main")
-    odd = members.join(mixed, "post").where("label <> main").select("post", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2"), *(F.col(g).alias(f"{g}2") for g in groups), "main")
-    new = reduce(lambda x, g: x & (F.col(g) != F.col(f"{g}2")), groups, F.col("label") != F.col("label2"))
-    across = members.join(odd, "post").where(new & ((F.col("label") == F.col("main")) | (F.col("id") < F.col("id2"))) & _may_reach(F.col("n"), F.col("n2"), percent))
-    across = cut(across.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-    left, right = lists.select(F.col("id").alias("a"), F.col("posts").alias("x")), lists.select(F.col("id").alias("b"), F.col("posts").alias("y"))
-    across = across.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= matches).select("a", "b")
-    links = reduce(DataFrame.union, [*links, _confirmed(cut(across), sets, percent)])
+    across = cut(_across(members.join(classes.select("id", "sketch"), "id"), groups, matches, percent).distinct())
+    links = reduce(DataFrame.union, [*links, _confirmed(across, sets, percent)])
 
     reached = classes.select("key", F.col("id").alias("rep")).join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     whole = marks.where("n > 0").select("id", "n", "key").join(reached, "key").select("id", "n", "component")
