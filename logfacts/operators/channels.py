@@ -1,0 +1,108 @@
+"""Channels: snapshots, prices, cost and margin, balance and runway, site catalogues."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from logfacts.functions import scalars as S
+
+
+def snapshot(before: DataFrame, now_rows: DataFrame, now: int) -> DataFrame:
+    """Current rows in place of earlier ones; ids that are gone are marked deleted; enabled_since follows the status."""
+    b = before.select("id", *(F.col(c).alias(f"b_{c}") for c in ("name", "status", "enabled_since", "deleted_at")))
+    rows = now_rows.select("id", "name", "status").join(b, "id", "full")
+    gone = F.col("status").isNull()
+    since = F.when(F.col("status") != 1, 0).when((F.col("b_status") == 1) & (F.col("b_deleted_at") == 0), F.col("b_enabled_since")).when(F.col("b_status").isNull(), 0).otherwise(now)
+    return rows.select("id", F.coalesce("name", "b_name").alias("name"), F.coalesce("status", "b_status").alias("status"), F.when(gone, F.col("b_enabled_since")).otherwise(since).cast("long").alias("enabled_since"), F.when(gone, F.when(F.col("b_deleted_at") > 0, F.col("b_deleted_at")).otherwise(now)).otherwise(0).cast("long").alias("deleted_at"))
+
+
+def pairs(channels: DataFrame, visible_groups: DataFrame) -> DataFrame:
+    """The distinct (grp, model) of enabled channels whose group is visible."""
+    on = channels.where("status = 1").select(F.explode(S.clean_list(F.col("groups"))).alias("grp"), "models")
+    rows = on.select("grp", F.explode(S.clean_list(F.col("models"))).alias("model"))
+    return rows.join(visible_groups.select("grp").distinct(), "grp", "left_semi").distinct()
+
+
+def channel_counts(channels: DataFrame) -> DataFrame:
+    on = channels.where("status = 1").select("id", F.explode(S.clean_list(F.col("groups"))).alias("grp"), "models")
+    return on.select("id", "grp", F.explode(S.clean_list(F.col("models"))).alias("model")).groupBy("grp", "model").agg(F.countDistinct("id").alias("channels"))
+
+
+def usage_by_channel(facts: DataFrame, channels: DataFrame) -> DataFrame:
+    """Quota and requests by domain, vendor and channel with subtotals; unmatched channels are a bucket of their own."""
+    c = F.broadcast(channels.select(F.col("id").alias("channel_id"), "vendor", "base_domain"))
+    unknown = F.lit("historical unknown")
+    rows = facts.join(c, "channel_id", "left").select(F.coalesce("base_domain", unknown).alias("domain"), F.coalesce("vendor", unknown).alias("vendor"), "channel_id", "requests", "consume_quota")
+    return rows.rollup("domain", "vendor", "channel_id").agg(F.grouping_id().cast("int").alias("level"), F.sum("requests").alias("requests"), F.sum("consume_quota").alias("consume_quota"))
+
+
+def canonical_rates(costs: DataFrame) -> DataFrame:
+    """Of each channel the rate that all its rows agree on, or a conflict."""
+    s = F.struct("upstream_group", "multiplier", F.when(F.col("discount") == 0, 1.0).otherwise(F.col("discount")).alias("discount"))
+    rows = costs.groupBy("channel_id").agg(F.min(s).alias("lo"), F.max(s).alias("hi"))
+    conflict = F.col("lo") != F.col("hi")
+    return rows.select("channel_id", conflict.alias("conflict"), F.when(~conflict, F.col("lo.upstream_group")).alias("upstream_group"), F.when(~conflict, F.col("lo.multiplier")).alias("multiplier"), F.when(~conflict, F.col("lo.discount")).alias("discount"))
+
+
+def prices(keys: DataFrame, exact: DataFrame, canonical: DataFrame, by_domain: DataFrame) -> DataFrame:
+    """(channel_id, grp, domain) with the price found first: of the pair, of the channel, of the domain and group."""
+    a = exact.select("channel_id", "grp", F.struct("multiplier", "discount").alias("p1"))
+    b = canonical.select("channel_id", F.when(~F.col("conflict"), F.struct("multiplier", "discount")).alias("p2"))
+    c = by_domain.select("domain", "grp", F.struct("multiplier", "discount").alias("p3"))
+    rows = keys.join(a, ["channel_id", "grp"], "left").join(b, "channel_id", "left").join(c, ["domain", "grp"], "left")
+    from_ = F.when(F.col("p1").isNotNull(), "pair").when(F.col("p2").isNotNull(), "channel").when(F.col("p3").isNotNull(), "domain").otherwise("none")
+    best = F.coalesce("p1", "p2", "p3")
+    return rows.select(*keys.columns, from_.alias("price_from"), best["multiplier"].alias("multiplier"), best["discount"].alias("discount"))
+
+
+def finance(multiplier: Column, discount: Column, paid: Column, credit: Column, site: Column, site_paid: Column, site_credit: Column, fx: Column) -> dict[str, Column]:
+    """Effective multiplier, gap, discounts and margin; null where an input is missing or not positive."""
+    ok = lambda *c: [x > 0 for x in c]
+    every = lambda conds: F.coalesce(conds[0] if len(conds) == 1 else conds[0] & every(conds[1:]), F.lit(False))
+    factor = F.when(discount == 0, 1.0).otherwise(discount)
+    effective = F.when(every(ok(multiplier, factor, paid, credit)), multiplier * factor * paid / credit)
+    complete = every([*ok(multiplier, factor, paid, credit, site, site_paid, site_credit, fx)])
+    mine, theirs = site * (site_paid / site_credit) / fx, effective / fx
+    return {"effective": effective, "gap": site - effective, "site_discount": F.when(complete, mine), "upstream_discount": F.when(complete, theirs), "margin": F.when(complete, (mine - theirs) / mine), "complete": complete}
+
+
+def burn(facts: DataFrame, rates: DataFrame, proven_hours: DataFrame, days: float) -> DataFrame:
+    """Daily upstream cost per domain over the proven hours, and the groups that lack a price."""
+    rows = facts.join(proven_hours.where("status = 'complete'").select("hour_ts").distinct(), "hour_ts").join(rates, ["channel_id", "grp"], "left")
+    priced = F.col("upstream").isNotNull() & (F.col("site") > 0)
+    hours = proven_hours.where("status = 'complete'").agg(F.countDistinct("hour_ts").alias("hours"))
+    sums = rows.groupBy("domain").agg(F.coalesce(F.sum(F.when(priced, S.usd(F.col("quota")) * F.col("upstream") / F.col("site"))), F.lit(0.0)).alias("cost"), F.array_join(F.sort_array(F.collect_set(F.when(~priced & (F.col("quota") > 0), F.col("grp")))), ",").alias("missing_groups"))
+    return sums.crossJoin(F.broadcast(hours)).select("domain", F.when(F.col("hours") > 0, F.col("cost") / F.col("hours") * 24).otherwise(0.0).alias("daily_cost_usd"), "missing_groups")
+
+
+def runway(rows: DataFrame, now: int, days: float = 1.0, least_coverage: float = 95.0, sync_minutes: int = 10, least_cost: float = 0.01) -> DataFrame:
+    """What the balance is good for: unavailable, idle, critical, warning or healthy, with the first reason that applies."""
+    age = max(30 * 60, sync_minutes * 180)
+    left = F.greatest(F.lit(0.0), F.col("balance_usd") / F.nullif(F.col("daily_cost_usd"), F.lit(0.0)))
+    reason = (F.when(~F.col("configured"), "not configured").when(~F.col("enabled"), "disabled").when(F.col("status") != "ok", "sync status").when(F.lit(now) - F.coalesce("last_success_at", F.lit(0)) > age, "stale")
+              .when(F.col("balance_usd").isNull(), "no balance").when(F.col("coverage_pct") + 1e-9 < least_coverage, "coverage").when(F.col("missing_groups") != "", "unpriced groups"))
+    status = F.when(reason.isNotNull(), "unavailable").when(F.col("daily_cost_usd") < least_cost, "idle").when(F.col("balance_usd") <= 0, "critical").when(left <= days, "warning").otherwise("healthy")
+    return rows.select("domain", status.alias("runway_status"), reason.alias("reason"), F.when(status.isin("critical", "warning", "healthy"), left).alias("runway_days"))
+
+
+def latest_version(versions: DataFrame) -> DataFrame:
+    w = Window.partitionBy("domain").orderBy(F.desc("version"))
+    return versions.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def catalog_changes(before: DataFrame, after: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Groups added, removed or with another ratio."""
+    rows = before.select("grp", F.col("ratio").alias("was")).join(after.select("grp", F.col("ratio").alias("is")), "grp", "full")
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.abs(F.col("is") - F.col("was")) > tolerance, "changed")
+    return rows.select("grp", kind.alias("change")).where("change is not null")
+
+
+def registrable(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(host) with its registrable domain: one label more than the longest public suffix; addresses stay whole."""
+    parts = F.split("host", r"\.")
+    tails = hosts.select("host").distinct().select("host", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts)))).alias("from"))
+    tails = tails.withColumn("suffix", F.array_join(F.slice(F.split("host", r"\."), F.col("from"), F.lit(64)), "."))
+    best = tails.join(F.broadcast(suffixes.select("suffix").distinct()), "suffix").groupBy("host").agg(F.min("from").alias("from"))
+    address = F.col("host").rlike(r"^[0-9.]+$|^\[")
+    return hosts.join(best, "host", "left").withColumn("domain", F.when(address | F.col("from").isNull(), F.col("host")).otherwise(F.array_join(F.slice(F.split("host", r"\."), F.col("from") - 1, F.lit(64)), "."))).drop("from")
