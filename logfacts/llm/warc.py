@@ -112,7 +112,9 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def train_dictionary(pages: DataFrame, most_rows: int = 256, size: int = 32768) -> bytes:
     """From at most that many payloads, the ones with the smallest ids; empty where there is too little to learn from."""
-    sample = [r["payload"] for r in pages.where("payload is not null and length(payload) between 8 and 100000").select("id", "payload").orderBy("id").limit(most_rows).collect()]
+    fit = pages.where("payload is not null and length(payload) between 8 and 100000").select("id", "payload")
+    last = fit.select("id").orderBy("id").limit(most_rows).agg(F.max("id")).first()[0]
+    sample = [r["payload"] for r in fit.where(F.col("id") <= F.lit(last)).orderBy("id").limit(most_rows).collect()]
     if len(sample) < 16:
         return b""
     try:
@@ -125,8 +127,8 @@ def with_targets(pages: DataFrame, least_bytes: int) -> DataFrame:
     """(id, uri, payload) with digest, length and, where equal payloads are stored once, the id of the stored one."""
     pages = pages.withColumn("digest", F.sha1("payload")).withColumn("length", F.length("payload").cast("long"))
     large = pages.where(F.col("length") >= least_bytes).groupBy("digest").agg(F.max("id").alias("target"), F.count("*").alias("copies")).where("copies > 1")
-    revisits = pages.where(F.col("length") >= least_bytes).select("id", "digest").join(large, "digest").where("id < target").select("id", "target").distinct()
-    return pages.join(revisits, "id", "left")
+    revisits = pages.where(F.col("length") >= least_bytes).select("id", "digest").join(large, "digest").where("id < target").select("id", "digest", "target").distinct()
+    return pages.join(revisits, ["id", "digest"], "left")
 
 
 def write_archives(pages: DataFrame, dictionary: bytes, most_bytes: int = 16 << 20, level: int = 3) -> DataFrame:
