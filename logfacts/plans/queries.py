@@ -11,6 +11,8 @@ from logfacts.functions import classify as C
 from logfacts.functions import scalars as S
 from logfacts.operators import alerts, audit, board, channels, edge, evidence, filters, kpi, problems, projection, rollup, stability, usage
 from logfacts.plans import testmap as T
+from logfacts.sources import tables
+from logfacts.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -365,10 +367,14 @@ def a25_problem_report(spark, d):
     return rounded(problems.report(minutes, 0, 1 << 40))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(trim(text, ' '), '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?\b', '<ip>', 'g'), '\b[a-zA-Z0-9_-]{32,}\b', '<opaque-id>', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS digest FROM documents WHERE false""" + " UNION ALL SELECT doc_id, CAST(length(text) AS VARCHAR) FROM documents")
-def f4_redaction_lengths(spark, d):
-    docs = T.read(spark, d, "documents").withColumn("safe", S.redacted(F.col("text")))
-    return docs.select("doc_id", F.when(F.col("safe").isNotNull(), F.length("text").cast("string")).alias("digest"))
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[a-zA-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+\b', '<email>', 'g'),
+  '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?\b', '<ip>', 'g'), '(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b', '<uuid>', 'g'), '\b[a-zA-Z0-9_-]{32,}\b', '<opaque-id>', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS digest FROM documents""")
+def f4_redaction(spark, d):
+    rules = S.REDACTIONS[4:]
+    text = F.col("text")
+    for rule in rules:
+        text = F.regexp_replace(text, *rule)
+    return T.read(spark, d, "documents").select("doc_id", F.md5(text).alias("digest"))
 
 
 # --- usage -------------------------------------------------------------------------------------------------------
@@ -765,3 +771,68 @@ def f26_pseudonyms(spark, d):
 def w3_latest_per_key(spark, d):
     rows = T.read(spark, d, "conversations")
     return usage.latest(rows, ["conv_id"], ["turn"]).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
+
+
+# --- sources and streams -----------------------------------------------------------------------------------------
+
+
+@query(T.LOGS + " SELECT 'node-' || (k % 2) AS node, k AS batch_id, count(*) AS copies, min(quota) <> max(quota) AS conflict FROM logs GROUP BY 1, 2")
+def u8_batch_conflicts(spark, d):
+    rows = T.logs(spark, d).select(F.concat(F.lit("node-"), (F.col("k") % 2).cast("string")).alias("node"), F.col("k").alias("batch_id"), "quota")
+    return tables.batches(rows, ["node", "batch_id"], F.col("quota"))
+
+
+@query(T.LOGS + ", " + T.REJECTIONS + " SELECT bucket_ts, node, reason, model, grp, CAST(2 * sum(count) AS BIGINT) AS count FROM rejections GROUP BY ALL")
+def s11_additive_merge(spark, d):
+    rows = T.rejections(spark, d)
+    keys = ["bucket_ts", "node", "reason", "model", "grp"]
+    return tables.merge_additive(rows.groupBy(*keys).agg(F.sum("count").alias("count")), rows, keys, ["count"])
+
+
+@query(T.LOGS + f" SELECT id, CASE WHEN created_at >= {NOW - 86400} THEN -quota ELSE quota END AS quota FROM logs")
+def s9_replace_by_key(spark, d):
+    rows = T.logs(spark, d).select("id", "quota", "created_at")
+    fresh = rows.where(F.col("created_at") >= NOW - S.DAY).select("id", (-F.col("quota")).alias("quota"))
+    return tables.replace_by_key(rows.select("id", "quota"), fresh, ["id"])
+
+
+@query(HOURS + f" SELECT hour_ts, channel_id, model_name, grp, success FROM hours WHERE hour_ts >= {NOW - 3 * 86400}")
+def s14_retention(spark, d):
+    return tables.retained(_hours(spark, d), "hour_ts", NOW - 3 * S.DAY).select("hour_ts", "channel_id", "model_name", "grp", "success")
+
+
+@query(HOURS + f", dd AS (SELECT {DAY_SQL.format('hour_ts')} AS date_ts, channel_id, success FROM hours) SELECT date_ts, channel_id, CAST(sum(CASE WHEN date_ts >= {SINCE} THEN 2 * success ELSE success END) AS BIGINT) AS success FROM dd GROUP BY 1, 2")
+def s10_replace_range(spark, d):
+    path = tables.shared_folder(spark)
+    days = _hours(spark, d).groupBy(S.day("hour_ts").alias("date_ts"), "channel_id").agg(F.sum("success").alias("success"))
+    tables.replace_partitions(days, path, "date_ts")
+    tables.replace_partitions(days.where(F.col("date_ts") >= SINCE).withColumn("success", F.col("success") * 2), path, "date_ts")
+    return spark.read.parquet(path).select(F.col("date_ts").cast("long").alias("date_ts"), "channel_id", "success")
+
+
+@query(T.LOGS + " SELECT id, created_at, model_name, quota FROM logs WHERE id <= 9000 ORDER BY id DESC LIMIT 2000")
+def s16_csv_export(spark, d):
+    path = tables.shared_folder(spark)
+    tables.export_csv(T.logs(spark, d).select("id", "created_at", "model_name", "quota"), path, 9000, 2000)
+    return spark.read.schema("id long, created_at long, model_name string, quota long").option("header", True).csv(path)
+
+
+@query(T.TRAFFIC + f" SELECT created_at // 60 * 60 AS bucket_ts, model_name, {T.measures_sql('success', 'anomaly', 'failed', 'tokens', 'quota', 'max_use_time')} FROM traffic GROUP BY ALL")
+def r1_minute_stream(spark, d):
+    schema = T.read(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = T.as_logs(source).withColumn("at", F.timestamp_seconds("created_at"))
+    path = tables.shared_folder(spark)
+    jobs.keyed_sink(jobs.minute_stream(rows, T.RULES, "400 days"), path, tables.shared_folder(spark)).awaitTermination()
+    return jobs.latest_of(spark.read.parquet(path), ["bucket_ts", "model_name"])
+
+
+@query(HOURS + " SELECT max(hour_ts) AS newest, count(DISTINCT hour_ts) AS hours, 1706659200 - max(hour_ts) - 3600 AS lag, 1706659200 - max(hour_ts) - 3600 > 7200 AS degraded FROM hours")
+def r8_health(spark, d):
+    return jobs.health(_hours(spark, d).select("hour_ts").distinct().withColumn("status", F.lit("complete")), 1706659200)
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS copies FROM (SELECT l_orderkey // 2 AS l_orderkey, l_linenumber FROM lineitem) GROUP BY ALL HAVING count(*) > 1")
+def u10_duplicate_keys(spark, d):
+    rows = T.read(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 2).cast("long").alias("l_orderkey"), "l_linenumber")
+    return tables.duplicate_keys(rows, ["l_orderkey", "l_linenumber"])

@@ -18,7 +18,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log rows from the events table."""
-    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return as_logs(read(spark, sf_dir, "events"))
+
+
+def as_logs(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     k, failed = F.col("k"), F.col("event_type") == "error"
     probe = k % 19 == 0
     text = F.concat(F.lit("status_code="), (400 + 100 * (k % 2) + k).cast("string"), F.when(k % 13 == 0, " Timeout").otherwise(""))
