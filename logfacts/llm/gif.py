@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, FRAME_ROWS, DELAY = 64, 256, 10
-_BITS = np.arange(12)
 
 
 class BadGif(ValueError):
@@ -31,8 +30,10 @@ class BadGif(ValueError):
 
 def _widths(n: int, size: int) -> np.ndarray:
     """Bits of the n codes after a clear code: a code is as wide as the next free table entry needs, 12 at most."""
-    free = np.maximum((1 << size) + 1 + np.arange(n), (1 << size) + 2)
-    return np.minimum(12, np.floor(np.log2(free)).astype(np.int64) + 1)
+    out = np.full(n, 12)
+    for w in range(11, size, -1):
+        out[: max(0, (1 << w) - (1 << size) - 1)] = w  # as long as the next free entry is below 2**w
+    return out
 
 
 def lzw_encode(data: bytes, size: int = 8) -> bytes:
@@ -61,22 +62,27 @@ def lzw_encode(data: bytes, size: int = 8) -> bytes:
     codes.append(clear + 1)
     at = [1, *runs, len(codes)]
     width = np.concatenate([[size + 1], *(_widths(b - a, size) for a, b in zip(at, at[1:], strict=False))])
-    bits = (np.array(codes)[:, None] >> _BITS) & 1
-    return np.packbits(bits[_BITS < width[:, None]].astype(np.uint8), bitorder="little").tobytes()
+    ends = np.cumsum(width)
+    first = ends - width
+    value = np.array(codes) << (first & 7)  # 12 bits and a shift of up to 7 lie in three bytes, and no two codes share a bit
+    out = np.zeros(int(ends[-1] + 7) // 8 + 2)
+    for i in range(3):
+        out += np.bincount((first >> 3) + i, weights=(value >> (8 * i)) & 255, minlength=len(out))
+    return out[:-2].astype(np.uint8).tobytes()
 
 
 def lzw_decode(stream: bytes, size: int) -> bytes:
-    bits = np.unpackbits(np.frombuffer(stream, dtype=np.uint8), bitorder="little")
-    padded = np.concatenate([bits, np.zeros(12, np.uint8)]).astype(np.int64)
-    clear, at, out = 1 << size, 0, []
+    data = np.concatenate([np.frombuffer(stream, dtype=np.uint8), np.zeros(3, np.uint8)]).astype(np.int32)
+    three = data[:-2] | data[1:-1] << 8 | data[2:] << 16
+    bits, clear, at, out = 8 * len(stream), 1 << size, 0, []
     while True:
-        width = _widths((len(bits) - at) // (size + 1) + 1, size)
+        width = _widths(min((bits - at) // (size + 1), 4096 + (bits - at) // 12) + 1, size)
         ends = at + np.cumsum(width)
-        width = width[: np.searchsorted(ends, len(bits), side="right")]
+        width = width[: np.searchsorted(ends, bits, side="right")]
         if not len(width):
             raise BadGif("code stream without an end code")
         first = ends[: len(width)] - width
-        codes = ((padded[first[:, None] + _BITS] * (_BITS < width[:, None])) << _BITS).sum(axis=1)
+        codes = (three[first >> 3] >> (first & 7)) & ((1 << width) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         if not len(stops):
             raise BadGif("code stream without an end code")
@@ -175,12 +181,11 @@ def decode(data: bytes) -> Iterator[Frame]:
                 plain[order] = indexes
                 indexes = plain
             before = canvas.copy() if disposal == 3 else None
-            drawn = indexes != clear_index if clear_index is not None else np.ones(indexes.shape, bool)
-            if indexes.size and indexes[drawn].max(initial=0) >= len(colours):
+            drawn = indexes != clear_index if clear_index is not None else ...
+            if len(colours) < 256 and indexes[drawn].max(initial=0) >= len(colours):
                 raise BadGif("index beyond the palette")
             area = canvas[y : y + h, x : x + w]
-            area[drawn, :3] = colours[indexes[drawn]]
-            area[drawn, 3] = 255
+            area[drawn] = np.concatenate([colours, np.full((len(colours), 1), 255, np.uint8)], axis=1)[indexes[drawn]]
             yield Frame(clock, delay, indexes, canvas)
             clock += delay
             if disposal == 2:
@@ -194,8 +199,9 @@ def decode(data: bytes) -> Iterator[Frame]:
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
     """Counts of the drawn pixels in 8 x 8 x 8 colour bins."""
-    seen = canvas[canvas[..., 3] > 0].astype(np.int64) >> 5
-    return np.bincount(seen[:, 0] * 64 + seen[:, 1] * 8 + seen[:, 2], minlength=512)
+    packed = np.ascontiguousarray(canvas).view("<u4").ravel()
+    packed = packed if packed.size == 0 or canvas[..., 3].min() else packed[packed >> 24 > 0]
+    return np.bincount(((packed & 0xE0) << 1) | ((packed >> 10) & 0x38) | ((packed >> 21) & 7), minlength=512)
 
 
 #: Index i is the grey level i, so a decoded canvas gives the stored bytes back.
