@@ -1,0 +1,81 @@
+"""Upstream bills: hour buckets, daily documents, publishing of staged keys, matching with accounts; site catalogues."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BILL = "struct<total:double,daily:array<struct<date:string,cost:double,requests:bigint>>>"
+
+
+def hours(items: DataFrame, since: int, until: int, quota_per_usd: float) -> DataFrame:
+    """Billed items per hour; hours without any are there with zeros."""
+    dense = F.broadcast(items.sparkSession.range(since, until, 3600).withColumnRenamed("id", "hour_ts"))
+    sums = items.where((F.col("at") >= since) & (F.col("at") < until)).groupBy((F.col("at") - F.col("at") % 3600).alias("hour_ts")).agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"), F.sum("quota").alias("quota"))
+    rows = dense.join(sums, "hour_ts", "left").fillna(0, ["requests", "tokens", "quota"])
+    return rows.withColumn("cost_usd", F.col("quota") / quota_per_usd)
+
+
+def daily_documents(documents: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(key, body) with a nested bill to one row per key and day, and whether the days add up to the document's total."""
+    rows = documents.select("key", F.from_json("body", BILL).alias("b")).where("b is not null")
+    total = F.aggregate(F.coalesce("b.daily", F.array().cast("array<struct<date:string,cost:double,requests:bigint>>")), F.lit(0.0), lambda s, x: s + F.coalesce(x["cost"], F.lit(0.0)))
+    rows = rows.withColumn("balanced", F.abs(total - F.coalesce("b.total", F.lit(0.0))) <= tolerance)
+    return rows.select("key", "balanced", F.explode("b.daily").alias("d")).select("key", "balanced", "d.date", "d.cost", "d.requests")
+
+
+def publish(staged: DataFrame, keys: DataFrame) -> DataFrame:
+    """Sums of all keys' parts per hour, only where every key is there and all buckets are equally wide."""
+    n = keys.agg(F.countDistinct("key").alias("expected"))
+    rows = staged.groupBy("hour_ts").agg(F.countDistinct("key").alias("present"), F.countDistinct("bucket_seconds").alias("widths"), F.sum("cost_usd").alias("cost_usd"))
+    return rows.crossJoin(F.broadcast(n)).where("present = expected and widths = 1").select("hour_ts", "cost_usd")
+
+
+def by_domain(usage: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Usage of configured accounts of the same provider per domain, with the seconds that it covers."""
+    rows = usage.join(accounts.select("domain", "provider").distinct(), ["domain", "provider"])
+    return rows.groupBy("domain", "provider").agg(F.sum("cost_usd").alias("cost_usd"), F.sum("bucket_seconds").alias("seconds"), F.max(F.col("hour_ts") + F.col("bucket_seconds")).alias("until"))
+
+
+def group_names(sources: list[DataFrame], ratios: DataFrame) -> DataFrame:
+    """Group names of any source with a positive finite ratio."""
+    names = sources[0].select(F.trim("grp").alias("grp"))
+    for other in sources[1:]:
+        names = names.union(other.select(F.trim("grp").alias("grp")))
+    good = ratios.where((F.col("ratio") > 0) & (F.col("ratio") < float("inf")) & ~F.isnan("ratio"))
+    return names.where("grp <> ''").distinct().join(good, "grp")
+
+
+def read_range(coverage: DataFrame, asked_from: int, asked_to: int) -> DataFrame:
+    """The part of a range that is published, and whether that is less than was asked for."""
+    a, b = F.greatest(F.lit(asked_from), F.col("first_full_day")), F.least(F.lit(asked_to), F.col("ready_through"))
+    return coverage.select(a.alias("from_ts"), F.greatest(a, b).alias("to_ts"), ((a > asked_from) | (b < asked_to)).alias("partial"))
+
+
+def publishable(members: DataFrame, version: int, semantics: int, epoch: str, through: int) -> DataFrame:
+    """Which members may be published: proven without a gap to the moment, under current versions and epoch."""
+    ok = (F.col("through") >= through) & (F.col("classification_version") == version) & (F.col("query_semantics_version") == semantics) & (F.col("source_epoch") == epoch)
+    return members.select("user_id", F.coalesce(ok, F.lit(False)).alias("publishable"))
+
+
+def log_costs(logs: DataFrame) -> DataFrame:
+    """Cost of a request from the ratios in its details: input, output and cached tokens, times the group's ratio."""
+    d = F.from_json("other", "model_ratio double, completion_ratio double, cache_ratio double, cache_tokens bigint, group_ratio double")
+    rows = logs.withColumn("d", d)
+    part = lambda c, default: F.coalesce(F.col(f"d.{c}"), F.lit(default))
+    price = part("model_ratio", 0.0) * 2 / 1000000
+    cached = F.least(part("cache_tokens", 0), F.col("prompt_tokens"))
+    cost_in, cost_cached = (F.col("prompt_tokens") - cached) * price, cached * price * part("cache_ratio", 1.0)
+    cost_out = F.col("completion_tokens") * price * part("completion_ratio", 1.0)
+    return rows.select("id", cost_in.alias("input_usd"), cost_cached.alias("cached_usd"), cost_out.alias("output_usd"), ((cost_in + cost_cached + cost_out) * part("group_ratio", 1.0)).alias("cost_usd"))
+
+
+def cache_split() -> Column:
+    """Cache-creation tokens: the five-minute and one-hour parts if any is given, else the unsplit number."""
+    split = F.coalesce("cache_5m", F.lit(0)) + F.coalesce("cache_1h", F.lit(0))
+    return F.when(split > 0, split).otherwise(F.coalesce("cache_total", F.lit(0)))
+
+
+def settled() -> Column:
+    """Subscription amount: what was consumed if that is stated, else the advance and its correction."""
+    return F.coalesce("consumed", F.coalesce("pre", F.lit(0)) + F.coalesce("delta", F.lit(0)))
