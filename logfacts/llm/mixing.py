@@ -56,7 +56,9 @@ def posteriors(docs: DataFrame, words: DataFrame, shares: list[float], scale: fl
     """(id, tokens, p_0, p_1, ...) of every document."""
     k = len(shares)
     rows = docs.where("id is not null").select("id", _words(F.coalesce("text", F.lit(""))).alias("all"))
-    rows = rows.select("id", (F.size("all") - F.size(F.filter("all", lambda w: w == ""))).cast("long").alias("tokens"), F.explode_outer(F.array_distinct("all")).alias("word"))
+    # counted before the words are exploded, or every word's row would carry and count them all again
+    rows = rows.select("id", (F.size("all") - F.size(F.filter("all", lambda w: w == ""))).cast("long").alias("tokens"), F.array_distinct("all").alias("words"))
+    rows = rows.select("id", "tokens", F.explode_outer("words").alias("word"))
     # the word table has a fixed greatest size
     held = rows.join(F.broadcast(words), "word", "left").groupBy("id").agg(F.max("tokens").alias("tokens"), *(F.sum(F.coalesce(f"w_{i}", F.lit(0.0))).alias(f"s_{i}") for i in range(k)))
     logit = [F.round(F.lit(shares[i]) + scale * F.col(f"s_{i}"), 6) for i in range(k)]
