@@ -106,16 +106,26 @@ def counterfactuals(texts: list[str], terms: tuple[str, ...] | list[str], each:
     return out, of
 
 
-def _matrix(texts: list[str], column_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(texts: list[str], column_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the chosen features that each text holds; a slice of the texts is spread out at a time."""
     rows, cols = [], []
-    for a, _, text, bucket in held(pa.array(texts, pa.large_string())):
-        rows.append(text + a)
-        cols.append(bucket)
-    rows, cols = (np.concatenate(rows), np.concatenate(cols)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
-    if column_of is not None:
-        kept = column_of[cols] >= 0
-        rows, cols = rows[kept], column_of[cols[kept]]
-    return rows, cols
+    for at in range(0, len(texts), 200):
+        for a, _, text, bucket in held(pa.array(texts[at : at + 200], pa.large_string())):
+            kept = column_of[bucket] >= 0
+            rows.append((text[kept] + a + at).astype(np.int32))
+            cols.append(column_of[bucket[kept]].astype(np.int32))
+    return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.empty(0, np.int32), np.empty(0, np.int32))
+
+
+def _frequencies(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By bucket, how many toxic and how many other texts hold it."""
+    df = np.zeros((2, 1 << BITS))
+    for at in range(0, len(texts), 200):
+        for a, b, text, bucket in held(pa.array(texts[at : at + 200], pa.large_string())):
+            mark = y[at + a : at + b][text]
+            df[1] += np.bincount(bucket, weights=mark, minlength=1 << BITS)
+            df[0] += np.bincount(bucket, weights=1 - mark, minlength=1 << BITS)
+    return df[1], df[0]
 
 
 def fit(texts: list[str], toxic: list[int], penalty: float = 1.0, l2: float = 0.2, steps: int = 400, most_features: int = 4096) -> Model | None:
@@ -123,23 +133,25 @@ def fit(texts: list[str], toxic: list[int], penalty: float = 1.0, l2: float = 0.
     if not texts:
         return None
     y = np.array(toxic, dtype=float)
-    rows, cols = _matrix(texts)
-    df1 = np.bincount(cols, weights=y[rows], minlength=1 << BITS)
-    df0 = np.bincount(cols, minlength=1 << BITS) - df1
+    df1, df0 = _frequencies(texts, y)
     n1, n0 = max(y.sum(), 1.0), max(len(y) - y.sum(), 1.0)
     rate = (df1 + df0) / len(y)
     strength = np.abs(df1 / n1 - df0 / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n1 + 1 / n0))
     chosen = np.flatnonzero((df1 + df0 >= 3) & (strength > 5))
     chosen = chosen[np.argsort(-strength[chosen], kind="stable")][:most_features]
     # every identity term is a feature, so that the penalty has weights to act on
-    _, terms = _matrix(list(IDENTITY_TERMS))
+    terms = np.unique(np.concatenate([bucket for *_, bucket in held(pa.array(IDENTITY_TERMS, pa.large_string()))]))
     chosen = np.union1d(chosen, terms)
     column_of = np.full(1 << BITS, -1, dtype=np.int64)
     column_of[chosen] = np.arange(len(chosen))
-    r, c = rows[column_of[cols] >= 0], column_of[cols[column_of[cols] >= 0]]
-    other, of = counterfactuals(texts, IDENTITY_TERMS)
-    r2, c2 = _matrix(other, column_of)
-    of = np.array(of)
+    r, c = _matrix(texts, column_of)
+    parts, of = [], []
+    for at in range(0, len(texts), 200):
+        other, mine = counterfactuals(texts[at : at + 200], IDENTITY_TERMS)
+        row, col = _matrix(other, column_of)
+        parts.append((row + len(of), col))
+        of += [at + i for i in mine]
+    r2, c2, of = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array(of)
     w, b = np.zeros(len(chosen)), float(np.log(n1 / n0))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
