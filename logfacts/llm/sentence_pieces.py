@@ -34,7 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 48
 UNKNOWN_PENALTY = 10.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+WORDS_PER_PART = 50000
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
 
@@ -157,20 +158,22 @@ def _packed(ids: DataFrame) -> DataFrame:
     return ids.mapInArrow(run, "word string, ids binary")
 
 
-def encode(docs: DataFrame, path: str = MODEL, sample_rows: int = 2000, common_words: int = 1 << 17) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, sample_rows: int = 4000, common_words: int = 1 << 18) -> DataFrame:
     """(id, text) to (id, ids, round_trip): round_trip tells whether decoding the ids gives the text back."""
     spark: SparkSession = docs.sparkSession
     picked = docs.where("text is not null").select(F.xxhash64("id", F.lit(9)).alias("h"), F.col("text")).orderBy("h").limit(sample_rows)
     top = picked.mapInArrow(_sampled_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(common_words).select("word")
-    common = spark.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in _packed(encode_words(top, path)).collect()})  # common_words at most
+    common = spark.sparkContext.broadcast(_table(_packed(encode_words(top, path)).toArrow()))  # common_words at most
     blocks = cut(_blocks(docs))
     rare = cut(_rare_words(blocks, common))
-    found = rare.join(_packed(encode_words(rare.select("word"), path)), "word").select("block", "word", "ids")
+    # so many parts that the edges of a part's words are sorted in memory
+    dealt = rare.select("word").distinct().repartition(rare.count() // WORDS_PER_PART + 1, "word")
+    found = rare.join(_packed(encode_words(dealt, path)), "word").select("block", "word", "ids")
     _, raw, _ = load(path)
     schema = "id long, ids array<int>, round_trip boolean"
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
+        table = _table(right)
         known = common.value
         ids, arrays, good = [], [], []
         for block in left.column("raw").to_pylist():
@@ -189,6 +192,10 @@ def encode(docs: DataFrame, path: str = MODEL, sample_rows: int = 2000, common_w
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, schema)
 
 
+def _table(words: pa.Table) -> dict[str, bytes]:
+    return dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
+
+
 def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter[str] = Counter()
