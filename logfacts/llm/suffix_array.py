@@ -5,7 +5,7 @@ Which bytes belong to a string of ``length`` bytes that also starts elsewhere? F
 1. Winnowing picks anchors, fingerprints of 32 bytes, so that any two equal strings of ``length`` bytes hold the same
    ones. A start whose string's least anchor is unique cannot repeat; what is left is cut at anchors into chunks.
 2. Chunks with the same bytes, and the same bytes after them up to the reach of a comparison, become one, with a count.
-   So a text that thousands of documents copy is sorted once.
+   So a text that thousands of documents copy is sorted once, and not at all if no other chunk has any anchor of it.
 3. The suffixes of the chunks are sorted by a difference cover modulo 3: the sampled positions (remainders 1 and 2) get
    names by sorting triples of eight-byte words, and the names are sorted again by triples of names until a name
    stands for at least ``length`` bytes. Each remaining suffix (remainder 0) is one or two bytes before a sampled one and
@@ -115,44 +115,50 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 # --- step 2: chunks ----------------------------------------------------------------------------------------------
 
 
-def _possible(data: np.ndarray, repeated: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start (last not included) of each run of starts that may repeat, and the cuts within."""
-    at, h, least = anchors(data, length - GRAM + 1)
-    free = np.concatenate([[False], np.isin(least.view(np.int64), repeated), [False]])
-    edge = np.flatnonzero(free[1:] != free[:-1])
-    return edge[0::2], edge[1::2], at[(h & K.U64(15)) == 0]
-
-
 def _chunk_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(id, mark, text, anchors) to (id, mark, at, starts, key, body): starts at ``at``, ``starts`` of them, in body."""
+    """(id, mark, text, anchors) to (id, mark, at, starts, key, body, leasts, again): ``starts`` starts from ``at`` on.
+
+    ``leasts`` are the least anchors of the starts, ``again`` tells whether one of them occurs twice in the body.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "mark", "at", "starts", "key", "body", "leasts", "again"]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.bool_())
         for batch in batches:
             ids, marks, lists = batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("anchors")
             rows, held = [], 0
             for i, data in _texts(batch):
                 if len(data) >= length:
-                    for a, b in _spans(data, lists[i].values.to_numpy(), length):
+                    for a, b, leasts, again in _spans(data, lists[i].values.to_numpy(), length):
                         body = data[a : b + length - 1].tobytes()
-                        rows.append((ids[i], marks[i], a, b - a, hashlib.blake2b(body, digest_size=16).digest(), body))
+                        rows.append((ids[i], marks[i], a, b - a, hashlib.blake2b(body, digest_size=16).digest(), body, leasts, again))
                         held += len(body)
                 if held >= 4 << 20 or i + 1 == batch.num_rows:
                     if rows:
-                        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["id", "mark", "at", "starts", "key", "body"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                     rows, held = [], 0
 
-    return docs.mapInArrow(run, "id long, mark long, at int, starts int, key binary, body binary")
+    return docs.mapInArrow(run, "id long, mark long, at int, starts int, key binary, body binary, leasts array<long>, again boolean")
+
 
+def _spans(data: np.ndarray, repeated: np.ndarray, length: int) -> Iterator[tuple[int, int, list[int], bool]]:
+    """First and last start (last not included) of each chunk of the starts that may repeat, with its least anchors.
 
-def _spans(data: np.ndarray, repeated: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-    """First and last start of each chunk."""
-    firsts, lasts, cuts = _possible(data, repeated, length)
-    for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
+    Chunks end where the least anchor changes to one of a sixteenth of all hashes, so equal passages are cut alike.
+    """
+    at, h, least = anchors(data, length - GRAM + 1)
+    free = np.concatenate([[False], np.isin(least.view(np.int64), repeated), [False]])
+    edge = np.flatnonzero(free[1:] != free[:-1])
+    cuts = np.flatnonzero((least[1:] != least[:-1]) & (((least[1:] >> K.U64(20)) & K.U64(15)) == 0)) + 1
+    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
         inner = cuts[(cuts > a) & (cuts < b)].tolist()
         for c, d in zip([a, *inner], [*inner, b], strict=True):
             for e in range(c, d, LONGEST_CHUNK):
-                yield e, min(e + LONGEST_CHUNK, d)
+                end = min(e + LONGEST_CHUNK, d)
+                leasts = np.unique(least[e:end])
+                inside = h[(at >= e) & (at <= end - 1 + length - GRAM)]
+                inside = inside[np.isin(inside, leasts)]
+                yield e, end, leasts.view(np.int64).tolist(), len(np.unique(inside)) < len(inside)
 
 
 # --- step 3: blocks of chunks, names and ranks -------------------------------------------------------------------
@@ -407,7 +413,14 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
     common = picked.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     lists = picked.select("id", "mark", "hash").join(common, "hash").groupBy("id", "mark").agg(F.collect_set("hash").alias("anchors"))
     chunks = cut(_chunk_rows(docs.join(lists, ["id", "mark"]), length))
-    folded = cut(chunks.groupBy("key").agg(F.first("body").alias("body"), F.first("starts").alias("starts"), F.count("*").alias("count")))
+    first = [F.first(c).alias(c) for c in ("body", "starts", "leasts", "again")]
+    folded = cut(chunks.groupBy("key").agg(*first, F.count("*").alias("count")))
+    # a string of a chunk none of whose least anchors another chunk has, or the chunk itself again, can only repeat with the whole chunk
+    least = folded.select("key", F.explode("leasts").alias("least"))
+    shared = least.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least")
+    others = least.join(shared, "least").select("key").union(folded.where("again").select("key")).distinct()
+    alone = folded.join(others, "key", "left_anti").where("count > 1").select("key", F.array(F.lit(0), "starts").alias("runs"))
+    folded = cut(folded.join(others, "key", "left_semi").select("key", "body", "starts", "count"))
     total = folded.agg(F.sum(F.length("body"))).first()[0] or 0
     splitters = _splitters(folded, total)
     spread = max(1, min(int(total // BLOCK_BYTES) + 1, 100000))
@@ -418,7 +431,7 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
         step *= 3
         if step >= length:
             break
-    runs = _repeated_starts(state, splitters, length)
+    runs = _repeated_starts(state, splitters, length).union(alone)
     found = chunks.select("id", "mark", "at", "key").join(runs, "key").select("id", "mark", F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
     return found.distinct().groupBy("id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
