@@ -61,7 +61,7 @@ def _coordinates(values: np.ndarray, multipliers: np.ndarray, offsets: np.ndarra
 
 
 def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
-    """(id, text) to (id, n, key, sig, sketch): set size, 128-bit hash of the whole set, MinHash coordinates, and 16 bits of each."""
+    """(id, text) to (id, n, key, sig): set size, 128-bit hash of the whole set, MinHash coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = K.mix(np.arange(1, coordinates + 1, dtype=np.uint64)) | K.U64(1)
@@ -76,10 +76,9 @@ def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
                     sig.append(_coordinates(values, multipliers, offsets) if len(values) else np.zeros(coordinates, np.int32))
             flat = np.concatenate(sig) if sig else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * coordinates), pa.array(flat))
-            sketch = pa.array([v.astype(np.uint16).tobytes() for v in sig], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists, sketch], ["id", "n", "key", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists], ["id", "n", "key", "sig"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, key binary, sig array<int>, sketch binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, key binary, sig array<int>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -173,17 +172,22 @@ def _across(rows: DataFrame, groups: list[str], matches: int, percent: int, bloc
     """Pairs (a, b) of one posting list with different labels and groups whose coordinates collide often enough.
 
     A list's largest cluster is not compared with itself. Lists are compared in pairs of blocks, and a task gives out
-    the pairs that pass.
+    the pairs that pass, each pair in the list of the first coordinate that is in both prefixes. ``sig`` are all
+    coordinates of a row, ``coords`` the numbers of those in its prefix.
     """
     clusters = rows.groupBy("post", "label").agg(F.count("*").alias("held"))
     mixed = clusters.groupBy("post").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.count("*").alias("labels"), F.sum("held").alias("held")).where("labels > 1")
     rows = rows.join(mixed.select("post", "main", F.ceil(F.col("held") / block).alias("blocks")), "post")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("post", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "n", "label", (F.col("label") != F.col("main")).alias("odd"), *groups, "sketch")
+    rows = rows.select("post", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "n", "label", (F.col("label") != F.col("main")).alias("odd"), *groups, "sig", "coords")
 
     def run(table: pa.Table) -> pa.Table:
         columns = {c: table.column(c).to_numpy() for c in ("mine", "id", "n", "label", "odd", *groups)}
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        sig = np.stack([np.asarray(v.values) for v in table.column("sig")])
+        prefix = np.zeros(sig.shape, bool)
+        for i, v in enumerate(table.column("coords")):
+            prefix[i, np.asarray(v.values)] = True
+        here = table.column("post")[0].as_py() >> 32
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         n, label, mine = columns["n"], columns["label"], columns["mine"]
         a, b = [], []
@@ -194,7 +198,8 @@ def _across(rows: DataFrame, groups: list[str], matches: int, percent: int, bloc
                 open_ &= columns[g] != columns[g][i]
             at = np.flatnonzero(open_)
             if len(at):
-                hit = at[(sketch[at] == sketch[i]).sum(axis=1) >= matches]
+                same = sig[at] == sig[i]
+                hit = at[(same.sum(axis=1) >= matches) & ((same & prefix[at] & prefix[i]).argmax(axis=1) == here)]
                 b += columns["id"][hit].tolist()
                 a += [int(columns["id"][i])] * len(hit)
         a, b = np.array(a, np.int64), np.array(b, np.int64)
@@ -207,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n, component): for each document its set's size and the smallest id reachable over links."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     marks = cut(signatures(source, size, coordinates))
-    classes = cut(marks.where("n > 0").groupBy("key").agg(F.min_by(F.struct("id", "n", "sig", "sketch"), "id").alias("r")).select("key", "r.*"))
+    classes = cut(marks.where("n > 0").groupBy("key").agg(F.min_by(F.struct("id", "n", "sig"), "id").alias("r")).select("key", "r.*"))
 
     posted = classes.select("id", "n", F.posexplode("sig").alias("c", "v"))
     posted = posted.select("id", "n", F.expr("shiftleft(cast(c as bigint), 32) | (v & 4294967295L)").alias("post"))
@@ -242,7 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = merged(labels, links[-1])
     members = cut(prefix.join(labels, "id"))
     groups = [f"group{turn}" for turn in range(rounds)]
-    across = cut(_across(members.join(classes.select("id", "sketch"), "id"), groups, matches, percent).distinct())
+    coords = lists.select("id", F.transform(F.slice("posts", F.lit(1), F.size("posts") - matches + 1), lambda p: F.shiftright(p, 32).cast("int")).alias("coords"))
+    across = cut(_across(members.join(coords.join(classes.select("id", "sig"), "id"), "id"), groups, matches, percent))
     links = reduce(DataFrame.union, [*links, _confirmed(across, sets, percent)])
 
     reached = classes.select("key", F.col("id").alias("rep")).join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
