@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +43,6 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             for value, runs in zip(batch.column("sa_text"), batch.column("sa_runs"), strict=True):
                 text = value.as_py()
                 if runs.is_valid:
-                    import numpy as np
-
                     data = np.frombuffer(text.encode(), np.uint8)
                     text = data[~suffix_array._removed(len(data), runs.values.to_numpy(), 200)].tobytes().decode("utf-8", "ignore")
                 texts.append(text)
