@@ -5,7 +5,7 @@ Which bytes belong to a string of ``length`` bytes that also starts elsewhere? F
 1. Winnowing picks anchors, fingerprints of 32 bytes, so that any two equal strings of ``length`` bytes hold the same
    ones. A start whose string's least anchor is unique cannot repeat; what is left is cut at anchors into chunks.
 2. Chunks with the same bytes, and the same bytes after them up to the reach of a comparison, become one, with a count.
-   So a text that thousands of documents copy is sorted once, and not at all if no other chunk has any anchor of it.
+   So a text that thousands of documents copy is sorted once, with its count.
 3. The suffixes of the chunks are sorted by a difference cover modulo 3: the sampled positions (remainders 1 and 2) get
    names by sorting triples of eight-byte words, and the names are sorted again by triples of names until a name
    stands for at least ``length`` bytes. Each remaining suffix (remainder 0) is one or two bytes before a sampled one and
@@ -415,12 +415,11 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
     chunks = cut(_chunk_rows(docs.join(lists, ["id", "mark"]), length))
     first = [F.first(c).alias(c) for c in ("body", "starts", "leasts", "again")]
     folded = cut(chunks.groupBy("key").agg(*first, F.count("*").alias("count")))
-    # a string of a chunk none of whose least anchors another chunk has, or the chunk itself again, can only repeat with the whole chunk
+    # a chunk that came once, none of whose least anchors another chunk or the chunk itself has again, holds no repeat
     least = folded.select("key", F.explode("leasts").alias("least"))
     shared = least.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least")
-    others = least.join(shared, "least").select("key").union(folded.where("again").select("key")).distinct()
-    alone = folded.join(others, "key", "left_anti").where("count > 1").select("key", F.array(F.lit(0), "starts").alias("runs"))
-    folded = cut(folded.join(others, "key", "left_semi").select("key", "body", "starts", "count"))
+    able = least.join(shared, "least").select("key").union(folded.where("again or count > 1").select("key")).distinct()
+    folded = cut(folded.join(able, "key", "left_semi").select("key", "body", "starts", "count"))
     total = folded.agg(F.sum(F.length("body"))).first()[0] or 0
     splitters = _splitters(folded, total)
     spread = max(1, min(int(total // BLOCK_BYTES) + 1, 100000))
@@ -431,7 +430,7 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
         step *= 3
         if step >= length:
             break
-    runs = _repeated_starts(state, splitters, length).union(alone)
+    runs = _repeated_starts(state, splitters, length)
     found = chunks.select("id", "mark", "at", "key").join(runs, "key").select("id", "mark", F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
     return found.distinct().groupBy("id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 

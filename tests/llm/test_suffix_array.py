@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from logfacts.llm import suffix_array
 from logfacts.llm.suffix_array import anchors, op7, strip
 
 SCHEMA = "doc_id long, text string, id string"
@@ -58,3 +59,15 @@ def test_empty_and_repeated_rows(spark):
     text = " ".join(f"word{i}" for i in range(60))
     rows = strip(spark.createDataFrame([(1, text, ""), (1, text, "")], SCHEMA)).collect()
     assert [(r.n_removed, r.n_spans) for r in rows] == [(len(text), 1)] * 2
+
+
+def test_copies_that_share_nothing_else_are_sorted(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(700)) for _ in range(3)]
+    sent, blocks = [], suffix_array._blocks
+    monkeypatch.setattr(suffix_array, "_blocks", lambda chunks: sent.extend(chunks.select("starts", "count").collect()) or blocks(chunks))
+    rows = [(i, texts[i % 3]) for i in range(8)] + [(9, "q" + texts[0][::-1])]
+    got = sorted(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in op7(spark.createDataFrame([(d, t, "") for d, t in rows], SCHEMA)).collect())
+    assert got == brute([(d, t.encode()) for d, t in rows], 200)
+    # each text's 501 starts reach the sort once, with its number of copies
+    assert sum(r["starts"] for r in sent) == 3 * 501 and {r["count"] for r in sent} == {2, 3}
