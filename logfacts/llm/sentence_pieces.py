@@ -7,16 +7,21 @@ largest sum of piece scores, of equal sums the one whose last piece is longest.
 their bytes' pieces, at a score below all others. Decoding puts the pieces' bytes together, so it gives every text
 back exactly (a U+2581 in a text reads as a space, as it does in the public library).
 
+A word of more than ``LONGEST`` characters (a text without spaces, base64) has its lattice built in parts of that many
+places; each part has the characters before it that a piece may begin in, and the fold carries the last places' bests,
+as many as the longest piece has characters, from part to part. So its path is that of the whole word.
+
 Words are encoded once each, however often they occur. The common ones of a bounded sample are given to every task;
 all others go through the lattice together, each once per block of texts, and come back to their block, so neither
 word counts nor documents grow beyond a task.
 
-Rows: a null text has no ids and reads back as null; an empty one has none either; repeated rows are encoded each; a
-run of more than ``LONGEST`` characters without a space is encoded in pieces of that length. Other columns are ignored.
+Rows: a null text has no ids and reads back as null; an empty one has none either; repeated rows are encoded each.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +41,7 @@ LONGEST = 48
 UNKNOWN_PENALTY = 10.0
 BLOCK_BYTES = 16 << 20
 WORDS_PER_PART = 50000
+CHARS_PER_PART = 400000
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
 
@@ -61,31 +67,36 @@ def load(path: str = MODEL) -> tuple[list[tuple[int, str, float]], list[bytes],
 
 def split(text: str) -> list[str]:
     """The words of a text, with the markers in front of them."""
-    if not text:
-        return []
-    words = _WORD.findall(MARK + text.replace(" ", MARK))
-    if max(map(len, words)) > LONGEST:
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
-    """(word) to (word, ids), each distinct word once."""
-    spark = words.sparkSession
+def _key(word: str) -> str:
+    """The word, or a digest in its place if it is long; no word has a line break before another character."""
+    return word if len(word) <= LONGEST else "\n" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
+
+
+def _edges(places: DataFrame, keys: list[str], text: str, path: str) -> DataFrame:
+    """(keys, text, start) to (keys, edges): the pieces that begin at the starts of the text, joined to the piece table."""
     pieces, _, zero = load(path)
     longest = max(len(p) for _, p, _ in pieces)
     least = min(s for _, _, s in pieces) - UNKNOWN_PENALTY
-    table = F.broadcast(spark.createDataFrame([(p, i, s) for i, p, s in pieces], "piece string, piece_id int, score double"))  # the vocabulary, whatever the corpus
-    n = F.length("word")
-    # groups by word twice, so that words are dealt out once and their edges stay where they are
-    edges = words.groupBy("word").agg(F.count("*").alias("times")).select("word", F.explode(F.sequence(F.lit(1), n)).alias("start"))
-    edges = edges.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start") + 1))).alias("size"))
-    edges = edges.withColumn("piece", F.substring("word", F.col("start"), F.col("size"))).join(table, "piece", "left").where("piece_id is not null or size = 1")
+    table = F.broadcast(places.sparkSession.createDataFrame([(p, i, s) for i, p, s in pieces], "piece string, piece_id int, score double"))  # the vocabulary, whatever the corpus
+    columns = [*keys, "start"] if text in keys else [*keys, text, "start"]
+    edges = places.select(*columns, F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text) - F.col("start") + 1))).alias("size"))
+    edges = edges.withColumn("piece", F.substring(text, F.col("start"), F.col("size"))).join(table, "piece", "left").where("piece_id is not null or size = 1")
     raw = F.encode("piece", "UTF-8")
     bytes_of = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + zero)
     ids = F.when(F.col("piece_id").isNotNull(), F.array("piece_id")).otherwise(bytes_of)
     edge = F.struct((F.col("start") - 1 + F.col("size")).alias("end"), (F.col("start") - 1).alias("from"), F.coalesce("score", F.lit(least)).alias("score"), ids.alias("ids"))
-    lattice = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    return edges.groupBy(*keys).agg(F.collect_list(edge).alias("edges"))
+
+
+def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
+    """(word) of at most LONGEST characters to (word, ids), each distinct word once."""
+    n = F.length("word")
+    # groups by word twice, so that words are dealt out once and their edges stay where they are
+    places = words.groupBy("word").agg(F.count("*").alias("times")).select("word", F.explode(F.sequence(F.lit(1), n)).alias("start"))
+    lattice = _edges(places, ["word"], "word", path)
     origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.array().cast("array<int>").alias("ids")))
 
     def forward(best, end):  # noqa: ANN001, ANN202
@@ -104,6 +115,60 @@ def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
     return lattice.select("word", back["ids"].alias("ids"))
 
 
+def encode_long(words: DataFrame, tasks: int, path: str = MODEL) -> DataFrame:
+    """(word, long) to (word, ids) over ``tasks`` tasks: ``word`` is the key of the characters in ``long``. Each distinct key once."""
+    longest = max(len(p) for _, p, _ in load(path)[0])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, value in zip(batch.column("word").to_pylist(), batch.column("long"), strict=True):
+                text = value.as_py()
+                at = list(range(0, len(text), LONGEST))
+                lead = [min(a, longest - 1) for a in at]
+                bodies = [text[a - b : a + LONGEST] for a, b in zip(at, lead, strict=True)]
+                cells = [pa.array([key] * len(at), pa.string()), pa.array(range(len(at)), pa.int32()), pa.array(lead, pa.int32()), pa.array(bodies, pa.string())]
+                yield pa.RecordBatch.from_arrays(cells, ["word", "part", "lead", "body"])
+
+    rows = words.mapInArrow(parts, "word string, part int, lead int, body string").repartition(tasks, "word")
+    # a word lies in one task from here on, so neither its edges nor its parts are dealt out again
+    rows = rows.groupBy("word", "part").agg(F.first("lead").alias("lead"), F.first("body").alias("body"))
+    places = rows.select("word", "part", "lead", "body", F.explode(F.sequence(F.lit(1), F.length("body"))).alias("start"))
+    ends = _edges(places.withColumn("size_", F.length("body")), ["word", "part", "lead", "size_"], "body", path)
+    ends = ends.select("word", F.struct("part", "lead", F.col("size_").alias("size"), F.filter("edges", lambda e: e["end"] > F.col("lead")).alias("edges")).alias("p"))
+    lattice = ends.groupBy("word").agg(F.array_sort(F.collect_list("p")).alias("parts"))
+    none = F.array().cast("array<int>")
+    place = lambda score: F.struct(score.alias("score"), F.lit(0).alias("size"), none.alias("ids"))
+    # the bests of the last places, the word's start as the last of them
+    origin = F.array(F.concat(F.array_repeat(place(F.lit(float("-inf"))), longest - 1), F.array(place(F.lit(0.0)))))
+
+    def forward(done, p):  # noqa: ANN001, ANN202
+        """One part further: the last part's last bests, and the best edge into each place of this one."""
+
+        def step(best, end):  # noqa: ANN001, ANN202
+            into = F.filter(p["edges"], lambda e: e["end"] == end)
+            ways = F.transform(into, lambda e: F.struct((F.element_at(best, e["from"] - e["end"])["score"] + e["score"]).alias("score"), (e["end"] - e["from"]).alias("size"), e["ids"].alias("ids")))
+            return F.concat(best, F.array(F.array_max(ways)))
+
+        return F.concat(done, F.array(F.aggregate(F.sequence(p["lead"] + 1, p["size"]), F.slice(F.element_at(done, -1), -longest, longest), step)))
+
+    folded = lattice.select("word", F.aggregate("parts", origin, forward).alias("done"))
+    back_from = F.array(F.struct(F.lit(0).alias("skip"), F.array().cast("array<array<int>>").alias("taken")))
+
+    def back(done, bests):  # noqa: ANN001, ANN202
+        """One part back: ``skip`` places lie inside the edge taken last; the ids of the edges taken, last one first."""
+
+        def step(s, place):  # noqa: ANN001, ANN202
+            take = F.struct((place["size"] - 1).alias("skip"), F.concat(s["taken"], F.array(place["ids"])).alias("taken"))
+            return F.when(s["skip"] == 0, take).otherwise(F.struct((s["skip"] - 1).alias("skip"), s["taken"].alias("taken")))
+
+        start = F.struct(F.element_at(done, -1)["skip"].alias("skip"), F.array().cast("array<array<int>>").alias("taken"))
+        own = F.reverse(F.slice(bests, F.lit(longest + 1), F.size(bests) - longest))
+        return F.concat(done, F.array(F.aggregate(own, start, step)))
+
+    walked = F.aggregate(F.reverse(F.slice("done", F.lit(2), F.size("done") - 1)), back_from, back)
+    return folded.select("word", F.flatten(F.reverse(F.flatten(F.transform(walked, lambda s: s["taken"])))).alias("ids"))
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """(id, text) to blocks (block, raw): bounded runs of rows as they lie in the input."""
 
@@ -129,7 +194,7 @@ def _open(raw: bytes) -> pa.Table:
 
 
 def _rare_words(blocks: DataFrame, common) -> DataFrame:  # noqa: ANN001
-    """(block, word): each block's distinct words that are not in the common table."""
+    """(block, word, long): keys of each block's distinct words that are not in the common table, and the characters of long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value
@@ -139,10 +204,12 @@ def _rare_words(blocks: DataFrame, common) -> DataFrame:  # noqa: ANN001
                 for text in _open(raw).column("text"):
                     words.update(split(text.as_py() or ""))
                 rare = sorted(w for w in words if w not in known)
-                if rare:
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(rare)), pa.array(rare, pa.string())], ["block", "word"])
+                for first, last in K.slices(np.concatenate([[0], np.cumsum([len(w) for w in rare])]), BLOCK_BYTES) if rare else ():
+                    part = rare[first:last]
+                    cells = [pa.array([block] * len(part)), pa.array([_key(w) for w in part], pa.string()), pa.array([w if len(w) > LONGEST else None for w in part], pa.string())]
+                    yield pa.RecordBatch.from_arrays(cells, ["block", "word", "long"])
 
-    return blocks.mapInArrow(run, "block long, word string")
+    return blocks.mapInArrow(run, "block long, word string, long string")
 
 
 def _packed(ids: DataFrame) -> DataFrame:
@@ -167,8 +234,12 @@ def encode(docs: DataFrame, path: str = MODEL, sample_rows: int = 4000, common_w
     blocks = cut(_blocks(docs))
     rare = cut(_rare_words(blocks, common))
     # so many parts that the edges of a part's words are sorted in memory
-    dealt = rare.select("word").distinct().repartition(rare.count() // WORDS_PER_PART + 1, "word")
-    found = rare.join(_packed(encode_words(dealt, path)), "word").select("block", "word", "ids")
+    size = rare.agg(F.count("*").alias("words"), F.sum(F.length("long")).alias("chars")).first()
+    dealt = rare.where("long is null").select("word").distinct().repartition(size["words"] // WORDS_PER_PART + 1, "word")
+    ids = encode_words(dealt, path)
+    if size["chars"]:
+        ids = ids.union(encode_long(rare.where("long is not null").select("word", "long"), size["chars"] // CHARS_PER_PART + 1, path))
+    found = rare.select("block", "word").join(_packed(ids), "word").select("block", "word", "ids")
     _, raw, _ = load(path)
     schema = "id long, ids array<int>, round_trip boolean"
 
@@ -181,7 +252,7 @@ def encode(docs: DataFrame, path: str = MODEL, sample_rows: int = 4000, common_w
             ids += rows.column("id").to_pylist()
             for value in rows.column("text"):
                 text = value.as_py()
-                flat = b"".join([known[w] if w in known else table[w] for w in split(text or "")])
+                flat = b"".join([known[w] if w in known else table[_key(w)] for w in split(text or "")])
                 codes = np.frombuffer(flat, "<i4")
                 arrays.append(codes)
                 good.append(text is None or text.replace(MARK, " ") == decode_ids(codes.tolist(), raw))
@@ -200,7 +271,7 @@ def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         counts: Counter[str] = Counter()
         for text in batch.column("text"):
-            counts.update(split(text.as_py() or ""))
+            counts.update(w for w in split(text.as_py() or "") if len(w) <= LONGEST)
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 

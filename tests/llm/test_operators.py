@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import struct
 
 import numpy as np
@@ -180,6 +181,35 @@ def test_pieces_match_brute_force(spark):
     assert sentence_pieces.op9(df.where("false")).count() == 0
 
 
+def test_words_without_spaces_are_encoded_whole(spark):
+    """Against a Viterbi over the whole run of characters, so that a cut at any fixed place shows."""
+    pick = random.Random(5)
+    words = ["internationalization" * 40, "x" * 500, "".join(pick.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(2000)), "".join(pick.choice("日本語中文的是不了人我在有他这为之大来以个") for _ in range(700)), "m" * 49, "n" * 48, "ation" * 29]
+    rows = [(i, w) for i, w in enumerate(words)] + [(90, f"see {words[0]} and\n{words[2]}"), (91, words[0])]
+    got = {r.doc_id: r for r in sentence_pieces.op9(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pieces, _, zero = sentence_pieces.load()
+    table, least = {p: (i, s) for i, p, s in pieces}, min(s for _, _, s in pieces) - sentence_pieces.UNKNOWN_PENALTY
+    for i, text in rows:
+        ids = []
+        for word in re.findall("▁*[^▁\n]+|▁+|\n+", "▁" + text.replace(" ", "▁")):
+            best = [(0.0, 0, [])]
+            for end in range(1, len(word) + 1):
+                ways = []
+                for a in range(max(0, end - 20), end):
+                    piece = word[a:end]
+                    if piece in table:
+                        ways.append((best[a][0] + table[piece][1], -a, [table[piece][0]]))
+                    elif end - a == 1:
+                        ways.append((best[a][0] + least, -a, [b + zero for b in piece.encode()]))
+                best.append(max(ways))
+            at, taken = len(word), []
+            while at:
+                taken.append(best[at][2])
+                at = -best[at][1]
+            ids += [x for part in reversed(taken) for x in part]
+        assert list(got[i].ids) == ids and got[i].round_trip and got[i].n_tokens == len(ids), i
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 
