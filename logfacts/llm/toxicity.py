@@ -7,8 +7,8 @@ in front, so the penalty also covers terms that the labelled rows happen to lack
 then not carry weight by itself.
 
 Features are chosen and weights fitted on at most ``max_rows`` labelled texts, all toxic ones first as far as half of
-it, by the smallest hash of their id, and of each at most the first ``fit_chars`` characters. Scoring reads every text
-whole, and its cost grows with the text alone.
+it, by the smallest hash of their id. Each row of the sample weighs as many rows as its class has labelled rows for it,
+so scores mean the same whatever the input's size. Fitting and scoring read every text whole; the fit holds a slice of texts at a time.
 
 Rows: a null or empty text holds no feature and gets the score of the intercept; rows with a null label or text are not
 learned from; if nothing can be learned from, scores are 0. Several label rows of one id count as toxic if any does.
@@ -16,8 +16,9 @@ learned from; if nothing can be learned from, scores are 0. Several label rows o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logfacts.llm import kernels as K
+from logfacts.llm.shared import cut
 
 BITS = 20
+#: Texts that the fit holds at a time.
+SLICE_ROWS = 200
 #: How many first bytes of a word are features besides the word.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Identity terms of the training languages (fixed values).
@@ -117,23 +121,32 @@ def _matrix(texts: list[str], column_of: np.ndarray) -> tuple[np.ndarray, np.nda
     return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.empty(0, np.int32), np.empty(0, np.int32))
 
 
-def _frequencies(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _frequencies(slices: Iterator[list[str]], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By bucket, how many toxic and how many other texts hold it."""
-    df = np.zeros((2, 1 << BITS))
-    for at in range(0, len(texts), 200):
-        for a, b, text, bucket in held(pa.array(texts[at : at + 200], pa.large_string())):
+    df, at = np.zeros((2, 1 << BITS)), 0
+    for texts in slices:
+        for a, b, text, bucket in held(pa.array(texts, pa.large_string())):
             mark = y[at + a : at + b][text]
             df[1] += np.bincount(bucket, weights=mark, minlength=1 << BITS)
             df[0] += np.bincount(bucket, weights=1 - mark, minlength=1 << BITS)
+        at += len(texts)
     return df[1], df[0]
 
 
 def fit(texts: list[str], toxic: list[int], penalty: float = 1.0, l2: float = 0.2, steps: int = 400, most_features: int = 4096) -> Model | None:
-    """Adam on the full bounded sample; ``penalty`` weighs squared logit changes between texts and their counterfactuals."""
-    if not texts:
+    """A model from a list of texts that weigh the same."""
+    return fit_slices(lambda: (texts[i : i + SLICE_ROWS] for i in range(0, len(texts), SLICE_ROWS)), toxic, np.ones(len(texts)), penalty, l2, steps, most_features)
+
+
+def fit_slices(opened: Callable[[], Iterator[list[str]]], toxic: list[int], weight: np.ndarray, penalty: float = 1.0, l2: float = 0.2, steps: int = 400, most_features: int = 4096) -> Model | None:
+    """Adam on the full bounded sample; ``penalty`` weighs squared logit changes between texts and their counterfactuals.
+
+    ``opened`` gives the texts in the order of ``toxic`` and ``weight``, a slice at a time, and is called twice.
+    """
+    if not toxic:
         return None
     y = np.array(toxic, dtype=float)
-    df1, df0 = _frequencies(texts, y)
+    df1, df0 = _frequencies(opened(), y)
     n1, n0 = max(y.sum(), 1.0), max(len(y) - y.sum(), 1.0)
     rate = (df1 + df0) / len(y)
     strength = np.abs(df1 / n1 - df0 / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n1 + 1 / n0))
@@ -144,21 +157,25 @@ def fit(texts: list[str], toxic: list[int], penalty: float = 1.0, l2: float = 0.
     chosen = np.union1d(chosen, terms)
     column_of = np.full(1 << BITS, -1, dtype=np.int64)
     column_of[chosen] = np.arange(len(chosen))
-    r, c = _matrix(texts, column_of)
-    parts, of = [], []
-    for at in range(0, len(texts), 200):
-        other, mine = counterfactuals(texts[at : at + 200], IDENTITY_TERMS)
+    parts, others, of, at = [], [], [], 0
+    for texts in opened():
+        row, col = _matrix(texts, column_of)
+        parts.append((row + at, col))
+        other, mine = counterfactuals(texts, IDENTITY_TERMS)
         row, col = _matrix(other, column_of)
-        parts.append((row + len(of), col))
+        others.append((row + len(of), col))
         of += [at + i for i in mine]
-    r2, c2, of = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array(of)
-    w, b = np.zeros(len(chosen)), float(np.log(n1 / n0))
+        at += len(texts)
+    r, c, r2, c2 = (np.concatenate([x[i] for x in p]) for p in (parts, others) for i in (0, 1))
+    of, weight = np.array(of), weight / weight.mean()
+    share = weight[of] / weight[of].sum()
+    w, b = np.zeros(len(chosen)), float(np.log(max(weight @ y, 1.0) / max(weight @ (1 - y), 1.0)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
         logit = b + np.bincount(r, weights=w[c], minlength=len(y))
         change = np.bincount(r2, weights=w[c2], minlength=len(of)) - (logit - b)[of]
-        error = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y
-        pull = 2 * penalty * change / len(of)
+        error = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
+        pull = 2 * penalty * change * share
         base = error / len(y) - np.bincount(of, weights=pull, minlength=len(y))
         g = np.bincount(c, weights=base[r], minlength=len(w)) + np.bincount(c2, weights=pull[r2], minlength=len(w)) + l2 * w / len(y)
         g = np.append(g, error.mean())
@@ -170,15 +187,26 @@ def fit(texts: list[str], toxic: list[int], penalty: float = 1.0, l2: float = 0.
     return Model(weights, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, fit_chars: int = 20000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model | None:
     """(id, text) and (id, toxic) to a model."""
     marked = labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     marked = marked.select("id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("id", F.lit(2)).alias("h"))
     part = [marked.where(F.col("toxic") == t).orderBy("h").limit(max_rows // 2) for t in (0, 1)]
     picked = part[0].union(part[1])
-    sample = docs.where("text is not null").join(F.broadcast(picked), "id").select("h", "id", "toxic", F.substring("text", 1, fit_chars).alias("text")).limit(2 * max_rows).collect()
-    sample = sorted({(r["h"], r["id"], r["toxic"], r["text"]) for r in sample})
-    return fit([r[3] for r in sample], [r[2] for r in sample])
+    docs = docs.where("text is not null")
+    rows = docs.join(F.broadcast(picked), "id").select("h", "id", "toxic", "text").limit(2 * max_rows)
+    rows = cut(rows.distinct()).orderBy("h", "id", "toxic", "text")
+    toxic = [r["toxic"] for r in rows.select("toxic").collect()]
+    all_rows = {r["toxic"]: r["n"] for r in docs.select("id").join(marked, "id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    each = {t: all_rows[t] / toxic.count(t) for t in set(toxic)}
+    weight = np.array([each[t] for t in toxic])
+
+    def opened() -> Iterator[list[str]]:
+        texts = (r["text"] for r in rows.select("text").toLocalIterator())
+        while some := list(islice(texts, SLICE_ROWS)):
+            yield some
+
+    return fit_slices(opened, toxic, weight)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

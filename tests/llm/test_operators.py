@@ -6,6 +6,7 @@ import struct
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from logfacts.llm import chat, gif, language_id, mixing, sentence_pieces, topk, toxicity, warc
 
@@ -272,6 +273,21 @@ def test_toxicity_held_out_and_counterfactuals(spark):
     assert spread(model) < spread(free)
 
 
+def test_toxicity_sample_keeps_the_shares_and_reads_whole_texts(spark):
+    import pyarrow as pa
+
+    pick = random.Random(9)
+    texts = [" ".join(f"w{pick.randrange(300)}" for _ in range(20)) + (" vile" if pick.random() < (0.05 if i % 10 else 0.8) else "") for i in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "id long, toxic int")
+    empty = [toxicity.predict(toxicity.train(docs, labels, max_rows=n), pa.array([""], pa.string()))[0] for n in (200, 4000)]
+    logits = [np.log(p / (1 - p)) for p in empty]
+    assert abs(logits[0] - logits[1]) < 1  # 100 of each class, and 100 beside 900
+    long = docs.select("id", F.concat(F.repeat(F.lit("so "), 7000), "text").alias("text"))
+    p = toxicity.predict(toxicity.train(long, labels), pa.array(["so vile", "so so"], pa.string()))
+    assert p[0] > 0.3 > p[1]
+
+
 def test_classifier_queries_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, None), (2, "", "en"), (3, "123 !!", "en"), (4, "z" * 100000, "de")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (4, None), (9, 1)], "doc_id long, toxic int")
