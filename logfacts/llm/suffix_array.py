@@ -2,27 +2,34 @@
 
 Which bytes belong to a string of ``length`` bytes that also starts elsewhere? Four steps:
 
-1. Winnowing picks anchors, fingerprints of 32 bytes, so that any two equal strings of ``length`` bytes hold the same
-   ones. A start whose string's least anchor is unique cannot repeat; what is left is cut at anchors into chunks.
-2. Chunks with the same bytes, and the same bytes after them up to the reach of a comparison, become one, with a count.
-   So a text that thousands of documents copy is sorted once, with its count.
+1. Winnowing gives each start an anchor inside its string, the gram of 32 bytes with the least hash, and the fingerprint
+   of a wider stretch around it that also lies inside the string. Equal strings have the same one, so a start whose
+   fingerprint is unique cannot repeat. What is left is cut at anchors into chunks. This only leaves out what cannot
+   match; whether a start repeats is told by the suffix order alone.
+2. Chunks with the same bytes, the last start's string included, become one, with a count, so a text that thousands of
+   documents copy is sorted once. Chunks are put into blocks by their least anchor: those that share text meet in a
+   block, which sends each of its distinct keys once, whatever their number.
 3. The suffixes of the chunks are sorted by a difference cover modulo 3: the sampled positions (remainders 1 and 2) get
-   names by sorting triples of eight-byte words, and the names are sorted again by triples of names until a name
-   stands for at least ``length`` bytes. Each remaining suffix (remainder 0) is one or two bytes before a sampled one and
-   is merged with the sampled ones of either remainder by those bytes and that rank.
-4. Neighbours in the three sorted lists are compared over their first ``length`` bytes (64-bit fingerprints of them).
+   names by sorting triples of words, and longer names by sorting triples of names. These stand for all but the
+   last two to four bytes of a string (``Depth``).
+4. Each remaining suffix (remainder 0) is one or two bytes before a sampled one; it is merged with the sampled ones of
+   either remainder by those bytes, that rank and the bytes behind. Neighbours in the three merged lists are compared
+   over their first ``length`` bytes.
 
-Sorting is dealt out by ranges of the first eight bytes. A task sends each of its distinct keys once, whatever their
-number, so a string that fills a third of the input does not fill a task.
+Sorting is dealt out by ranges of the first 24 bytes, whose bounds Spark's range partitioning finds; 24 bytes a bucket
+are all that every task gets. Joins on fingerprints and chunks give a key of many rows to several tasks.
 
 Rows: a null id is left out; a null text is empty; repeated rows count as documents each, so they match each other;
-texts shorter than ``length`` keep all their bytes. Matches never cross documents. Other columns are ignored.
+texts shorter than ``length`` keep all their bytes. Matches never cross documents. Other columns are kept or ignored,
+whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logfacts.llm import kernels as K
-from logfacts.llm.shared import cut
+from logfacts.llm.shared import cut, drop, join_counted
 
 GRAM = 32
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
 LONGEST_CHUNK = 16384
-WORD = 8
+BOUND = 24
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Arrays travel compressed, equal bytes of neighbours next to each other."""
+    """Numbers travel compressed, equal bytes of neighbours next to each other."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes()) if len(x) else b""
 
@@ -53,33 +60,51 @@ def _unpack(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-# --- step 1: anchors ---------------------------------------------------------------------------------------------
+# --- step 1: fingerprints ----------------------------------------------------------------------------------------
 
 
-def _sliding(x: np.ndarray, window: int, best: np.ufunc, worst: int) -> np.ndarray:
-    """The best of each ``window`` neighbours, from running bests over blocks of that size in both directions."""
+def _sliding_least(x: np.ndarray, window: int) -> np.ndarray:
+    """The least of each ``window`` neighbours, from running leasts over blocks of that size in both directions."""
     rows = -(-len(x) // window)
-    full = np.full(rows * window, worst, np.uint64)
+    full = np.full(rows * window, 2**64 - 1, np.uint64)
     full[: len(x)] = x
     grid = full.reshape(rows, window)
-    ahead = best.accumulate(grid, axis=1).ravel()
-    back = best.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(back[: len(x) - window + 1], ahead[window - 1 : len(x)])
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: len(x) - window + 1], ahead[window - 1 : len(x)])
 
 
-def anchors(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and hashes of one text's anchors, the grams with the smallest hash in some run of ``window`` grams, and that hash for each run."""
+class Prints(NamedTuple):
+    """Runs of starts with the same anchor and fingerprint: their first starts, fingerprints and anchors' hashes; the number of starts."""
+
+    first: np.ndarray
+    key: np.ndarray
+    anchor: np.ndarray
+    starts: int
+
+
+def prints(data: np.ndarray, length: int) -> Prints:
+    """One text's fingerprints. Of anchors with the same hash the first counts, so equal strings agree on theirs.
+
+    An anchor at most ``wide`` places further into the string than the class says leaves the stretch inside the string.
+    """
+    window = length - GRAM + 1
     n = len(data) - GRAM + 1
     if n < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        none = np.empty(0, np.uint64)
+        return Prints(np.empty(0, np.int64), none, none, 0)
+    wide = -(-window // 4)
     total = K.prefix_hash(data + np.uint16(1))
     at = np.arange(n)
-    h = K.range_hash(total, at, at + GRAM)
-    least = _sliding(h, window, np.minimum, 2**64 - 1)
-    # no run that covers a gram has a larger least hash than the gram's own; one has the same if the gram is its least
-    rim = np.zeros(window - 1, np.uint64)
-    where = np.flatnonzero(_sliding(np.concatenate([rim, least, rim]), window, np.maximum, 0) == h)
-    return where, h[where], least
+    low = K.U64(0xFFFFFFFF)
+    least = _sliding_least((K.range_hash(total, at, at + GRAM) & ~low) | at.astype(np.uint64), window)
+    place = (least & low).astype(np.int64)
+    kind = (place - np.arange(len(place))) // wide
+    first = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]) | (kind[1:] != kind[:-1])) + 1])
+    place, kind = place[first], kind[first]
+    begin = place - kind * wide
+    key = K.range_hash(total, begin, begin + length - wide + 1) ^ K.mix(kind.astype(np.uint64))
+    return Prints(first, key, least[first] >> K.U64(32), len(least))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -88,8 +113,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield i, data[starts[i] : starts[i + 1]]
 
 
-def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(id, mark, hash, n): each document's distinct anchors with their counts."""
+def _print_rows(docs: DataFrame, length: int) -> DataFrame:
+    """(id, mark, hash, n): each document's distinct fingerprints with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -99,7 +124,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
             rows, held = [], 0
             for i, data in _texts(batch):
-                h, n = np.unique(anchors(data, length - GRAM + 1)[1].view(np.int64), return_counts=True)
+                h, n = np.unique(prints(data, length).key.view(np.int64), return_counts=True)
                 if len(h):
                     rows.append((np.full(len(h), ids[i]), np.full(len(h), marks[i]), h, n.astype(np.int64)))
                     held += len(h)
@@ -112,113 +137,47 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, mark long, hash long, n long")
 
 
-# --- step 2: chunks ----------------------------------------------------------------------------------------------
+# --- step 2: chunks and blocks -----------------------------------------------------------------------------------
 
 
 def _chunk_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(id, mark, text, anchors) to (id, mark, at, starts, key, body, leasts, again): ``starts`` starts from ``at`` on.
-
-    ``leasts`` are the least anchors of the starts, ``again`` tells whether one of them occurs twice in the body.
-    """
+    """(id, mark, text, shared) to (id, mark, at, starts, near, key, body): ``starts`` starts from ``at`` on; ``near`` is the least anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "mark", "at", "starts", "key", "body", "leasts", "again"]
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.bool_())
+        names = ["id", "mark", "at", "starts", "near", "key", "body"]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
-            ids, marks, lists = batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("anchors")
+            ids, marks, lists = batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("shared")
             rows, held = [], 0
             for i, data in _texts(batch):
-                if len(data) >= length:
-                    for a, b, leasts, again in _spans(data, lists[i].values.to_numpy(), length):
-                        body = data[a : b + length - 1].tobytes()
-                        rows.append((ids[i], marks[i], a, b - a, hashlib.blake2b(body, digest_size=16).digest(), body, leasts, again))
-                        held += len(body)
+                for a, b, near in _spans(prints(data, length), lists[i].values.to_numpy()):
+                    body = data[a : b + length - 1].tobytes()
+                    rows.append((ids[i], marks[i], a, b - a, near, hashlib.blake2b(body, digest_size=16).digest(), body))
+                    held += len(body)
                 if held >= 4 << 20 or i + 1 == batch.num_rows:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                     rows, held = [], 0
 
-    return docs.mapInArrow(run, "id long, mark long, at int, starts int, key binary, body binary, leasts array<long>, again boolean")
+    return docs.mapInArrow(run, "id long, mark long, at int, starts int, near long, key binary, body binary")
 
 
-def _spans(data: np.ndarray, repeated: np.ndarray, length: int) -> Iterator[tuple[int, int, list[int], bool]]:
-    """First and last start (last not included) of each chunk of the starts that may repeat, with its least anchors.
+def _spans(found: Prints, shared: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """First and last start (last not included) and least anchor of each chunk of the starts that may repeat.
 
-    Chunks end where the least anchor changes to one of a sixteenth of all hashes, so equal passages are cut alike.
+    Chunks end where the anchor changes to one of a sixteenth of all hashes, so equal passages are cut alike.
     """
-    at, h, least = anchors(data, length - GRAM + 1)
-    free = np.concatenate([[False], np.isin(least.view(np.int64), repeated), [False]])
-    edge = np.flatnonzero(free[1:] != free[:-1])
-    cuts = np.flatnonzero((least[1:] != least[:-1]) & (((least[1:] >> K.U64(20)) & K.U64(15)) == 0)) + 1
-    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-        inner = cuts[(cuts > a) & (cuts < b)].tolist()
-        for c, d in zip([a, *inner], [*inner, b], strict=True):
-            for e in range(c, d, LONGEST_CHUNK):
-                end = min(e + LONGEST_CHUNK, d)
-                leasts = np.unique(least[e:end])
-                inside = h[(at >= e) & (at <= end - 1 + length - GRAM)]
-                inside = inside[np.isin(inside, leasts)]
-                yield e, end, leasts.view(np.int64).tolist(), len(np.unique(inside)) < len(inside)
-
-
-# --- step 3: blocks of chunks, names and ranks -------------------------------------------------------------------
-
-
-class Block:
-    """Chunk bodies one after another, a gap of zeros after each; every array has a place for each byte."""
-
-    def __init__(self, raw: bytes, sizes: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int):
-        gap = 3 * WORD
-        body = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-        self.first = np.concatenate([[0], np.cumsum(sizes + gap)])[:-1].astype(np.int64)
-        self.starts, self.length, self.sizes, self.counts = starts, length, sizes, counts
-        total = int((sizes + gap).sum())
-        self.code = np.zeros(total, np.uint8)  # UTF-8 has no byte above 244
-        inside = np.zeros(total, bool)
-        for f, s in zip(self.first.tolist(), sizes.tolist(), strict=True):
-            inside[f : f + s] = True
-        self.code[inside] = body + np.uint8(1)
-        chunk = np.repeat(np.arange(len(sizes)), sizes + gap)
-        self.end = (self.first + sizes)[chunk].astype(np.int32)
-        self.offset = (np.arange(total) - self.first[chunk]).astype(np.int32)
-        self.inside = inside
-        self.sample = np.flatnonzero(inside & (self.offset % 3 != 0))
-        self.chunk = chunk
-
-    def words(self, at: np.ndarray) -> np.ndarray:
-        """The eight codes at each place as one number; zeros after the end of the chunk."""
-        out, end = np.zeros(len(at), np.uint64), self.end[at]
-        for i in range(WORD):
-            place = at + i
-            out = (out << K.U64(8)) | np.where(place < end, self.code[np.minimum(place, len(self.code) - 1)], 0).astype(np.uint64)
-        return out
-
-    def triples(self, names: np.ndarray | None, step: int) -> np.ndarray:
-        """For each sampled place the key of three words (level 1) or three names."""
-        out = np.zeros((len(self.sample), 3), np.uint64)
-        for i in range(3):
-            place = self.sample + i * step
-            ok = place < self.end[self.sample]
-            out[ok, i] = self.words(place[ok]) if names is None else names[place[ok]]
-        return out
-
-
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in order, and which of them each row is."""
-    order = np.lexsort(keys.T[::-1])
-    ranked = keys[order]
-    new = np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(axis=1)]) if len(keys) else np.empty(0, bool)
-    inverse = np.empty(len(keys), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return ranked[new], inverse
-
-
-def _buckets(first: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    return np.searchsorted(splitters, first, side="right")
-
-
-def _load(row: dict, length: int) -> Block:
-    return Block(row["raw"], np.array(row["sizes"], np.int64), np.array(row["starts"], np.int64), np.array(row["counts"], np.int64), length)
+    free = np.isin(found.key.view(np.int64), shared)
+    if not free.any():
+        return
+    fresh = np.concatenate([[True], (found.anchor[1:] != found.anchor[:-1]) & ((found.anchor[1:] & K.U64(15)) == 0)])
+    opens = np.flatnonzero(free & (fresh | ~np.concatenate([[False], free[:-1]])))
+    closes = np.flatnonzero(free & np.concatenate([fresh[1:] | ~free[1:], [True]])) + 1
+    nearest = np.minimum.reduceat(found.anchor, np.stack([opens, closes], axis=1).ravel()[: 2 * len(opens) - (closes[-1] == len(free))])[0::2]
+    edges = np.append(found.first, found.starts)
+    for a, b, near in zip(edges[opens].tolist(), edges[closes].tolist(), nearest.tolist(), strict=True):
+        for c in range(a, b, LONGEST_CHUNK):
+            yield c, min(c + LONGEST_CHUNK, b), near
 
 
 def _blocks(chunks: DataFrame) -> DataFrame:
@@ -232,7 +191,7 @@ def _blocks(chunks: DataFrame) -> DataFrame:
 
         def full() -> pa.RecordBatch:
             keys, bodies, starts, counts = zip(*rows, strict=True)
-            raw = zstandard.ZstdCompressor(level=1).compress(b"".join(bodies))
+            raw = zstandard.ZstdCompressor(level=3).compress(b"".join(bodies))
             lists = [[len(b) for b in bodies], list(starts), list(counts)]
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([b"".join(keys)], pa.binary()), pa.array([raw], pa.binary()), *(pa.array([x], pa.list_(pa.int32())) for x in lists)], names)
 
@@ -249,193 +208,285 @@ def _blocks(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, "block long, keys binary, raw binary, sizes array<int>, starts array<int>, counts array<int>")
 
 
-def _ask(blocks: DataFrame, splitters: np.ndarray, length: int, step: int) -> DataFrame:
-    """Each block's distinct keys of one level, by bucket. ``named`` holds the names of the level before (empty at first)."""
+# --- step 3: names -----------------------------------------------------------------------------------------------
+
+
+class Depth:
+    """How far names reach: ``whole`` bytes, a multiple of three, by ``three`` names of ``word`` bytes at multiples of three; ``rest`` bytes are left."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.whole = (length - 2) // 3 * 3
+        self.rest = length - self.whole
+        self.word = -(-self.whole // 9) * 3
+        self.three = (0, (self.whole - self.word) // 6 * 3, self.whole - self.word)
+
+
+class Block:
+    """Chunk bodies one after another. Its keys of each level are local numbers, in the order of what they stand for."""
+
+    BITS = 21
+
+    def __init__(self, row: dict, depth: Depth):
+        self.depth = depth
+        self.body = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["raw"]), np.uint8)
+        self.sizes, self.starts, self.counts = (np.array(row[c], np.int64) for c in ("sizes", "starts", "counts"))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.chunk = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.offset = (np.arange(len(self.body)) - self.first[self.chunk]).astype(np.int32)
+        self.kind = (self.offset % 3).astype(np.uint8)
+        self.long_at = np.flatnonzero((self.kind > 0) & (self.offset < self.starts[self.chunk] + 2))
+
+    @cached_property
+    def _level_1(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct triples of words in order, and the number of each place's own."""
+        d = self.depth
+        want = np.zeros(len(self.body), bool)
+        for step in d.three:
+            want[self.long_at + step] = True
+        at = np.flatnonzero(want)
+        total = K.prefix_hash(self.body + np.uint16(1))
+        _, some, which = np.unique(K.range_hash(total, at, at + d.word), return_index=True, return_inverse=True)
+        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.body, d.word)[at[some]]).view(f"S{d.word}").ravel() if len(at) else np.empty(0, f"S{d.word}")
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        number = np.zeros(len(self.body), np.int64)
+        number[at] = rank[which]
+        return keys[order], number
+
+    @property
+    def words(self) -> np.ndarray:
+        return self._level_1[0]
+
+    @cached_property
+    def _level_2(self) -> tuple[np.ndarray, np.ndarray]:
+        number = self._level_1[1]
+        a, b, c = (number[self.long_at + step] for step in self.depth.three)
+        packed, which = np.unique(a << 2 * self.BITS | b << self.BITS | c, return_inverse=True)
+        full = np.zeros(len(self.body), np.int64)
+        full[self.long_at] = which
+        return packed, full
+
+    @property
+    def triples(self) -> tuple[np.ndarray, ...]:
+        """The distinct triples of names in order, as three columns of numbers of level 1."""
+        packed, low = self._level_2[0], (1 << self.BITS) - 1
+        return packed >> 2 * self.BITS, packed >> self.BITS & low, packed & low
+
+    @cached_property
+    def own(self) -> np.ndarray:
+        return np.flatnonzero(self.offset < self.starts[self.chunk])
+
+    def strings(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One merged list's distinct strings in order (bytes before and behind as one number, number of level 2, first place, count) and each start's own: -1 for starts not in the list."""
+        d, at = self.depth, self.own
+        pick = np.flatnonzero(np.isin(self.kind[at], LISTS[number]))
+        p = at[pick]
+        front, back = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        for j in range(number):
+            front = front << 8 | self.body[p + j]
+        for j in range(number + d.whole, d.length):
+            back = back << 8 | self.body[p + j]
+        behind = 8 * (d.rest - number)
+        packed, some, which = np.unique(front << self.BITS + behind | self._level_2[1][p + number] << behind | back, return_index=True, return_inverse=True)
+        count = np.minimum(np.bincount(which, weights=self.counts[self.chunk[p]], minlength=len(packed)), 2).astype(np.uint8)
+        mine = np.full(len(at), -1, np.int64)
+        mine[pick] = which
+        low = (1 << behind) - 1
+        return (packed >> self.BITS + behind << behind) | (packed & low), packed >> behind & ((1 << self.BITS) - 1), p[some], count, mine
+
+    def bucket(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.body, BOUND)[at]).view(f"S{BOUND}").ravel() if len(at) else np.empty(0, f"S{BOUND}")
+        return np.searchsorted(bounds, heads, side="right")
+
+
+#: The merged lists: each holds two remainders, and ranks suffixes as many bytes on as its number says.
+LISTS = ((1, 2), (0, 1), (0, 2))
+ASKED = "level long, bucket long, block long, a binary, b binary, c binary"
+
+
+def _cells(level: int, bucket: int, block: int, a: bytes, b: bytes = b"", c: bytes = b"") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (level, bucket, block)), *(pa.array([x], pa.binary()) for x in (a, b, c))], ["level", "bucket", "block", "a", "b", "c"])
+
+
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Buckets in ascending order to (bucket, its places)."""
+    edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(bucket[x]), slice(x, y)
+
+
+def _ask_words(blocks: DataFrame, bounds: np.ndarray, length: int) -> DataFrame:
+    """Each block's distinct triples of words, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
-                block = _load(row, length)
-                keys, _ = _distinct(block.triples(_names(block, row["named"]), step))
-                bucket = _bucket_of(keys, splitters, row["named"] is None)
-                at = np.searchsorted(bucket, np.arange(len(splitters) + 2))
-                for b in np.unique(bucket).tolist():
-                    part = keys[at[b] : at[b + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([row["block"]], pa.int64()), *(pa.array([_pack(part[:, i])], pa.binary()) for i in range(3))], ["bucket", "block", "k0", "k1", "k2"])
+                keys = Block(row, Depth(length)).words
+                for b, s in _slices(np.searchsorted(bounds, keys.astype(f"S{BOUND}"), side="right")):
+                    yield _cells(1, b, row["block"], squeeze.compress(keys[s].tobytes()))
 
-    return blocks.mapInArrow(run, "bucket long, block long, k0 binary, k1 binary, k2 binary")
+    return blocks.mapInArrow(run, ASKED)
 
 
-def _bucket_of(keys: np.ndarray, splitters: np.ndarray, first_level: bool) -> np.ndarray:
-    return _buckets(keys[:, 0], splitters) if first_level else (keys[:, 0] >> K.U64(32)).astype(np.int64)
+def _name_words(table: pa.Table, word: int) -> pa.Table:
+    parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), f"S{word}") for raw in table.column("a").to_pylist()]
+    keys = np.concatenate(parts)
+    return _named(table, np.argsort(keys, kind="stable"), lambda order: keys[order[1:]] != keys[order[:-1]], [len(p) for p in parts])
 
 
-def _names(block: Block, named: bytes | None) -> np.ndarray | None:
-    if named is None:
-        return None
-    out = np.zeros(len(block.code), np.uint64)
-    out[block.sample] = _unpack(named, np.uint64)
-    return out
+def _name_triples(table: pa.Table) -> pa.Table:
+    columns = [[_unpack(raw, np.uint64) for raw in table.column(c).to_pylist()] for c in ("a", "b", "c")]
+    a, b, c = (np.concatenate(x) for x in columns)
+    return _named(table, np.lexsort((c, b, a)), lambda order: (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]) | (c[order[1:]] != c[order[:-1]]), [len(x) for x in columns[0]])
 
 
-def _give_names(table: pa.Table) -> pa.Table:
-    """One bucket's keys from all blocks: equal keys get equal names, in the order of the keys."""
-    rows = table.to_pylist()
-    parts = [np.stack([_unpack(r[k], np.uint64) for k in ("k0", "k1", "k2")], axis=1) for r in rows]
-    _, inverse = _distinct(np.concatenate(parts))
-    names = (np.uint64(rows[0]["bucket"]) << K.U64(32)) + inverse.astype(np.uint64) + K.U64(1)
-    ends = np.cumsum([len(p) for p in parts])[:-1]
-    return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "names": pa.array([_pack(n) for n in np.split(names, ends)], pa.binary())})
+def _named(table: pa.Table, order: np.ndarray, differs, sizes: list[int]) -> pa.Table:  # noqa: ANN001
+    """Equal keys of a bucket get equal names, in the order of the keys; the names of each block's keys as steps from one to the next."""
+    bucket = table.column("bucket")[0].as_py()
+    names = np.empty(len(order), np.int64)
+    names[order] = np.cumsum(np.concatenate([[True], differs(order)])) + (bucket << 32)
+    steps = [_pack(np.diff(x, prepend=0)) for x in np.split(names, np.cumsum(sizes)[:-1])]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "names": pa.array(steps, pa.binary())})
 
 
-STATE = "block long, keys binary, raw binary, sizes array<int>, starts array<int>, counts array<int>, named binary"
+NAMED = "block long, bucket long, names binary"
 
 
-def _level(blocks: DataFrame, splitters: np.ndarray, length: int, step: int) -> DataFrame:
-    """Blocks with the names of the next level."""
-    given = _ask(blocks, splitters, length, step).groupBy("bucket").applyInArrow(_give_names, "block long, bucket long, names binary")
+def _given(table: pa.Table) -> np.ndarray:
+    """A block's names in the order of its keys, from the buckets' answers."""
+    parts = sorted(zip(table.column("bucket").to_pylist(), table.column("names").to_pylist(), strict=True))
+    return np.concatenate([np.cumsum(_unpack(raw, np.int64)) for _, raw in parts]).astype(np.uint64)
 
-    def take(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        block = _load(row, length)
-        _, inverse = _distinct(block.triples(_names(block, row["named"]), step))
-        parts = sorted(zip(right["bucket"].to_pylist(), right["names"].to_pylist(), strict=True))
-        fresh = np.concatenate([_unpack(n, np.uint64) for _, n in parts] or [np.empty(0, np.uint64)])
-        return left.drop_columns(["named"]).append_column("named", pa.array([_pack(fresh[inverse])], pa.binary()))
 
-    return cut(blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(take, STATE))
+def _ask_triples(blocks: DataFrame, named: DataFrame, length: int) -> DataFrame:
+    """Each block's distinct triples of names; a triple's bucket is that of its first name."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            names = _given(right)
+            a, b, c = (names[x] for x in Block(row, Depth(length)).triples)
+            out += [_cells(2, k, row["block"], *(_pack(x[s]) for x in (a, b, c))) for k, s in _slices((a >> K.U64(32)).astype(np.int64))]
+        return pa.Table.from_batches(out)
 
-# --- step 4: neighbours ------------------------------------------------------------------------------------------
+    return blocks.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(run, ASKED)
 
-LISTS = ((1, 2), (0, 1), (0, 2))
 
+# --- step 4: merged lists ----------------------------------------------------------------------------------------
 
-def _entries(block: Block, ranks: np.ndarray, splitters: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each list and bucket: bytes in front, rank, fingerprint and count of the block's distinct strings there, and the places of each."""
-    length = block.length
-    own = block.inside & (block.offset < block.starts[block.chunk])
-    at = np.flatnonzero(own)
-    if not len(at):
-        return
-    total = K.prefix_hash(block.code.astype(np.uint16))
-    prints = K.range_hash(total, at, at + length)
-    count = block.counts[block.chunk[at]]
-    kind = block.offset[at] % 3
-    code, last = block.code.astype(np.uint32), len(block.code) - 1
-    bucket = _buckets(block.words(at), splitters)
-    for number, kinds in enumerate(LISTS):
-        pick = np.flatnonzero((kind == kinds[0]) | (kind == kinds[1]))
-        p = at[pick]
-        ahead = number  # list 0 ranks the suffix itself, 1 and 2 the one so many bytes on
-        front = np.zeros(len(p), np.uint32)
-        for j in range(ahead):
-            front = front * np.uint32(257) + code[np.minimum(p + j, last)]
-        place = p + ahead
-        rank = np.where(place < block.end[p], ranks[np.minimum(place, last)], 0)
-        keys, inverse = _distinct(np.stack([bucket[pick].astype(np.uint64), front.astype(np.uint64), rank, prints[pick]], axis=1))
-        counts = np.minimum(2, np.bincount(inverse, weights=count[pick], minlength=len(keys))).astype(np.uint8)
-        edges = np.searchsorted(keys[:, 0], np.arange(len(splitters) + 2))
-        for b in np.unique(keys[:, 0]).astype(np.int64).tolist():
-            s = slice(edges[b], edges[b + 1])
-            yield number, b, keys[s, 1].astype(np.uint32), keys[s, 2], keys[s, 3], counts[s], (pick, inverse, edges[b], edges[b + 1])
-
-
-def _ask_neighbours(blocks: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = _load(row, length)
-                for number, b, front, rank, prints, counts, _ in _entries(block, _names(block, row["named"]), splitters):
-                    cells = [pa.array([v], pa.int64()) for v in (number, b, row["block"])] + [pa.array([_pack(x)], pa.binary()) for x in (front, rank, prints, counts)]
-                    yield pa.RecordBatch.from_arrays(cells, ["list", "bucket", "block", "front", "rank", "prints", "counts"])
 
-    return blocks.mapInArrow(run, "list long, bucket long, block long, front binary, rank binary, prints binary, counts binary")
+def _by_bucket(block: Block, number: int, bounds: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+    """A list's strings (around, rank, count) dealt to buckets: these, their buckets, their order, and each start's own."""
+    around, long, first, count, mine = block.strings(number)
+    bucket = block.bucket(first, bounds)
+    order = np.argsort(bucket, kind="stable")
+    return (around[order], long[order], count[order]), bucket[order], order, mine
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """One list's bucket in suffix order: a string repeats if a neighbour has the same first bytes, or if it has a count above 1."""
-    rows = table.to_pylist()
-    columns = [[_unpack(r[k], t) for r in rows] for k, t in (("front", np.uint32), ("rank", np.uint64), ("prints", np.uint64), ("counts", np.uint8))]
-    front, rank, prints, counts = (np.concatenate(c) for c in columns)
-    order = np.lexsort((prints, rank, front))
-    same = prints[order][1:] == prints[order][:-1]
+def _ask_order(blocks: DataFrame, named: DataFrame, bounds: np.ndarray, length: int) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            names, block = _given(right), Block(row, Depth(length))
+            for number in range(3):
+                (around, long, count), bucket, _, _ = _by_bucket(block, number, bounds)
+                out += [_cells(number, k, row["block"], _pack(around[s].astype(np.uint32)), _pack(names[long[s]]), _pack(count[s])) for k, s in _slices(bucket)]
+        return pa.Table.from_batches(out)
+
+    return blocks.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(run, ASKED)
+
+
+def _compare(table: pa.Table, rest: int) -> pa.Table:
+    """One list's bucket in suffix order: a string repeats if a neighbour's first bytes are the same, or if it has a count above 1."""
+    columns = [[_unpack(raw, t) for raw in table.column(c).to_pylist()] for c, t in (("a", np.uint32), ("b", np.uint64), ("c", np.uint8))]
+    around, rank, counts = (np.concatenate(x) for x in columns)
+    behind = np.uint32(8 * (rest - table.column("level")[0].as_py()))
+    front = (around.astype(np.uint64) >> behind).astype(np.uint32)
+    order = np.lexsort((around, rank, front))
+    same = (rank[order[1:]] == rank[order[:-1]]) & (around[order[1:]] == around[order[:-1]])
     hit = counts[order] > 1
     hit[1:] |= same
     hit[:-1] |= same
     repeats = np.empty(len(hit), bool)
     repeats[order] = hit
-    ends = np.cumsum([len(x) for x in columns[0]])[:-1]
-    flags = [np.packbits(x).tobytes() for x in np.split(repeats, ends)]
-    return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "list": pa.array([r["list"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "flags": pa.array(flags, pa.binary())})
+    flags = [np.packbits(x).tobytes() for x in np.split(repeats, np.cumsum([len(x) for x in columns[0]])[:-1])]
+    return pa.table({"block": table.column("block"), "level": table.column("level"), "bucket": table.column("bucket"), "flags": pa.array(flags, pa.binary())})
 
 
-def _repeated_starts(blocks: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
+def _repeated_starts(blocks: DataFrame, told: DataFrame, bounds: np.ndarray, length: int) -> DataFrame:
     """(key, runs) of every chunk with repeated starts: [first, last) in the chunk."""
-    told = _ask_neighbours(blocks, splitters, length).groupBy("list", "bucket").applyInArrow(_compare, "block long, list long, bucket long, flags binary")
 
-    def take(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, runs = [], []
+        flags_of = {(r["level"], r["bucket"]): r["flags"] for r in right.to_pylist()}
         for row in left.to_pylist():
-            block = _load(row, length)
-            told = {(r["list"], r["bucket"]): r["flags"] for r in right.to_pylist()}
-            own = np.flatnonzero(block.inside & (block.offset < block.starts[block.chunk]))
-            repeats = np.zeros(len(own), bool)
-            for number, b, front, _, _, _, (pick, inverse, a, z) in _entries(block, _names(block, row["named"]), splitters):
-                flags = np.unpackbits(np.frombuffer(told[number, b], np.uint8), count=len(front)).astype(bool)
-                mine = (inverse >= a) & (inverse < z)
-                repeats[pick[mine]] |= flags[inverse[mine] - a]
-            mark = np.zeros(len(block.code) + 1, np.int8)
-            mark[own[repeats]] = 1
+            block = Block(row, Depth(length))
+            repeats = np.zeros(len(block.own), bool)
+            for number in range(3):
+                _, bucket, order, mine = _by_bucket(block, number, bounds)
+                flags = np.zeros(len(order), bool)
+                for k, s in _slices(bucket):
+                    flags[order[s]] = np.unpackbits(np.frombuffer(flags_of[number, k], np.uint8), count=s.stop - s.start).astype(bool)
+                inside = mine >= 0
+                repeats[inside] |= flags[mine[inside]]
+            mark = np.zeros(len(block.body) + 1, np.int8)  # starts of two chunks never touch: a chunk ends in length - 1 bytes without starts
+            mark[block.own[repeats]] = 1
             edge = np.flatnonzero(np.diff(np.concatenate([[0], mark])))
             firsts, lasts = edge[0::2], edge[1::2]
             chunk = block.chunk[firsts]
-            for c in np.unique(chunk).tolist():
-                mine = chunk == c
+            pairs = np.stack([firsts, lasts], axis=1) - block.first[chunk][:, None]
+            for c, s in _slices(chunk):
                 keys.append(row["keys"][16 * c : 16 * c + 16])
-                runs.append(np.stack([firsts[mine], lasts[mine]], axis=1).ravel() - block.first[c])
-        return pa.table({"key": pa.array(keys, pa.binary()), "runs": pa.array([r.tolist() for r in runs], pa.list_(pa.int32()))})
+                runs.append(pairs[s].ravel().tolist())
+        return pa.table({"key": pa.array(keys, pa.binary()), "runs": pa.array(runs, pa.list_(pa.int32()))})
 
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(take, "key binary, runs array<int>")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "key binary, runs array<int>")
 
 
-def _splitters(chunks: DataFrame, total: int) -> np.ndarray:
-    """Bounds of ranges of the first eight bytes, from those at the start of at most 20,000 chunks and of their halves."""
-    n = max(1, total // BUCKET_BYTES)
-    rows = chunks.select("key", "body").orderBy("key").limit(min(20000, 40 * n)).select(*(F.expr(f"substring(body, cast(length(body) * {i} / 8 as int) + 1, 8)").alias(f"w{i}") for i in range(7))).collect()
-    words = sorted(int.from_bytes(bytes(min(255, b + 1) for b in bytes(w)).ljust(WORD, b"\0"), "big") for r in rows for w in r)
-    return np.unique(np.array([words[i * len(words) // n] for i in range(1, n)] if words else [], np.uint64))
+def _bounds(chunks: DataFrame, total: int) -> np.ndarray:
+    """Bounds of ranges of the first bytes, a range for BUCKET_BYTES of chunks: those of Spark's range partitioning of every 2,048th place."""
+    n = total // BUCKET_BYTES + 1
+    places = F.sequence(F.pmod(F.xxhash64("key"), F.lit(2048)).cast("int"), F.length("body") + 2047, F.lit(2048))
+    heads = chunks.select(F.explode(F.transform(places, lambda i: F.substring("body", F.least(i, F.length("body") - BOUND) + 1, BOUND))).alias("head"))
+    rows = heads.repartitionByRange(n, "head").groupBy(F.spark_partition_id().alias("part")).agg(F.min("head").alias("head")).collect()  # one row a bucket
+    return np.array(sorted(bytes(r["head"]) for r in rows)[1:], f"S{BOUND}")
 
 
 def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
     """(id, mark, text) to (id, mark, runs): [first, last) of every run of starts of repeated strings, for texts that have any."""
-    picked = _anchor_rows(docs, length)
-    common = picked.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
-    lists = picked.select("id", "mark", "hash").join(common, "hash").groupBy("id", "mark").agg(F.collect_set("hash").alias("anchors"))
+    if length < 2 * GRAM:
+        raise ValueError(f"length must be at least {2 * GRAM}")
+    picked = cut(_print_rows(docs, length))
+    common = cut(picked.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1").select("hash", "rows"))
+    lists = cut(join_counted(picked, common, "hash", "rows", ["id", "mark"]).groupBy("id", "mark").agg(F.collect_set("hash").alias("shared")))
+    drop(picked, common)
     chunks = cut(_chunk_rows(docs.join(lists, ["id", "mark"]), length))
-    first = [F.first(c).alias(c) for c in ("body", "starts", "leasts", "again")]
+    drop(lists)
+    first = [F.first(c).alias(c) for c in ("body", "starts", "near")]
     folded = cut(chunks.groupBy("key").agg(*first, F.count("*").alias("count")))
-    # a chunk that came once, none of whose least anchors another chunk or the chunk itself has again, holds no repeat
-    least = folded.select("key", F.explode("leasts").alias("least"))
-    shared = least.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least")
-    able = least.join(shared, "least").select("key").union(folded.where("again or count > 1").select("key")).distinct()
-    folded = cut(folded.join(able, "key", "left_semi").select("key", "body", "starts", "count"))
     total = folded.agg(F.sum(F.length("body"))).first()[0] or 0
-    splitters = _splitters(folded, total)
-    spread = max(1, min(int(total // BLOCK_BYTES) + 1, 100000))
-    state = cut(_blocks(folded.repartition(spread, "key")).withColumn("named", F.lit(None).cast("binary")))
-    step = WORD
-    while True:
-        state = _level(state, splitters, length, step)
-        step *= 3
-        if step >= length:
-            break
-    runs = _repeated_starts(state, splitters, length)
-    found = chunks.select("id", "mark", "at", "key").join(runs, "key").select("id", "mark", F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
-    return found.distinct().groupBy("id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-
-
-def _removed(size: int, runs: np.ndarray, length: int) -> np.ndarray:
+    bounds = _bounds(folded, total)
+    blocks = cut(_blocks(folded.repartitionByRange(total // BLOCK_BYTES + 1, "near", "key").sortWithinPartitions("near", "key")))
+    word, rest = Depth(length).word, Depth(length).rest
+    named = cut(_ask_words(blocks, bounds, length).groupBy("bucket").applyInArrow(lambda t: _name_words(t, word), NAMED))
+    longer = cut(_ask_triples(blocks, named, length).groupBy("bucket").applyInArrow(_name_triples, NAMED))
+    drop(named)
+    told = cut(_ask_order(blocks, longer, bounds, length).groupBy("level", "bucket").applyInArrow(lambda t: _compare(t, rest), "block long, level long, bucket long, flags binary"))
+    drop(longer)
+    runs = cut(_repeated_starts(blocks, told, bounds, length).join(folded.select("key", "count"), "key"))
+    drop(blocks, told, folded)
+    found = join_counted(chunks.select("id", "mark", "at", "key"), runs, "key", "count", ["id", "mark", "at"])
+    found = found.select("id", "mark", F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
+    out = cut(found.distinct().groupBy("id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    drop(chunks, runs)
+    return out
+
+
+def removed(size: int, runs: np.ndarray, length: int) -> np.ndarray:
+    """Which of a text's bytes the runs of repeated starts cover."""
     gone = np.zeros(size + 1, np.int32)
     np.add.at(gone, runs[0::2], 1)
     np.add.at(gone, runs[1::2] + length - 1, -1)
@@ -443,13 +494,12 @@ def _removed(size: int, runs: np.ndarray, length: int) -> np.ndarray:
 
 
 def with_runs(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """All columns of docs, with id, mark, and the runs of repeated starts."""
+    """(row, id, text, runs): each row whose id is not null as a struct of all its columns, its text (null: empty), and its runs or null."""
     docs = docs.where(F.col(id_col).isNotNull())
-    key = {"sa_id": F.col(id_col).cast("long"), "sa_text": F.coalesce(F.col(text_col).cast("string"), F.lit(""))}
-    docs = docs.withColumns(key).withColumn("sa_mark", F.xxhash64("sa_text"))
-    source = docs.select(F.col("sa_id").alias("id"), F.col("sa_mark").alias("mark"), F.col("sa_text").alias("text"))
-    runs = repeated(source, length).select(F.col("id").alias("sa_id"), F.col("mark").alias("sa_mark"), F.col("runs").alias("sa_runs"))
-    return docs.join(runs, ["sa_id", "sa_mark"], "left")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
+    runs = repeated(rows.select("id", "mark", "text"), length)
+    return rows.join(runs, ["id", "mark"], "left").select("row", "id", "text", "runs")
 
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
@@ -457,20 +507,19 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = K.text_bytes(batch.column("sa_text"))
-            runs, rows, held, first = batch.column("sa_runs"), [], 0, 0
-            for i in range(batch.num_rows):
-                own = data[starts[i] : starts[i + 1]]
-                gone = _removed(len(own), runs[i].values.to_numpy(), length) if runs[i].is_valid else np.zeros(len(own), bool)
+            runs, rows, held, first = batch.column("runs"), [], 0, 0
+            for i, own in _texts(batch):
+                gone = removed(len(own), runs[i].values.to_numpy(), length) if runs[i].is_valid else np.zeros(len(own), bool)
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 rows.append((len(own), int(gone.sum()), spans, own[~gone].tobytes()))
                 held += len(own)
                 if held >= 8 << 20 or i + 1 == batch.num_rows:
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column("sa_id").slice(first, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
                     rows, held, first = [], 0, i + 1
 
-    return with_runs(docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), "id_", "text_", length).select("sa_id", "sa_text", "sa_runs").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    found = with_runs(docs.select(id_col, text_col), id_col, text_col, length).select("id", "text", "runs")
+    return found.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op7(docs: DataFrame) -> DataFrame:

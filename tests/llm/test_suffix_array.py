@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from logfacts.llm import suffix_array
-from logfacts.llm.suffix_array import anchors, op7, strip
+from logfacts.llm.suffix_array import Depth, op7, prints, strip
 
 SCHEMA = "doc_id long, text string, id string"
 
@@ -25,18 +25,24 @@ def brute(rows, length):
     return sorted(out)
 
 
-def test_anchors_of_equal_strings_agree():
+def test_prints_of_equal_strings_agree():
     rng = random.Random(1)
     shared = bytes(rng.choice(b"abcd ") for _ in range(300))
     found = []
     for lead in (17, 250):
         data = np.frombuffer(bytes(rng.choice(b"wxyz") for _ in range(lead)) + shared + b"q" * 40, np.uint8)
-        at, h, least = anchors(data, 200 - 32 + 1)
-        assert set(h.tolist()) == set(least.tolist())
-        found.append(least[lead : lead + 101].tolist())
+        got = prints(data, 200)
+        found.append(np.repeat(got.key, np.diff(np.append(got.first, got.starts)))[lead : lead + 101].tolist())
     assert found[0] == found[1]
 
 
+def test_depth_covers_the_string():
+    for length in range(64, 400):
+        d = Depth(length)
+        assert d.whole % 3 == 0 and 2 <= d.rest <= 4 and all(s % 3 == 0 for s in d.three) and d.three[2] + d.word == d.whole
+        assert d.three[1] <= d.word and d.three[2] - d.three[1] <= d.word
+
+
 def test_matches_brute_force(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("aeioubcdé") for _ in range(rng.randint(2, 9)))
