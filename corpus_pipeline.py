@@ -21,40 +21,56 @@ LEAST_SCORE = 0.3
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known."""
+    """Documents whose language is known and likely enough.
+
+    Null, empty and letterless texts are unknown and go, as do null ids; a document stays with all its rows if one row of
+    its id stays. Without a single learnable document (an empty table) nothing is known and nothing stays.
+    """
     model = language_id.train(language_id.learnable(docs))
     found = language_id.identify(docs, model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return docs.select(COLUMNS).join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id; repeated rows of it stay.
+
+    Null and wordless texts are copies of nothing and stay; null ids go; an empty table stays empty.
+    """
     kept = near_dedup.near_duplicates(docs).where("id = component").select(F.col("id").alias("doc_id")).distinct()
     return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated strings; a character of which a byte is gone is gone as a whole."""
+    """Texts without the bytes of repeated strings; a character of which a byte is gone is gone as a whole.
+
+    A null or short text stays as it is; repeated rows match each other and lose their texts; an empty table stays empty.
+    """
     found = suffix_array.with_runs(docs.select(COLUMNS), "doc_id", "text", 200)
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            texts = []
-            for value, runs in zip(batch.column("sa_text"), batch.column("sa_runs"), strict=True):
+            texts, sizes = [], []
+            for value, size, runs in zip(batch.column("text"), batch.column("n_chars").to_pylist(), batch.column("runs"), strict=True):
                 text = value.as_py()
                 if runs.is_valid:
                     data = np.frombuffer(text.encode(), np.uint8)
-                    text = data[~suffix_array._removed(len(data), runs.values.to_numpy(), 200)].tobytes().decode("utf-8", "ignore")
+                    text = data[~suffix_array.removed(len(data), runs.values.to_numpy(), 200)].tobytes().decode("utf-8", "ignore")
+                    size = len(text)
                 texts.append(text)
-            columns = [pa.array(texts, pa.string()) if c == "text" else pa.array([len(t) for t in texts], pa.int64()) if c == "n_chars" else batch.column(c) for c in COLUMNS]
-            yield pa.RecordBatch.from_arrays(columns, COLUMNS)
+                sizes.append(size)
+            columns = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in COLUMNS], COLUMNS)
 
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
-    return found.select("doc_id", "lang", "source", "sa_text", "sa_runs").mapInArrow(run, kinds)
+    kept = found.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(F.col("text")).alias("text"), "row.lang", "row.source", F.col("row.n_chars").cast("long").alias("n_chars"), "runs")
+    return kept.mapInArrow(run, kinds)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate asks for; target shares that ask for fewer toxic and poor texts."""
+    """Each document as often as its rate asks for; target shares that ask for fewer toxic and poor texts.
+
+    Null and empty texts have no tokens and go by the rate of their posteriors like all others; an empty table stays empty.
+    """
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     plan = mixing.mix(rows, mixing.domains_of(table(spark, sf_dir, "labels")), mixing.TARGETS).select(F.col("id").alias("doc_id"), "copies")
     rows = docs.select(COLUMNS).join(plan, "doc_id").where("copies > 0")
@@ -62,6 +78,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document; a null text has none (null), an empty one an empty list; repeated rows are encoded each."""
     return sentence_pieces.op9(docs)
 
 
@@ -69,6 +86,7 @@ STAGES = [("language ID", by_language), ("MinHash near-dedup", without_near_copi
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's rows lie in a table of the shared folder for the next."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
