@@ -75,36 +75,45 @@ def _sliding_least(x: np.ndarray, window: int) -> np.ndarray:
 
 
 class Prints(NamedTuple):
-    """Runs of starts with the same anchor and fingerprint: their first starts, fingerprints and anchors' hashes; the number of starts."""
+    """Runs of starts with the same anchor and fingerprint: their texts, first and last starts (last not included), fingerprints and anchors' hashes."""
 
+    text: np.ndarray
     first: np.ndarray
+    last: np.ndarray
     key: np.ndarray
     anchor: np.ndarray
-    starts: int
 
 
-def prints(data: np.ndarray, length: int) -> Prints:
-    """One text's fingerprints. Of anchors with the same hash the first counts, so equal strings agree on theirs.
+def prints(data: np.ndarray, starts: np.ndarray, length: int) -> Prints:
+    """The fingerprints of texts that lie after one another. Of anchors with the same hash the first counts, so equal strings agree on theirs.
 
     An anchor at most ``wide`` places further into the string than the class says leaves the stretch inside the string.
     """
     window = length - GRAM + 1
     n = len(data) - GRAM + 1
-    if n < window:
-        none = np.empty(0, np.uint64)
-        return Prints(np.empty(0, np.int64), none, none, 0)
+    whole = np.zeros(max(n - window + 1, 0) + 1, np.int8)
+    long = np.flatnonzero(np.diff(starts) >= length)
+    whole[starts[long]] = 1
+    whole[starts[long + 1] - length + 1] -= 1
+    whole = np.cumsum(whole[:-1], dtype=np.int8).astype(bool)
+    if not len(long):
+        none = np.empty(0, np.int64)
+        return Prints(none, none, none, none.view(np.uint64), none.view(np.uint64))
     wide = -(-window // 4)
     total = K.prefix_hash(data + np.uint16(1))
     at = np.arange(n)
     low = K.U64(0xFFFFFFFF)
     least = _sliding_least((K.range_hash(total, at, at + GRAM) & ~low) | at.astype(np.uint64), window)
     place = (least & low).astype(np.int64)
-    kind = (place - np.arange(len(place))) // wide
-    first = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]) | (kind[1:] != kind[:-1])) + 1])
+    kind = (place - at[: len(place)]) // wide
+    new = whole.copy()
+    new[1:] &= (place[1:] != place[:-1]) | (kind[1:] != kind[:-1]) | ~whole[:-1]
+    first = np.flatnonzero(new)
+    last = np.minimum(np.append(first[1:], len(place)), starts[(text := np.searchsorted(starts, first, side="right") - 1) + 1] - length + 1)
     place, kind = place[first], kind[first]
     begin = place - kind * wide
     key = K.range_hash(total, begin, begin + length - wide + 1) ^ K.mix(kind.astype(np.uint64))
-    return Prints(first, key, least[first] >> K.U64(32), len(least))
+    return Prints(text, first - starts[text], last - starts[text], key, least[first] >> K.U64(32))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -117,22 +126,17 @@ def _print_rows(docs: DataFrame, length: int) -> DataFrame:
     """(id, mark, hash, n): each document's distinct fingerprints with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["id", "mark", "hash", "n"])
-
         for batch in batches:
             ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
-            rows, held = [], 0
-            for i, data in _texts(batch):
-                h, n = np.unique(prints(data, length).key.view(np.int64), return_counts=True)
-                if len(h):
-                    rows.append((np.full(len(h), ids[i]), np.full(len(h), marks[i]), h, n.astype(np.int64)))
-                    held += len(h)
-                if held >= 1 << 18:
-                    yield made(rows)
-                    rows, held = [], 0
-            if rows:
-                yield made(rows)
+            data, starts = K.text_bytes(batch.column("text"))
+            for a, b in K.slices(starts):
+                found = prints(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], length)
+                key = found.key.view(np.int64)
+                order = np.lexsort((key, found.text))
+                text, key = found.text[order], key[order]
+                new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.empty(0, np.int64)
+                row = text[new] + a
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], marks[row], key[new], np.diff(np.append(new, len(key))))], ["id", "mark", "hash", "n"])
 
     return docs.mapInArrow(run, "id long, mark long, hash long, n long")
 
@@ -148,36 +152,40 @@ def _chunk_rows(docs: DataFrame, length: int) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
             ids, marks, lists = batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("shared")
-            rows, held = [], 0
-            for i, data in _texts(batch):
-                for a, b, near in _spans(prints(data, length), lists[i].values.to_numpy()):
-                    body = data[a : b + length - 1].tobytes()
-                    rows.append((ids[i], marks[i], a, b - a, near, hashlib.blake2b(body, digest_size=16).digest(), body))
+            data, starts = K.text_bytes(batch.column("text"))
+            for first, last in K.slices(starts):
+                part, rows, held = data[starts[first] : starts[last]], [], 0
+                at = starts[first : last + 1] - starts[first]
+                shared = np.unique(lists.slice(first, last - first).flatten().to_numpy())
+                for i, a, b, near in _spans(prints(part, at, length), shared):
+                    body = part[at[i] + a : at[i] + b + length - 1].tobytes()
+                    rows.append((ids[first + i], marks[first + i], a, b - a, near, hashlib.blake2b(body, digest_size=16).digest(), body))
                     held += len(body)
-                if held >= 4 << 20 or i + 1 == batch.num_rows:
-                    if rows:
+                    if held >= 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                    rows, held = [], 0
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return docs.mapInArrow(run, "id long, mark long, at int, starts int, near long, key binary, body binary")
 
 
-def _spans(found: Prints, shared: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """First and last start (last not included) and least anchor of each chunk of the starts that may repeat.
+def _spans(found: Prints, shared: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Text, first and last start (last not included) and least anchor of each chunk of the starts that may repeat.
 
     Chunks end where the anchor changes to one of a sixteenth of all hashes, so equal passages are cut alike.
     """
-    free = np.isin(found.key.view(np.int64), shared)
+    key = found.key.view(np.int64)
+    free = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key if len(shared) else np.zeros(len(key), bool)
     if not free.any():
         return
-    fresh = np.concatenate([[True], (found.anchor[1:] != found.anchor[:-1]) & ((found.anchor[1:] & K.U64(15)) == 0)])
-    opens = np.flatnonzero(free & (fresh | ~np.concatenate([[False], free[:-1]])))
-    closes = np.flatnonzero(free & np.concatenate([fresh[1:] | ~free[1:], [True]])) + 1
-    nearest = np.minimum.reduceat(found.anchor, np.stack([opens, closes], axis=1).ravel()[: 2 * len(opens) - (closes[-1] == len(free))])[0::2]
-    edges = np.append(found.first, found.starts)
-    for a, b, near in zip(edges[opens].tolist(), edges[closes].tolist(), nearest.tolist(), strict=True):
+    ends = (found.anchor[1:] != found.anchor[:-1]) & ((found.anchor[1:] & K.U64(15)) == 0) | (found.text[1:] != found.text[:-1])
+    opens = np.flatnonzero(free & np.concatenate([[True], ends | ~free[:-1]]))
+    closes = np.flatnonzero(free & np.concatenate([ends | ~free[1:], [True]]))
+    nearest = np.minimum.reduceat(np.append(found.anchor, found.anchor[-1:]), np.stack([opens, closes + 1], axis=1).ravel())[0::2]
+    for i, a, b, near in zip(found.text[opens].tolist(), found.first[opens].tolist(), found.last[closes].tolist(), nearest.tolist(), strict=True):
         for c in range(a, b, LONGEST_CHUNK):
-            yield c, min(c + LONGEST_CHUNK, b), near
+            yield i, c, min(c + LONGEST_CHUNK, b), near
 
 
 def _blocks(chunks: DataFrame) -> DataFrame:
@@ -222,13 +230,28 @@ class Depth:
         self.three = (0, (self.whole - self.word) // 6 * 3, self.whole - self.word)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and which of them each value is."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(x) else np.empty(0, bool)
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], which
+
+
+def _windows(body: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The strings of that size at those places."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, size)[at]).view(f"S{size}").ravel() if len(at) else np.empty(0, f"S{size}")
+
+
 class Block:
-    """Chunk bodies one after another. Its keys of each level are local numbers, in the order of what they stand for."""
+    """Chunk bodies one after another. Its keys of each level are local numbers: of level 1 by bucket, first eight bytes and hash, of level 2 by those."""
 
     BITS = 21
 
-    def __init__(self, row: dict, depth: Depth):
-        self.depth = depth
+    def __init__(self, row: dict, depth: Depth, bounds: np.ndarray):
+        self.depth, self.bounds = depth, bounds
         self.body = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["raw"]), np.uint8)
         self.sizes, self.starts, self.counts = (np.array(row[c], np.int64) for c in ("sizes", "starts", "counts"))
         self.first = np.cumsum(self.sizes) - self.sizes
@@ -238,39 +261,43 @@ class Block:
         self.long_at = np.flatnonzero((self.kind > 0) & (self.offset < self.starts[self.chunk] + 2))
 
     @cached_property
-    def _level_1(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct triples of words in order, and the number of each place's own."""
+    def _level_1(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A place of each distinct triple of words, its bucket, and the number of each place's own."""
         d = self.depth
         want = np.zeros(len(self.body), bool)
         for step in d.three:
             want[self.long_at + step] = True
         at = np.flatnonzero(want)
         total = K.prefix_hash(self.body + np.uint16(1))
-        _, some, which = np.unique(K.range_hash(total, at, at + d.word), return_index=True, return_inverse=True)
-        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.body, d.word)[at[some]]).view(f"S{d.word}").ravel() if len(at) else np.empty(0, f"S{d.word}")
-        order = np.argsort(keys)
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
+        _, some, which = _distinct(K.range_hash(total, at, at + d.word))
+        places = at[some]
+        order = np.argsort(_windows(self.body, places, 8).view(">u8").astype(np.uint64), kind="stable")
+        bucket = self.bucket(places[order])
+        dealt = np.argsort(bucket, kind="stable")
+        order, bucket = order[dealt], bucket[dealt]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         number = np.zeros(len(self.body), np.int64)
         number[at] = rank[which]
-        return keys[order], number
+        return places[order], bucket, number
 
     @property
-    def words(self) -> np.ndarray:
-        return self._level_1[0]
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct triples of words by number, and their buckets."""
+        return _windows(self.body, self._level_1[0], self.depth.word), self._level_1[1]
 
     @cached_property
     def _level_2(self) -> tuple[np.ndarray, np.ndarray]:
-        number = self._level_1[1]
+        number = self._level_1[2]
         a, b, c = (number[self.long_at + step] for step in self.depth.three)
-        packed, which = np.unique(a << 2 * self.BITS | b << self.BITS | c, return_inverse=True)
+        packed, _, which = _distinct(a << 2 * self.BITS | b << self.BITS | c)
         full = np.zeros(len(self.body), np.int64)
         full[self.long_at] = which
         return packed, full
 
     @property
     def triples(self) -> tuple[np.ndarray, ...]:
-        """The distinct triples of names in order, as three columns of numbers of level 1."""
+        """The distinct triples of names by number, as three columns of numbers of level 1."""
         packed, low = self._level_2[0], (1 << self.BITS) - 1
         return packed >> 2 * self.BITS, packed >> self.BITS & low, packed & low
 
@@ -289,16 +316,15 @@ class Block:
         for j in range(number + d.whole, d.length):
             back = back << 8 | self.body[p + j]
         behind = 8 * (d.rest - number)
-        packed, some, which = np.unique(front << self.BITS + behind | self._level_2[1][p + number] << behind | back, return_index=True, return_inverse=True)
+        packed, some, which = _distinct(front << self.BITS + behind | self._level_2[1][p + number] << behind | back)
         count = np.minimum(np.bincount(which, weights=self.counts[self.chunk[p]], minlength=len(packed)), 2).astype(np.uint8)
         mine = np.full(len(at), -1, np.int64)
         mine[pick] = which
         low = (1 << behind) - 1
         return (packed >> self.BITS + behind << behind) | (packed & low), packed >> behind & ((1 << self.BITS) - 1), p[some], count, mine
 
-    def bucket(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.body, BOUND)[at]).view(f"S{BOUND}").ravel() if len(at) else np.empty(0, f"S{BOUND}")
-        return np.searchsorted(bounds, heads, side="right")
+    def bucket(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, _windows(self.body, at, BOUND), side="right").astype(np.int32)
 
 
 #: The merged lists: each holds two remainders, and ranks suffixes as many bytes on as its number says.
@@ -324,8 +350,8 @@ def _ask_words(blocks: DataFrame, bounds: np.ndarray, length: int) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
-                keys = Block(row, Depth(length)).words
-                for b, s in _slices(np.searchsorted(bounds, keys.astype(f"S{BOUND}"), side="right")):
+                keys, bucket = Block(row, Depth(length), bounds).words
+                for b, s in _slices(bucket):
                     yield _cells(1, b, row["block"], squeeze.compress(keys[s].tobytes()))
 
     return blocks.mapInArrow(run, ASKED)
@@ -361,14 +387,14 @@ def _given(table: pa.Table) -> np.ndarray:
     return np.concatenate([np.cumsum(_unpack(raw, np.int64)) for _, raw in parts]).astype(np.uint64)
 
 
-def _ask_triples(blocks: DataFrame, named: DataFrame, length: int) -> DataFrame:
+def _ask_triples(blocks: DataFrame, named: DataFrame, bounds: np.ndarray, length: int) -> DataFrame:
     """Each block's distinct triples of names; a triple's bucket is that of its first name."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             names = _given(right)
-            a, b, c = (names[x] for x in Block(row, Depth(length)).triples)
+            a, b, c = (names[x] for x in Block(row, Depth(length), bounds).triples)
             out += [_cells(2, k, row["block"], *(_pack(x[s]) for x in (a, b, c))) for k, s in _slices((a >> K.U64(32)).astype(np.int64))]
         return pa.Table.from_batches(out)
 
@@ -378,10 +404,10 @@ def _ask_triples(blocks: DataFrame, named: DataFrame, length: int) -> DataFrame:
 # --- step 4: merged lists ----------------------------------------------------------------------------------------
 
 
-def _by_bucket(block: Block, number: int, bounds: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+def _by_bucket(block: Block, number: int) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
     """A list's strings (around, rank, count) dealt to buckets: these, their buckets, their order, and each start's own."""
     around, long, first, count, mine = block.strings(number)
-    bucket = block.bucket(first, bounds)
+    bucket = block.bucket(first)
     order = np.argsort(bucket, kind="stable")
     return (around[order], long[order], count[order]), bucket[order], order, mine
 
@@ -390,9 +416,9 @@ def _ask_order(blocks: DataFrame, named: DataFrame, bounds: np.ndarray, length:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            names, block = _given(right), Block(row, Depth(length))
+            names, block = _given(right), Block(row, Depth(length), bounds)
             for number in range(3):
-                (around, long, count), bucket, _, _ = _by_bucket(block, number, bounds)
+                (around, long, count), bucket, _, _ = _by_bucket(block, number)
                 out += [_cells(number, k, row["block"], _pack(around[s].astype(np.uint32)), _pack(names[long[s]]), _pack(count[s])) for k, s in _slices(bucket)]
         return pa.Table.from_batches(out)
 
@@ -423,10 +449,10 @@ def _repeated_starts(blocks: DataFrame, told: DataFrame, bounds: np.ndarray, len
         keys, runs = [], []
         flags_of = {(r["level"], r["bucket"]): r["flags"] for r in right.to_pylist()}
         for row in left.to_pylist():
-            block = Block(row, Depth(length))
+            block = Block(row, Depth(length), bounds)
             repeats = np.zeros(len(block.own), bool)
             for number in range(3):
-                _, bucket, order, mine = _by_bucket(block, number, bounds)
+                _, bucket, order, mine = _by_bucket(block, number)
                 flags = np.zeros(len(order), bool)
                 for k, s in _slices(bucket):
                     flags[order[s]] = np.unpackbits(np.frombuffer(flags_of[number, k], np.uint8), count=s.stop - s.start).astype(bool)
@@ -450,7 +476,7 @@ def _bounds(chunks: DataFrame, total: int) -> np.ndarray:
     """Bounds of ranges of the first bytes, a range for BUCKET_BYTES of chunks: those of Spark's range partitioning of every 2,048th place."""
     n = total // BUCKET_BYTES + 1
     places = F.sequence(F.pmod(F.xxhash64("key"), F.lit(2048)).cast("int"), F.length("body") + 2047, F.lit(2048))
-    heads = chunks.select(F.explode(F.transform(places, lambda i: F.substring("body", F.least(i, F.length("body") - BOUND) + 1, BOUND))).alias("head"))
+    heads = chunks.select(F.explode(F.transform(places, lambda i: F.substring("body", F.least(i, F.length("body") - BOUND) + 1, BOUND))).alias("head")).distinct()
     rows = heads.repartitionByRange(n, "head").groupBy(F.spark_partition_id().alias("part")).agg(F.min("head").alias("head")).collect()  # one row a bucket
     return np.array(sorted(bytes(r["head"]) for r in rows)[1:], f"S{BOUND}")
 
@@ -472,7 +498,7 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
     blocks = cut(_blocks(folded.repartitionByRange(total // BLOCK_BYTES + 1, "near", "key").sortWithinPartitions("near", "key")))
     word, rest = Depth(length).word, Depth(length).rest
     named = cut(_ask_words(blocks, bounds, length).groupBy("bucket").applyInArrow(lambda t: _name_words(t, word), NAMED))
-    longer = cut(_ask_triples(blocks, named, length).groupBy("bucket").applyInArrow(_name_triples, NAMED))
+    longer = cut(_ask_triples(blocks, named, bounds, length).groupBy("bucket").applyInArrow(_name_triples, NAMED))
     drop(named)
     told = cut(_ask_order(blocks, longer, bounds, length).groupBy("level", "bucket").applyInArrow(lambda t: _compare(t, rest), "block long, level long, bucket long, flags binary"))
     drop(longer)
