@@ -7,42 +7,46 @@ largest sum of piece scores, of equal sums the one whose last piece is longest.
 their bytes' pieces, at a score below all others. Decoding puts the pieces' bytes together, so it gives every text
 back exactly (a U+2581 in a text reads as a space, as it does in the public library).
 
+Scores that are log probabilities are taken as they are. A model made by merging has none: its scores are ranks, whose
+sum means nothing. Its pieces get the log of the Zipf-Mandelbrot weight of their rank, 1 / (rank + ``ZIPF``).
+
 A word of more than ``LONGEST`` characters (a text without spaces, base64) has its lattice built in parts of that many
 places; each part has the characters before it that a piece may begin in, and the fold carries the last places' bests,
 as many as the longest piece has characters, from part to part. So its path is that of the whole word.
 
-Words are encoded once each, however often they occur. The common ones of a bounded sample are given to every task;
-all others go through the lattice together, each once per block of texts, and come back to their block, so neither
-word counts nor documents grow beyond a task.
+Words are encoded once each, however often they occur: a block of texts keeps its distinct words and, for each text,
+their numbers; the distinct words of all blocks go through the lattice and come back to their blocks. Words that are
+in very many blocks are dealt to several tasks on the way back.
 
-Rows: a null text has no ids and reads back as null; an empty one has none either; repeated rows are encoded each.
-Other columns are ignored.
+Rows: a null or empty text has an empty list of ids, which reads back as an empty text; repeated rows are encoded each.
+Other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfacts.llm import kernels as K
-from logfacts.llm.shared import cut
+from logfacts.llm.shared import cut, join_counted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 48
 UNKNOWN_PENALTY = 10.0
+ZIPF = 100
 BLOCK_BYTES = 16 << 20
-WORDS_PER_PART = 50000
+WORDS_PER_PART = 20000
 CHARS_PER_PART = 400000
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
+#: So many words are grouped in memory before a task falls back to sorting all edges; WORDS_PER_PART stays below it.
+IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
 def load(path: str = MODEL) -> tuple[list[tuple[int, str, float]], list[bytes], int]:
@@ -62,61 +66,61 @@ def load(path: str = MODEL) -> tuple[list[tuple[int, str, float]], list[bytes],
         else:
             raw.append(piece.replace(MARK, " ").encode())
             pieces.append((i, piece, float(model.get_score(i))))
+    ranked = sorted(pieces, key=lambda p: (-p[2], p[0]))
+    steps = [a[2] - b[2] for a, b in zip(ranked, ranked[1:], strict=False)]
+    if steps and sorted(steps)[len(steps) // 2] == 1.0:  # ranks of merges
+        pieces = [(i, piece, -math.log(rank + ZIPF)) for rank, (i, piece, _) in enumerate(ranked)]
     return pieces, raw, zero
 
 
 def split(text: str) -> list[str]:
-    """The words of a text, with the markers in front of them."""
+    """The words of a text, with the markers in front of them; together they are the text."""
     return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _key(word: str) -> str:
-    """The word, or a digest in its place if it is long; no word has a line break before another character."""
-    return word if len(word) <= LONGEST else "\n" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
-
-
 def _edges(places: DataFrame, keys: list[str], text: str, path: str) -> DataFrame:
-    """(keys, text, start) to (keys, edges): the pieces that begin at the starts of the text, joined to the piece table."""
-    pieces, _, zero = load(path)
+    """(keys, text, start) to (keys, edges): the pieces that begin at the starts of the text, joined to the piece table.
+
+    The id of a character without a piece is -1 less its code point.
+    """
+    pieces, _, _ = load(path)
     longest = max(len(p) for _, p, _ in pieces)
     least = min(s for _, _, s in pieces) - UNKNOWN_PENALTY
     table = F.broadcast(places.sparkSession.createDataFrame([(p, i, s) for i, p, s in pieces], "piece string, piece_id int, score double"))  # the vocabulary, whatever the corpus
     columns = [*keys, "start"] if text in keys else [*keys, text, "start"]
     edges = places.select(*columns, F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text) - F.col("start") + 1))).alias("size"))
     edges = edges.withColumn("piece", F.substring(text, F.col("start"), F.col("size"))).join(table, "piece", "left").where("piece_id is not null or size = 1")
-    raw = F.encode("piece", "UTF-8")
-    bytes_of = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + zero)
-    ids = F.when(F.col("piece_id").isNotNull(), F.array("piece_id")).otherwise(bytes_of)
-    edge = F.struct((F.col("start") - 1 + F.col("size")).alias("end"), (F.col("start") - 1).alias("from"), F.coalesce("score", F.lit(least)).alias("score"), ids.alias("ids"))
+    edge = F.struct((F.col("start") - 1 + F.col("size")).alias("end"), (F.col("start") - 1).alias("from"), F.coalesce("score", F.lit(least)).alias("score"), F.coalesce("piece_id", -1 - F.ascii("piece")).alias("id"))
     return edges.groupBy(*keys).agg(F.collect_list(edge).alias("edges"))
 
 
 def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
-    """(word) of at most LONGEST characters to (word, ids), each distinct word once."""
+    """(word, ...) of at most LONGEST characters to (word, n, ids), each distinct word once with its number of rows."""
     n = F.length("word")
     # groups by word twice, so that words are dealt out once and their edges stay where they are
-    places = words.groupBy("word").agg(F.count("*").alias("times")).select("word", F.explode(F.sequence(F.lit(1), n)).alias("start"))
-    lattice = _edges(places, ["word"], "word", path)
-    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.array().cast("array<int>").alias("ids")))
+    places = words.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", F.explode(F.sequence(F.lit(1), n)).alias("start"))
+    lattice = _edges(places, ["word", "n"], "word", path)
+    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(0).alias("id")))
 
-    def forward(best, end):  # noqa: ANN001, ANN202
+    def forward(best: Column, end: Column) -> Column:
         """One place further: the best edge that ends here, added to the best way to its start."""
         into = F.filter("edges", lambda e: e["end"] == end)
-        ways = F.transform(into, lambda e: F.struct((F.get(best, e["from"])["score"] + e["score"]).alias("score"), (-e["from"]).alias("back"), e["ids"].alias("ids")))
+        ways = F.transform(into, lambda e: F.struct((F.get(best, e["from"])["score"] + e["score"]).alias("score"), (-e["from"]).alias("back"), e["id"].alias("id")))
         return F.concat(best, F.array(F.array_max(ways)))
 
     best = F.aggregate(F.sequence(F.lit(1), n), origin, forward)
-    lattice = lattice.select("word", best.alias("best"))
     start = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
-    back = F.aggregate(
-        F.sequence(n, F.lit(1), F.lit(-1)), start,
-        lambda s, at: F.when(s["at"] == at, F.struct((-F.get(F.col("best"), at)["back"]).alias("at"), F.concat(F.get(F.col("best"), at)["ids"], s["ids"]).alias("ids"))).otherwise(s),
-    )
-    return lattice.select("word", back["ids"].alias("ids"))
+
+    def back(s: Column, at: Column) -> Column:
+        place = F.get(F.col("best"), at)
+        return F.when(s["at"] == at, F.struct((-place["back"]).alias("at"), F.concat(F.array(place["id"]), s["ids"]).alias("ids"))).otherwise(s)
+
+    walked = F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), start, back)
+    return lattice.select("word", "n", best.alias("best")).select("word", "n", walked["ids"].alias("ids"))
 
 
 def encode_long(words: DataFrame, tasks: int, path: str = MODEL) -> DataFrame:
-    """(word, long) to (word, ids) over ``tasks`` tasks: ``word`` is the key of the characters in ``long``. Each distinct key once."""
+    """(word, long) to (word, n, ids) over ``tasks`` tasks: ``word`` is the key of the characters in ``long``. Each distinct key once."""
     longest = max(len(p) for _, p, _ in load(path)[0])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,15 +133,14 @@ def encode_long(words: DataFrame, tasks: int, path: str = MODEL) -> DataFrame:
                 cells = [pa.array([key] * len(at), pa.string()), pa.array(range(len(at)), pa.int32()), pa.array(lead, pa.int32()), pa.array(bodies, pa.string())]
                 yield pa.RecordBatch.from_arrays(cells, ["word", "part", "lead", "body"])
 
-    rows = words.mapInArrow(parts, "word string, part int, lead int, body string").repartition(tasks, "word")
+    once = words.groupBy("word").agg(F.first("long").alias("long"), F.count("*").alias("n"))
+    rows = once.select("word", "long").mapInArrow(parts, "word string, part int, lead int, body string").repartition(tasks, "word")
     # a word lies in one task from here on, so neither its edges nor its parts are dealt out again
-    rows = rows.groupBy("word", "part").agg(F.first("lead").alias("lead"), F.first("body").alias("body"))
     places = rows.select("word", "part", "lead", "body", F.explode(F.sequence(F.lit(1), F.length("body"))).alias("start"))
     ends = _edges(places.withColumn("size_", F.length("body")), ["word", "part", "lead", "size_"], "body", path)
     ends = ends.select("word", F.struct("part", "lead", F.col("size_").alias("size"), F.filter("edges", lambda e: e["end"] > F.col("lead")).alias("edges")).alias("p"))
     lattice = ends.groupBy("word").agg(F.array_sort(F.collect_list("p")).alias("parts"))
-    none = F.array().cast("array<int>")
-    place = lambda score: F.struct(score.alias("score"), F.lit(0).alias("size"), none.alias("ids"))
+    place = lambda score: F.struct(score.alias("score"), F.lit(0).alias("size"), F.lit(0).alias("id"))
     # the bests of the last places, the word's start as the last of them
     origin = F.array(F.concat(F.array_repeat(place(F.lit(float("-inf"))), longest - 1), F.array(place(F.lit(0.0)))))
 
@@ -146,134 +149,151 @@ def encode_long(words: DataFrame, tasks: int, path: str = MODEL) -> DataFrame:
 
         def step(best, end):  # noqa: ANN001, ANN202
             into = F.filter(p["edges"], lambda e: e["end"] == end)
-            ways = F.transform(into, lambda e: F.struct((F.element_at(best, e["from"] - e["end"])["score"] + e["score"]).alias("score"), (e["end"] - e["from"]).alias("size"), e["ids"].alias("ids")))
+            ways = F.transform(into, lambda e: F.struct((F.element_at(best, e["from"] - e["end"])["score"] + e["score"]).alias("score"), (e["end"] - e["from"]).alias("size"), e["id"].alias("id")))
             return F.concat(best, F.array(F.array_max(ways)))
 
         return F.concat(done, F.array(F.aggregate(F.sequence(p["lead"] + 1, p["size"]), F.slice(F.element_at(done, -1), -longest, longest), step)))
 
     folded = lattice.select("word", F.aggregate("parts", origin, forward).alias("done"))
-    back_from = F.array(F.struct(F.lit(0).alias("skip"), F.array().cast("array<array<int>>").alias("taken")))
+    back_from = F.array(F.struct(F.lit(0).alias("skip"), F.array().cast("array<int>").alias("taken")))
 
     def back(done, bests):  # noqa: ANN001, ANN202
         """One part back: ``skip`` places lie inside the edge taken last; the ids of the edges taken, last one first."""
 
         def step(s, place):  # noqa: ANN001, ANN202
-            take = F.struct((place["size"] - 1).alias("skip"), F.concat(s["taken"], F.array(place["ids"])).alias("taken"))
+            take = F.struct((place["size"] - 1).alias("skip"), F.concat(s["taken"], F.array(place["id"])).alias("taken"))
             return F.when(s["skip"] == 0, take).otherwise(F.struct((s["skip"] - 1).alias("skip"), s["taken"].alias("taken")))
 
-        start = F.struct(F.element_at(done, -1)["skip"].alias("skip"), F.array().cast("array<array<int>>").alias("taken"))
+        start = F.struct(F.element_at(done, -1)["skip"].alias("skip"), F.array().cast("array<int>").alias("taken"))
         own = F.reverse(F.slice(bests, F.lit(longest + 1), F.size(bests) - longest))
         return F.concat(done, F.array(F.aggregate(own, start, step)))
 
     walked = F.aggregate(F.reverse(F.slice("done", F.lit(2), F.size("done") - 1)), back_from, back)
-    return folded.select("word", F.flatten(F.reverse(F.flatten(F.transform(walked, lambda s: s["taken"])))).alias("ids"))
+    ids = folded.select("word", F.reverse(F.flatten(F.transform(walked, lambda s: s["taken"]))).alias("ids"))
+    return ids.join(once.select("word", "n"), "word").select("word", "n", "ids")
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """(id, text) to blocks (block, raw): bounded runs of rows as they lie in the input."""
+    """(id, text) to blocks (block, ids, sizes, codes, words): each text's number of words, -1 for a null one; all words' numbers in the block's distinct words."""
+    names = ["block", "ids", "sizes", "codes", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            _, starts = K.text_bytes(batch.column("text"))
-            for a, b in K.slices(starts, BLOCK_BYTES):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as out:
-                    out.write_batch(batch.slice(a, b - a))
-                raw = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([raw], pa.binary())], ["block", "raw"])
-                made += 1
+        ids, sizes, codes, known, held = [], [], [], {}, 0
 
-    return docs.select("id", "text").mapInArrow(run, "block long, raw binary")
+        def full() -> pa.RecordBatch:
+            flat = np.concatenate(codes) if codes else np.empty(0, np.int32)
+            cells = [pa.array([(part << 32) + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([_pack(flat)], pa.binary())]
+            return pa.RecordBatch.from_arrays([*cells, pa.array([list(known)], pa.list_(pa.string()))], names)
 
+        for batch in batches:
+            for i, value in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                text = value.as_py()
+                words = split(text or "")
+                codes.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+                ids.append(i)
+                sizes.append(len(words) if text is not None else -1)
+                held += len(text or "")
+                if held >= BLOCK_BYTES:
+                    yield full()
+                    made, ids, sizes, codes, known, held = made + 1, [], [], [], {}, 0
+        if ids:
+            yield full()
 
-def _open(raw: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_all()
+    return docs.select("id", "text").mapInArrow(run, "block long, ids array<long>, sizes array<int>, codes binary, words array<string>")
 
 
-def _rare_words(blocks: DataFrame, common) -> DataFrame:  # noqa: ANN001
-    """(block, word, long): keys of each block's distinct words that are not in the common table, and the characters of long ones."""
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers compressed, equal bytes of neighbours next to each other."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()) if len(x) else b""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
-        for batch in batches:
-            for block, raw in zip(batch.column("block").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                words: set[str] = set()
-                for text in _open(raw).column("text"):
-                    words.update(split(text.as_py() or ""))
-                rare = sorted(w for w in words if w not in known)
-                for first, last in K.slices(np.concatenate([[0], np.cumsum([len(w) for w in rare])]), BLOCK_BYTES) if rare else ():
-                    part = rare[first:last]
-                    cells = [pa.array([block] * len(part)), pa.array([_key(w) for w in part], pa.string()), pa.array([w if len(w) > LONGEST else None for w in part], pa.string())]
-                    yield pa.RecordBatch.from_arrays(cells, ["block", "word", "long"])
 
-    return blocks.mapInArrow(run, "block long, word string, long string")
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view(np.int32).ravel() if raw else np.empty(0, np.int32)
 
 
-def _packed(ids: DataFrame) -> DataFrame:
-    """(word, ids) with the ids as bytes."""
+def _packed(ids: DataFrame, zero: int) -> DataFrame:
+    """(word, n, ids) with the ids as bytes, and characters without a piece as their bytes' pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("ids")
             at, flat = np.asarray(column.offsets), np.asarray(column.values).astype("<i4")
             raw = [flat[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(raw, pa.binary())], ["word", "ids"])
+            for i in np.unique(np.searchsorted(at, np.flatnonzero(flat < 0), side="right") - 1).tolist():
+                full = [[x] if x >= 0 else [zero + b for b in chr(-1 - x).encode()] for x in flat[at[i] : at[i + 1]].tolist()]
+                raw[i] = np.array([x for part in full for x in part], "<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(raw, pa.binary())], ["word", "n", "ids"])
 
-    return ids.mapInArrow(run, "word string, ids binary")
+    return ids.mapInArrow(run, "word string, n long, ids binary")
 
 
-def encode(docs: DataFrame, path: str = MODEL, sample_rows: int = 4000, common_words: int = 1 << 18) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(id, text) to (id, ids, round_trip): round_trip tells whether decoding the ids gives the text back."""
     spark: SparkSession = docs.sparkSession
-    picked = docs.where("text is not null").select(F.xxhash64("id", F.lit(9)).alias("h"), F.col("text")).orderBy("h").limit(sample_rows)
-    top = picked.mapInArrow(_sampled_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(common_words).select("word")
-    common = spark.sparkContext.broadcast(_table(_packed(encode_words(top, path)).toArrow()))  # common_words at most
+    _, raw, zero = load(path)
     blocks = cut(_blocks(docs))
-    rare = cut(_rare_words(blocks, common))
-    # so many parts that the edges of a part's words are sorted in memory
-    size = rare.agg(F.count("*").alias("words"), F.sum(F.length("long")).alias("chars")).first()
-    dealt = rare.where("long is null").select("word").distinct().repartition(size["words"] // WORDS_PER_PART + 1, "word")
+    long = F.when(F.length("word") > LONGEST, F.col("word"))
+    # no word has a line break before another character, so the digest of a long one is no word
+    entries = blocks.select("block", F.posexplode("words").alias("code", "word")).withColumn("long", long)
+    entries = entries.withColumn("word", F.when(F.col("long").isNull(), F.col("word")).otherwise(F.concat(F.lit("\n"), F.sha2("long", 256))))
+    size = entries.agg(F.count("*").alias("words"), F.sum(F.length("long")).alias("chars")).first()
+    # so many parts that the edges of a part's words are grouped in memory
+    dealt = entries.where("long is null").select("word").repartition(size["words"] // WORDS_PER_PART + 1, "word")
     ids = encode_words(dealt, path)
     if size["chars"]:
-        ids = ids.union(encode_long(rare.where("long is not null").select("word", "long"), size["chars"] // CHARS_PER_PART + 1, path))
-    found = rare.select("block", "word").join(_packed(ids), "word").select("block", "word", "ids")
-    _, raw, _ = load(path)
-    schema = "id long, ids array<int>, round_trip boolean"
+        ids = ids.union(encode_long(entries.where("long is not null").select("word", "long"), size["chars"] // CHARS_PER_PART + 1, path))
+    before = spark.conf.get(IN_MEMORY)
+    spark.conf.set(IN_MEMORY, str(8 * WORDS_PER_PART))
+    try:
+        ids = cut(_packed(ids, zero))
+    finally:
+        spark.conf.set(IN_MEMORY, before)
+    found = join_counted(entries.select("block", "code", "word"), ids, "word", "n", ["block"]).select(F.col("block").alias("home"), "code", "ids")
+    lengths = np.array([len(x) for x in raw], np.int64)
+    pieces, begins = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = _table(right)
-        known = common.value
-        ids, arrays, good = [], [], []
-        for block in left.column("raw").to_pylist():
-            rows = _open(block)
-            ids += rows.column("id").to_pylist()
-            for value in rows.column("text"):
-                text = value.as_py()
-                flat = b"".join([known[w] if w in known else table[_key(w)] for w in split(text or "")])
-                codes = np.frombuffer(flat, "<i4")
-                arrays.append(codes)
-                good.append(text is None or text.replace(MARK, " ") == decode_ids(codes.tolist(), raw))
-        at = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-        flat = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
-        return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(np.int32))), "round_trip": pa.array([bool(g) for g in good], pa.bool_())})
-
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, schema)
-
-
-def _table(words: pa.Table) -> dict[str, bytes]:
-    return dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
-
-
-def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: Counter[str] = Counter()
-        for text in batch.column("text"):
-            counts.update(w for w in split(text.as_py() or "") if len(w) <= LONGEST)
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        order = np.argsort(right.column("code").to_numpy())
+        column = right.column("ids").take(pa.array(order)).combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+        at, flat = (np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4, np.frombuffer(column.buffers()[2] or b"", "<i4")) if len(order) else (np.zeros(1, np.int64), np.empty(0, np.int32))
+        size = np.diff(at)
+        out = []
+        for row in left.to_pylist():
+            words = [w.replace(MARK, " ").encode() for w in row["words"]]
+            # the words' bytes against their pieces' bytes, all at once
+            text, wide = b"".join(words), np.array([len(w) for w in words], np.int64)
+            own = np.add.reduceat(lengths[flat[at[0] : at[-1]]], at[:-1] - at[0]) if len(words) else wide
+            same = own == wide
+            if len(words) and same.all():
+                equal = np.frombuffer(text, np.uint8) == pieces[_ragged(begins[flat[at[0] : at[-1]]], lengths[flat[at[0] : at[-1]]])]
+                same = np.logical_and.reduceat(equal, np.cumsum(wide) - wide)
+            codes, counts = _unpack(row["codes"]), np.array(row["sizes"], np.int64)
+            ends = np.cumsum(np.maximum(counts, 0))
+            first = 0
+            while first < len(counts):  # a bounded slice at a time
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 19), side="right")))
+                mine = codes[ends[first - 1] if first else 0 : ends[last - 1]]
+                each = np.maximum(counts[first:last], 0)
+                doc = np.repeat(np.arange(last - first), each)
+                tokens = np.bincount(doc, weights=size[mine], minlength=last - first).astype(np.int64)
+                bad = np.bincount(doc, weights=~same[mine], minlength=last - first) > 0
+                offsets = np.concatenate([[0], np.cumsum(tokens)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[_ragged(at[mine], size[mine])].astype(np.int32)))
+                out.append(pa.table({"id": pa.array(row["ids"][first:last], pa.int64()), "ids": lists, "round_trip": pa.array(~bad)}))
+                first = last
+        return pa.concat_tables(out)
+
+    return blocks.groupBy("block").cogroup(found.groupBy("home")).applyInArrow(finish, "id long, ids array<int>, round_trip boolean")
+
+
+def _ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each run, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def decode_ids(ids: list[int], raw: list[bytes]) -> str:
