@@ -78,7 +78,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document; a null text has none (null), an empty one an empty list; repeated rows are encoded each."""
+    """Piece ids of each document; a null or empty text has an empty list; repeated rows are encoded each; an empty table stays empty."""
     return sentence_pieces.op9(docs)
 
 
