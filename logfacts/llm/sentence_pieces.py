@@ -14,9 +14,10 @@ A word of more than ``LONGEST`` characters (a text without spaces, base64) has i
 places; each part has the characters before it that a piece may begin in, and the fold carries the last places' bests,
 as many as the longest piece has characters, from part to part. So its path is that of the whole word.
 
-Words are encoded once each, however often they occur: a block of texts keeps its distinct words and, for each text,
-their numbers; the distinct words of all blocks go through the lattice and come back to their blocks. Words that are
-in very many blocks are dealt to several tasks on the way back.
+Texts are cut into words where no piece of the vocabulary can reach across, letters from digits and signs if its pieces
+allow that. Words are encoded once each, however often they occur: a block of texts keeps its distinct words and, for
+each text, their numbers; the distinct words of all blocks go through the lattice. On the way back a block asks for its
+words by buckets of their checksum, each word once, so a word of every text is one entry of a block.
 
 Rows: a null or empty text has an empty list of ids, which reads back as an empty text; repeated rows are encoded each.
 Other columns are ignored; an empty table gives an empty one.
@@ -24,31 +25,36 @@ Other columns are ignored; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfacts.llm.shared import cut, join_counted
+from logfacts.llm.shared import cut, drop
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 48
 UNKNOWN_PENALTY = 10.0
 ZIPF = 100
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
 WORDS_PER_PART = 20000
 CHARS_PER_PART = 400000
-_WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
-#: So many words are grouped in memory before a task falls back to sorting all edges; WORDS_PER_PART stays below it.
-IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+#: Ways to cut a text into words, the finest first; a way fits a vocabulary if it leaves each piece whole.
+_WORDS = [re.compile(w) for w in (f"{MARK}*(?:[^\\W\\d_²]+|\\d|(?:[^\\w\n{MARK}]|[_²])+)|{MARK}+|\n+", f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")]
 
 
+@cache
 def load(path: str = MODEL) -> tuple[list[tuple[int, str, float]], list[bytes], int]:
     """(id, piece, score) of the pieces that text can match, every id's bytes, and the id of byte 0."""
     import sentencepiece
@@ -73,9 +79,24 @@ def load(path: str = MODEL) -> tuple[list[tuple[int, str, float]], list[bytes],
     return pieces, raw, zero
 
 
-def split(text: str) -> list[str]:
+@cache
+def word_pattern(path: str = MODEL) -> re.Pattern:
+    """The finest way to cut texts that no piece reaches across. Cuts depend on the two characters around them, so a piece that is whole by itself is whole in any text."""
+    pieces = [p for _, p, _ in load(path)[0]]
+    for pattern in _WORDS:
+        if all(len(pattern.findall(p)) == 1 for p in pieces if p.strip(MARK)):
+            return pattern
+    raise ValueError("the vocabulary has pieces that go on after a space or a line break")
+
+
+def split(text: str, pattern: re.Pattern | None = None) -> list[str]:
     """The words of a text, with the markers in front of them; together they are the text."""
-    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+    return (pattern or word_pattern()).findall(MARK + text.replace(" ", MARK)) if text else []
+
+
+def _key(word: str) -> str:
+    """The word, or a digest in its place if it is long; no word has a line break before another character."""
+    return word if len(word) <= LONGEST else "\n" + hashlib.sha256(word.encode()).hexdigest()
 
 
 def _edges(places: DataFrame, keys: list[str], text: str, path: str) -> DataFrame:
@@ -86,16 +107,21 @@ def _edges(places: DataFrame, keys: list[str], text: str, path: str) -> DataFram
     pieces, _, _ = load(path)
     longest = max(len(p) for _, p, _ in pieces)
     least = min(s for _, _, s in pieces) - UNKNOWN_PENALTY
-    table = F.broadcast(places.sparkSession.createDataFrame([(p, i, s) for i, p, s in pieces], "piece string, piece_id int, score double"))  # the vocabulary, whatever the corpus
+    # the vocabulary, whatever the corpus; joined on a number, which takes half the time of a join on texts, and compared
+    table = places.sparkSession.createDataFrame([(p, i, s) for i, p, s in pieces], "known string, piece_id int, score double")
+    table = F.broadcast(table.withColumn("hash", F.xxhash64("known")))
     columns = [*keys, "start"] if text in keys else [*keys, text, "start"]
     edges = places.select(*columns, F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text) - F.col("start") + 1))).alias("size"))
-    edges = edges.withColumn("piece", F.substring(text, F.col("start"), F.col("size"))).join(table, "piece", "left").where("piece_id is not null or size = 1")
-    edge = F.struct((F.col("start") - 1 + F.col("size")).alias("end"), (F.col("start") - 1).alias("from"), F.coalesce("score", F.lit(least)).alias("score"), F.coalesce("piece_id", -1 - F.ascii("piece")).alias("id"))
+    edges = edges.withColumn("piece", F.substring(text, F.col("start"), F.col("size"))).withColumn("hash", F.xxhash64("piece")).join(table, "hash", "left")
+    same = F.coalesce(F.col("piece") == F.col("known"), F.lit(False))
+    edges = edges.where(same | (F.col("size") == 1))
+    score, number = F.when(same, F.col("score")).otherwise(least), F.when(same, F.col("piece_id")).otherwise(-1 - F.ascii("piece"))
+    edge = F.struct((F.col("start") - 1 + F.col("size")).alias("end"), (F.col("start") - 1).alias("from"), score.alias("score"), number.alias("id"))
     return edges.groupBy(*keys).agg(F.collect_list(edge).alias("edges"))
 
 
 def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
-    """(word, ...) of at most LONGEST characters to (word, n, ids), each distinct word once with its number of rows."""
+    """(word) of at most LONGEST characters to (word, n, ids), each distinct word once with its number of rows."""
     n = F.length("word")
     # groups by word twice, so that words are dealt out once and their edges stay where they are
     places = words.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", F.explode(F.sequence(F.lit(1), n)).alias("start"))
@@ -120,7 +146,7 @@ def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def encode_long(words: DataFrame, tasks: int, path: str = MODEL) -> DataFrame:
-    """(word, long) to (word, n, ids) over ``tasks`` tasks: ``word`` is the key of the characters in ``long``. Each distinct key once."""
+    """(word, long) to (word, ids) over ``tasks`` tasks: ``word`` is the key of the characters in ``long``. Each distinct key once."""
     longest = max(len(p) for _, p, _ in load(path)[0])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +159,7 @@ def encode_long(words: DataFrame, tasks: int, path: str = MODEL) -> DataFrame:
                 cells = [pa.array([key] * len(at), pa.string()), pa.array(range(len(at)), pa.int32()), pa.array(lead, pa.int32()), pa.array(bodies, pa.string())]
                 yield pa.RecordBatch.from_arrays(cells, ["word", "part", "lead", "body"])
 
-    once = words.groupBy("word").agg(F.first("long").alias("long"), F.count("*").alias("n"))
+    once = words.groupBy("word").agg(F.first("long").alias("long"))
     rows = once.select("word", "long").mapInArrow(parts, "word string, part int, lead int, body string").repartition(tasks, "word")
     # a word lies in one task from here on, so neither its edges nor its parts are dealt out again
     places = rows.select("word", "part", "lead", "body", F.explode(F.sequence(F.lit(1), F.length("body"))).alias("start"))
@@ -169,11 +195,15 @@ def encode_long(words: DataFrame, tasks: int, path: str = MODEL) -> DataFrame:
         return F.concat(done, F.array(F.aggregate(own, start, step)))
 
     walked = F.aggregate(F.reverse(F.slice("done", F.lit(2), F.size("done") - 1)), back_from, back)
-    ids = folded.select("word", F.reverse(F.flatten(F.transform(walked, lambda s: s["taken"]))).alias("ids"))
-    return ids.join(once.select("word", "n"), "word").select("word", "n", "ids")
+    return folded.select("word", F.reverse(F.flatten(F.transform(walked, lambda s: s["taken"]))).alias("ids"))
+
+
+def _numbers() -> defaultdict[str, int]:
+    """Gives each new word the next number."""
+    return defaultdict(count().__next__)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
+def _blocks(docs: DataFrame, pattern: re.Pattern) -> DataFrame:
     """(id, text) to blocks (block, ids, sizes, codes, words): each text's number of words, -1 for a null one; all words' numbers in the block's distinct words."""
     names = ["block", "ids", "sizes", "codes", "words"]
 
@@ -181,7 +211,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        ids, sizes, codes, known, held = [], [], [], {}, 0
+        ids, sizes, codes, known, held = [], [], [], _numbers(), 0
 
         def full() -> pa.RecordBatch:
             flat = np.concatenate(codes) if codes else np.empty(0, np.int32)
@@ -191,14 +221,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i, value in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 text = value.as_py()
-                words = split(text or "")
-                codes.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+                words = split(text or "", pattern)
+                codes.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 ids.append(i)
                 sizes.append(len(words) if text is not None else -1)
                 held += len(text or "")
                 if held >= BLOCK_BYTES:
                     yield full()
-                    made, ids, sizes, codes, known, held = made + 1, [], [], [], {}, 0
+                    made, ids, sizes, codes, known, held = made + 1, [], [], [], _numbers(), 0
         if ids:
             yield full()
 
@@ -214,80 +244,99 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view(np.int32).ravel() if raw else np.empty(0, np.int32)
 
 
-def _packed(ids: DataFrame, zero: int) -> DataFrame:
-    """(word, n, ids) with the ids as bytes, and characters without a piece as their bytes' pieces."""
+def _packed(ids: DataFrame, raw: list[bytes], zero: int) -> DataFrame:
+    """(word, ids, good) with the ids as bytes and characters without a piece as their bytes' pieces; ``good`` if they decode to the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("ids")
-            at, flat = np.asarray(column.offsets), np.asarray(column.values).astype("<i4")
-            raw = [flat[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            for i in np.unique(np.searchsorted(at, np.flatnonzero(flat < 0), side="right") - 1).tolist():
-                full = [[x] if x >= 0 else [zero + b for b in chr(-1 - x).encode()] for x in flat[at[i] : at[i + 1]].tolist()]
-                raw[i] = np.array([x for part in full for x in part], "<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(raw, pa.binary())], ["word", "n", "ids"])
+            rows, good = [], []
+            for word, path in zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if path and min(path) < 0:
+                    path = [x for i in path for x in ([i] if i >= 0 else [zero + b for b in chr(-1 - i).encode()])]
+                rows.append(np.array(path, "<i4").tobytes())
+                good.append(_key(b"".join([raw[i] for i in path]).decode("utf-8", "replace").replace(" ", MARK)) == word)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(rows, pa.binary()), pa.array(good, pa.bool_())], ["word", "ids", "good"])
 
-    return ids.mapInArrow(run, "word string, n long, ids binary")
+    return ids.mapInArrow(run, "word string, ids binary, good boolean")
+
+
+def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, words) to (bucket, block, codes, words): a block's words of one bucket, and their numbers in the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = [_key(w) for w in row["words"]]
+                bucket = np.array([zlib.crc32(k.encode()) % buckets for k in keys], np.int64)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    mine = order[a:b]
+                    cells = [pa.array([int(bucket[mine[0]])]), pa.array([row["block"]]), pa.array([_pack(mine.astype(np.int32))], pa.binary()), pa.array([[keys[i] for i in mine.tolist()]], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(cells, ["bucket", "block", "codes", "words"])
+
+    return blocks.mapInArrow(run, "bucket long, block long, codes binary, words array<string>")
+
+
+def _answers(requests: pa.Table, ids: pa.Table) -> pa.Table:
+    """One bucket's words to (block, codes, counts, flat, bad): how many ids each word has, all ids, and whether they fail to give the word back."""
+    known = dict(zip(ids.column("word").to_pylist(), zip(ids.column("ids").to_pylist(), ids.column("good").to_pylist(), strict=True), strict=True))
+    out = []
+    for row in requests.to_pylist():
+        found = [known[w] for w in row["words"]]
+        counts = np.array([len(x) // 4 for x, _ in found], np.int32)
+        bad = np.packbits([not good for _, good in found]).tobytes()
+        out.append((row["block"], row["codes"], _pack(counts), _pack(np.frombuffer(b"".join([x for x, _ in found]), np.int32)), bad))
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    columns = zip(*out, strict=True) if out else [()] * 5
+    return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("home", "codes", "counts", "flat", "bad"), columns, kinds, strict=True)})
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(id, text) to (id, ids, round_trip): round_trip tells whether decoding the ids gives the text back."""
-    spark: SparkSession = docs.sparkSession
     _, raw, zero = load(path)
-    blocks = cut(_blocks(docs))
-    long = F.when(F.length("word") > LONGEST, F.col("word"))
-    # no word has a line break before another character, so the digest of a long one is no word
-    entries = blocks.select("block", F.posexplode("words").alias("code", "word")).withColumn("long", long)
-    entries = entries.withColumn("word", F.when(F.col("long").isNull(), F.col("word")).otherwise(F.concat(F.lit("\n"), F.sha2("long", 256))))
+    blocks = cut(_blocks(docs, word_pattern(path)))
+    entries = blocks.select(F.explode("words").alias("word")).withColumn("long", F.when(F.length("word") > LONGEST, F.col("word")))
     size = entries.agg(F.count("*").alias("words"), F.sum(F.length("long")).alias("chars")).first()
-    # so many parts that the edges of a part's words are grouped in memory
-    dealt = entries.where("long is null").select("word").repartition(size["words"] // WORDS_PER_PART + 1, "word")
-    ids = encode_words(dealt, path)
+    # so many parts that the edges of a part's words fit in memory
+    parts = size["words"] // WORDS_PER_PART + 1
+    ids = encode_words(entries.where("long is null").select("word").repartition(parts, "word"), path).drop("n")
     if size["chars"]:
-        ids = ids.union(encode_long(entries.where("long is not null").select("word", "long"), size["chars"] // CHARS_PER_PART + 1, path))
-    before = spark.conf.get(IN_MEMORY)
-    spark.conf.set(IN_MEMORY, str(8 * WORDS_PER_PART))
-    try:
-        ids = cut(_packed(ids, zero))
-    finally:
-        spark.conf.set(IN_MEMORY, before)
-    found = join_counted(entries.select("block", "code", "word"), ids, "word", "n", ["block"]).select(F.col("block").alias("home"), "code", "ids")
-    lengths = np.array([len(x) for x in raw], np.int64)
-    pieces, begins = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths
+        long = entries.where("long is not null").select(F.concat(F.lit("\n"), F.sha2("long", 256)).alias("word"), "long")
+        ids = ids.union(encode_long(long, size["chars"] // CHARS_PER_PART + 1, path))
+    ids = cut(_packed(ids, raw, zero))
+    given = ids.withColumn("home", F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(parts)))
+    answers = cut(_requests(blocks.select("block", "words"), parts).groupBy("bucket").cogroup(given.groupBy("home")).applyInArrow(lambda left, right: _answers(left, right), "home long, codes binary, counts binary, flat binary, bad binary"))
+    drop(ids)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("code").to_numpy())
-        column = right.column("ids").take(pa.array(order)).combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
-        at, flat = (np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4, np.frombuffer(column.buffers()[2] or b"", "<i4")) if len(order) else (np.zeros(1, np.int64), np.empty(0, np.int32))
-        size = np.diff(at)
+        told = right.to_pylist()
+        codes = np.concatenate([_unpack(r["codes"]) for r in told]) if told else np.empty(0, np.int32)
+        counts = np.concatenate([_unpack(r["counts"]) for r in told]).astype(np.int64) if told else np.empty(0, np.int64)
+        flat = np.concatenate([_unpack(r["flat"]) for r in told]) if told else np.empty(0, np.int32)
+        bad = np.concatenate([np.unpackbits(np.frombuffer(r["bad"], np.uint8), count=len(_unpack(r["codes"]))) for r in told]) if told else np.empty(0, np.uint8)
+        place = np.empty(len(codes), np.int64)
+        place[codes] = np.arange(len(codes))
+        begins, sizes, bad = (np.cumsum(counts) - counts)[place], counts[place], bad[place]
         out = []
         for row in left.to_pylist():
-            words = [w.replace(MARK, " ").encode() for w in row["words"]]
-            # the words' bytes against their pieces' bytes, all at once
-            text, wide = b"".join(words), np.array([len(w) for w in words], np.int64)
-            own = np.add.reduceat(lengths[flat[at[0] : at[-1]]], at[:-1] - at[0]) if len(words) else wide
-            same = own == wide
-            if len(words) and same.all():
-                equal = np.frombuffer(text, np.uint8) == pieces[_ragged(begins[flat[at[0] : at[-1]]], lengths[flat[at[0] : at[-1]]])]
-                same = np.logical_and.reduceat(equal, np.cumsum(wide) - wide)
-            codes, counts = _unpack(row["codes"]), np.array(row["sizes"], np.int64)
-            ends = np.cumsum(np.maximum(counts, 0))
+            mine, words = _unpack(row["codes"]), np.array(row["sizes"], np.int64)
+            ends = np.cumsum(np.maximum(words, 0))
             first = 0
-            while first < len(counts):  # a bounded slice at a time
-                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 19), side="right")))
-                mine = codes[ends[first - 1] if first else 0 : ends[last - 1]]
-                each = np.maximum(counts[first:last], 0)
-                doc = np.repeat(np.arange(last - first), each)
-                tokens = np.bincount(doc, weights=size[mine], minlength=last - first).astype(np.int64)
-                bad = np.bincount(doc, weights=~same[mine], minlength=last - first) > 0
+            while first < len(words):  # a bounded slice at a time
+                start = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, start + (1 << 19), side="right")))
+                own = mine[start : ends[last - 1]]
+                doc = np.repeat(np.arange(last - first), np.maximum(words[first:last], 0))
+                tokens = np.bincount(doc, weights=sizes[own], minlength=last - first)
+                wrong = np.bincount(doc, weights=bad[own], minlength=last - first) > 0
                 offsets = np.concatenate([[0], np.cumsum(tokens)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[_ragged(at[mine], size[mine])].astype(np.int32)))
-                out.append(pa.table({"id": pa.array(row["ids"][first:last], pa.int64()), "ids": lists, "round_trip": pa.array(~bad)}))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[_ragged(begins[own], sizes[own])]))
+                out.append(pa.table({"id": pa.array(row["ids"][first:last], pa.int64()), "ids": lists, "round_trip": pa.array(~wrong)}))
                 first = last
         return pa.concat_tables(out)
 
-    return blocks.groupBy("block").cogroup(found.groupBy("home")).applyInArrow(finish, "id long, ids array<int>, round_trip boolean")
+    return blocks.select("block", "ids", "sizes", "codes").groupBy("block").cogroup(answers.groupBy("home")).applyInArrow(finish, "id long, ids array<int>, round_trip boolean")
 
 
 def _ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
