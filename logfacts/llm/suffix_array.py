@@ -305,10 +305,22 @@ class Block:
     def own(self) -> np.ndarray:
         return np.flatnonzero(self.offset < self.starts[self.chunk])
 
+    @property
+    def state(self) -> bytes:
+        """What the merged lists need of the levels: each sampled place's number of level 2 and each own start's bucket."""
+        return _pack(np.concatenate([self._level_2[1][self.long_at], self._bucket_at]).astype(np.int32))
+
+    def restore(self, state: bytes) -> Block:
+        both, long = _unpack(state, np.int32), len(self.long_at)
+        full = np.zeros(len(self.body), np.int64)
+        full[self.long_at] = both[:long]
+        self._level_2, self._bucket_at = (np.empty(0, np.int64), full), both[long:]
+        return self
+
     def strings(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """One merged list's distinct strings in order (bytes before and behind as one number, number of level 2, first place, count) and each start's own: -1 for starts not in the list."""
+        """One merged list's distinct strings in order (bytes before and behind as one number, number of level 2, bucket, count) and each start's own: -1 for starts not in the list."""
         d, at = self.depth, self.own
-        pick = np.flatnonzero(np.isin(self.kind[at], LISTS[number]))
+        pick = np.flatnonzero(self.kind[at] != WITHOUT[number])
         p = at[pick]
         front, back = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
         for j in range(number):
@@ -321,14 +333,32 @@ class Block:
         mine = np.full(len(at), -1, np.int64)
         mine[pick] = which
         low = (1 << behind) - 1
-        return (packed >> self.BITS + behind << behind) | (packed & low), packed >> behind & ((1 << self.BITS) - 1), p[some], count, mine
+        return (packed >> self.BITS + behind << behind) | (packed & low), packed >> behind & ((1 << self.BITS) - 1), self._bucket_at[pick[some]], count, mine
 
     def bucket(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bounds, _windows(self.body, at, BOUND), side="right").astype(np.int32)
-
+        """The ranges of the first bytes at those places: by eight of them, and by all where a bound has the same eight."""
+        head = _windows(self.body, at, 8).view(">u8").astype(np.uint64)
+        bound = np.array([int.from_bytes(x[:8].ljust(8, b"\0"), "big") for x in self.bounds.tolist()], np.uint64)
+        out = np.searchsorted(bound, head, side="right").astype(np.int32)
+        tied = np.flatnonzero(np.isin(head, bound))
+        out[tied] = np.searchsorted(self.bounds, _windows(self.body, at[tied], BOUND), side="right")
+        return out
 
-#: The merged lists: each holds two remainders, and ranks suffixes as many bytes on as its number says.
-LISTS = ((1, 2), (0, 1), (0, 2))
+    @cached_property
+    def _bucket_at(self) -> np.ndarray:
+        """The range of each own start."""
+        out = np.empty(len(self.own), np.int32)
+        plain = self.kind[self.own] == 0
+        out[plain] = self.bucket(self.own[plain])
+        _, bucket, number = self._level_1
+        out[~plain] = bucket[number[self.own[~plain]]]
+        return out
+
+
+#: The merged lists hold two remainders each, all but these, and rank suffixes as many bytes on as their numbers say.
+WITHOUT = (0, 2, 1)
+#: In place of a level and a bucket: a block's state, which goes along with its names. Its own bucket on the way is below.
+STATE = -1
 ASKED = "level long, bucket long, block long, a binary, b binary, c binary"
 
 
@@ -364,11 +394,17 @@ def _name_words(table: pa.Table, word: int) -> pa.Table:
 
 
 def _name_triples(table: pa.Table) -> pa.Table:
+    if table.column("level")[0].as_py() == STATE:
+        return _as_it_is(table)
     columns = [[_unpack(raw, np.uint64) for raw in table.column(c).to_pylist()] for c in ("a", "b", "c")]
     a, b, c = (np.concatenate(x) for x in columns)
     return _named(table, np.lexsort((c, b, a)), lambda order: (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]) | (c[order[1:]] != c[order[:-1]]), [len(x) for x in columns[0]])
 
 
+def _as_it_is(table: pa.Table) -> pa.Table:
+    return pa.table({"block": table.column("block"), "bucket": pa.array([STATE], pa.int64()), "names": table.column("a")})
+
+
 def _named(table: pa.Table, order: np.ndarray, differs, sizes: list[int]) -> pa.Table:  # noqa: ANN001
     """Equal keys of a bucket get equal names, in the order of the keys; the names of each block's keys as steps from one to the next."""
     bucket = table.column("bucket")[0].as_py()
@@ -383,7 +419,7 @@ NAMED = "block long, bucket long, names binary"
 
 def _given(table: pa.Table) -> np.ndarray:
     """A block's names in the order of its keys, from the buckets' answers."""
-    parts = sorted(zip(table.column("bucket").to_pylist(), table.column("names").to_pylist(), strict=True))
+    parts = sorted((k, x) for k, x in zip(table.column("bucket").to_pylist(), table.column("names").to_pylist(), strict=True) if k != STATE)
     return np.concatenate([np.cumsum(_unpack(raw, np.int64)) for _, raw in parts]).astype(np.uint64)
 
 
@@ -393,8 +429,9 @@ def _ask_triples(blocks: DataFrame, named: DataFrame, bounds: np.ndarray, length
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            names = _given(right)
-            a, b, c = (names[x] for x in Block(row, Depth(length), bounds).triples)
+            names, block = _given(right), Block(row, Depth(length), bounds)
+            a, b, c = (names[x] for x in block.triples)
+            out.append(_cells(STATE, STATE - 1 - row["block"], row["block"], block.state))
             out += [_cells(2, k, row["block"], *(_pack(x[s]) for x in (a, b, c))) for k, s in _slices((a >> K.U64(32)).astype(np.int64))]
         return pa.Table.from_batches(out)
 
@@ -406,8 +443,7 @@ def _ask_triples(blocks: DataFrame, named: DataFrame, bounds: np.ndarray, length
 
 def _by_bucket(block: Block, number: int) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
     """A list's strings (around, rank, count) dealt to buckets: these, their buckets, their order, and each start's own."""
-    around, long, first, count, mine = block.strings(number)
-    bucket = block.bucket(first)
+    around, long, bucket, count, mine = block.strings(number)
     order = np.argsort(bucket, kind="stable")
     return (around[order], long[order], count[order]), bucket[order], order, mine
 
@@ -416,7 +452,8 @@ def _ask_order(blocks: DataFrame, named: DataFrame, bounds: np.ndarray, length:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            names, block = _given(right), Block(row, Depth(length), bounds)
+            state = right.column("names")[right.column("bucket").to_pylist().index(STATE)].as_py()
+            names, block = _given(right), Block(row, Depth(length), bounds).restore(state)
             for number in range(3):
                 (around, long, count), bucket, _, _ = _by_bucket(block, number)
                 out += [_cells(number, k, row["block"], _pack(around[s].astype(np.uint32)), _pack(names[long[s]]), _pack(count[s])) for k, s in _slices(bucket)]
@@ -425,13 +462,20 @@ def _ask_order(blocks: DataFrame, named: DataFrame, bounds: np.ndarray, length:
     return blocks.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(run, ASKED)
 
 
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Each value's place among the distinct ones."""
+    return _distinct(x)[2].astype(np.uint64)
+
+
 def _compare(table: pa.Table, rest: int) -> pa.Table:
     """One list's bucket in suffix order: a string repeats if a neighbour's first bytes are the same, or if it has a count above 1."""
     columns = [[_unpack(raw, t) for raw in table.column(c).to_pylist()] for c, t in (("a", np.uint32), ("b", np.uint64), ("c", np.uint8))]
     around, rank, counts = (np.concatenate(x) for x in columns)
-    behind = np.uint32(8 * (rest - table.column("level")[0].as_py()))
-    front = (around.astype(np.uint64) >> behind).astype(np.uint32)
-    order = np.lexsort((around, rank, front))
+    around = around.astype(np.uint64)
+    behind = K.U64(8 * (rest - table.column("level")[0].as_py()))
+    # bytes before, rank and bytes behind as one number
+    front, back, low = around >> behind, around & np.uint64((1 << int(behind)) - 1), _dense(rank)
+    order = np.argsort(front << (behind + K.U64(32)) | low << behind | back)
     same = (rank[order[1:]] == rank[order[:-1]]) & (around[order[1:]] == around[order[:-1]])
     hit = counts[order] > 1
     hit[1:] |= same
@@ -449,7 +493,7 @@ def _repeated_starts(blocks: DataFrame, told: DataFrame, bounds: np.ndarray, len
         keys, runs = [], []
         flags_of = {(r["level"], r["bucket"]): r["flags"] for r in right.to_pylist()}
         for row in left.to_pylist():
-            block = Block(row, Depth(length), bounds)
+            block = Block(row, Depth(length), bounds).restore(flags_of[STATE, STATE])
             repeats = np.zeros(len(block.own), bool)
             for number in range(3):
                 _, bucket, order, mine = _by_bucket(block, number)
@@ -501,9 +545,9 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
     longer = cut(_ask_triples(blocks, named, bounds, length).groupBy("bucket").applyInArrow(_name_triples, NAMED))
     drop(named)
     told = cut(_ask_order(blocks, longer, bounds, length).groupBy("level", "bucket").applyInArrow(lambda t: _compare(t, rest), "block long, level long, bucket long, flags binary"))
-    drop(longer)
-    runs = cut(_repeated_starts(blocks, told, bounds, length).join(folded.select("key", "count"), "key"))
-    drop(blocks, told, folded)
+    states = longer.where(F.col("bucket") == STATE).select("block", F.col("bucket").alias("level"), "bucket", F.col("names").alias("flags"))
+    runs = cut(_repeated_starts(blocks, told.union(states), bounds, length).join(folded.select("key", "count"), "key"))
+    drop(blocks, longer, told, folded)
     found = join_counted(chunks.select("id", "mark", "at", "key"), runs, "key", "count", ["id", "mark", "at"])
     found = found.select("id", "mark", F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
     out = cut(found.distinct().groupBy("id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs")))
