@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfacts.llm.shared import cut, drop
+from logfacts.llm.shared import cut, cut_by, drop
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -203,9 +203,13 @@ def _numbers() -> defaultdict[str, int]:
     return defaultdict(count().__next__)
 
 
+BLOCKS = "kind int, block long, ids array<long>, sizes array<int>, codes binary, words array<string>"
+
+
 def _blocks(docs: DataFrame, pattern: re.Pattern) -> DataFrame:
-    """(id, text) to blocks (block, ids, sizes, codes, words): each text's number of words, -1 for a null one; all words' numbers in the block's distinct words."""
-    names = ["block", "ids", "sizes", "codes", "words"]
+    """(id, text) to two rows a block: of kind 0 with each text's number of words and all words' numbers, of kind 1 with the block's distinct words."""
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -214,9 +218,9 @@ def _blocks(docs: DataFrame, pattern: re.Pattern) -> DataFrame:
         ids, sizes, codes, known, held = [], [], [], _numbers(), 0
 
         def full() -> pa.RecordBatch:
-            flat = np.concatenate(codes) if codes else np.empty(0, np.int32)
-            cells = [pa.array([(part << 32) + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([_pack(flat)], pa.binary())]
-            return pa.RecordBatch.from_arrays([*cells, pa.array([list(known)], pa.list_(pa.string()))], names)
+            block = (part << 32) + made
+            rows = [(0, block, ids, sizes, _pack(np.concatenate(codes)), None), (1, block, None, None, None, list(known))]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
             for i, value in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
@@ -224,7 +228,7 @@ def _blocks(docs: DataFrame, pattern: re.Pattern) -> DataFrame:
                 words = split(text or "", pattern)
                 codes.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 ids.append(i)
-                sizes.append(len(words) if text is not None else -1)
+                sizes.append(len(words))
                 held += len(text or "")
                 if held >= BLOCK_BYTES:
                     yield full()
@@ -232,7 +236,7 @@ def _blocks(docs: DataFrame, pattern: re.Pattern) -> DataFrame:
         if ids:
             yield full()
 
-    return docs.select("id", "text").mapInArrow(run, "block long, ids array<long>, sizes array<int>, codes binary, words array<string>")
+    return docs.select("id", "text").mapInArrow(run, BLOCKS)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -261,29 +265,32 @@ def _packed(ids: DataFrame, raw: list[bytes], zero: int) -> DataFrame:
 
 
 def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, words) to (bucket, block, codes, words): a block's words of one bucket, and their numbers in the block."""
+    """(block, words) to (bucket, block, codes, sizes, words): a block's words of one bucket, and their numbers in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
-                keys = [_key(w) for w in row["words"]]
-                bucket = np.array([zlib.crc32(k.encode()) % buckets for k in keys], np.int64)
+                keys = [_key(w).encode() for w in row["words"]]
+                bucket = np.array([zlib.crc32(k) % buckets for k in keys], np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    mine = order[a:b]
-                    cells = [pa.array([int(bucket[mine[0]])]), pa.array([row["block"]]), pa.array([_pack(mine.astype(np.int32))], pa.binary()), pa.array([[keys[i] for i in mine.tolist()]], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(cells, ["bucket", "block", "codes", "words"])
+                    mine = sorted(order[a:b].tolist(), key=keys.__getitem__)
+                    sizes, words = np.array([len(keys[i]) for i in mine], np.int32), b"".join([keys[i] for i in mine])
+                    cells = [pa.array([int(bucket[mine[0]])]), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in (_pack(np.array(mine, np.int32)), _pack(sizes), squeeze.compress(words)))]
+                    yield pa.RecordBatch.from_arrays(cells, ["bucket", "block", "codes", "sizes", "words"])
 
-    return blocks.mapInArrow(run, "bucket long, block long, codes binary, words array<string>")
+    return blocks.mapInArrow(run, "bucket long, block long, codes binary, sizes binary, words binary")
 
 
 def _answers(requests: pa.Table, ids: pa.Table) -> pa.Table:
     """One bucket's words to (block, codes, counts, flat, bad): how many ids each word has, all ids, and whether they fail to give the word back."""
-    known = dict(zip(ids.column("word").to_pylist(), zip(ids.column("ids").to_pylist(), ids.column("good").to_pylist(), strict=True), strict=True))
+    known = dict(zip((w.encode() for w in ids.column("word").to_pylist()), zip(ids.column("ids").to_pylist(), ids.column("good").to_pylist(), strict=True), strict=True))
     out = []
     for row in requests.to_pylist():
-        found = [known[w] for w in row["words"]]
+        words, ends = zstandard.ZstdDecompressor().decompress(row["words"]), np.cumsum(_unpack(row["sizes"])).tolist()
+        found = [known[words[a:b]] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         counts = np.array([len(x) // 4 for x, _ in found], np.int32)
         bad = np.packbits([not good for _, good in found]).tobytes()
         out.append((row["block"], row["codes"], _pack(counts), _pack(np.frombuffer(b"".join([x for x, _ in found]), np.int32)), bad))
@@ -295,8 +302,8 @@ def _answers(requests: pa.Table, ids: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(id, text) to (id, ids, round_trip): round_trip tells whether decoding the ids gives the text back."""
     _, raw, zero = load(path)
-    blocks = cut(_blocks(docs, word_pattern(path)))
-    entries = blocks.select(F.explode("words").alias("word")).withColumn("long", F.when(F.length("word") > LONGEST, F.col("word")))
+    blocks, words = cut_by(_blocks(docs, word_pattern(path)), "kind", [0, 1])
+    entries = words.select(F.explode("words").alias("word")).withColumn("long", F.when(F.length("word") > LONGEST, F.col("word")))
     size = entries.agg(F.count("*").alias("words"), F.sum(F.length("long")).alias("chars")).first()
     # so many parts that the edges of a part's words fit in memory
     parts = size["words"] // WORDS_PER_PART + 1
@@ -306,8 +313,8 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
         ids = ids.union(encode_long(long, size["chars"] // CHARS_PER_PART + 1, path))
     ids = cut(_packed(ids, raw, zero))
     given = ids.withColumn("home", F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(parts)))
-    answers = cut(_requests(blocks.select("block", "words"), parts).groupBy("bucket").cogroup(given.groupBy("home")).applyInArrow(lambda left, right: _answers(left, right), "home long, codes binary, counts binary, flat binary, bad binary"))
-    drop(ids)
+    answers = cut(_requests(words.select("block", "words"), parts).groupBy("bucket").cogroup(given.groupBy("home")).applyInArrow(lambda left, right: _answers(left, right), "home long, codes binary, counts binary, flat binary, bad binary"))
+    drop(ids, words)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         told = right.to_pylist()
@@ -321,13 +328,13 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
         out = []
         for row in left.to_pylist():
             mine, words = _unpack(row["codes"]), np.array(row["sizes"], np.int64)
-            ends = np.cumsum(np.maximum(words, 0))
+            ends = np.cumsum(words)
             first = 0
             while first < len(words):  # a bounded slice at a time
                 start = int(ends[first - 1]) if first else 0
                 last = max(first + 1, int(np.searchsorted(ends, start + (1 << 19), side="right")))
                 own = mine[start : ends[last - 1]]
-                doc = np.repeat(np.arange(last - first), np.maximum(words[first:last], 0))
+                doc = np.repeat(np.arange(last - first), words[first:last])
                 tokens = np.bincount(doc, weights=sizes[own], minlength=last - first)
                 wrong = np.bincount(doc, weights=bad[own], minlength=last - first) > 0
                 offsets = np.concatenate([[0], np.cumsum(tokens)]).astype(np.int32)

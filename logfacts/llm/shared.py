@@ -27,15 +27,26 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read back from a Parquet table in the shared folder: ends the lineage, survives lost executors."""
+    return cut_by(df, None, [None])[0]
+
+
+def cut_by(df: DataFrame, column: str | None, values: list) -> list[DataFrame]:
+    """The rows of each value of a column, which itself is left out, as tables of their own that one job has written."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(column) if column else writer).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    reader = spark.read.schema(df.drop(column).schema if column else df.schema)
+    paths = [f"{path}/{column}={v}" if column else path for v in values]
+    for x in paths:  # a value without rows has no folder
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+    return [reader.parquet(x) for x in paths]
 
 
 def drop(*tables: DataFrame) -> None:
