@@ -5,9 +5,8 @@ buckets. A bucket's value is its share of the text's n-grams times its inverse d
 with follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties, so most weights are exactly zero), and a
 temperature fitted on documents kept aside makes the winning probability an honest score.
 
-The model is fitted on at most ``max_rows`` labelled texts, the ones with the smallest hash of their id, of each at
-most the first ``fit_chars`` characters; scoring reads every text whole. Spark finds the sample; the fit itself sees
-max_rows x fit_chars characters at most, whatever the size of the input.
+The model is fitted on the whole texts of at most ``max_rows`` labelled rows, the ones with the smallest hash of their
+id, whatever the size of the input; so a language of fewer than about one in ``max_rows`` documents may have no example.
 
 Rows: a null text, or one without a letter, gets ``und`` and score 0; rows with a null label are not learned from; if
 nothing can be learned from, every text gets ``und``. Other columns are ignored. Ties go to the label first in order.
@@ -132,14 +131,14 @@ def _loss(logits: np.ndarray, target: np.ndarray) -> float:
     return float(np.mean(np.log(np.exp(logits - top).sum(axis=1)) + top[:, 0] - logits[np.arange(len(target)), target]))
 
 
-def train(labelled: DataFrame, max_rows: int = 4000, fit_chars: int = 4000) -> Model | None:
-    """(id, text, lang) to a model; rows without a text or label are left out."""
+def train(labelled: DataFrame, max_rows: int = 2500) -> Model | None:
+    """(id, text, lang) to a model fitted on the whole texts of ``max_rows`` rows at most; rows without a text or label are left out."""
     rows = labelled.where("text is not null and lang is not null and text rlike '\\\\p{L}'")
     rows = rows.select(F.xxhash64("id", F.lit(5)).alias("h"), "id", "lang", "text")
     keep = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h").alias("last")).first()["last"]
     if keep is None:
         return None
-    sample = rows.where(F.col("h") <= keep).select("h", "lang", F.substring("text", 1, fit_chars).alias("text")).orderBy("h").limit(max_rows).collect()
+    sample = rows.where(F.col("h") <= keep).select("h", "lang", "text").orderBy("h", "text").limit(max_rows).collect()
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

@@ -16,6 +16,7 @@ learned from; if nothing can be learned from, scores are 0. Several label rows o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -93,19 +94,14 @@ def predict(model: Model, column: pa.Array) -> np.ndarray:
 
 def counterfactuals(texts: list[str], terms: tuple[str, ...] | list[str], each: int = 2) -> tuple[list[str], list[int]]:
     """For each text ``each`` variants with other identity terms, and which text each one belongs to."""
-    known = {t: i for i, t in enumerate(terms)}
+    known = {t.lower(): i for i, t in enumerate(terms)}
+    mention = re.compile(r"(?<![^\W\d_])(?:" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")(?![^\W\d_])", re.IGNORECASE)
     out, of = [], []
     for i, text in enumerate(texts):
-        parts = text.split(" ")
-        places = [j for j, w in enumerate(parts) if w.lower() in known]
         for k in range(1, each + 1):
-            if places:
-                swapped = parts.copy()
-                for j in places:
-                    swapped[j] = terms[(known[parts[j].lower()] + k * (i + 1)) % len(terms)]
-                out.append(" ".join(swapped))
-            else:
-                out.append(f"{terms[(i * each + k) % len(terms)]} {text}")
+            shift = 1 + (k * (i + 1) - 1) % max(1, len(terms) - 1)  # never back to the same term
+            swapped, times = mention.subn(lambda m: terms[(known[m[0].lower()] + shift) % len(terms)], text)  # noqa: B023
+            out.append(swapped if times else f"{terms[(i * each + k) % len(terms)]} {text}")
             of.append(i)
     return out, of
 
@@ -194,8 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model | N
     part = [marked.where(F.col("toxic") == t).orderBy("h").limit(max_rows // 2) for t in (0, 1)]
     picked = part[0].union(part[1])
     docs = docs.where("text is not null")
-    rows = docs.join(F.broadcast(picked), "id").select("h", "id", "toxic", "text").limit(2 * max_rows)
-    rows = cut(rows.distinct()).orderBy("h", "id", "toxic", "text")
+    rows = docs.join(F.broadcast(picked), "id").select("h", "id", "toxic", "text")
+    rows = cut(rows.distinct().orderBy("h", "id", "toxic", "text").limit(2 * max_rows)).orderBy("h", "id", "toxic", "text")
     toxic = [r["toxic"] for r in rows.select("toxic").collect()]
     all_rows = {r["toxic"]: r["n"] for r in docs.select("id").join(marked, "id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     each = {t: all_rows[t] / toxic.count(t) for t in set(toxic)}
