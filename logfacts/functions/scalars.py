@@ -105,7 +105,10 @@ def clean_list(text: Column) -> Column:
 
 
 def masked_key(key: Column) -> Column:
-    return F.when(F.length(key) <= 8, F.repeat(F.lit("*"), F.length(key))).otherwise(F.concat(F.substring(key, 1, 4), F.lit("****"), F.right(key, F.lit(4))))
+    """What may be shown of a key: nothing of up to four characters, two and two of up to eight, four and four of longer ones."""
+    n = F.length(key)
+    ends = lambda k, stars: F.concat(F.lit("sk-"), F.substring(key, 1, k), F.lit("*" * stars), F.right(key, F.lit(k)))
+    return F.when(n <= 4, F.repeat(F.lit("*"), n)).when(n <= 8, ends(2, 4)).otherwise(ends(4, 10))
 
 
 def provider(model: Column) -> Column:
@@ -121,16 +124,42 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
 
 
+#: Routes and methods that are reported by name.
+ROUTES = ("/v1/chat/completions", "/v1/responses", "/v1/messages", "/v1/models", "/api/status")
+METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
+
+
 def route(path: Column) -> Column:
-    """API routes keep two steps below the version, others one."""
-    plain = F.regexp_extract(path, r"^([^?#]*)", 1)
-    return F.when(plain.startswith("/v1/"), F.regexp_extract(plain, r"^(/v1/[^/]*(?:/[^/]*)?)", 1)).otherwise(F.regexp_extract(plain, r"^(/[^/]*)", 1))
+    """One of a closed list of routes; a null path is ``/other``."""
+    plain = F.trim(F.substring_index(F.coalesce(path, F.lit("")), "?", 1))
+    return F.when(plain.isin(*ROUTES), plain).when(plain.startswith("/v1/"), "/v1/*").when(plain.startswith("/api/"), "/api/*").otherwise("/other")
+
+
+def method(name: Column) -> Column:
+    upper = F.upper(F.trim(name))
+    return F.when(upper.isin(*METHODS), upper).otherwise("OTHER")
+
+
+def first_number(text: Column) -> Column:
+    """The number before the first comma; 0 if there is none, null if it is no finite number."""
+    first = F.trim(F.substring_index(F.coalesce(text, F.lit("")), ",", 1))
+    return F.when(first.isin("", "-"), 0.0).otherwise(finite(first.try_cast("double")))
+
+
+def finite(x: Column) -> Column:
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+def has_attempts(chain: Column) -> Column:
+    """Whether a chain of attempts such as ``0.1, 0.2 : 0.3`` is there at all."""
+    return ~F.coalesce(chain, F.lit("")).isin("", "-")
 
 
 def last_number(chain: Column) -> Column:
-    """The last attempt's number of a chain such as ``0.1, 0.2 : 0.3``; null if it is none."""
-    parts = F.filter(F.transform(F.split(chain, "[,:]"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.get(parts, F.size(parts) - 1).try_cast("double")
+    """The last attempt's number; null if any attempt, as one without a number among others, is none."""
+    parts = F.transform(F.filter(F.split(chain, "[,:]"), lambda x: x != ""), lambda x: F.trim(x).try_cast("double"))
+    whole = (F.size(parts) > 0) & F.forall(parts, lambda x: x.isNotNull())
+    return F.when(whole, finite(F.get(parts, F.size(parts) - 1)))
 
 
 def band(share: Column) -> Column:

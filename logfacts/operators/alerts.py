@@ -14,8 +14,9 @@ def rule(cost_usd: float = 5.0, least: int = 5, rate: float = 8.0) -> Column:
     return F.when(F.col("anomaly_cost_usd") >= cost_usd, "anomaly_billed").when(few, "").when(F.col("anomaly_rate") >= rate, "anomaly_rate").when(F.coalesce("burst", F.lit(False)), "anomaly_burst").otherwise("")
 
 
-def error_rule(least: int = 10, rate: float = 20.0, burst: int = 10) -> Column:
-    return F.when(F.col("failed") >= burst, "error_burst").when((F.col("total") >= least) & (F.col("error_rate") >= rate), "error_rate").otherwise("")
+def error_rule(least: int = 5, rate: float = 20.0, burst: int = 10) -> Column:
+    """A burst of errors first; a rate counts from ``least`` failed requests on."""
+    return F.when(F.col("failed") >= burst, "error_burst").when((F.col("failed") >= least) & (F.col("error_rate") >= rate), "error_rate").otherwise("")
 
 
 def category(kind: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logfacts.functions import scalars as S
 
+#: The outcomes that clients report.
 OUTCOMES = ("succeeded", "client_timeout", "transport_failure", "protocol_failure", "semantic_failure", "user_cancelled")
 
 
@@ -30,12 +31,13 @@ def outcomes(events: DataFrame) -> DataFrame:
 
 
 def cohort(events: DataFrame, least: int = 20) -> DataFrame:
-    """Coverage and success of the started requests; the rate counts only with enough clear outcomes."""
+    """Coverage and success of the started requests; sufficient with enough of them started and clear, 95 % covered, no conflict and no orphan."""
     rows = outcomes(events)
     clear = (F.col("kinds") == 1) & (F.col("cancelled") == 0)
     n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
     sums = rows.agg(F.count("*").alias("started"), n(F.col("kinds").isNotNull()).alias("reported"), n(F.col("kinds") > 1).alias("conflicts"), n(F.col("cancelled") == 1).alias("cancelled"), n(clear).alias("judged"), n(clear & (F.col("ok") == 1)).alias("succeeded"))
-    return sums.withColumns({"coverage": S.rate_or_null(F.col("reported"), F.col("started")), "success_rate": S.rate_or_null(F.col("succeeded"), F.col("judged")), "sufficient": F.col("judged") >= least})
+    return sums.withColumns({"coverage": S.rate_or_null(F.col("reported"), F.col("started")), "success_rate": S.rate_or_null(F.col("succeeded"), F.col("judged"))}).crossJoin(orphans(events).select(F.col("events").alias("orphans"))).withColumn(
+        "sufficient", (F.col("started") >= least) & (F.col("judged") >= least) & F.coalesce(F.col("coverage") >= 95, F.lit(False)) & (F.col("conflicts") == 0) & (F.col("orphans") == 0))  # one row each
 
 
 def orphans(events: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def anchors(watermarks: DataFrame, finalized: int, window: int = 900) -> DataFrame:
-    """(user_id, anchor_quota): the first counter reading in the window after the finalised moment."""
-    inside = watermarks.where((F.col("captured_at") >= finalized) & (F.col("captured_at") < finalized + window))
+    """(user_id, anchor_quota): the first counter reading from the finalised moment to the window's last second; where there is a column ``exists``, of users that still do."""
+    inside = watermarks.where(F.col("captured_at").between(finalized, finalized + window))
+    inside = inside.where("exists") if "exists" in watermarks.columns else inside
     return inside.groupBy("user_id").agg(F.min_by("used_quota", "captured_at").alias("anchor_quota"))
 
 

@@ -17,10 +17,10 @@ def s4_channels(spark, d):
     return T.channels(spark, d)
 
 
-@query("SELECT c_custkey AS id, c_name AS username, CASE WHEN c_custkey % 2 = 0 THEN repeat('*', 8) ELSE left(c_name, 4) || '****' || right(c_name, 4) END AS masked FROM customer")
+@query("SELECT c_custkey AS id, c_name AS username, CASE c_custkey % 4 WHEN 0 THEN '***' WHEN 2 THEN 'sk-12****78' ELSE 'sk-' || left(c_name, 4) || '**********' || right(c_name, 4) END AS masked FROM customer")
 def s5_profiles(spark, d):
     c = T.read(spark, d, "customer")
-    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), S.masked_key(F.when(F.col("c_custkey") % 2 == 0, "12345678").otherwise(F.col("c_name"))).alias("masked"))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), S.masked_key(F.when(F.col("c_custkey") % 4 == 0, "123").when(F.col("c_custkey") % 4 == 2, "12345678").otherwise(F.col("c_name"))).alias("masked"))
 
 
 @query(T.LOGS + f""", t AS (SELECT unnest(range({SINCE}, {SINCE + 86400}, 3600)) AS hour_ts), s AS (SELECT created_at // 3600 * 3600 AS hour_ts, count(*) AS n, sum(k) AS tk, sum(quota) AS q FROM logs WHERE k % 40 = 0 AND created_at >= {SINCE} AND created_at < {SINCE + 86400} GROUP BY 1)
@@ -73,10 +73,13 @@ def q7_publishable(spark, d):
     return upstream.publishable(rows, 5, 1, "e", 100)
 
 
-@query(EDGE + ", v AS (SELECT *, count > 0 AND status BETWEEN 100 AND 599 AND time_max_ms <= time_sum_ms AND time_sum_ms <= time_max_ms * count AND with_id <= count AS valid FROM edge) SELECT valid, count(*) AS n FROM v GROUP BY 1")
+@query(EDGE + f""", v AS (SELECT bucket_ts, node, route, method, status, upstream_status, bucket_ts BETWEEN {NOW - 8 * 86400} AND {NOW + 300} AND bucket_ts % 420 <> 0 AND bucket_ts % 660 <> 0 AND NOT (bucket_ts % 780 = 0 AND upstream_sum_ms > 0) AND bucket_ts % 1020 <> 0 AS valid FROM edge)
+SELECT * FROM v""")
 def p16_valid_samples(spark, d):
     rows = edge.minutes(edge.parse(_lines(spark, d)))
-    return rows.groupBy(edge.valid_sample().alias("valid")).agg(F.count("*").alias("n"))
+    t = F.col("bucket_ts")
+    faults = {"time_max_ms": F.when(t % 420 == 0, F.col("time_sum_ms") + 1).otherwise(F.col("time_max_ms")), "with_id": F.when(t % 660 == 0, F.col("count") + 1).otherwise(F.col("with_id")), "upstream_count": F.when(t % 780 == 0, 0).otherwise(F.col("upstream_count")), "bytes_sent": F.when(t % 1020 == 0, -1).otherwise(F.col("bytes_sent"))}
+    return rows.withColumns(faults).select("bucket_ts", "node", "route", "method", "status", "upstream_status", edge.valid_sample(NOW).alias("valid"))
 
 
 @query(EV + f" SELECT event_id FROM e WHERE occurred_at_ms <= {NOW * 1000}")
@@ -219,11 +222,12 @@ def r2_final_minutes(spark, d):
     return minutes.crossJoin(newest).where("bucket_ts + 60 <= newest - 600").drop("newest")
 
 
-@query(T.LOGS + ", " + T.REJECTIONS + " SELECT bucket_ts, node, substr(reason, 1, 64) AS reason, model, grp, count FROM rejections WHERE reason <> ''")
+@query(T.LOGS + ", " + T.REJECTIONS + " SELECT bucket_ts, node, substr(reason, 1, 64) AS reason, model, grp, count FROM rejections WHERE reason <> 'reason-3' AND bucket_ts % 7 <> 0")
 def p18_clean_rejections(spark, d):
     from logfacts.sources.tables import clean_rejections
 
     rows = T.rejections(spark, d).withColumn("count", F.col("count").cast("int"))
+    rows = rows.withColumns({"model": F.when(F.col("bucket_ts") % 7 == 0, "").otherwise(F.col("model")), "reason": F.when(F.col("reason") != "reason-3", F.col("reason"))})
     return clean_rejections(rows)
 
 

@@ -217,7 +217,7 @@ def a31_freshness(spark, d):
 
 @query(T.MINUTES + f""", s AS (SELECT CAST(channel_id AS VARCHAR) AS key, {sums(*T.MEASURES)} FROM minutes WHERE bucket_ts >= {SINCE} GROUP BY ALL)
 SELECT key, CASE WHEN anomaly_quota / 500000.0 >= 1 THEN 'anomaly_billed' WHEN anomaly < 5 THEN '' WHEN anomaly * 100.0 / (success + anomaly + failed) >= 8 THEN 'anomaly_rate' ELSE '' END AS rule,
-  CASE WHEN failed >= 10 THEN 'error_burst' WHEN success + anomaly + failed >= 10 AND failed * 100.0 / (success + anomaly + failed) >= 20 THEN 'error_rate' ELSE '' END AS error_rule FROM s""")
+  CASE WHEN failed >= 10 THEN 'error_burst' WHEN failed >= 5 AND failed * 100.0 / (success + anomaly + failed) >= 20 THEN 'error_rate' ELSE '' END AS error_rule FROM s""")
 def r6_alert_rules(spark, d):
     rows = kpi.top(_minutes(spark, d), "channel_id", SINCE, 864000).withColumn("burst", F.lit(False))
     return rows.select("key", alerts.rule(cost_usd=1.0).alias("rule"), alerts.error_rule().alias("error_rule"))
@@ -648,13 +648,19 @@ def f27_beats(spark, d):
 def _lines(spark, d):
     e = T.logs(spark, d)
     k = F.col("k")
-    line = F.to_json(F.struct(F.col("created_at").cast("double").alias("ts"), F.lit("get").alias("method"), F.concat(F.lit("/v1/chat/m"), (k % 4).cast("string"), F.lit("?x=1")).alias("uri"), F.when(k % 17 == 0, "bad").otherwise((200 + k % 4 * 100).cast("string")).alias("status"), (k / 100).cast("string").alias("request_time"), F.concat(F.lit("502, "), (200 + k % 4 * 100).cast("string")).alias("upstream_status"), F.when(k % 3 == 0, "-").otherwise(F.concat(F.lit("0.5 : "), (k / 200).cast("string"))).alias("upstream_response_time"), F.when(k % 2 == 0, "").otherwise("r").alias("request_id"), (k * 10).cast("string").alias("bytes_sent")))
+    code = (200 + k % 4 * 100).cast("string")
+    path = F.when(k % 4 == 0, "/v1/chat/completions?x=1").when(k % 4 == 1, "/v1/embeddings").when(k % 4 == 2, "/api/user/self").otherwise("/index.html")
+    line = F.to_json(F.struct(
+        F.col("created_at").cast("double").alias("ts"), (F.col("created_at") + 5000).alias("msec"), F.when(k % 5 == 0, "brew").otherwise("get").alias("method"), path.alias("path"), F.lit("/v1/models").alias("uri"), F.when(k % 17 == 0, "bad").otherwise(code).alias("status"),
+        (k / 1600).cast("string").alias("request_time"), F.when(k % 13 == 0, "502, -").when(k % 11 == 0, "-").otherwise(F.concat(F.lit("502, "), code)).alias("upstream_status"), F.when(k % 3 == 0, "-").otherwise(F.concat(F.lit("0.5 : "), (k / 200).cast("string"))).alias("upstream_response_time"),
+        F.when(k % 2 == 0, "-").otherwise("r").alias("request_id"), F.when(k % 19 == 0, "17179869185").otherwise((k * 10).cast("string")).alias("bytes_sent")))
     return e.select(F.concat(F.lit("node-"), (F.col("user_id") % 3).cast("string")).alias("node"), line.alias("line")).unionByName(spark.createDataFrame([("node-0", "no json"), ("node-0", None)], "node string, line string"))
 
 
-EDGE = T.LOGS + """, edge AS (SELECT created_at // 60 * 60 AS bucket_ts, 'node-' || (user_id % 3) AS node, '/v1/chat/m' || (k % 4) AS route, 'GET' AS method, CAST(200 + k % 4 * 100 AS INTEGER) AS status, CAST(200 + k % 4 * 100 AS INTEGER) AS upstream_status, count(*) AS count,
-  CAST(sum(trunc(CAST(CAST(k / 100 AS VARCHAR) AS DOUBLE) * 1000)) AS BIGINT) AS time_sum_ms, CAST(max(trunc(CAST(CAST(k / 100 AS VARCHAR) AS DOUBLE) * 1000)) AS BIGINT) AS time_max_ms, CAST(coalesce(sum(trunc(CAST(CAST(k / 200 AS VARCHAR) AS DOUBLE) * 1000)) FILTER (WHERE k % 3 <> 0), 0) AS BIGINT) AS upstream_sum_ms,
-  count(*) FILTER (WHERE k % 3 <> 0) AS upstream_count, CAST(sum(k * 10) AS BIGINT) AS bytes_sent, count(*) FILTER (WHERE k % 2 = 1) AS with_id FROM logs WHERE k % 17 <> 0 GROUP BY ALL)"""
+EDGE = T.LOGS + """, edge AS (SELECT created_at // 60 * 60 AS bucket_ts, 'node-' || (user_id % 3) AS node, CASE k % 4 WHEN 0 THEN '/v1/chat/completions' WHEN 1 THEN '/v1/*' WHEN 2 THEN '/api/*' ELSE '/other' END AS route, CASE WHEN k % 5 = 0 THEN 'OTHER' ELSE 'GET' END AS method,
+  CAST(200 + k % 4 * 100 AS INTEGER) AS status, CASE WHEN k % 11 = 0 THEN 0 ELSE CAST(200 + k % 4 * 100 AS INTEGER) END AS upstream_status, count(*) AS count,
+  CAST(sum(round(k / 1600 * 1000)) AS BIGINT) AS time_sum_ms, CAST(max(round(k / 1600 * 1000)) AS BIGINT) AS time_max_ms, CAST(coalesce(sum(round(k / 200 * 1000)) FILTER (WHERE k % 3 <> 0), 0) AS BIGINT) AS upstream_sum_ms,
+  count(*) FILTER (WHERE k % 3 <> 0) AS upstream_count, CAST(sum(k * 10) AS BIGINT) AS bytes_sent, count(*) FILTER (WHERE k % 2 = 1) AS with_id FROM logs WHERE k % 17 <> 0 AND k % 13 <> 0 AND k % 19 <> 0 GROUP BY ALL)"""
 
 
 @query(EDGE + " SELECT * FROM edge")
@@ -667,11 +673,15 @@ def a36_edge_report(spark, d):
     return rounded(edge.report(edge.minutes(edge.parse(_lines(spark, d))), "node"))
 
 
-@query(T.LOGS + """, t AS (SELECT 'node-' || (user_id % 7) AS node, max(created_at) AS last FROM logs GROUP BY 1) SELECT node, {0} - last + 300 * CAST(right(node, 1) AS BIGINT) AS age, CASE WHEN {0} - last + 300 * CAST(right(node, 1) AS BIGINT) > 600 THEN 'bad' WHEN {0} - last + 300 * CAST(right(node, 1) AS BIGINT) > 180 OR node = 'node-1' THEN 'warn' ELSE 'ok' END AS state,
-  concat_ws(',', CASE WHEN {0} - last + 300 * CAST(right(node, 1) AS BIGINT) > 600 THEN 'no ingest' WHEN {0} - last + 300 * CAST(right(node, 1) AS BIGINT) > 180 THEN 'late' END, CASE WHEN node = 'node-1' THEN 'backlog' END) AS reasons FROM t""".replace("{0}", "1706659200"))
+@query(T.LOGS + """, t AS (SELECT 'node-' || (user_id % 7) AS node, max(created_at) - 300 * (user_id % 7) AS last FROM logs GROUP BY user_id % 7), s AS (SELECT node, {0} - last AS age, node IN ('node-1', 'node-2') AS held, node = 'node-1' AS large, node = 'node-2' AS broken, node = 'node-0' AS lost FROM t)
+SELECT node, age, CASE WHEN age > 900 THEN 'bad' WHEN age > 180 OR large OR broken OR lost THEN 'warn' ELSE 'ok' END AS state,
+  concat_ws(',', CASE WHEN age > 180 THEN 'heartbeat_stale' END, CASE WHEN large THEN 'backlog_large' END, CASE WHEN held AND age + 60 > 180 THEN 'event_lag_with_backlog' END, CASE WHEN broken THEN 'recent_cursor_discontinuity' END, CASE WHEN lost THEN 'recent_discarded_lines' END) AS reasons FROM s""".replace("{0}", "1706659200"))
 def r5_source_health(spark, d):
-    states = T.logs(spark, d).groupBy(F.concat(F.lit("node-"), (F.col("user_id") % 7).cast("string")).alias("node")).agg(F.max("created_at").alias("last"))
-    states = states.select("node", (F.col("last") - 300 * F.right("node", F.lit(1)).cast("long")).alias("last_ingest_ts"), F.when(F.col("node") == "node-1", 1 << 30).otherwise(0).alias("backlog_bytes"), F.lit(0).alias("cursor_discontinuities"))
+    n = F.col("user_id") % 7
+    states = T.logs(spark, d).groupBy(n.alias("n")).agg((F.max("created_at") - 300 * F.first(n)).alias("last_ingest_ts"))
+    states = states.select(
+        F.concat(F.lit("node-"), F.col("n").cast("string")).alias("node"), "last_ingest_ts", (F.col("last_ingest_ts") - 60).alias("last_event_ts"), F.when(F.col("n") == 1, 1 << 30).when(F.col("n") == 2, 1).when(F.col("n") == 3, 0).alias("backlog_bytes"),
+        F.when(F.col("n") == 2, 1706659200 - 900).when(F.col("n") == 3, 1706659200 - 901).otherwise(0).alias("last_cursor_discontinuity_at"), F.when(F.col("n") == 0, 1706659200).alias("last_discarded_at"))
     return edge.source_health(states, 1706659200)
 
 
@@ -691,11 +701,21 @@ j AS (SELECT st.trace, st.logical, kinds, ok, cancelled FROM st LEFT JOIN oc ON
 
 
 @query(EV + """ SELECT count(*) AS started, count(kinds) AS reported, count(*) FILTER (WHERE kinds > 1) AS conflicts, count(*) FILTER (WHERE cancelled) AS cancelled, count(*) FILTER (WHERE kinds = 1 AND NOT cancelled) AS judged, count(*) FILTER (WHERE kinds = 1 AND NOT cancelled AND ok) AS succeeded,
-  round(count(kinds) * 100.0 / count(*), 6) AS coverage, round(count(*) FILTER (WHERE kinds = 1 AND NOT cancelled AND ok) * 100.0 / nullif(count(*) FILTER (WHERE kinds = 1 AND NOT cancelled), 0), 6) AS success_rate, count(*) FILTER (WHERE kinds = 1 AND NOT cancelled) >= 20 AS sufficient FROM j""")
+  round(count(kinds) * 100.0 / count(*), 6) AS coverage, round(count(*) FILTER (WHERE kinds = 1 AND NOT cancelled AND ok) * 100.0 / nullif(count(*) FILTER (WHERE kinds = 1 AND NOT cancelled), 0), 6) AS success_rate, (SELECT count(*) FROM e WHERE event_type = 'request_outcome' AND trace NOT IN (SELECT trace FROM st)) AS orphans,
+  count(*) >= 20 AND count(*) FILTER (WHERE kinds = 1 AND NOT cancelled) >= 20 AND count(kinds) * 100.0 / count(*) >= 95 AND count(*) FILTER (WHERE kinds > 1) = 0 AND (SELECT count(*) FROM e WHERE event_type = 'request_outcome' AND trace NOT IN (SELECT trace FROM st)) = 0 AS sufficient FROM j""")
 def a39_cohort(spark, d):
     return rounded(evidence.cohort(_evidence(spark, d)))
 
 
+@query(T.LOGS + """ SELECT count(*) AS started, count(*) FILTER (WHERE id % 50 <> 0) AS reported, CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS cancelled, count(*) FILTER (WHERE id % 50 <> 0) AS judged, count(*) FILTER (WHERE id % 50 <> 0 AND k % 4 <> 0) AS succeeded,
+  round(count(*) FILTER (WHERE id % 50 <> 0) * 100.0 / count(*), 6) AS coverage, round(count(*) FILTER (WHERE id % 50 <> 0 AND k % 4 <> 0) * 100.0 / count(*) FILTER (WHERE id % 50 <> 0), 6) AS success_rate, CAST(0 AS BIGINT) AS orphans, count(*) FILTER (WHERE id % 50 <> 0) * 100.0 / count(*) >= 95 AS sufficient FROM logs WHERE type = 2""")
+def a39_sound_cohort(spark, d):
+    rows = T.logs(spark, d).where("type = 2").select(F.col("id").cast("string").alias("trace"), F.col("id").cast("string").alias("logical"), F.lit(0).alias("retry"), F.col("created_at").alias("occurred_at_ms"), "id", "k")
+    begun = rows.withColumns({"event_type": F.lit("request_started"), "outcome": F.lit(None).cast("string")})
+    done = rows.where("id % 50 <> 0").withColumns({"event_type": F.lit("request_outcome"), "outcome": F.when(F.col("k") % 4 == 0, "client_timeout").otherwise("succeeded")})
+    return rounded(evidence.cohort(begun.unionByName(done)))
+
+
 @query(EV + " SELECT count(*) AS events, count(DISTINCT trace) AS traces FROM e WHERE event_type = 'request_outcome' AND trace NOT IN (SELECT trace FROM st)")
 def j10_orphans(spark, d):
     return evidence.orphans(_evidence(spark, d))

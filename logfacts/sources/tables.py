@@ -41,7 +41,7 @@ def retained(rows: DataFrame, time: str, cutoff: int) -> DataFrame:
 def clean_rejections(rows: DataFrame) -> DataFrame:
     """Complete rows only, to the minute, texts cut to their longest."""
     text = lambda c, n: F.substring(F.trim(c), 1, n).alias(c)
-    rows = rows.where("bucket_ts > 0 and count > 0 and trim(coalesce(reason, '')) <> ''")
+    rows = rows.where("bucket_ts > 0 and count > 0 and reason <> '' and model <> ''")
     return rows.select((F.col("bucket_ts") - F.col("bucket_ts") % 60).alias("bucket_ts"), "node", text("reason", 64), text("model", 128), text("grp", 64), "count")
 
 

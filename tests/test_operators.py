@@ -156,9 +156,10 @@ def test_evidence_conflicts_orphans_retries(spark):
 
 
 def test_edge_lines(spark):
-    lines = [("n", '{"msec":61.5,"request_method":"get","path":"/v1/chat/completions?x=1","status":200,"request_time":"0.25","upstream_status":"502, 200","upstream_response_time":"0.1, 0.2 : 0.3","bytes_sent":10,"request_id":"r"}'), ("n", '{"ts":70,"method":"GET","uri":"/x/y","status":"abc"}'), ("n", "junk"), ("n", None)]
+    lines = [("n", '{"msec":61.5,"request_method":"get","path":"/v1/chat/completions?x=1","status":200,"request_time":"0.25","upstream_status":"502, 200","upstream_response_time":"0.1, 0.2 : 0.3","bytes_sent":10,"request_id":"r"}'), ("n", '{"ts":70,"method":"GET","uri":"/x/y","status":"abc"}'), ("n", '{"ts":70,"status":200,"upstream_status":"502, -"}'), ("n", '{"ts":"70","status":200,"upstream_status":"99"}'), ("n", '{"ts":70,"status":200,"request_time":86401}'), ("n", '{"ts":200,"msec":70,"status":"204","request_time":0.0006,"method":"brew","uri":"/a","upstream_status":"-","upstream_response_time":"0.000","request_id":"-"}'), ("n", "junk"), ("n", None)]
     got = edge.minutes(edge.parse(spark.createDataFrame(lines, "node string, line string"))).collect()
-    assert [(r.bucket_ts, r.route, r.status, r.upstream_status, r.time_sum_ms, r.upstream_sum_ms, r.with_id) for r in got] == [(60, "/v1/chat/completions", 200, 200, 250, 300, 1)]
+    assert [(r.bucket_ts, r.route, r.status, r.upstream_status, r.time_sum_ms, r.upstream_sum_ms, r.with_id) for r in sorted(got, key=lambda r: r.bucket_ts)] == [(60, "/v1/chat/completions", 200, 200, 250, 300, 1), (180, "/other", 204, 0, 1, 0, 0)]
+    assert {(r.method, r.upstream_count) for r in got} == {("GET", 1), ("OTHER", 1)}
 
 
 def test_snapshot_and_finance_and_domains(spark):
