@@ -248,6 +248,11 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view(np.int32).ravel() if raw else np.empty(0, np.int32)
 
 
+def _width(raw: list[bytes]) -> str:
+    """Bytes of an id on its way."""
+    return "<u2" if len(raw) <= 1 << 16 else "<i4"
+
+
 def _packed(ids: DataFrame, raw: list[bytes], zero: int) -> DataFrame:
     """(word, ids, good) with the ids as bytes and characters without a piece as their bytes' pieces; ``good`` if they decode to the word."""
 
@@ -257,7 +262,7 @@ def _packed(ids: DataFrame, raw: list[bytes], zero: int) -> DataFrame:
             for word, path in zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 if path and min(path) < 0:
                     path = [x for i in path for x in ([i] if i >= 0 else [zero + b for b in chr(-1 - i).encode()])]
-                rows.append(np.array(path, "<i4").tobytes())
+                rows.append(np.array(path, _width(raw)).tobytes())
                 good.append(_key(b"".join([raw[i] for i in path]).decode("utf-8", "replace").replace(" ", MARK)) == word)
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(rows, pa.binary()), pa.array(good, pa.bool_())], ["word", "ids", "good"])
 
@@ -284,16 +289,16 @@ def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.mapInArrow(run, "bucket long, block long, codes binary, sizes binary, words binary")
 
 
-def _answers(requests: pa.Table, ids: pa.Table) -> pa.Table:
+def _answers(requests: pa.Table, ids: pa.Table, width: str) -> pa.Table:
     """One bucket's words to (block, codes, counts, flat, bad): how many ids each word has, all ids, and whether they fail to give the word back."""
     known = dict(zip((w.encode() for w in ids.column("word").to_pylist()), zip(ids.column("ids").to_pylist(), ids.column("good").to_pylist(), strict=True), strict=True))
     out = []
     for row in requests.to_pylist():
         words, ends = zstandard.ZstdDecompressor().decompress(row["words"]), np.cumsum(_unpack(row["sizes"])).tolist()
         found = [known[words[a:b]] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        counts = np.array([len(x) // 4 for x, _ in found], np.int32)
+        counts = np.array([len(x) // np.dtype(width).itemsize for x, _ in found], np.int32)
         bad = np.packbits([not good for _, good in found]).tobytes()
-        out.append((row["block"], row["codes"], _pack(counts), _pack(np.frombuffer(b"".join([x for x, _ in found]), np.int32)), bad))
+        out.append((row["block"], row["codes"], _pack(counts), _pack(np.frombuffer(b"".join([x for x, _ in found]), width).astype(np.int32)), bad))
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     columns = zip(*out, strict=True) if out else [()] * 5
     return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("home", "codes", "counts", "flat", "bad"), columns, kinds, strict=True)})
@@ -312,8 +317,9 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
         long = entries.where("long is not null").select(F.concat(F.lit("\n"), F.sha2("long", 256)).alias("word"), "long")
         ids = ids.union(encode_long(long, size["chars"] // CHARS_PER_PART + 1, path))
     ids = cut(_packed(ids, raw, zero))
+    width = _width(raw)
     given = ids.withColumn("home", F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(parts)))
-    answers = cut(_requests(words.select("block", "words"), parts).groupBy("bucket").cogroup(given.groupBy("home")).applyInArrow(lambda left, right: _answers(left, right), "home long, codes binary, counts binary, flat binary, bad binary"))
+    answers = cut(_requests(words.select("block", "words"), parts).groupBy("bucket").cogroup(given.groupBy("home")).applyInArrow(lambda left, right: _answers(left, right, width), "home long, codes binary, counts binary, flat binary, bad binary"))
     drop(ids, words)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -64,14 +64,11 @@ def _unpack(raw: bytes, kind: type) -> np.ndarray:
 
 
 def _sliding_least(x: np.ndarray, window: int) -> np.ndarray:
-    """The least of each ``window`` neighbours, from running leasts over blocks of that size in both directions."""
-    rows = -(-len(x) // window)
-    full = np.full(rows * window, 2**64 - 1, np.uint64)
-    full[: len(x)] = x
-    grid = full.reshape(rows, window)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[: len(x) - window + 1], ahead[window - 1 : len(x)])
+    """The least of each ``window`` neighbours, from those of half as many."""
+    reach = 1
+    while 2 * reach <= window:
+        x, reach = np.minimum(x[:-reach], x[reach:]), 2 * reach
+    return np.minimum(x[: len(x) - (window - reach)], x[window - reach :]) if window > reach else x
 
 
 class Prints(NamedTuple):
@@ -103,7 +100,8 @@ def prints(data: np.ndarray, starts: np.ndarray, length: int) -> Prints:
     total = K.prefix_hash(data + np.uint16(1))
     at = np.arange(n)
     low = K.U64(0xFFFFFFFF)
-    least = _sliding_least((K.range_hash(total, at, at + GRAM) & ~low) | at.astype(np.uint64), window)
+    grams = K.mix((total[GRAM:] - total[:n]) * K.powers(len(total))[1][:n] + K.U64(GRAM))  # range_hash of each gram
+    least = _sliding_least((grams & ~low) | at.astype(np.uint64), window)
     place = (least & low).astype(np.int64)
     kind = (place - at[: len(place)]) // wide
     new = whole.copy()
@@ -377,7 +375,7 @@ def _ask_words(blocks: DataFrame, bounds: np.ndarray, length: int) -> DataFrame:
     """Each block's distinct triples of words, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=2)
         for batch in batches:
             for row in batch.to_pylist():
                 keys, bucket = Block(row, Depth(length), bounds).words
@@ -390,7 +388,7 @@ def _ask_words(blocks: DataFrame, bounds: np.ndarray, length: int) -> DataFrame:
 def _name_words(table: pa.Table, word: int) -> pa.Table:
     parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), f"S{word}") for raw in table.column("a").to_pylist()]
     keys = np.concatenate(parts)
-    return _named(table, np.argsort(keys, kind="stable"), lambda order: keys[order[1:]] != keys[order[:-1]], [len(p) for p in parts])
+    return _named(table, np.argsort(keys), lambda order: keys[order[1:]] != keys[order[:-1]], [len(p) for p in parts])
 
 
 def _name_triples(table: pa.Table) -> pa.Table:
