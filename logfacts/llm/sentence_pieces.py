@@ -241,7 +241,7 @@ def _blocks(docs: DataFrame, pattern: re.Pattern) -> DataFrame:
 
 def _pack(x: np.ndarray) -> bytes:
     """Numbers compressed, equal bytes of neighbours next to each other."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()) if len(x) else b""
+    return zstandard.ZstdCompressor(level=9).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()) if len(x) else b""
 
 
 def _unpack(raw: bytes) -> np.ndarray:
