@@ -139,13 +139,27 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def decode(data: bytes) -> Iterator[Frame]:
+    """Frames of a GIF; raises BadGif, and nothing else, for bytes that are none or are cut off."""
+    try:
+        yield from _frames(data)
+    except (struct.error, IndexError) as e:
+        raise BadGif("cut off") from e
+
+
+def _part(data: bytes, at: int, n: int) -> np.ndarray:
+    if at + 3 * n > len(data):
+        raise BadGif("cut off in a palette")
+    return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
+
+
+def _frames(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise BadGif("no GIF header")
     width, height, packed = struct.unpack_from("<HHB", data, 6)
     at, palette = 13, None
     if packed & 0x80:
         n = 2 << (packed & 7)
-        palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
+        palette = _part(data, at, n)
         at += 3 * n
     canvas, clock = np.zeros((height, width, 4), np.uint8), 0
     delay, disposal, clear_index = 0, 0, None
@@ -165,7 +179,7 @@ def decode(data: bytes) -> Iterator[Frame]:
             colours = palette
             if packed & 0x80:
                 n = 2 << (packed & 7)
-                colours = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
+                colours = _part(data, at, n)
                 at += 3 * n
             if colours is None or not 1 <= data[at] <= 8 or x + w > width or y + h > height:
                 raise BadGif("image without palette, code size or place")
