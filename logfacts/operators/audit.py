@@ -49,6 +49,25 @@ def digests(facts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(S.digest(*columns).alias("digest"))
 
 
+def event_pages(events: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Digest of raw events per key (of a member and page, say): count, xor and sum of their hashes, nulls unlike blanks."""
+    text = F.concat_ws("|", *(F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns))
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")  # 60 bits
+    return events.groupBy(*keys).agg(F.count("*").alias("events"), F.bit_xor(h).alias("mixed"), F.sum(h.cast("decimal(38,0)")).alias("added"))
+
+
+def fold_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Pages to wholes. Any page may be read again in place of its former digest, so a broken-off reading goes on where it was."""
+    return pages.groupBy(*keys).agg(F.sum("events").alias("events"), F.bit_xor("mixed").alias("mixed"), F.sum("added").cast("decimal(38,0)").alias("added"))
+
+
+def agreed(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, agreed): whether two independent readings gave the same digest; a key that one of them lacks is not agreed."""
+    d = F.struct("events", "mixed", "added")
+    rows = first.select(*keys, d.alias("a")).join(second.select(*keys, d.alias("b")), keys, "full")
+    return rows.select(*keys, F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("agreed"))
+
+
 def uncovered_members(published: DataFrame, day_facts: DataFrame, day_proofs: DataFrame, date_ts: int) -> DataFrame:
     """Published members that have neither a fact nor a proof of a day."""
     rows = published.select("user_id").distinct()

@@ -31,7 +31,7 @@ def channel_counts(channels: DataFrame) -> DataFrame:
 
 def usage_by_channel(facts: DataFrame, channels: DataFrame) -> DataFrame:
     """Quota and requests by domain, vendor and channel with subtotals; unmatched channels are a bucket of their own."""
-    c = F.broadcast(channels.select(F.col("id").alias("channel_id"), "vendor", "base_domain"))
+    c = channels.select(F.col("id").alias("channel_id"), "vendor", "base_domain")
     unknown = F.lit("historical unknown")
     rows = facts.join(c, "channel_id", "left").select(F.coalesce("base_domain", unknown).alias("domain"), F.coalesce("vendor", unknown).alias("vendor"), "channel_id", "requests", "consume_quota")
     return rows.rollup("domain", "vendor", "channel_id").agg(F.grouping_id().cast("int").alias("level"), F.sum("requests").alias("requests"), F.sum("consume_quota").alias("consume_quota"))
@@ -67,12 +67,32 @@ def finance(multiplier: Column, discount: Column, paid: Column, credit: Column,
     return {"effective": effective, "gap": site - effective, "site_discount": F.when(complete, mine), "upstream_discount": F.when(complete, theirs), "margin": F.when(complete, (mine - theirs) / mine), "complete": complete}
 
 
-def burn(facts: DataFrame, rates: DataFrame, proven_hours: DataFrame, days: float) -> DataFrame:
-    """Daily upstream cost per domain over the proven hours, and the groups that lack a price."""
-    rows = facts.join(proven_hours.where("status = 'complete'").select("hour_ts").distinct(), "hour_ts").join(rates, ["channel_id", "grp"], "left")
-    priced = F.col("upstream").isNotNull() & (F.col("site") > 0)
-    hours = proven_hours.where("status = 'complete'").agg(F.countDistinct("hour_ts").alias("hours"))
-    sums = rows.groupBy("domain").agg(F.coalesce(F.sum(F.when(priced, S.usd(F.col("quota")) * F.col("upstream") / F.col("site"))), F.lit(0.0)).alias("cost"), F.array_join(F.sort_array(F.collect_set(F.when(~priced & (F.col("quota") > 0), F.col("grp")))), ",").alias("missing_groups"))
+#: What is told of a group without a name, of internal tests without a price, and of those without a cost basis.
+UNNAMED_GROUP, UNPRICED_TEST, UNMARKED_TEST = "未标记服务分组", "内部测试渠道 #%d", "内部测试渠道 #%d 成本口径未标记"
+
+
+def burn(facts: DataFrame, rates: DataFrame, proven_hours: DataFrame, days: float, tests: DataFrame | None = None) -> DataFrame:
+    """Daily upstream cost per domain over the proven hours, and what lacks a price.
+
+    User traffic costs its quota times the upstream rate over the site's. Internal tests (``tests``, with a cost_basis)
+    bring no revenue but use up the upstream balance: their quota is the base price, or contains the site's rate already
+    ('legacy_after_group'), which is then taken out. A test without a known basis or rate is listed by its channel.
+    """
+    proven = proven_hours.where("status = 'complete'").select("hour_ts").distinct()
+    columns = ["hour_ts", "domain", "channel_id", "grp", "quota", "basis"]
+    rows = facts.withColumn("basis", F.lit("user")).select(columns)
+    if tests is not None:
+        rows = rows.unionByName(tests.withColumn("basis", F.coalesce("cost_basis", F.lit(""))).select(columns))
+    rows = rows.join(proven, "hour_ts").join(rates.select("channel_id", "grp", "upstream", "site"), ["channel_id", "grp"], "left").where("trim(domain) <> ''")
+    user, based = F.col("basis") == "user", F.col("basis") == "legacy_assumed_base"
+    bought, sold = F.coalesce(F.col("upstream") > 0, F.lit(False)), F.coalesce(F.col("site") > 0, F.lit(False))
+    known = user | based | (F.col("basis") == "legacy_after_group")
+    priced = known & bought & (based | sold)
+    cost = S.usd(F.col("quota")) * F.col("upstream") / F.when(based, 1.0).otherwise(F.col("site"))
+    name = F.when(F.trim(F.coalesce("grp", F.lit(""))) == "", UNNAMED_GROUP).otherwise(F.col("grp"))
+    lacks = F.when(user, name).when(known, F.format_string(UNPRICED_TEST, "channel_id")).otherwise(F.format_string(UNMARKED_TEST, "channel_id"))
+    hours = proven.agg(F.count("*").alias("hours"))
+    sums = rows.groupBy("domain").agg(F.coalesce(F.sum(F.when(priced, cost)), F.lit(0.0)).alias("cost"), F.array_join(F.sort_array(F.collect_set(F.when(~priced & (F.col("quota") > 0), lacks))), ",").alias("missing_groups"))
     return sums.crossJoin(F.broadcast(hours)).select("domain", F.when(F.col("hours") > 0, F.col("cost") / F.col("hours") * 24).otherwise(0.0).alias("daily_cost_usd"), "missing_groups")
 
 
@@ -98,11 +118,18 @@ def catalog_changes(before: DataFrame, after: DataFrame, tolerance: float = 1e-9
     return rows.select("grp", kind.alias("change")).where("change is not null")
 
 
+def website_rates(catalog: DataFrame, site_rates: DataFrame) -> DataFrame:
+    """Active groups of the catalogue, each with the site's own rate if one is configured, else with 0."""
+    rates = site_rates.select("grp", F.col("multiplier").alias("site_multiplier"))
+    rows = catalog.where("active").select("grp", "source_multiplier", "synced_at").join(rates, "grp", "left")
+    return rows.select(F.col("grp").alias("name"), "source_multiplier", "synced_at", F.col("site_multiplier").isNotNull().alias("site_configured"), F.coalesce("site_multiplier", F.lit(0.0)).alias("site_multiplier"))
+
+
 def registrable(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     """(host) with its registrable domain: one label more than the longest public suffix; addresses stay whole."""
     parts = F.split("host", r"\.")
     tails = hosts.select("host").distinct().select("host", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts)))).alias("from"))
     tails = tails.withColumn("suffix", F.array_join(F.slice(F.split("host", r"\."), F.col("from"), F.lit(64)), "."))
-    best = tails.join(F.broadcast(suffixes.select("suffix").distinct()), "suffix").groupBy("host").agg(F.min("from").alias("from"))
+    best = tails.join(suffixes.select("suffix").distinct(), "suffix").groupBy("host").agg(F.min("from").alias("from"))
     address = F.col("host").rlike(r"^[0-9.]+$|^\[")
     return hosts.join(best, "host", "left").withColumn("domain", F.when(address | F.col("from").isNull(), F.col("host")).otherwise(F.array_join(F.slice(F.split("host", r"\."), F.col("from") - 1, F.lit(64)), "."))).drop("from")

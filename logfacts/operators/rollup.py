@@ -95,6 +95,23 @@ def direct_hours(logs: DataFrame, rules: C.Rules = C.Rules()) -> tuple[DataFrame
     return user, tests
 
 
+def repaired(stored: DataFrame, logs: DataFrame, hours: DataFrame, rules: C.Rules = C.Rules()) -> DataFrame:
+    """Hour facts with the given hours taken anew from the raw rows, as when rows came late; other hours stay."""
+    hours = hours.select("hour_ts").distinct()
+    fresh = direct_hours(logs.join(hours, S.bucket("created_at", 3600) == F.col("hour_ts"), "left_semi"), rules)[0]
+    return stored.join(hours, "hour_ts", "left_anti").unionByName(fresh.select(stored.columns))
+
+
+def reclassified(stored: DataFrame, logs: DataFrame, hours: DataFrame, version: int, rules: C.Rules = C.Rules()) -> DataFrame:
+    """Versioned hour facts with rows of a new version for the given hours, beside those of older versions.
+
+    ``filters.effective`` shows the new rows of an hour once it is signed for them, and the older ones until then.
+    """
+    same = F.col("traffic_class_version") == version
+    fresh = repaired(stored.where(same).drop("traffic_class_version"), logs, hours, rules).withColumn("traffic_class_version", F.lit(version))
+    return stored.where(~same).unionByName(fresh.select(stored.columns))
+
+
 def hour_controls(logs: DataFrame, rules: C.Rules = C.Rules()) -> DataFrame:
     """Totals per hour by a path of their own, to hold the detail against."""
     rows = logs.where(F.col("type").isin(C.CONSUME, C.ERROR)).withColumns({"test": C.is_test(rules), "hour_ts": S.bucket("created_at", 3600)}).where("test is not null")

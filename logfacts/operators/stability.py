@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfacts.functions import scalars as S
@@ -46,8 +46,9 @@ def levels(rows: DataFrame) -> DataFrame:
 
 def with_shares(report: DataFrame) -> DataFrame:
     """Each row's share of its level's requests and problems."""
-    w = Window.partitionBy("level")
-    return report.withColumns({"request_share": S.rate_or_null(F.col("requests"), F.sum("requests").over(w)), "problem_share": S.rate_or_null(F.col("problems"), F.sum("problems").over(w))})
+    whole = report.groupBy("level").agg(F.sum("requests").alias("n"), F.sum("problems").alias("bad"))  # seven rows
+    shares = {"request_share": S.rate_or_null(F.col("requests"), F.col("n")), "problem_share": S.rate_or_null(F.col("problems"), F.col("bad"))}
+    return report.join(F.broadcast(whole), "level").withColumns(shares).drop("n", "bad")
 
 
 def with_deltas(report: DataFrame, before: DataFrame) -> DataFrame:
@@ -88,6 +89,6 @@ def coverage(ledger: DataFrame, since: int, until: int, version: int = 5) -> Dat
 
 def filter_lists(facts: DataFrame, channels: DataFrame) -> DataFrame:
     """The distinct groups, models and vendors to choose from, sorted."""
-    joined = facts.join(F.broadcast(channels.select(F.col("id").alias("channel_id"), "vendor")), "channel_id", "left")
+    joined = facts.join(channels.select(F.col("id").alias("channel_id"), "vendor"), "channel_id", "left")
     text = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     return joined.agg(text("grp").alias("groups"), text("model_name").alias("models"), text("vendor").alias("vendors"))

@@ -58,16 +58,47 @@ def publishable(members: DataFrame, version: int, semantics: int, epoch: str, th
     return members.select("user_id", F.coalesce(ok, F.lit(False)).alias("publishable"))
 
 
+#: The fields of a request's details and their types.
+DETAILS = (
+    "frt double, model_price double, model_ratio double, group_ratio double, user_group_ratio double, cache_tokens double, cache_ratio double, "
+    "cache_creation_tokens double, cache_creation_ratio double, cache_creation_tokens_5m double, cache_creation_ratio_5m double, "
+    "cache_creation_tokens_1h double, cache_creation_ratio_1h double, image boolean, image_ratio double, violation_fee_code string, billing_mode string, "
+    "completion_ratio double, request_path string, task_id string, reason string, is_model_mapped boolean, upstream_model_name string, reasoning_effort string, "
+    "is_task boolean, claude boolean, billing_source string, subscription_id bigint, subscription_plan_id bigint, subscription_plan_title string, "
+    "subscription_pre_consumed bigint, subscription_post_delta bigint, subscription_consumed bigint, subscription_remain bigint, subscription_total bigint, "
+    "po array<string>"
+)
+
+
+def details(other: str = "other") -> Column:
+    """The details of a request as one struct, from one parse; a field of another type is null, the others stay."""
+    return F.from_json(other, DETAILS)
+
+
 def log_costs(logs: DataFrame) -> DataFrame:
-    """Cost of a request from the ratios in its details: input, output and cached tokens, times the group's ratio."""
-    d = F.from_json("other", "model_ratio double, completion_ratio double, cache_ratio double, cache_tokens bigint, group_ratio double")
-    rows = logs.withColumn("d", d)
-    part = lambda c, default: F.coalesce(F.col(f"d.{c}"), F.lit(default))
-    price = part("model_ratio", 0.0) * 2 / 1000000
-    cached = F.least(part("cache_tokens", 0), F.col("prompt_tokens"))
-    cost_in, cost_cached = (F.col("prompt_tokens") - cached) * price, cached * price * part("cache_ratio", 1.0)
-    cost_out = F.col("completion_tokens") * price * part("completion_ratio", 1.0)
-    return rows.select("id", cost_in.alias("input_usd"), cost_cached.alias("cached_usd"), cost_out.alias("output_usd"), ((cost_in + cost_cached + cost_out) * part("group_ratio", 1.0)).alias("cost_usd"))
+    """What a request cost by the ratios in its details: input, cached, cache-writing and output tokens, times the group's ratio.
+
+    A ratio unit is 2 USD per million tokens. In Claude's form the prompt leaves cached tokens out, and writes count, by
+    their five-minute and one-hour parts if there are any, else as a whole; in the other form cached tokens are part of
+    the prompt and count if they have a ratio. All amounts are null where tokens do not tell the price: rows that are no
+    consumption, tiered billing, tasks not settled yet, prices per request, details without a model ratio. The member's
+    own group ratio goes before the group's; without any the cost is 0.
+    """
+    d = lambda c, default=None: F.col(f"d.{c}") if default is None else F.coalesce(f"d.{c}", F.lit(default))
+    rows = logs.withColumn("d", details())
+    task = (d("is_task", False) | (d("task_id", "") != "")) & (d("model_price", 0.0) == -1)
+    by_tokens = (F.col("type") == 2) & (d("billing_mode", "") != "tiered_expr") & ~task & d("model_ratio").isNotNull() & (d("model_price", 0.0) <= 0)
+    price, claude = d("model_ratio") * 2 / 1000000, d("claude", False)
+    prompt, cache = F.coalesce("prompt_tokens", F.lit(0)), F.floor(d("cache_tokens", 0.0))
+    split = (d("cache_creation_tokens_5m", 0.0) > 0) | (d("cache_creation_tokens_1h", 0.0) > 0)
+    parts = F.floor(d("cache_creation_tokens_5m", 0.0)) * d("cache_creation_ratio_5m", 1.0) + F.floor(d("cache_creation_tokens_1h", 0.0)) * d("cache_creation_ratio_1h", 1.0)
+    written = F.when(split, parts).otherwise(F.floor(d("cache_creation_tokens", 0.0)) * d("cache_creation_ratio", 1.0))
+    fresh = F.when(claude, prompt).otherwise(F.greatest(prompt - cache, F.lit(0)))
+    cached = F.when(claude, cache * d("cache_ratio", 1.0)).otherwise(F.greatest(cache, F.lit(0)) * d("cache_ratio", 0.0))
+    amounts = {"input_usd": fresh * price, "cached_usd": cached * price, "creation_usd": F.when(claude, written * price).otherwise(0.0), "output_usd": F.coalesce("completion_tokens", F.lit(0)) * price * d("completion_ratio", 0.0)}
+    ratio = F.when(d("user_group_ratio") > 0, d("user_group_ratio")).otherwise(d("group_ratio", 0.0))
+    rows = rows.select("id", *(F.when(by_tokens, c).alias(n) for n, c in amounts.items()), ratio.alias("ratio"))
+    return rows.select("id", *amounts, ((F.col("input_usd") + F.col("cached_usd") + F.col("creation_usd") + F.col("output_usd")) * F.col("ratio")).alias("cost_usd"))
 
 
 def cache_split() -> Column:

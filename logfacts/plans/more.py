@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from logfacts.functions import classify as C
 from logfacts.functions import scalars as S
-from logfacts.operators import audit, edge, evidence, filters, kpi, problems, rollup, stability, upstream, usage
+from logfacts.operators import audit, channels, edge, evidence, filters, kpi, problems, rollup, stability, upstream, usage
 from logfacts.plans import testmap as T
 from logfacts.plans.queries import DAY_SQL, EDGE, EV, HOURS, NOW, SINCE, SIGNS, _evidence, _hours, _lines, _minutes, _proofs, _PROOF, _usage, query, rounded, sums, ORACLES, QUERIES  # noqa: F401
+from logfacts.sources import tables
 
 
 @query("WITH " + T.CHANNELS + " SELECT id, name, vendor, status, enabled_since, base_domain FROM channels")
@@ -23,11 +24,11 @@ def s5_profiles(spark, d):
     return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), S.masked_key(F.when(F.col("c_custkey") % 4 == 0, "123").when(F.col("c_custkey") % 4 == 2, "12345678").otherwise(F.col("c_name"))).alias("masked"))
 
 
-@query(T.LOGS + f""", t AS (SELECT unnest(range({SINCE}, {SINCE + 86400}, 3600)) AS hour_ts), s AS (SELECT created_at // 3600 * 3600 AS hour_ts, count(*) AS n, sum(k) AS tk, sum(quota) AS q FROM logs WHERE k % 40 = 0 AND created_at >= {SINCE} AND created_at < {SINCE + 86400} GROUP BY 1)
+@query(T.LOGS + f""", t AS (SELECT unnest(range({NOW - 40 * 86400}, {NOW + 10 * 86400}, 3600)) AS hour_ts), s AS (SELECT created_at // 3600 * 3600 AS hour_ts, count(*) AS n, sum(k) AS tk, sum(quota) AS q FROM logs WHERE created_at >= {NOW - 40 * 86400} AND created_at < {NOW + 10 * 86400} GROUP BY 1)
 SELECT t.hour_ts, coalesce(n, 0) AS requests, CAST(coalesce(tk, 0) AS BIGINT) AS tokens, CAST(coalesce(q, 0) AS BIGINT) AS quota, round(coalesce(q, 0) / 500000.0, 6) AS cost_usd FROM t LEFT JOIN s ON s.hour_ts = t.hour_ts""")
 def a13_upstream_hours(spark, d):
-    items = T.logs(spark, d).where("k % 40 = 0").select(F.col("created_at").alias("at"), F.col("k").alias("tokens"), "quota")
-    return rounded(upstream.hours(items, SINCE, SINCE + S.DAY, 500000.0))
+    items = T.logs(spark, d).select(F.col("created_at").alias("at"), F.col("k").alias("tokens"), "quota")
+    return rounded(upstream.hours(items, NOW - 40 * S.DAY, NOW + 10 * S.DAY, 500000.0))
 
 
 @query("SELECT o_custkey AS key, o_custkey % 2 = 0 AS balanced, CAST(o_orderkey AS VARCHAR) AS date, CAST(o_orderkey % 50 AS DOUBLE) AS cost, CAST(1 AS BIGINT) AS requests FROM orders WHERE o_custkey % 5 <> 0")
@@ -144,7 +145,7 @@ def p10_rejection_coverage(spark, d):
   round(((prompt_tokens - least(k, prompt_tokens)) * 1.5 * 2 / 1000000 + least(k, prompt_tokens) * 1.5 * 2 / 1000000 * 0.1 + completion_tokens * 1.5 * 2 / 1000000 * 4) * 0.8, 9) AS cost_usd FROM logs WHERE type = 2""")
 def f10_log_costs(spark, d):
     other = F.concat(F.lit('{"model_ratio":1.5,"completion_ratio":4,"cache_ratio":0.1,"group_ratio":0.8,"cache_tokens":'), F.col("k").cast("string"), F.lit("}"))
-    return rounded(upstream.log_costs(T.logs(spark, d).where("type = 2").withColumn("other", other)), 9)
+    return rounded(upstream.log_costs(T.logs(spark, d).where("type = 2").withColumn("other", other)).drop("creation_usd"), 9)
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE p_partkey % 5 + 1 END AS cache, CASE WHEN p_partkey % 4 = 0 THEN p_size ELSE 10 + p_partkey % 7 END AS settled FROM part")
@@ -163,7 +164,7 @@ def f17_providers(spark, d):
 
 @query(HOURS + ", " + T.CHANNELS + """, v AS (SELECT grp, list_sort(list(DISTINCT vendor)) AS vs FROM hours LEFT JOIN channels ON id = channel_id AND channel_id % 2 = 0 GROUP BY 1) SELECT grp, CASE len(list_filter(vs, lambda x: x IS NOT NULL)) WHEN 0 THEN '' WHEN 1 THEN list_filter(vs, lambda x: x IS NOT NULL)[1] ELSE 'several' END AS vendor FROM v""")
 def f19_vendor_label(spark, d):
-    c = F.broadcast(T.channels(spark, d).where("id % 2 = 0").select(F.col("id").alias("channel_id"), "vendor"))
+    c = T.channels(spark, d).where("id % 2 = 0").select(F.col("id").alias("channel_id"), "vendor")
     rows = _hours(spark, d).join(c, "channel_id", "left").groupBy("grp").agg(F.sort_array(F.collect_set("vendor")).alias("vs"))
     return rows.select("grp", F.when(F.size("vs") == 0, "").when(F.size("vs") == 1, F.get("vs", 0)).otherwise("several").alias("vendor"))
 
@@ -176,10 +177,12 @@ def q5_known_empty(spark, d):
     return days.join(empty, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("days"))
 
 
-@query(T.USAGE + f" SELECT {DAY_SQL.format('hour_ts')} AS date_ts, user_id, CAST(0 AS BIGINT) AS requests_a, CAST(0 AS BIGINT) AS requests_b FROM usage WHERE false")
+@query(T.USAGE + f" SELECT {DAY_SQL.format('hour_ts')} AS date_ts, user_id, CAST(sum(requests) AS BIGINT) AS requests_a, CAST(sum(requests) + 1 AS BIGINT) AS requests_b FROM usage WHERE user_id % 7 = 3 GROUP BY 1, user_id, channel_id, grp, model_name, token_id")
 def q3_day_is_sum_of_hours(spark, d):
+    """Days agree with their hours but for the members in whose hours a fault is planted."""
+    fault = F.when(F.col("user_id") % 7 == 3, 1).otherwise(0)
     keys, values = ["date_ts", *rollup.USAGE_KEYS], list(rollup.USAGE_MEASURES)
-    return rollup.differences(_usage(spark, d, "day"), rollup.daily_from_hours(_usage(spark, d)), keys, values).select("date_ts", "user_id", "requests_a", "requests_b")
+    return rollup.differences(_usage(spark, d, "day"), rollup.daily_from_hours(_usage(spark, d)).withColumn("requests", F.col("requests") + fault), keys, values).select("date_ts", "user_id", "requests_a", "requests_b")
 
 
 @query(T.USAGE + " SELECT count(*) AS differing FROM usage WHERE user_id % 10 = 3")
@@ -201,7 +204,7 @@ def q8_staleness(spark, d):
 
 @query(T.LOGS + ", " + T.CHANNELS + " SELECT DISTINCT base_domain AS domain, grp FROM logs JOIN channels ON id2 = channel_id UNION SELECT 'domain-0.test', 'extra'".replace("id2", "channels.id"))
 def u11_domain_groups(spark, d):
-    c = F.broadcast(T.channels(spark, d).select(F.col("id").alias("channel_id"), F.col("base_domain").alias("domain")))
+    c = T.channels(spark, d).select(F.col("id").alias("channel_id"), F.col("base_domain").alias("domain"))
     seen = T.logs(spark, d).join(c, "channel_id").select("domain", "grp")
     return seen.union(spark.createDataFrame([("domain-0.test", "extra")], seen.schema)).distinct()
 
@@ -246,3 +249,112 @@ def a21_days_by_channel(spark, d):
 def t5_members(spark, d):
     rows = usage.totals(filters.in_scope(_usage(spark, d), SINCE, NOW), "user_id")
     return rows.orderBy(F.desc("consume_quota"), "user_id").limit(20).select("user_id", "requests")
+
+
+# --- costs, repair, readings -------------------------------------------------------------------------------------
+
+
+@query(T.LOGS + """, p AS (SELECT *, k % 7 AS form, k % 3 AS own, k * 2 AS cache, k // 2 AS w, 2.0 * 1.5 / 1000000 AS price FROM logs WHERE type = 2), x AS (SELECT id, own, form IN (0, 1, 2, 3) AS ok,
+  CASE WHEN form IN (1, 2) THEN prompt_tokens ELSE greatest(prompt_tokens - cache, 0) END * price AS input_usd, CASE WHEN form = 3 THEN 0 ELSE cache * 0.1 END * price AS cached_usd,
+  CASE form WHEN 1 THEN w * 1.25 WHEN 2 THEN w * 1.25 + w * 2.0 ELSE 0 END * price AS creation_usd, completion_tokens * price * CASE WHEN form = 3 THEN 0 ELSE 4 END AS output_usd FROM p)
+SELECT id, """ + ", ".join(f"CASE WHEN ok THEN round({c}, 9) END AS {c}" for c in ("input_usd", "cached_usd", "creation_usd", "output_usd")) + ", CASE WHEN ok THEN round((input_usd + cached_usd + creation_usd + output_usd) * CASE own WHEN 0 THEN 0.5 WHEN 1 THEN 0.8 ELSE 0 END, 9) END AS cost_usd FROM x")
+def f10_cost_forms(spark, d):
+    """Plain, Claude with whole and with split writes, without ratios, tiered, task not settled, price per request."""
+    form, own, cache, w = F.col("k") % 7, F.col("k") % 3, F.col("k") * 2, F.floor(F.col("k") / 2)
+    known = form != 3
+    other = F.to_json(F.struct(
+        F.lit(1.5).alias("model_ratio"), cache.alias("cache_tokens"), F.when(known, 0.1).alias("cache_ratio"), F.when(known, 4.0).alias("completion_ratio"), form.isin(1, 2).alias("claude"),
+        w.alias("cache_creation_tokens"), F.lit(1.25).alias("cache_creation_ratio"), F.when(form == 2, w).alias("cache_creation_tokens_5m"), F.lit(1.25).alias("cache_creation_ratio_5m"), F.when(form == 2, w).alias("cache_creation_tokens_1h"), F.lit(2.0).alias("cache_creation_ratio_1h"),
+        F.when(form == 4, "tiered_expr").alias("billing_mode"), F.when(form == 5, "t1").alias("task_id"), F.when(form == 5, -1.0).when(form == 6, 0.02).alias("model_price"), F.when(own == 0, 0.5).alias("user_group_ratio"), F.when(own < 2, 0.8).alias("group_ratio")))
+    return rounded(upstream.log_costs(T.logs(spark, d).where("type = 2").withColumn("other", other)), 9)
+
+
+@query(T.TRAFFIC + ", " + T.CHANNELS + f""", hours AS (SELECT created_at // 3600 * 3600 AS hour_ts, channel_id, grp, {T.measures_sql('quota')} FROM traffic GROUP BY ALL), p AS (SELECT DISTINCT hour_ts FROM hours WHERE hour_ts // 3600 % 3 <> 0),
+t AS (SELECT created_at // 3600 * 3600 AS hour_ts, channel_id, grp, sum(quota) AS quota FROM logs WHERE type = 2 AND token_name = 'probe' AND content = 'probe' GROUP BY ALL),
+u AS (SELECT base_domain AS domain, CASE WHEN grp <> 'grp-4' THEN quota / 500000.0 * 0.5 / 2.0 END AS cost, CASE WHEN grp = 'grp-4' AND quota > 0 THEN grp END AS lacks FROM hours JOIN p USING (hour_ts) JOIN channels ON id = channel_id
+  UNION ALL SELECT base_domain, CASE WHEN grp <> 'grp-4' THEN CASE channel_id % 3 WHEN 0 THEN quota / 500000.0 / 2.0 * 0.5 WHEN 1 THEN quota / 500000.0 * 0.5 END END,
+    CASE WHEN quota > 0 THEN CASE WHEN channel_id % 3 = 2 THEN '内部测试渠道 #' || channel_id || ' 成本口径未标记' WHEN grp = 'grp-4' THEN '内部测试渠道 #' || channel_id END END FROM t JOIN p USING (hour_ts) JOIN channels ON id = channel_id)
+SELECT domain, round(coalesce(sum(cost), 0) / (SELECT count(*) FROM p) * 24, 6) AS daily_cost_usd, coalesce(string_agg(DISTINCT lacks, ',' ORDER BY lacks), '') AS missing_groups FROM u GROUP BY 1""")
+def a34_burn_with_tests(spark, d):
+    c = T.channels(spark, d).select(F.col("id").alias("channel_id"), F.col("base_domain").alias("domain"))
+    user, tests = (x.join(c, "channel_id") for x in rollup.direct_hours(T.logs(spark, d), T.RULES))
+    tests = tests.withColumn("cost_basis", F.when(F.col("channel_id") % 3 == 0, "legacy_after_group").when(F.col("channel_id") % 3 == 2, "").otherwise(F.col("cost_basis")))
+    ledger = _hours(spark, d).select("hour_ts").distinct().where("hour_ts div 3600 % 3 <> 0").withColumn("status", F.lit("complete"))
+    rates = user.select("channel_id", "grp").union(tests.select("channel_id", "grp")).distinct().where("grp <> 'grp-4'").withColumns({"upstream": F.lit(0.5), "site": F.lit(2.0)})
+    return rounded(channels.burn(user, rates, ledger, 10, tests))
+
+
+LATE = f"created_at < {SINCE}"
+
+
+@query(T.TRAFFIC + f""", late AS (SELECT DISTINCT created_at // 3600 * 3600 AS h FROM logs WHERE k % 17 = 0 AND {LATE}), r AS (SELECT *, created_at // 3600 * 3600 AS hour_ts FROM traffic)
+SELECT hour_ts, channel_id, model_name, grp, {T.measures_sql(*rollup.HOUR_MEASURES)} FROM r WHERE hour_ts IN (SELECT h FROM late) OR k % 17 <> 0 GROUP BY ALL""")
+def r3_late_repair(spark, d):
+    """Facts made before every 17th row came, with the hours of some late rows made again."""
+    logs = T.logs(spark, d)
+    stored = rollup.direct_hours(logs.where("k % 17 <> 0"), T.RULES)[0]
+    hours = logs.where("k % 17 = 0").where(LATE).select(S.bucket("created_at", 3600).alias("hour_ts"))
+    return rollup.repaired(stored, logs, hours, T.RULES)
+
+
+@query(T.TRAFFIC + f""", old AS (SELECT created_at // 3600 * 3600 AS hour_ts, channel_id, model_name, grp, {T.measures_sql('success', 'failed')} FROM traffic WHERE k % 17 <> 0 GROUP BY ALL),
+fresh AS (SELECT created_at // 3600 * 3600 AS hour_ts, channel_id, model_name, grp, {T.measures_sql('success', 'failed')} FROM traffic GROUP BY ALL)
+SELECT *, 4 AS traffic_class_version FROM old WHERE hour_ts // 3600 % 4 <> 0 UNION ALL SELECT *, 5 FROM fresh WHERE hour_ts // 3600 % 4 = 0 OR (hour_ts // 3600 % 2 = 0 AND hour_ts NOT IN (SELECT hour_ts FROM old))""")
+def q9_reclassification(spark, d):
+    """A new version for every second hour, signed for every fourth: the older rows show until an hour is signed."""
+    logs = T.logs(spark, d)
+    stored = rollup.direct_hours(logs.where("k % 17 <> 0"), T.RULES)[0].withColumn("traffic_class_version", F.lit(4))
+    hours = logs.select(S.bucket("created_at", 3600).alias("hour_ts")).where("hour_ts div 3600 % 2 = 0").distinct()
+    ledger = hours.where("hour_ts div 3600 % 4 = 0").withColumns({"status": F.lit("complete"), "traffic_class_version": F.lit(5)})
+    rows = filters.effective(rollup.reclassified(stored, logs, hours, 5, T.RULES), ledger)
+    return rows.select("hour_ts", "channel_id", "model_name", "grp", "success", "failed", "traffic_class_version")
+
+
+@query("SELECT 'g' || p_partkey AS name, CAST(p_size AS DOUBLE) AS source_multiplier, CAST(p_partkey * 60 AS BIGINT) AS synced_at, p_partkey % 3 = 0 AS site_configured, CASE WHEN p_partkey % 3 = 0 THEN 1.5 * p_size ELSE 0 END AS site_multiplier FROM part WHERE p_partkey % 4 <> 3")
+def j20_website_rates(spark, d):
+    p = T.read(spark, d, "part").select("p_partkey", F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("grp"), F.col("p_size").cast("double").alias("source_multiplier"), (F.col("p_partkey") * 60).cast("long").alias("synced_at"), (F.col("p_partkey") % 4 != 3).alias("active"))
+    return channels.website_rates(p, p.where("p_partkey % 3 = 0").select("grp", (F.col("source_multiplier") * 1.5).alias("multiplier")))
+
+
+@query("SELECT DISTINCT 'g' || (p_partkey % 6) AS grp, p_brand AS model FROM part WHERE p_partkey % 2 = 0")
+def s13_full_replace(spark, d):
+    path = tables.shared_folder(spark)
+    p = T.read(spark, d, "part")
+    pairs = lambda rows: rows.select(F.concat(F.lit("g"), (F.col("p_partkey") % 6).cast("string")).alias("grp"), F.col("p_brand").alias("model")).distinct()
+    tables.replace_all(pairs(p), path)
+    tables.replace_all(pairs(p.where("p_partkey % 2 = 0")), path)
+    return spark.read.parquet(path)
+
+
+_EVENT = ["id", "created_at", "user_id", "channel_id", "token_id", "type", "prompt_tokens", "completion_tokens", "quota", "grp", "model_name", "token_name"]
+_EVENT_SQL = " || '|' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _EVENT)
+
+
+@query(T.LOGS + f""", h AS (SELECT user_id, CAST('0x' || substr(sha256({_EVENT_SQL}), 1, 15) AS BIGINT) AS h, user_id % 9 = 4 AND quota > 0 AS fault FROM logs WHERE type IN (2, 6))
+SELECT user_id, count(*) AS events, bit_xor(h) AS mixed, CAST(sum(h) AS VARCHAR) AS added, NOT bool_or(fault) AS agreed FROM h GROUP BY 1""")
+def f24_two_readings(spark, d):
+    """Raw events of each member read by hours and by days; the second reading meets other amounts for some members."""
+    events = T.logs(spark, d).where("type in (2, 6)")
+    first = audit.fold_pages(audit.event_pages(events.withColumn("page", S.bucket("created_at", 3600)), ["user_id", "page"], _EVENT), ["user_id"])
+    changed = events.withColumn("quota", F.col("quota") + F.when((F.col("user_id") % 9 == 4) & (F.col("quota") > 0), 1).otherwise(0))
+    second = audit.fold_pages(audit.event_pages(changed.withColumn("page", S.day("created_at")), ["user_id", "page"], _EVENT), ["user_id"])
+    return first.join(audit.agreed(first, second, ["user_id"]), "user_id").withColumn("added", F.col("added").cast("string"))
+
+
+_ELIGIBLE = f"""e AS (SELECT c_custkey AS user_id, c_custkey % 33 AS ef0, least(30, c_custkey % 33) AS ef, c_acctbal AS balance, c_nationkey AS group_id FROM customer),
+f AS (SELECT e.user_id, (hour_ts - {NOW - 30 * 86400}) // 86400 AS ix, sum((consume_quota - refund_quota) / 500000.0) AS usd FROM usage JOIN e ON e.user_id = usage.user_id WHERE hour_ts >= {NOW - 30 * 86400} AND hour_ts < {NOW} AND (hour_ts - {NOW - 30 * 86400}) // 86400 >= ef GROUP BY ALL),
+g AS (SELECT user_id, sum(usd) AS spend, coalesce(sum(usd) FILTER (WHERE ix >= 23), 0) AS last7, coalesce(sum(usd) FILTER (WHERE ix >= 16 AND ix < 23), 0) AS prev7, max(ix) FILTER (WHERE usd > 0) AS active FROM f GROUP BY 1),
+i AS (SELECT e.*, 30 - ef AS days, coalesce(spend, 0) AS spend, coalesce(last7, 0) AS last7, coalesce(prev7, 0) AS prev7, coalesce(29 - active, 30 - ef) AS idle FROM e LEFT JOIN g ON g.user_id = e.user_id),
+j AS (SELECT *, days >= 14 AND idle >= 14 AS dormant, coalesce(balance < 1, false) AS low FROM i), k AS (SELECT *, NOT dormant AND days >= 14 AND prev7 > 0 AND last7 < prev7 * 0.7 AS fell FROM j),
+m AS (SELECT *, CASE WHEN dormant OR fell OR low THEN CASE WHEN dormant THEN 50 WHEN fell THEN 35 ELSE 0 END + CASE WHEN low THEN 45 ELSE 0 END + floor(spend) END AS urgency FROM k)"""
+
+
+@query(T.USAGE + ", " + _ELIGIBLE + """, c AS (SELECT group_id, count(urgency) AS members, round(coalesce(sum(spend) FILTER (WHERE urgency IS NOT NULL), 0), 6) AS spend_usd, false AS without_members, CAST(floor(coalesce(sum(spend) FILTER (WHERE urgency IS NOT NULL), 0)) + sum(urgency) AS BIGINT) AS urgency FROM m GROUP BY 1)
+SELECT * FROM c WHERE members > 0 UNION ALL SELECT n_nationkey, 0, 0, true, 20 FROM nation WHERE n_nationkey NOT IN (SELECT group_id FROM m) UNION ALL SELECT 1000, 0, 0, true, 20""")
+def a46_companies(spark, d):
+    c = T.read(spark, d, "customer")
+    balances = c.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").cast("double").alias("balance_usd"), (F.col("c_custkey") % 33).alias("eligible_from"))
+    members = c.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("group_id"))
+    companies = T.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("group_id"))
+    companies = companies.union(spark.createDataFrame([(1000,)], companies.schema))  # one without members
+    return rounded(usage.by_company(usage.follow_ups(_usage(spark, d), NOW, balances), members, companies))

@@ -65,9 +65,9 @@ def s1_range_scan(spark, d):
     return rows.select("id", "created_at", "type", "user_id")
 
 
-@query(T.LOGS + " SELECT user_id, created_at, CAST(type AS INTEGER) AS type, id, quota FROM logs WHERE type IN (2, 6) AND user_id < 20")
+@query(T.LOGS + " SELECT user_id, created_at, CAST(type AS INTEGER) AS type, id, quota FROM logs WHERE type IN (2, 6)")
 def s2_usage_events(spark, d):
-    return T.logs(spark, d).where("type in (2, 6) and user_id < 20").select("user_id", "created_at", "type", "id", "quota").sortWithinPartitions("created_at", "type", "id")
+    return T.logs(spark, d).where("type in (2, 6)").select("user_id", "created_at", "type", "id", "quota").sortWithinPartitions("created_at", "type", "id")
 
 
 @query(T.LOGS + " SELECT id, created_at, channel_id, model_name, grp, content FROM logs WHERE type = 5")
@@ -266,9 +266,11 @@ def p11_search(spark, d):
     return usage.search(T.logs(spark, d), SINCE, NOW, kind=5, model="model-1", content="_code=5").select("id")
 
 
-@query(T.LOGS + " SELECT id, created_at, quota FROM logs WHERE id < 9000 AND id <= 8500 ORDER BY id DESC LIMIT 500")
+@query(T.LOGS + " SELECT id, created_at, quota FROM logs WHERE id < (SELECT max(id) - 200 FROM logs) ORDER BY id DESC LIMIT 500")
 def t3_extract(spark, d):
-    return usage.extract(T.logs(spark, d), 500, before_id=9000, max_id=8500).select("id", "created_at", "quota")
+    rows = T.logs(spark, d)
+    newest = rows.agg(F.max("id")).first()[0] or 0
+    return usage.extract(rows, 500, before_id=newest - 200, max_id=newest).select("id", "created_at", "quota")
 
 
 @query(T.LOGS + " SELECT least(count(*), 300) AS n, count(*) > 300 AS more, max(id) AS max_id FROM (SELECT id FROM logs WHERE type = 5 ORDER BY id LIMIT 301)")
@@ -294,7 +296,7 @@ def _rows(spark, d):
 
 @query(HOURS + ", " + T.CHANNELS + f" SELECT grp, channel_id, model_name, name, vendor, {sums('success', 'anomaly', 'failed', 'quota', 'max_use_time')} FROM hours LEFT JOIN channels ON id = channel_id GROUP BY ALL")
 def a19_dimensions(spark, d):
-    c = F.broadcast(T.channels(spark, d).select(F.col("id").alias("channel_id"), "name", "vendor"))
+    c = T.channels(spark, d).select(F.col("id").alias("channel_id"), "name", "vendor")
     return _hours(spark, d).join(c, "channel_id", "left").groupBy("grp", "channel_id", "model_name", "name", "vendor").agg(*rollup.again(("success", "anomaly", "failed", "quota", "max_use_time")))
 
 
@@ -367,14 +369,25 @@ def a25_problem_report(spark, d):
     return rounded(problems.report(minutes, 0, 1 << 40))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[a-zA-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+\b', '<email>', 'g'),
-  '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?\b', '<ip>', 'g'), '(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b', '<uuid>', 'g'), '\b[a-zA-Z0-9_-]{32,}\b', '<opaque-id>', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS digest FROM documents""")
+PLANTED = "api_key: abc123, Bearer abcdefghijkl sk-abcdefgh12 ?token=zz&x=1 a.b@example.com 10.0.0.1:80 123e4567-e89b-42d3-a456-426614174000 "
+_WS = r"[ \t\n\r\f\v]"
+RULES_SQL = (
+    (rf"(?i)\b(authorization|api[-_ ]?key|access[-_ ]?token|refresh[-_ ]?token|secret){_WS}*[:=]{_WS}*(?:bearer{_WS}+)?[^ \t\n\r\f\v,;]+", r"\1=<redacted>"), (rf"(?i)\bbearer{_WS}+[a-z0-9._~+/=-]{{8,}}", "Bearer <redacted>"),
+    (r"(?i)\b(?:sk|rk|pk|sess|token)-[a-z0-9_-]{8,}", "<credential>"), (r"(?i)([?&](?:token|key|api_key|access_token|signature)=)[^& \t\n\r\f\v]+", r"\1<redacted>"),
+    (r"\b[a-zA-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+\b", "<email>"), (r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?\b", "<ip>"),
+    (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b", "<uuid>"), (r"\b[a-zA-Z0-9_-]{32,}\b", "<opaque-id>"), (_WS + "+", " "))
+
+
+def _redacted_sql(text: str) -> str:
+    for pattern, substitute in RULES_SQL:
+        text = f"regexp_replace({text}, '{pattern}', '{substitute}', 'g')"
+    return text
+
+
+@query(f"SELECT doc_id, md5({_redacted_sql(f"trim('{PLANTED}' || text)")}) AS digest FROM documents")
 def f4_redaction(spark, d):
-    rules = S.REDACTIONS[4:]
-    text = F.col("text")
-    for rule in rules:
-        text = F.regexp_replace(text, *rule)
-    return T.read(spark, d, "documents").select("doc_id", F.md5(text).alias("digest"))
+    """All rules over whole texts, each of which begins with one case of every rule."""
+    return T.read(spark, d, "documents").select("doc_id", F.md5(S.redacted(F.concat(F.lit(PLANTED), "text"))).alias("digest"))
 
 
 # --- usage -------------------------------------------------------------------------------------------------------
@@ -436,7 +449,7 @@ i AS (SELECT *, days_idle >= 14 AS dormant, days_idle < 14 AND prev7 > 0 AND las
   CAST(CASE WHEN dormant THEN 50 WHEN fell THEN 35 ELSE 0 END + CASE WHEN low THEN 45 ELSE 0 END + floor(spend) AS BIGINT) AS urgency, CASE WHEN spend > 0 THEN 'urgent' ELSE 'info' END AS level FROM i WHERE dormant OR fell OR low""")
 def a46_follow_ups(spark, d):
     balances = T.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").cast("double").alias("balance_usd"))
-    return usage.follow_ups(_usage(spark, d), NOW, balances)
+    return usage.follow_ups(_usage(spark, d), NOW, balances).drop("spend_usd")
 
 
 @query(T.LOGS + " SELECT user_id, min(created_at) AS first_log, max(created_at) AS last_log, CAST(sum(quota) FILTER (WHERE type = 2) AS BIGINT) AS used FROM logs GROUP BY 1")
@@ -482,10 +495,11 @@ def j19_day_ready(spark, d):
     return audit.day_ready(_proofs(spark, d), T.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), SINCE)
 
 
-@query(HOURS + ", c AS (SELECT created_at // 3600 * 3600 AS hour_ts, count(*) AS n FROM traffic GROUP BY 1) SELECT c.hour_ts, n AS requests_a, n AS requests_b FROM c WHERE false")
+@query(HOURS + ", c AS (SELECT created_at // 3600 * 3600 AS hour_ts, count(*) AS n FROM traffic GROUP BY 1) SELECT c.hour_ts, n + 1 AS requests_a, n AS requests_b FROM c WHERE hour_ts // 3600 % 7 = 0")
 def q1_detail_is_control(spark, d):
-    logs = T.logs(spark, d)
-    detail = _hours(spark, d).groupBy("hour_ts").agg(F.sum(F.col("success") + F.col("anomaly") + F.col("failed")).alias("requests"))
+    """Detail and control agree but for the hours in whose detail a fault is planted."""
+    logs, fault = T.logs(spark, d), F.when(F.expr("hour_ts div 3600 % 7") == 0, 1).otherwise(0)
+    detail = _hours(spark, d).groupBy("hour_ts").agg(F.sum(F.col("success") + F.col("anomaly") + F.col("failed")).alias("requests")).withColumn("requests", F.col("requests") + fault)
     control = rollup.hour_controls(logs, T.RULES).select("hour_ts", F.col("user_requests").alias("requests"))
     return rollup.differences(detail, control, ["hour_ts"], ["requests"])
 
@@ -568,7 +582,7 @@ def f20_finance(spark, d):
 @query(HOURS + ", " + T.CHANNELS + """, p AS (SELECT DISTINCT hour_ts FROM hours WHERE hour_ts // 3600 % 3 <> 0), r AS (SELECT h.*, base_domain AS domain, h.grp <> 'grp-4' AS priced FROM hours h JOIN p ON h.hour_ts = p.hour_ts JOIN channels ON id = channel_id)
 SELECT domain, round(coalesce(sum(quota / 500000.0 * 0.5 / 2.0) FILTER (WHERE priced), 0) / (SELECT count(*) FROM p) * 24, 6) AS daily_cost_usd, CASE WHEN coalesce(sum(quota) FILTER (WHERE NOT priced), 0) > 0 THEN 'grp-4' ELSE '' END AS missing_groups FROM r GROUP BY 1""")
 def a34_burn(spark, d):
-    c = F.broadcast(T.channels(spark, d).select(F.col("id").alias("channel_id"), F.col("base_domain").alias("domain")))
+    c = T.channels(spark, d).select(F.col("id").alias("channel_id"), F.col("base_domain").alias("domain"))
     facts = _hours(spark, d).join(c, "channel_id")
     ledger = facts.select("hour_ts").distinct().where("hour_ts div 3600 % 3 <> 0").withColumn("status", F.lit("complete"))
     rates = facts.select("channel_id", "grp").distinct().where("grp <> 'grp-4'").withColumns({"upstream": F.lit(0.5), "site": F.lit(2.0)})
@@ -782,7 +796,7 @@ def p4_classification(spark, d):
     return T.logs(spark, d).select("id", F.when(F.col("type") == 5, C.error_kind()).alias("kind"), C.is_test(T.RULES).alias("test"), C.json_long("$.frt").alias("frt"))
 
 
-@query()
+@query(T.LOGS + " SELECT id, sha256(unhex('" + (b"key".ljust(64, b"\0").translate(bytes(x ^ 0x5C for x in range(256)))).hex() + "') || unhex(sha256(unhex('" + (b"key".ljust(64, b"\0").translate(bytes(x ^ 0x36 for x in range(256)))).hex() + "') || encode(request_id)))) AS pseudonym FROM logs")
 def f26_pseudonyms(spark, d):
     return T.logs(spark, d).select("id", S.hmac_sha256(b"key", F.col("request_id")).alias("pseudonym"))
 
@@ -830,10 +844,11 @@ def s10_replace_range(spark, d):
     return spark.read.parquet(path).select(F.col("date_ts").cast("long").alias("date_ts"), "channel_id", "success")
 
 
-@query(T.LOGS + " SELECT id, created_at, model_name, quota FROM logs WHERE id <= 9000 ORDER BY id DESC LIMIT 2000")
+@query(T.LOGS + " SELECT id, created_at, model_name, quota FROM logs ORDER BY id DESC LIMIT 50000")
 def s16_csv_export(spark, d):
     path = tables.shared_folder(spark)
-    tables.export_csv(T.logs(spark, d).select("id", "created_at", "model_name", "quota"), path, 9000, 2000)
+    rows = T.logs(spark, d).select("id", "created_at", "model_name", "quota")
+    tables.export_csv(rows, path, rows.agg(F.max("id")).first()[0] or 0)
     return spark.read.schema("id long, created_at long, model_name string, quota long").option("header", True).csv(path)
 
 

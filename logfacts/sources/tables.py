@@ -23,6 +23,11 @@ def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def replace_all(rows: DataFrame, path: str) -> None:
+    """A small derived table in place of what was there, in one go."""
+    rows.write.mode("overwrite").parquet(path)
+
+
 def replace_by_key(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Fresh rows win over existing ones of the same key."""
     return existing.join(fresh.select(keys).distinct(), keys, "left_anti").unionByName(fresh)
