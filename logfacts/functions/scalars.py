@@ -111,6 +111,15 @@ def masked_key(key: Column) -> Column:
     return F.when(n <= 4, F.repeat(F.lit("*"), n)).when(n <= 8, ends(2, 4)).otherwise(ends(4, 10))
 
 
+#: Fixed value: a word that only texts of the gateway itself hold.
+INTERNAL_WORD = "渠道"
+
+
+def scrubbed(content: Column) -> Column:
+    """A text as members may see it: nothing of one that speaks of internals."""
+    return F.when(content.contains(INTERNAL_WORD), "").otherwise(content)
+
+
 def provider(model: Column) -> Column:
     m = F.lower(model)
     openai = reduce(lambda a, b: a | b, (m.startswith(p) for p in ("gpt", "o1", "o3", "o4", "chatgpt", "dall")), m.contains("codex"))

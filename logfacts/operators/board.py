@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfacts.functions import scalars as S
 from logfacts.operators.rollup import again
 
 
-def totals(minute_facts: DataFrame, now: int) -> DataFrame:
-    """Uptime without client errors and the median latency per group and model; a state from the last day if there is enough."""
+def totals(minute_facts: DataFrame, now: int, channel_counts: DataFrame | None = None) -> DataFrame:
+    """Uptime without client errors and the median latency per group and model; a state from the last day if there is enough.
+
+    With ``channel_counts`` (grp, model, channels: the enabled ones) a pair without any is down and shows no figures, and
+    pairs that have channels but no traffic are up. Uptime needs 20 requests; a latency of 0 is not shown.
+    """
     last_day = F.col("bucket_ts") >= now - S.DAY
     up, bad = F.col("success") + F.col("anomaly"), F.col("failed") - F.col("err_4xx")
-    rows = minute_facts.groupBy("grp", "model_name").agg(F.sum(up).alias("up"), F.sum(bad).alias("bad"), F.coalesce(F.sum(F.when(last_day, up)), F.lit(0)).alias("up_day"), F.coalesce(F.sum(F.when(last_day, bad)), F.lit(0)).alias("bad_day"), F.max("bucket_ts").alias("newest"), *again([*S.LATENCY, "max_use_time"]))
+    rows = minute_facts.groupBy("grp", "model_name").agg(F.sum(up).alias("up"), F.sum(bad).alias("bad"), F.coalesce(F.sum(F.when(last_day, up)), F.lit(0)).alias("up_day"), F.coalesce(F.sum(F.when(last_day, bad)), F.lit(0)).alias("bad_day"), F.max("bucket_ts").alias("newest"), F.sum(up + F.col("failed")).alias("all"), *again([*S.LATENCY, "max_use_time"]))
+    if channel_counts is not None:
+        on = channel_counts.select("grp", F.col("model").alias("model_name"), "channels")
+        rows = rows.join(on, ["grp", "model_name"], "full")
+    off = F.coalesce("channels", F.lit(0)) == 0 if channel_counts is not None else F.lit(False)
     n, day = F.col("up") + F.col("bad"), F.col("up_day") + F.col("bad_day")
-    fresh = F.col("newest") >= now - 2 * S.DAY
-    return rows.select("grp", "model_name", F.when(fresh & (n > 0), F.col("up") / n * 100).alias("uptime"), F.when(fresh, S.percentile(list(S.LATENCY), S.LATENCY_EDGES, "max_use_time", 50)).alias("p50"), F.when(day >= 20, S.band(F.col("up_day") / day)).otherwise("up").alias("state"))
+    fresh = ~off & (F.col("newest") >= now - 2 * S.DAY)
+    p50 = S.percentile(list(S.LATENCY), S.LATENCY_EDGES, "max_use_time", 50)
+    return rows.select("grp", "model_name", F.when(fresh & (F.col("all") >= 20) & (n > 0), F.col("up") / n * 100).alias("uptime"), F.when(fresh & (p50 > 0), p50).alias("p50"), F.when(off, "down").when(day >= 20, S.band(F.col("up_day") / day)).otherwise("up").alias("state"))
 
 
 def group_states(models: DataFrame) -> DataFrame:
@@ -63,3 +72,15 @@ def overview(states: DataFrame) -> DataFrame:
     """The worst state of each type."""
     rank = F.array_position(F.array(*map(F.lit, RANK)), F.col("state"))
     return states.groupBy("rtype").agg(F.count("*").alias("resources"), F.element_at(F.array(*map(F.lit, RANK)), F.max(rank).cast("int")).alias("state"))
+
+
+#: States of a container and what they mean; a running one is judged by its health.
+CONTAINER_BAD, CONTAINER_HEALTH_WARN = ("missing", "dead", "exited", "removing"), ("starting", "unknown")
+
+
+def container_status(state: Column, health: Column) -> Column:
+    """ok, warn or bad of a container; unknown or missing words are a warning."""
+    state, health = F.lower(F.trim(F.coalesce(state, F.lit("")))), F.lower(F.trim(F.coalesce(health, F.lit(""))))
+    known = F.when(health.isin("none", "starting", "healthy", "unhealthy"), health).otherwise("unknown")
+    running = F.when(known == "unhealthy", "bad").when(known.isin(*CONTAINER_HEALTH_WARN), "warn").otherwise("ok")
+    return F.when(state.isin(*CONTAINER_BAD), "bad").when(state == "running", running).otherwise("warn")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logfacts.functions import classify as C
 from logfacts.functions import scalars as S
-from logfacts.operators import audit, channels, edge, evidence, filters, kpi, problems, rollup, stability, upstream, usage
+from logfacts.operators import audit, board, channels, edge, evidence, filters, kpi, problems, rollup, stability, upstream, usage
 from logfacts.plans import testmap as T
 from logfacts.plans.queries import DAY_SQL, EDGE, EV, HOURS, NOW, SINCE, SIGNS, _evidence, _hours, _lines, _minutes, _proofs, _PROOF, _usage, query, rounded, sums, ORACLES, QUERIES  # noqa: F401
 from logfacts.sources import tables
@@ -358,3 +358,24 @@ def a46_companies(spark, d):
     companies = T.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("group_id"))
     companies = companies.union(spark.createDataFrame([(1000,)], companies.schema))  # one without members
     return rounded(usage.by_company(usage.follow_ups(_usage(spark, d), NOW, balances), members, companies))
+
+
+_BOARD = ORACLES["a41_board"]
+
+
+@query(_BOARD.replace("\nSELECT grp, model_name", ", b AS (SELECT grp, model_name", 1) + """), e AS (SELECT DISTINCT 'grp-' || (s_suppkey % 4) AS grp, 'model-' || (s_suppkey % 9) AS model_name FROM supplier WHERE s_suppkey % 4 <> 3)
+SELECT coalesce(b.grp, e.grp) AS grp, coalesce(b.model_name, e.model_name) AS model_name, CASE WHEN e.grp IS NOT NULL THEN uptime END AS uptime, CASE WHEN e.grp IS NOT NULL THEN p50 END AS p50, CASE WHEN e.grp IS NULL THEN 'down' ELSE coalesce(state, 'up') END AS state FROM b FULL JOIN e ON b.grp = e.grp AND b.model_name = e.model_name""")
+def a41_board_with_channels(spark, d):
+    """Pairs without enabled channels are down, whatever their traffic was."""
+    k = F.col("s_suppkey")
+    snaps = T.read(spark, d, "supplier").select(k.alias("id"), F.when(k % 4 == 3, 2).otherwise(1).alias("status"), F.concat(F.lit("grp-"), (k % 4).cast("string")).alias("groups"), F.concat(F.lit("model-"), (k % 9).cast("string")).alias("models"))
+    return rounded(board.totals(_minutes(spark, d), NOW, channels.channel_counts(snaps)))
+
+
+@query(T.LOGS + " SELECT id, CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN NULL ELSE content END AS content, CASE k % 7 WHEN 0 THEN 'bad' WHEN 1 THEN 'warn' WHEN 2 THEN CASE k % 3 WHEN 0 THEN 'bad' WHEN 1 THEN 'warn' ELSE 'ok' END ELSE 'warn' END AS status FROM logs")
+def f13_scrub_f22_containers(spark, d):
+    k = F.col("k")
+    text = F.when(k % 5 == 0, F.concat("content", F.lit("渠道ID: 7"))).when(k % 5 == 1, F.lit(None)).otherwise(F.col("content"))
+    state = F.when(k % 7 == 0, "Exited ").when(k % 7 == 1, "paused").when(k % 7 == 2, "running").when(k % 7 == 3, "odd")
+    health = F.when(k % 3 == 0, "unhealthy").when(k % 3 == 1, "??").otherwise("none")
+    return T.logs(spark, d).select("id", S.scrubbed(text).alias("content"), board.container_status(state, health).alias("status"))

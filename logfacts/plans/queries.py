@@ -646,8 +646,8 @@ def f14_domains(spark, d):
 # --- board, edge, evidence, infrastructure -----------------------------------------------------------------------
 
 
-@query(T.MINUTES + f""", s AS (SELECT grp, model_name, sum(success + anomaly) AS up, sum(failed - err_4xx) AS bad, coalesce(sum(success + anomaly) FILTER (WHERE bucket_ts >= {NOW - 86400}), 0) AS ud, coalesce(sum(failed - err_4xx) FILTER (WHERE bucket_ts >= {NOW - 86400}), 0) AS bd, max(bucket_ts) AS newest, {sums(*S.LATENCY, 'max_use_time')} FROM minutes GROUP BY ALL)
-SELECT grp, model_name, CASE WHEN newest >= {NOW - 172800} THEN round(up * 100.0 / nullif(up + bad, 0), 6) END AS uptime, CASE WHEN newest >= {NOW - 172800} THEN round({T.percentile_sql(list(S.LATENCY), S.LATENCY_EDGES, 'max_use_time', 50)}, 6) END AS p50,
+@query(T.MINUTES + f""", s AS (SELECT grp, model_name, sum(success + anomaly + failed) AS n, sum(success + anomaly) AS up, sum(failed - err_4xx) AS bad, coalesce(sum(success + anomaly) FILTER (WHERE bucket_ts >= {NOW - 86400}), 0) AS ud, coalesce(sum(failed - err_4xx) FILTER (WHERE bucket_ts >= {NOW - 86400}), 0) AS bd, max(bucket_ts) AS newest, {sums(*S.LATENCY, 'max_use_time')} FROM minutes GROUP BY ALL)
+SELECT grp, model_name, CASE WHEN newest >= {NOW - 172800} AND n >= 20 THEN round(up * 100.0 / nullif(up + bad, 0), 6) END AS uptime, CASE WHEN newest >= {NOW - 172800} THEN nullif(round({T.percentile_sql(list(S.LATENCY), S.LATENCY_EDGES, 'max_use_time', 50)}, 6), 0) END AS p50,
   CASE WHEN ud + bd >= 20 THEN CASE WHEN ud / CAST(ud + bd AS DOUBLE) >= 0.99 THEN 'up' WHEN ud / CAST(ud + bd AS DOUBLE) >= 0.5 THEN 'warn' ELSE 'down' END ELSE 'up' END AS state FROM s""")
 def a41_board(spark, d):
     return rounded(board.totals(_minutes(spark, d), NOW))

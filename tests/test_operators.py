@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logfacts.functions import classify as C
 from logfacts.functions import scalars as S
-from logfacts.operators import alerts, audit, board, channels, edge, evidence, filters, kpi, problems, projection, rollup, stability, usage
+from logfacts.operators import alerts, audit, board, channels, edge, evidence, filters, kpi, problems, projection, rollup, stability, upstream, usage
 from logfacts.sources import tables
 from logfacts.streaming import jobs
 
@@ -127,6 +127,61 @@ def test_usage_example_and_follow_ups(spark):
     assert got == {1: (0, "drop", 35 + 38, "urgent"), 2: (29, "dormant,low balance", 96, "urgent"), 3: (30, "dormant", 50, "info")}
 
 
+def test_follow_ups_wait_for_eligible_days_and_group_by_company(spark):
+    facts = spark.createDataFrame([(1, d * 86400, 9000000, 0) for d in (5, 20)] + [(2, 29 * 86400, 500000, 0)], "user_id long, hour_ts long, consume_quota long, refund_quota long")
+    balances = spark.createDataFrame([(1, 5.0, 20), (2, 0.5, 99), (3, 5.0, 17), (4, 5.0, None)], "user_id long, balance_usd double, eligible_from int")
+    found = usage.follow_ups(facts, 30 * 86400, balances)
+    got = {r.user_id: (r.days_idle, r.reasons, r.urgency, r.spend_usd) for r in found.collect()}
+    assert got == {2: (0, "low balance", 45, 0.0), 4: (30, "dormant", 50, 0.0)}  # 1 and 3 have fewer than 14 days that count
+    members = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, None)], "user_id long, group_id long")
+    companies = spark.createDataFrame([(7,), (8,), (9,)], "group_id long")
+    rows = {r.group_id: (r.members, r.without_members, r.urgency) for r in usage.by_company(found, members, companies).collect()}
+    assert rows == {7: (1, False, 45), 9: (0, True, 20), 0: (1, False, 50)}
+
+
+def test_costs_by_form(spark):
+    plain = '"model_ratio":1,"group_ratio":0.5,"completion_ratio":3,"cache_tokens":400'
+    others = [
+        "{" + plain + ',"cache_ratio":0.25}', "{" + plain + "}", "{" + plain + ',"claude":true,"cache_ratio":0.25,"cache_creation_tokens":100,"cache_creation_ratio":1.25}',
+        "{" + plain + ',"claude":true,"cache_creation_tokens":100,"cache_creation_tokens_5m":10,"cache_creation_ratio_5m":2,"cache_creation_tokens_1h":20}', "{" + plain + ',"user_group_ratio":2,"frt":"x"}',
+        "{" + plain + ',"billing_mode":"tiered_expr"}', "{" + plain + ',"is_task":true,"model_price":-1}', "{" + plain + ',"model_price":0.1}', "{broken", None, '{"model_ratio":1,"cache_tokens":9000,"cache_ratio":1}',
+    ]
+    rows = log(spark, *({"id": i, "prompt_tokens": 1000, "completion_tokens": 100, "other": o} for i, o in enumerate(others)), {"id": 99, "type": 5, "other": others[0]})
+    got = {r.id: None if r.cost_usd is None else (round(r.cached_usd * 5e5), round(r.creation_usd * 5e5), round(r.cost_usd * 1e6, 6)) for r in upstream.log_costs(rows).collect()}
+    want = {0: (100, 0, 1000.0), 1: (0, 0, 900.0), 2: (100, 125, 1525.0), 3: (400, 40, 1740.0), 4: (0, 0, 3600.0), 10: (9000, 0, 0.0), **dict.fromkeys((5, 6, 7, 8, 9, 99))}
+    assert got == want
+
+
+def test_burn_counts_tests_at_their_basis(spark):
+    facts = spark.createDataFrame([(0, "d", 1, "g", 2000000), (0, "d", 2, "", 500000), (3600, "d", 1, "g", 9000000)], "hour_ts long, domain string, channel_id long, grp string, quota long")
+    tests = spark.createDataFrame([(0, "d", 1, "g", 500000, "legacy_assumed_base"), (0, "d", 1, "g", 500000, "legacy_after_group"), (0, "d", 1, "g", 500000, None), (0, "d", 3, "g", 1, "legacy_after_group"), (0, "d", 5, "h", 0, "x")], "hour_ts long, domain string, channel_id long, grp string, quota long, cost_basis string")
+    rates = spark.createDataFrame([(1, "g", 0.5, 2.0), (3, "g", 0.5, None)], "channel_id long, grp string, upstream double, site double")
+    ledger = spark.createDataFrame([(0, "complete"), (3600, "running")], "hour_ts long, status string")
+    r = channels.burn(facts, rates, ledger, 10, tests).first()
+    assert r.daily_cost_usd == pytest.approx(24 * (1.0 + 0.5 + 0.25))
+    assert r.missing_groups == "内部测试渠道 #1 成本口径未标记,内部测试渠道 #3,未标记服务分组"
+
+
+def test_readings_agree_however_they_are_paged(spark):
+    rows = spark.createDataFrame([(1, i, i % 3, None if i % 2 else "x") for i in range(20)] + [(2, 1, 1, "x")], "user long, id long, page long, text string")
+    read = lambda r, page: audit.fold_pages(audit.event_pages(r.withColumn("page", page), ["user", "page"], ["id", "text"]), ["user"])
+    a, b = read(rows, F.col("page")), read(rows, F.col("id") % 7)
+    assert {r.user: r.agreed for r in audit.agreed(a, b, ["user"]).collect()} == {1: True, 2: True}
+    changed = read(rows.fillna("", ["text"]).where("user = 1"), F.lit(0))
+    assert {r.user: r.agreed for r in audit.agreed(a, changed, ["user"]).collect()} == {1: False, 2: False}
+
+
+def test_repair_and_new_version(spark):
+    late = log(spark, *({"id": i, "created_at": 3600 * (i % 3)} for i in range(9)))
+    stored = rollup.direct_hours(late.where("id < 6"))[0]
+    hours = spark.createDataFrame([(0,), (0,)], "hour_ts long")
+    assert {r.hour_ts: r.success for r in rollup.repaired(stored, late, hours).collect()} == {0: 3, 3600: 2, 7200: 2}
+    versions = rollup.reclassified(stored.withColumn("traffic_class_version", F.lit(4)), late, hours, 5)
+    ledger = "hour_ts long, status string, traffic_class_version int"
+    see = lambda signed: {r.hour_ts: r.success for r in filters.effective(versions, spark.createDataFrame(signed, ledger)).collect()}
+    assert see([]) == {0: 2, 3600: 2, 7200: 2} and see([(0, "complete", 5)]) == {0: 3, 3600: 2, 7200: 2}
+
+
 def test_gaps_and_proofs(spark):
     present = spark.createDataFrame([(h * 3600,) for h in (0, 1, 4, 20)], "hour_ts long")
     got = [(r.from_ts // 3600, r.to_ts // 3600) for r in audit.missing_ranges(present, 0, 22 * 3600).collect()]
