@@ -129,12 +129,12 @@ def _frequencies(slices: Iterator[list[str]], y: np.ndarray) -> tuple[np.ndarray
     return df[1], df[0]
 
 
-def fit(texts: list[str], toxic: list[int], penalty: float = 1.0, l2: float = 0.2, steps: int = 400, most_features: int = 4096) -> Model | None:
+def fit(texts: list[str], toxic: list[int], penalty: float = 1.0, l2: float = 0.2, steps: int = 400) -> Model | None:
     """A model from a list of texts that weigh the same."""
-    return fit_slices(lambda: (texts[i : i + SLICE_ROWS] for i in range(0, len(texts), SLICE_ROWS)), toxic, np.ones(len(texts)), penalty, l2, steps, most_features)
+    return fit_slices(lambda: (texts[i : i + SLICE_ROWS] for i in range(0, len(texts), SLICE_ROWS)), toxic, np.ones(len(texts)), penalty, l2, steps)
 
 
-def fit_slices(opened: Callable[[], Iterator[list[str]]], toxic: list[int], weight: np.ndarray, penalty: float = 1.0, l2: float = 0.2, steps: int = 400, most_features: int = 4096) -> Model | None:
+def fit_slices(opened: Callable[[], Iterator[list[str]]], toxic: list[int], weight: np.ndarray, penalty: float = 1.0, l2: float = 0.2, steps: int = 400) -> Model | None:
     """Adam on the full bounded sample; ``penalty`` weighs squared logit changes between texts and their counterfactuals.
 
     ``opened`` gives the texts in the order of ``toxic`` and ``weight``, a slice at a time, and is called twice.
@@ -147,7 +147,6 @@ def fit_slices(opened: Callable[[], Iterator[list[str]]], toxic: list[int], weig
     rate = (df1 + df0) / len(y)
     strength = np.abs(df1 / n1 - df0 / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n1 + 1 / n0))
     chosen = np.flatnonzero((df1 + df0 >= 3) & (strength > 5))
-    chosen = chosen[np.argsort(-strength[chosen], kind="stable")][:most_features]
     # every identity term is a feature, so that the penalty has weights to act on
     terms = np.unique(np.concatenate([bucket for *_, bucket in held(pa.array(IDENTITY_TERMS, pa.large_string()))]))
     chosen = np.union1d(chosen, terms)

@@ -128,6 +128,30 @@ def test_top_k_edge_cases(spark):
     assert topk.op8(df.where("false")).count() == 0
 
 
+def test_top_k_rounds_large_numbers_and_elimination(spark):
+    rows = [(i, [rng.gauss(0, 1) * 2.0**e for e in (0, 20, 29, -8)] if i % 3 else [float(i), 1e9, -2.0, 1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
+    whole = {i: [int(np.floor(x)) for x in v] for i, v in rows}
+    got = {}
+    for r in topk.top_k(df, F.col("id") % 5 == 0, k=3, scale=1.0, pivots=4, round_size=16).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (-r.score, r.vec_id)
+    for q in range(0, 400, 5):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), j) for j, w in whole.items() if j != q)[:3]
+        assert [got[q][i + 1] for i in range(3)] == want
+    with pytest.raises(ValueError, match="too large"):
+        topk.top_k(spark.createDataFrame([(1, [1e300]), (2, [1.0])], "id long, vector array<double>"), F.col("id") == 2)
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(spark.createDataFrame([(1, [1e16]), (2, [1e16])], "id long, vector array<double>"), F.col("id") == 2)
+    # clustered vectors: bounds spare most of the pairs
+    centres = np.array([[rng.gauss(0, 900) for _ in range(16)] for _ in range(40)])
+    x = np.array([[int(c + rng.gauss(0, 20)) for c in centres[i % 40]] for i in range(4000)])
+    table = topk._distances(x, centres[:16].astype(np.int64))
+    asked = topk.Asked(np.arange(80), x[:80], table[:80], 5)
+    topk.search([asked], [(np.arange(a, a + 1000), x[a : a + 1000], table[a : a + 1000]) for a in range(0, 4000, 1000)])
+    assert [b[0] for b in asked.best] == [min((-int(x[i] @ x[j]), j) for j in range(4000) if j != i) for i in range(80)]
+    assert asked.scored < 0.6 * 80 * 4000
+
+
 # --- WARC --------------------------------------------------------------------------------------------------------
 
 
@@ -242,6 +266,10 @@ def test_mixing_learns_domains_and_edge_cases(spark):
     labelled = spark.createDataFrame([(i, "bad" if i % 4 == 0 else "good") for i in range(120)] + [(1, None), (2, "other")], "id long, domain string")
     rows = {r.id: r for r in mixing.mix(df, labelled, {"good": 0.9, "bad": 0.1}).collect()}
     assert len(rows) == 202 and all(rows[i].p_bad > 0.9 for i in range(0, 200, 4)) and all(rows[i].p_bad < 0.3 for i in range(1, 200, 4))
+    # good documents are a little bad too, so this target is out of reach, and the residuals say so
+    assert rows[0].residual_bad > 0.1 and rows[0].residual_good < -0.01
+    within = mixing.mix(df, labelled, {"good": 0.6, "bad": 0.4}).first()
+    assert abs(within.residual_good) <= 1e-4 and abs(within.residual_bad) <= 1e-4
     assert rows[0].rate < 0.7 < 1 < rows[1].rate and rows[900].tokens == rows[901].tokens == 0 and rows[900].copies == 1
     assert mixing.mix(df.where("false"), labelled, {"good": 0.9, "bad": 0.1}).count() == 0
     assert mixing.mix(df, labelled.where("false"), {"good": 0.5, "bad": 0.5}).count() == 202
