@@ -52,19 +52,49 @@ def wide(samples: DataFrame, excluded: list[str] | None = None) -> DataFrame:
     return latest.groupBy("resource", "rtype").agg(F.max("ts").alias("newest"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
 
 
-def resource_states(resources: DataFrame, cpu_warn: float = 80, cpu_bad: float = 95, avail_warn: float = 15, avail_bad: float = 5, response_ms: float = 1000) -> DataFrame:
-    """nosample, ok, warn or bad by type."""
+def snapshot(samples: DataFrame, now: int, excluded: list[str] | None = None) -> DataFrame:
+    """(resource, rtype, newest, age, metrics): host rows count as those of the resource of their name, whose type they leave alone."""
+    rows = samples.where(~F.col("resource").isin(excluded)) if excluded else samples
+    kind = F.when(~F.col("rtype").isin("host", ""), F.col("rtype"))
+    latest = rows.groupBy("resource", "metric").agg(F.max_by("value", "bucket_ts").alias("value"), F.max("bucket_ts").alias("ts"), F.max(kind).alias("kind"))
+    whole = latest.groupBy("resource").agg(F.coalesce(F.max("kind"), F.lit("instance")).alias("rtype"), F.max("ts").alias("newest"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    return whole.select("resource", "rtype", "newest", F.greatest(F.lit(0), F.lit(now) - (F.col("newest") + 60)).cast("long").alias("age"), "metrics")
+
+
+def probe_status(m, warn_ms: float = 500, bad_ms: float = 1500, warn_days: float = 30, bad_days: float = 7, expect_cdn: bool = True) -> Column:  # noqa: ANN001
+    """ok, warn or bad of an end-to-end probe; ``m`` gives a metric by name."""
+    zero = lambda k: F.coalesce(m(k), F.lit(0.0))
+    lost = (zero("reachable") < 1) | (F.floor(zero("status_code")) != 200) | (zero("latency_ms") >= bad_ms) | (m("cert_days") <= bad_days)
+    slow = (zero("latency_ms") >= warn_ms) | (m("cert_days") <= warn_days) | (F.lit(expect_cdn) & (zero("via_cdn") < 1))
+    return F.when(lost, "bad").when(slow, "warn").otherwise("ok")
+
+
+def resource_states(resources: DataFrame, cpu_warn: float = 80, cpu_bad: float = 95, avail_warn: float = 15, avail_bad: float = 5, response_ms: float = 1000, connections: float = 70, disk_queue: float = 5, burst: float = 20, containers: DataFrame | None = None) -> DataFrame:
+    """nosample, ok, warn or bad by type: database, lb, probe, lock, else a machine.
+
+    ``containers`` (resource, status): a machine is no better than its worst container, which is all that counts without metrics.
+    """
+    if containers is not None:
+        worst = containers.groupBy("resource").agg(F.bool_or(F.col("status") == "bad").alias("c_bad"), F.bool_or(F.col("status") == "warn").alias("c_warn"))
+        resources = resources.join(worst, "resource", "left")
+        held, c_bad, c_warn = F.col("c_bad").isNotNull(), F.coalesce("c_bad", F.lit(False)), F.coalesce("c_warn", F.lit(False))
+    else:
+        held = c_bad = c_warn = F.lit(False)
     m = lambda k: F.try_element_at("metrics", F.lit(k))
     share = lambda a, b: F.when(m(b) > 0, m(a) / m(b) * 100)
     memory, storage = share("free_mem_mb", "mem_total_mb"), share("free_storage_gb", "disk_total_gb")
     used = F.when(m("mem_total_mb") > 0, (m("mem_total_mb") - m("mem_avail_mb")) / m("mem_total_mb") * 100)
-    database = F.when((memory < avail_bad) | (storage < avail_bad) | (m("cpu") > cpu_bad), "bad").when((memory < avail_warn) | (storage < avail_warn) | (m("cpu") > cpu_warn), "warn").otherwise("ok")
+    database = F.when((memory < avail_bad) | (storage < avail_bad) | (m("cpu") > cpu_bad), "bad").when((memory < avail_warn) | (storage < avail_warn) | (m("cpu") > cpu_warn) | (m("connections") > connections) | (m("disk_queue") > disk_queue), "warn").otherwise("ok")
     balancer = F.when((m("unhealthy") >= 1) | (m("healthy") < 1), "bad").when(m("resp_ms") > response_ms, "warn").otherwise("ok")
-    machine = F.when((m("status_failed") >= 1) | (m("cpu") > cpu_bad) | (used > 100 - avail_bad), "bad").when((m("cpu") > cpu_warn) | (used > 100 - avail_warn), "warn").otherwise("ok")
-    state = F.when(F.size("metrics") == 0, "nosample").when(F.col("rtype") == "database", database).when(F.col("rtype") == "lb", balancer).otherwise(machine)
+    machine = F.when(c_bad | (m("status_failed") >= 1) | (m("cpu") > cpu_bad) | (used > 100 - avail_bad), "bad").when((m("cpu") > cpu_warn) | (used > 100 - avail_warn) | (m("disk_used_pct") > 100 - avail_warn) | (m("burst") < burst) | c_warn, "warn").otherwise("ok")
+    lock = F.when(m("locked") >= 1, "ok").otherwise("bad")
+    without = F.when(~held, "nosample").when(c_bad, "bad").when(c_warn, "warn").otherwise("ok")
+    state = F.when(F.size("metrics") == 0, without).when(F.col("rtype") == "probe", probe_status(m)).when(F.col("rtype") == "lock", lock).when(F.col("rtype") == "database", database).when(F.col("rtype") == "lb", balancer).otherwise(machine)
     return resources.select("resource", "rtype", "newest", state.alias("state"))
 
 
+#: The usual thresholds.
+LIMITS = {"cpu_warn": 70, "cpu_bad": 85, "avail_warn": 25, "avail_bad": 15, "response_ms": 2000}
 RANK = ("ok", "nosample", "warn", "bad")
 
 
@@ -74,6 +104,16 @@ def overview(states: DataFrame) -> DataFrame:
     return states.groupBy("rtype").agg(F.count("*").alias("resources"), F.element_at(F.array(*map(F.lit, RANK)), F.max(rank).cast("int")).alias("state"))
 
 
+def overall(states: DataFrame) -> DataFrame:
+    """One row: the worst state of all, how many instances, probes and locks are there and well, the database's and balancer's state."""
+    rank = F.array_position(F.array(*map(F.lit, RANK[:1] + RANK[2:])), F.col("state"))  # nosample is no state to report while there are others
+    worst = F.coalesce(F.element_at(F.array(*map(F.lit, RANK[:1] + RANK[2:])), F.nullif(F.max(rank), F.lit(0)).cast("int")), F.lit("nosample"))
+    special = F.col("rtype").isin("database", "lb", "probe", "lock")
+    counts = [F.count_if(c & ok).alias(f"{n}_{k}") for n, c in (("instances", ~special), ("probes", F.col("rtype") == "probe"), ("locks", F.col("rtype") == "lock")) for k, ok in (("total", F.lit(True)), ("ok", F.col("state") == "ok"))]
+    of = lambda kind: F.coalesce(F.max_by(F.when(F.col("rtype") == kind, F.col("state")), F.when(F.col("rtype") == kind, F.col("resource"))), F.lit("absent"))
+    return states.agg(worst.alias("state"), *counts, of("database").alias("database"), of("lb").alias("lb"))
+
+
 #: States of a container and what they mean; a running one is judged by its health.
 CONTAINER_BAD, CONTAINER_HEALTH_WARN = ("missing", "dead", "exited", "removing"), ("starting", "unknown")
 

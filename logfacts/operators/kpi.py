@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfacts.functions import scalars as S
+from logfacts.operators import filters
 from logfacts.operators.rollup import ADDED, LARGEST, again
 
 
@@ -27,6 +28,11 @@ def with_rates(sums: DataFrame, window_seconds: float) -> DataFrame:
     })
 
 
+def shown(minute_facts: DataFrame, channels: DataFrame, pairs: DataFrame, dimension: str | None = None) -> DataFrame:
+    """Facts that key figures count: of enabled channels and selectable pairs; a table of channels shows all of them."""
+    return minute_facts if dimension == "channel_id" else filters.selectable(filters.enabled(minute_facts, channels), pairs)
+
+
 def summary(minute_facts: DataFrame, since: int, window_seconds: float) -> DataFrame:
     sums = minute_facts.where(F.col("bucket_ts") >= since).agg(*(F.coalesce(c, F.lit(0)).alias(n) for n, c in zip((*ADDED, *LARGEST), again((*ADDED, *LARGEST)), strict=True)))
     return with_rates(sums, window_seconds)

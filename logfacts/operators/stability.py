@@ -31,17 +31,23 @@ def with_rejections(hours: DataFrame, rejections: DataFrame | None = None) -> Da
     return rows.unionByName(more)
 
 
+KEYS = ("grp", "channel_id", "model")
+SETS = {(): "all", ("grp",): "group", ("grp", "channel_id"): "group-channel", KEYS: "group-channel-model", ("grp", "model"): "group-model", ("channel_id",): "channel", ("model",): "model"}
+
+
+def _level() -> Column:
+    """The name of a grouping set, from the column gid."""
+    level: Column = F.lit(None)
+    for keys, name in SETS.items():
+        level = F.when(F.col("gid") == sum(0 if c in keys else 1 << (2 - i) for i, c in enumerate(KEYS)), name).otherwise(level)
+    return level
+
+
 def levels(rows: DataFrame) -> DataFrame:
     """All levels of the report in one pass. ``level`` tells them apart, as blank and null keys are legal."""
     rows = rows.withColumnRenamed("model_name", "model")
-    sets = [[], ["grp"], ["grp", "channel_id"], ["grp", "channel_id", "model"], ["grp", "model"], ["channel_id"], ["model"]]
-    names = {(): "all", ("grp",): "group", ("grp", "channel_id"): "group-channel", ("grp", "channel_id", "model"): "group-channel-model", ("grp", "model"): "group-model", ("channel_id",): "channel", ("model",): "model"}
-    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], "grp", "channel_id", "model").agg(F.grouping_id().alias("gid"), *again([*COUNTS, "rejected"]))
-    of_gid = {sum(0 if c in key else 1 << (2 - i) for i, c in enumerate(("grp", "channel_id", "model"))): name for key, name in names.items()}
-    level: Column = F.lit(None)
-    for gid, name in of_gid.items():
-        level = F.when(F.col("gid") == gid, name).otherwise(level)
-    return with_metrics(grouped.withColumn("level", level).drop("gid"))
+    grouped = rows.groupingSets([[F.col(c) for c in s] for s in SETS], "grp", "channel_id", "model").agg(F.grouping_id().alias("gid"), *again([*COUNTS, "rejected"]))
+    return with_metrics(grouped.withColumn("level", _level()).drop("gid"))
 
 
 def with_shares(report: DataFrame) -> DataFrame:
@@ -51,6 +57,19 @@ def with_shares(report: DataFrame) -> DataFrame:
     return report.join(F.broadcast(whole), "level").withColumns(shares).drop("n", "bad")
 
 
+def deltas(rows: DataFrame, since: int, until: int, before: int) -> DataFrame:
+    """Change of stability in percentage points of [since, until) against [before, since), for all levels in one pass.
+
+    Levels without a row in the later range are left out; the change is null if either range has no requests.
+    """
+    now, parts = F.col("hour_ts") >= since, ("success", "anomaly", "failed", "rejected")
+    rows = rows.where((F.col("hour_ts") >= before) & (F.col("hour_ts") < until)).withColumnRenamed("model_name", "model")
+    sums = [F.sum(F.when(inside, F.col(c))).alias(f"{p}_{c}") for p, inside in (("now", now), ("old", ~now)) for c in parts]
+    grouped = rows.groupingSets([[F.col(c) for c in s] for s in SETS], "grp", "channel_id", "model").agg(F.grouping_id().alias("gid"), F.count_if(now).alias("held"), *sums)
+    rate = lambda p: S.rate_or_null(F.col(f"{p}_success"), F.col(f"{p}_success") + F.col(f"{p}_anomaly") + F.col(f"{p}_failed") + F.col(f"{p}_rejected"))
+    return grouped.where("held > 0").select(_level().alias("level"), "grp", "channel_id", "model", (rate("now") - rate("old")).alias("delta_pp"))
+
+
 def with_deltas(report: DataFrame, before: DataFrame) -> DataFrame:
     """The change of stability against the period before, in percentage points."""
     keys = ["level", "grp", "channel_id", "model"]

@@ -46,6 +46,21 @@ def group_names(sources: list[DataFrame], ratios: DataFrame) -> DataFrame:
     return names.where("grp <> ''").distinct().join(good, "grp")
 
 
+def group_sources(usable: DataFrame, special: DataFrame, configured: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(grp, ratio, priced): names of usable (grp), special (key, description) and configured (grp) groups.
+
+    Special keys are ``+:name``, ``-:name`` (takes a name away from a member, so gives none), or in an older form
+    ``append_N`` with the name as description, if that has a ratio. Names without a positive finite ratio are not priced.
+    """
+    known = ratios.select(F.col("grp").alias("description"), F.lit(True).alias("known")).distinct()
+    rows = special.select(F.trim("key").alias("key"), F.trim(F.coalesce("description", F.lit(""))).alias("description")).join(known, "description", "left")
+    gone = F.col("key").startswith("-:") | (F.lower("description") == "remove")
+    name = F.when(gone, "").when(F.col("key").startswith("+:"), F.trim(F.substring("key", 3, 1 << 30))).when(F.col("key").startswith("append_") & (F.col("description") != "") & F.col("known"), F.col("description")).otherwise(F.col("key"))
+    names = usable.select(F.trim("grp").alias("grp")).union(rows.select(name)).union(configured.select(F.trim("grp"))).where("grp <> ''").distinct()
+    good = (F.col("ratio") > 0) & (F.col("ratio") < float("inf")) & ~F.isnan("ratio")
+    return names.join(ratios, "grp", "left").select("grp", F.when(good, F.col("ratio")).alias("ratio"), F.coalesce(good, F.lit(False)).alias("priced"))
+
+
 def read_range(coverage: DataFrame, asked_from: int, asked_to: int) -> DataFrame:
     """The part of a range that is published, and whether that is less than was asked for."""
     a, b = F.greatest(F.lit(asked_from), F.col("first_full_day")), F.least(F.lit(asked_to), F.col("ready_through"))

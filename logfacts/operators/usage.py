@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logfacts.functions import classify as C
 from logfacts.functions import scalars as S
 from logfacts.operators.rollup import USAGE_MEASURES, again
 
 
+#: A word of the notice on violation fees, and the detail that stands for it.
+FEE_WORD, FEE_FIELD = "违规费", "violation_fee_code"
+
+
 def billing(sums: DataFrame) -> DataFrame:
     net = F.col("consume_quota") - F.col("refund_quota")
     return sums.withColumns({"net_quota": net, "gross_usd": S.usd(F.col("consume_quota")), "refund_usd": S.usd(F.col("refund_quota")), "net_usd": S.usd(net)})
@@ -45,14 +50,31 @@ def tokens(facts: DataFrame, dimension: DataFrame) -> DataFrame:
     return rows.select("token_id", F.coalesce("name", "used_name").alias("name"), F.col("name").isNull().alias("deleted"), F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("consume_quota", F.lit(0)).alias("consume_quota"))
 
 
-def search(logs: DataFrame, since: int, until: int, users: list[int] | None = None, kind: int | None = None, model: str | None = None, content: str | None = None, token: str | None = None) -> DataFrame:
-    """Log rows by range and conditions; texts are searched literally."""
+def search(logs: DataFrame, since: int, until: int, users: list[int] | None = None, kind: int | None = None, model: str | None = None, content: str | None = None, token: str | None = None, group: str | None = None, request: str | None = None, rules: C.Rules | None = None) -> DataFrame:
+    """Log rows by range and conditions; texts are searched literally; with ``rules`` without internal tests.
+
+    A word of the fee notice also finds rows whose details carry the fee, as the notice is made of them and stored nowhere.
+    """
     rows = logs.where((F.col("created_at") >= since) & (F.col("created_at") < until))
-    for given, cond in ((users, F.col("user_id").isin(users or [])), (kind, F.col("type") == kind), (model, F.col("model_name") == model), (content, F.col("content").contains(content or "")), (token, F.col("token_name").contains(token or ""))):
+    for given, cond in ((users, F.col("user_id").isin(users or [])), (kind, F.col("type") == kind), (model, F.col("model_name") == model), (content, F.col("content").contains(content or "") | (F.col("other").contains(FEE_FIELD) if FEE_WORD in (content or "") else F.lit(False))), (group, F.col("grp") == group), (request, F.col("request_id") == request), (rules, ~C.is_test(rules or C.Rules())), (token, F.col("token_name").contains(token or ""))):
         rows = rows.where(cond) if given is not None else rows
     return rows
 
 
+def capped(rows: DataFrame, most: int, *order: Column) -> DataFrame:
+    """The first rows of an order, and whether there are more; only one row beyond the cap is read to know."""
+    w = Window.orderBy(*order)
+    held = rows.orderBy(*order).limit(most + 1).withColumn("rn", F.row_number().over(w))  # so many rows at most
+    return held.withColumn("truncated", F.max("rn").over(Window.partitionBy()) > most).where(F.col("rn") <= most).drop("rn")
+
+
+def cell_budget(members: DataFrame, since: int, until: int, most: int = 20_000) -> DataFrame:
+    """(members, days, cells, over): whether a matrix of members and business days is larger than allowed."""
+    days = (until - 1 + S.ZONE) // S.DAY - (since + S.ZONE) // S.DAY + 1 if until > since else 0
+    n = members.agg(F.countDistinct("user_id").alias("members"))
+    return n.select("members", F.lit(days).cast("long").alias("days"), (F.col("members") * days).alias("cells"), (F.col("members") * days > most).alias("over"))
+
+
 def extract(rows: DataFrame, most: int, before_id: int | None = None, max_id: int | None = None) -> DataFrame:
     """Newest first, from a cursor on, within a snapshot."""
     rows = rows.where(F.col("id") < before_id) if before_id is not None else rows

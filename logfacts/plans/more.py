@@ -9,7 +9,7 @@ from logfacts.functions import classify as C
 from logfacts.functions import scalars as S
 from logfacts.operators import audit, board, channels, edge, evidence, filters, kpi, problems, rollup, stability, upstream, usage
 from logfacts.plans import testmap as T
-from logfacts.plans.queries import DAY_SQL, EDGE, EV, HOURS, NOW, SINCE, SIGNS, _evidence, _hours, _lines, _minutes, _proofs, _PROOF, _usage, query, rounded, sums, ORACLES, QUERIES  # noqa: F401
+from logfacts.plans.queries import DAY_SQL, EDGE, EV, HOURS, NOW, SINCE, SIGNS, _evidence, _hours, _lines, _kpi, _minutes, _proofs, _PROOF, _usage, KPI_SQL, query, rounded, sums, ORACLES, QUERIES  # noqa: F401
 from logfacts.sources import tables
 
 
@@ -379,3 +379,104 @@ def f13_scrub_f22_containers(spark, d):
     state = F.when(k % 7 == 0, "Exited ").when(k % 7 == 1, "paused").when(k % 7 == 2, "running").when(k % 7 == 3, "odd")
     health = F.when(k % 3 == 0, "unhealthy").when(k % 3 == 1, "??").otherwise("none")
     return T.logs(spark, d).select("id", S.scrubbed(text).alias("content"), board.container_status(state, health).alias("status"))
+
+
+# --- key figures of what is shown, searches, caps ------------------------------------------------------------------
+
+_PAIRS = "pairs AS (SELECT DISTINCT grp, model_name AS model FROM logs WHERE k % 33 = 0 AND user_id % 7 = 0)"
+_SHOWN = T.MINUTES + ", " + T.CHANNELS + ", " + _PAIRS + f""", shown AS (SELECT * FROM minutes m WHERE bucket_ts >= {SINCE} AND NOT EXISTS (SELECT 1 FROM channels c WHERE c.id = m.channel_id AND (c.status <> 1 OR m.bucket_ts < c.enabled_since))
+  AND (NOT EXISTS (SELECT 1 FROM pairs) OR EXISTS (SELECT 1 FROM pairs p WHERE p.grp = m.grp AND p.model = m.model_name)))"""
+
+
+def _shown(spark, d):
+    pairs = T.logs(spark, d).where("k % 33 = 0 and user_id % 7 = 0").select("grp", F.col("model_name").alias("model")).distinct()
+    return kpi.shown(_minutes(spark, d, SINCE), T.channels(spark, d), pairs)
+
+
+@query(_SHOWN + f", s AS (SELECT {sums(*T.MEASURES)} FROM shown) SELECT {KPI_SQL.lstrip(' ,')} FROM s")
+def a8_summary_shown(spark, d):
+    return _kpi(kpi.summary(_shown(spark, d), SINCE, 864000))
+
+
+@query(_SHOWN + f", s AS (SELECT grp AS key, {sums(*T.MEASURES)} FROM shown GROUP BY 1) SELECT key {KPI_SQL} FROM s ORDER BY quota_sum DESC, total DESC, key LIMIT 200")
+def a9_top_group_shown(spark, d):
+    return _kpi(kpi.top(_shown(spark, d), "grp", SINCE, 864000), "key")
+
+
+@query(_SHOWN + f" SELECT model_name AS key, bucket_ts // 14400 * 14400 AS ts, {sums('success', 'anomaly', 'failed')} FROM shown GROUP BY ALL")
+def f28_sparklines_shown(spark, d):
+    return kpi.series(_shown(spark, d), "model_name", SINCE, 864000)
+
+
+@query(T.LOGS + f" SELECT id FROM logs WHERE created_at >= {SINCE} AND created_at < {NOW} AND grp = 'grp-1' AND NOT (type = 2 AND token_name = 'probe' AND content = 'probe' AND k % 37 <> 0) AND (k % 37 = 0 OR k % 31 = 0)")
+def p11_search_details(spark, d):
+    """A search for the fee notice: in contents, and in the details of rows that say nothing of it."""
+    k = F.col("k")
+    rows = T.logs(spark, d, SINCE, NOW).withColumn("other", F.when(k % 31 == 0, F.lit('{"violation_fee_code":"x"}')).otherwise(F.col("other")))
+    rows = rows.withColumn("content", F.when(k % 37 == 0, F.concat("content", F.lit(usage.FEE_WORD))).otherwise(F.col("content")))
+    return usage.search(rows, SINCE, NOW, content=usage.FEE_WORD, group="grp-1", rules=T.RULES).select("id")
+
+
+@query(T.USAGE + ", s AS (SELECT model_name, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(consume_quota) AS BIGINT) AS consume_quota FROM usage GROUP BY 1) SELECT *, (SELECT count(*) > 5 FROM s) AS truncated FROM s ORDER BY consume_quota DESC, model_name LIMIT 5")
+def a16_models_capped(spark, d):
+    by = _usage(spark, d).groupBy("model_name").agg(F.sum("requests").alias("requests"), F.sum("consume_quota").alias("consume_quota"))
+    return usage.capped(by, 5, F.desc("consume_quota"), F.col("model_name"))
+
+
+_DAYS = (NOW - 1 + 28800) // 86400 - (SINCE + 28800) // 86400 + 1
+
+
+@query(f"SELECT count(DISTINCT c_custkey) AS members, CAST({_DAYS} AS BIGINT) AS days, count(DISTINCT c_custkey) * {_DAYS} AS cells, count(DISTINCT c_custkey) * {_DAYS} > 20000 AS over FROM customer")
+def t2_cell_budget(spark, d):
+    return usage.cell_budget(T.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), SINCE, NOW)
+
+
+# --- sources of group names, infrastructure ------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT n_name, n_nationkey AS i, n_regionkey AS r FROM nation), names AS (SELECT n_name AS grp FROM n WHERE r < 3 UNION SELECT CASE i % 5 WHEN 0 THEN n_name || '_s' WHEN 2 THEN n_name WHEN 4 THEN 'append_x' END FROM n UNION SELECT n_name || '_c' FROM n WHERE i % 6 = 0)
+SELECT grp, CASE WHEN r > 0 THEN CAST(r AS DOUBLE) END AS ratio, coalesce(r > 0, false) AS priced, (SELECT count(*) FROM names LEFT JOIN n ON n_name = grp WHERE grp IS NOT NULL AND NOT coalesce(r > 0, false)) AS skipped FROM names LEFT JOIN n ON n_name = grp WHERE grp IS NOT NULL""")
+def u6_group_sources(spark, d):
+    n, i, name = T.read(spark, d, "nation"), F.col("n_nationkey"), F.col("n_name")
+    key = F.when(i % 5 == 0, F.concat(F.lit(" +: "), name, F.lit("_s"))).when(i % 5 == 1, F.concat(F.lit("-:"), name)).when(i % 5 == 2, F.concat(F.lit("append_"), i.cast("string"))).when(i % 5 == 3, F.concat(name, F.lit("_k"))).otherwise("append_x")
+    special = n.select(key.alias("key"), F.when(i % 5 == 2, name).when(i % 5 == 3, " Remove").when(i % 5 == 4, "nowhere").alias("description"))
+    ratios = n.select(name.alias("grp"), F.col("n_regionkey").cast("double").alias("ratio"))
+    usable, configured = n.where("n_regionkey < 3").select(F.concat(F.lit(" "), name).alias("grp")), n.where("n_nationkey % 6 = 0").select(F.concat(name, F.lit("_c ")).alias("grp"))
+    found = upstream.group_sources(usable, special, configured, ratios)
+    return found.crossJoin(F.broadcast(found.agg(F.count_if(~F.col("priced")).alias("skipped"))))
+
+
+_METRICS = ("cpu", "mem_total_mb", "mem_avail_mb", "reachable", "status_code", "latency_ms", "cert_days", "locked", "via_cdn")
+_SNAP = T.LOGS + f""", i AS (SELECT created_at * 100000 + id AS ts, 'r' || (user_id % 40) AS resource, CASE user_id % 40 % 5 WHEN 0 THEN 'database' WHEN 1 THEN 'lb' WHEN 2 THEN CASE WHEN id % 2 = 0 THEN 'host' ELSE 'instance' END WHEN 3 THEN 'probe' ELSE 'lock' END AS rtype, id % 9 AS m,
+  CAST(CASE id % 9 WHEN 1 THEN 100 WHEN 3 THEN CASE WHEN k % 10 = 0 THEN 0 ELSE 1 END WHEN 4 THEN CASE WHEN k > 95 THEN 502 ELSE 200 END WHEN 5 THEN k * 8 WHEN 7 THEN k % 2 WHEN 8 THEN CASE WHEN k % 4 = 0 THEN 0 ELSE 1 END ELSE k END AS DOUBLE) AS v FROM logs WHERE user_id % 40 <> 3),
+w AS (SELECT resource, coalesce(max(rtype) FILTER (WHERE rtype <> 'host'), 'instance') AS rtype, max(ts) AS newest, {", ".join(f"max_by(v, ts) FILTER (WHERE m = {i}) AS {n}" for i, n in enumerate(_METRICS))} FROM i GROUP BY 1),
+c AS (SELECT 'r' || (s_suppkey % 40) AS resource, bool_or(s_suppkey % 40 % 15 = 2) AS bad, bool_or(s_suppkey % 40 % 15 = 7) AS warn FROM supplier GROUP BY 1),
+s AS (SELECT w.resource, rtype, newest, greatest(0, {NOW * 100000} - (newest + 60)) AS age, CASE rtype WHEN 'database' THEN CASE WHEN cpu > 85 THEN 'bad' WHEN cpu > 70 THEN 'warn' ELSE 'ok' END WHEN 'lb' THEN 'ok' WHEN 'lock' THEN CASE WHEN locked >= 1 THEN 'ok' ELSE 'bad' END
+  WHEN 'probe' THEN CASE WHEN coalesce(reachable, 0) < 1 OR coalesce(status_code, 0) <> 200 OR latency_ms >= 1500 OR cert_days <= 7 THEN 'bad' WHEN latency_ms >= 500 OR cert_days <= 30 OR coalesce(via_cdn, 0) < 1 THEN 'warn' ELSE 'ok' END
+  ELSE CASE WHEN bad OR cpu > 85 OR mem_total_mb - mem_avail_mb > 85 THEN 'bad' WHEN warn OR cpu > 70 OR mem_total_mb - mem_avail_mb > 75 THEN 'warn' ELSE 'ok' END END AS state FROM w LEFT JOIN c ON c.resource = w.resource)"""
+
+
+def _snapshot(spark, d):
+    k, i, r = F.col("k"), F.col("id"), F.col("user_id") % 40
+    kind = F.when(r % 5 == 0, "database").when(r % 5 == 1, "lb").when(r % 5 == 2, F.when(i % 2 == 0, "host").otherwise("instance")).when(r % 5 == 3, "probe").otherwise("lock")
+    m = i % 9
+    value = F.when(m == 1, 100).when(m == 3, (k % 10 != 0).cast("int")).when(m == 4, F.when(k > 95, 502).otherwise(200)).when(m == 5, k * 8).when(m == 7, k % 2).when(m == 8, (k % 4 != 0).cast("int")).otherwise(k).cast("double")
+    samples = T.logs(spark, d).select((F.col("created_at") * 100000 + i).alias("bucket_ts"), F.concat(F.lit("r"), r.cast("string")).alias("resource"), kind.alias("rtype"), F.element_at(F.array(*map(F.lit, _METRICS)), (m + 1).cast("int")).alias("metric"), value.alias("value"))
+    key = F.col("s_suppkey") % 40
+    held = T.read(spark, d, "supplier").select(F.concat(F.lit("r"), key.cast("string")).alias("resource"), F.when(key % 15 == 2, "bad").when(key % 15 == 7, "warn").otherwise("ok").alias("status"))
+    found = board.snapshot(samples, NOW * 100000, ["r3"])
+    states = board.resource_states(found, containers=held, **board.LIMITS)
+    return found.select("resource", "age").join(states, "resource")
+
+
+@query(_SNAP + " SELECT resource, rtype, newest, age, state FROM s")
+def a43_snapshot(spark, d):
+    """One row per resource, host rows within the instance of their name; probes, locks and containers judged too."""
+    return _snapshot(spark, d).select("resource", "rtype", "newest", "age", "state")
+
+
+@query(_SNAP + """ SELECT CASE WHEN bool_or(state = 'bad') THEN 'bad' WHEN bool_or(state = 'warn') THEN 'warn' ELSE 'ok' END AS state, count(*) FILTER (WHERE rtype NOT IN ('database', 'lb', 'probe', 'lock')) AS instances_total,
+  count(*) FILTER (WHERE rtype NOT IN ('database', 'lb', 'probe', 'lock') AND state = 'ok') AS instances_ok, count(*) FILTER (WHERE rtype = 'probe') AS probes_total, count(*) FILTER (WHERE rtype = 'probe' AND state = 'ok') AS probes_ok,
+  count(*) FILTER (WHERE rtype = 'lock') AS locks_total, count(*) FILTER (WHERE rtype = 'lock' AND state = 'ok') AS locks_ok, coalesce(max_by(state, resource) FILTER (WHERE rtype = 'database'), 'absent') AS database, coalesce(max_by(state, resource) FILTER (WHERE rtype = 'lb'), 'absent') AS lb FROM s""")
+def a43_overall(spark, d):
+    return board.overall(_snapshot(spark, d))

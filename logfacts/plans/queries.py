@@ -35,8 +35,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _minutes(spark: SparkSession, d: str) -> DataFrame:
-    return rollup.minutes(T.logs(spark, d), T.RULES)
+def _minutes(spark: SparkSession, d: str, since: int | None = None) -> DataFrame:
+    return rollup.minutes(T.logs(spark, d, since), T.RULES)
 
 
 def _hours(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,7 @@ def sums(*names: str) -> str:
 
 @query(T.LOGS + " SELECT id, created_at, type, user_id FROM logs WHERE created_at >= %d AND created_at < %d AND type IN (2, 5) AND NOT (type = 2 AND token_name = 'probe' AND content = 'probe')" % (SINCE, NOW))
 def s1_range_scan(spark, d):
-    rows = usage.search(T.logs(spark, d), SINCE, NOW).where(F.col("type").isin(C.CONSUME, C.ERROR) & ~C.is_test(T.RULES))
+    rows = usage.search(T.logs(spark, d, SINCE, NOW), SINCE, NOW).where(F.col("type").isin(C.CONSUME, C.ERROR) & ~C.is_test(T.RULES))
     return rows.select("id", "created_at", "type", "user_id")
 
 
@@ -162,13 +162,13 @@ def _kpi(df: DataFrame, *keys: str) -> DataFrame:
 
 @query(T.MINUTES + f", s AS (SELECT {sums(*T.MEASURES)} FROM minutes WHERE bucket_ts >= {SINCE}) SELECT {KPI_SQL.lstrip(' ,')} FROM s")
 def a8_summary(spark, d):
-    return _kpi(kpi.summary(_minutes(spark, d), SINCE, 864000))
+    return _kpi(kpi.summary(_minutes(spark, d, SINCE), SINCE, 864000))
 
 
 for _name, _dim, _most in (("model", "model_name", 200), ("group", "grp", 200), ("channel", "channel_id", 5)):
 
     def _top(spark, d, dim=_dim, most=_most):
-        return _kpi(kpi.top(_minutes(spark, d), dim, SINCE, 864000, most), "key")
+        return _kpi(kpi.top(_minutes(spark, d, SINCE), dim, SINCE, 864000, most), "key")
 
     _top.__name__ = f"a9_top_{_name}"
     query(T.MINUTES + f", s AS (SELECT CAST({_dim} AS VARCHAR) AS key, {sums(*T.MEASURES)} FROM minutes WHERE bucket_ts >= {SINCE} GROUP BY ALL) SELECT key {KPI_SQL} FROM s ORDER BY quota_sum DESC, total DESC, key LIMIT {_most}")(_top)
@@ -187,14 +187,14 @@ def a11_top_rejections(spark, d):
 
 @query(T.MINUTES + f" SELECT model_name AS key, bucket_ts // 14400 * 14400 AS ts, {sums('success', 'anomaly', 'failed')} FROM minutes WHERE bucket_ts >= {SINCE} GROUP BY ALL")
 def f28_sparklines(spark, d):
-    return kpi.series(_minutes(spark, d), "model_name", SINCE, 864000)
+    return kpi.series(_minutes(spark, d, SINCE), "model_name", SINCE, 864000)
 
 
 @query(T.MINUTES + f""", p AS (SELECT CAST(channel_id AS VARCHAR) AS key, bucket_ts // 14400 * 14400 AS ts, sum(anomaly) AS anomaly FROM minutes WHERE bucket_ts >= {SINCE} GROUP BY ALL),
 i AS (SELECT *, row_number() OVER w - sum(CASE WHEN anomaly > 0 THEN 1 ELSE 0 END) OVER w AS island FROM p WINDOW w AS (PARTITION BY key ORDER BY ts)),
 r AS (SELECT key, island, count(*) FILTER (WHERE anomaly > 0) AS run FROM i GROUP BY ALL) SELECT key, CAST(max(run) AS BIGINT) AS longest, max(run) >= 3 AS burst FROM r GROUP BY key""")
 def w2_bursts(spark, d):
-    return kpi.bursts(kpi.series(_minutes(spark, d), "channel_id", SINCE, 864000))
+    return kpi.bursts(kpi.series(_minutes(spark, d, SINCE), "channel_id", SINCE, 864000))
 
 
 @query(T.MINUTES + ", c AS (SELECT " + ", ".join(f"CAST(coalesce(sum({c}) FILTER (WHERE bucket_ts >= {NOW - a * 86400} AND bucket_ts < {NOW - b * 86400}), 0) AS BIGINT) AS {p}_{c}" for p, a, b in (("now", 1, 0), ("prior", 2, 1), ("week", 8, 7)) for c in ("success", "anomaly", "failed", "quota"))
@@ -263,7 +263,7 @@ def p13_visible(spark, d):
 
 @query(T.LOGS + f" SELECT id FROM logs WHERE created_at >= {SINCE} AND created_at < {NOW} AND type = 5 AND contains(content, '_code=5') AND model_name = 'model-1'")
 def p11_search(spark, d):
-    return usage.search(T.logs(spark, d), SINCE, NOW, kind=5, model="model-1", content="_code=5").select("id")
+    return usage.search(T.logs(spark, d, SINCE, NOW), SINCE, NOW, kind=5, model="model-1", content="_code=5").select("id")
 
 
 @query(T.LOGS + " SELECT id, created_at, quota FROM logs WHERE id < (SELECT max(id) - 200 FROM logs) ORDER BY id DESC LIMIT 500")
@@ -318,8 +318,7 @@ def _levels_of(n: str, a: int, b: int) -> str:
   FROM cur c LEFT JOIN old o ON c.level = o.level AND c.grp IS NOT DISTINCT FROM o.grp AND c.channel_id IS NOT DISTINCT FROM o.channel_id AND c.model IS NOT DISTINCT FROM o.model""")
 def a20_deltas(spark, d):
     rows = _rows(spark, d)
-    now, old = (stability.levels(filters.in_scope(rows, a, b)) for a, b in ((NOW - 5 * S.DAY, NOW), (NOW - 10 * S.DAY, NOW - 5 * S.DAY)))
-    return rounded(stability.with_deltas(now, old).select("level", "grp", "channel_id", "model", "delta_pp"))
+    return rounded(stability.deltas(rows, NOW - 5 * S.DAY, NOW, NOW - 10 * S.DAY))
 
 
 @query(ROWS + f", s AS (SELECT {DAY_SQL.format('hour_ts')} AS date_ts, grp, {SUMS} FROM rows GROUP BY ALL) SELECT date_ts, grp, success, anomaly, failed, tokens, quota, sum_use_time, rejected, {METRICS} FROM s")
@@ -773,7 +772,8 @@ def t6_overview(spark, d):
 # --- alerts and projection ---------------------------------------------------------------------------------------
 
 
-@query()
+@query(T.LOGS.replace("WITH ev", "WITH RECURSIVE ev", 1) + """, e AS (SELECT DISTINCT CASE WHEN k % 2 = 0 THEN 'anomaly_rate' ELSE 'error_rate' END AS kind, CAST(channel_id AS VARCHAR) AS target, created_at AS ts, CASE WHEN k % 2 = 0 THEN 7200 ELSE 1800 END AS wait FROM logs WHERE type = 5),
+f AS (SELECT kind, target, min(ts) AS ts FROM e GROUP BY 1, 2 UNION ALL SELECT f.kind, f.target, min(e.ts) FROM f JOIN e ON e.kind = f.kind AND e.target = f.target AND e.ts >= f.ts + e.wait GROUP BY f.kind, f.target) SELECT * FROM f""")
 def r7_cooldown(spark, d):
     events = T.logs(spark, d).where("type = 5").select(F.when(F.col("k") % 2 == 0, "anomaly_rate").otherwise("error_rate").alias("kind"), F.col("channel_id").cast("string").alias("target"), F.col("created_at").alias("ts"))
     return alerts.fired(events, {"anomaly_rate": 7200})
