@@ -59,9 +59,9 @@ def grams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([p for p, _ in parts]), np.concatenate([o for _, o in parts])
 
 
-def _pieces(lowered: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _pieces(lowered: pa.Array, most: int = K.SLICE_BYTES // 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, starts = K.text_bytes(lowered)
-    for a, b in K.slices(starts, K.SLICE_BYTES // 2):
+    for a, b in K.slices(starts, most):
         buckets, owner = grams(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
         yield a, b, buckets, owner
 
@@ -78,16 +78,32 @@ def scores(model: Model, column: pa.Array) -> np.ndarray:
     return logits / logits.sum(axis=1, keepdims=True)
 
 
-def _vectors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for a, b, buckets, owner in _pieces(pc.utf8_lower(pa.array(texts, pa.string()))):
-        order = np.argsort(owner, kind="stable")
-        buckets, owner = buckets[order], owner[order]
-        ends = np.searchsorted(owner, np.arange(b - a + 1))
-        for i in range(b - a):
-            ids, counts = np.unique(buckets[ends[i] : ends[i + 1]], return_counts=True)
-            out.append((ids, counts / max(counts.sum(), 1)))
-    return out
+@dataclass
+class Vectors:
+    """The texts' n-grams and their counts in flat arrays: the driver holds them for a fit."""
+
+    ids: np.ndarray  # uint16, as there are 2**16 buckets
+    counts: np.ndarray
+    ends: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of a text and their shares."""
+        inside = slice(self.ends[i], self.ends[i + 1])
+        counts = self.counts[inside]
+        return self.ids[inside].astype(np.int32), counts / max(counts.sum(), 1)
+
+
+def _vectors(texts: list[str]) -> Vectors:
+    ids, counts, sizes = [np.empty(0, np.uint16)], [np.empty(0, np.int32)], []
+    for a, b, buckets, owner in _pieces(pc.utf8_lower(pa.array(texts, pa.string())), 1 << 16):
+        found, n = np.unique(owner * BUCKETS + buckets, return_counts=True)
+        ids.append((found % BUCKETS).astype(np.uint16))
+        counts.append(n.astype(np.int32))
+        sizes.append(np.bincount(found // BUCKETS, minlength=b - a))
+    return Vectors(np.concatenate(ids), np.concatenate(counts), np.concatenate([[0], *sizes]).cumsum())
 
 
 def fit(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model | None:
@@ -97,8 +113,8 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0.5
         return None
     vectors, target = _vectors(texts), np.array([names.index(x) for x in labels])
     frequency = np.zeros(BUCKETS)
-    for ids, _ in vectors:
-        frequency[ids] += 1
+    for i in range(len(vectors)):
+        frequency[vectors[i][0]] += 1
     idf = np.log((1 + len(vectors)) / (1 + frequency)) + 1
     size = len(names)
     z, n, w = (np.zeros((BUCKETS + 1, size)) for _ in range(3))
@@ -121,7 +137,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0.5
             n[ids] += g * g
     sign = np.sign(z)
     w = np.where(np.abs(z) <= l1, 0.0, -(z - sign * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    kept = np.array([(vectors[i][1] * idf[vectors[i][0]] * scale) @ w[vectors[i][0]] + w[BUCKETS] for i in aside])
+    kept = np.array([(share * idf[ids] * scale) @ w[ids] + w[BUCKETS] for ids, share in map(vectors.__getitem__, aside)])
     temperature = min(np.geomspace(0.25, 16, 49), key=lambda t: _loss(kept / t, target[aside]))
     return Model(names, w[:BUCKETS] * idf[:, None] * scale, w[BUCKETS], float(temperature))
 
