@@ -106,8 +106,8 @@ def overview(states: DataFrame) -> DataFrame:
 
 def overall(states: DataFrame) -> DataFrame:
     """One row: the worst state of all, how many instances, probes and locks are there and well, the database's and balancer's state."""
-    rank = F.array_position(F.array(*map(F.lit, RANK[:1] + RANK[2:])), F.col("state"))  # nosample is no state to report while there are others
-    worst = F.coalesce(F.element_at(F.array(*map(F.lit, RANK[:1] + RANK[2:])), F.nullif(F.max(rank), F.lit(0)).cast("int")), F.lit("nosample"))
+    some = lambda state: F.bool_or(F.col("state") == state)
+    worst = F.when(some("bad"), "bad").when(some("warn"), "warn").when(some("ok"), "ok").otherwise("nosample")
     special = F.col("rtype").isin("database", "lb", "probe", "lock")
     counts = [F.count_if(c & ok).alias(f"{n}_{k}") for n, c in (("instances", ~special), ("probes", F.col("rtype") == "probe"), ("locks", F.col("rtype") == "lock")) for k, ok in (("total", F.lit(True)), ("ok", F.col("state") == "ok"))]
     of = lambda kind: F.coalesce(F.max_by(F.when(F.col("rtype") == kind, F.col("state")), F.when(F.col("rtype") == kind, F.col("resource"))), F.lit("absent"))
