@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logfacts.llm import chat, gif, language_id, mixing, near_dedup, sentence_pieces, suffix_array, topk, toxicity, warc
+from logfacts.llm import chat, collocations, embedding_dedup, gif, importance, language_id, mixing, near_dedup, sentence_pieces, suffix_array, topk, toxicity, warc
 from logfacts.llm.shared import table
 
 OP4_SQL = r"""
@@ -39,6 +39,50 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP11_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id
+"""
+
+OP12_SQL = r"""
+WITH crc AS MATERIALIZED (SELECT list(list_reduce(range(0, 8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(0, 256) r(i)),
+low AS (SELECT 'd' AS side, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL SELECT 't', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT side, doc_id, unnest(list_filter(string_split_regex(text, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS word FROM low),
+h AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM w)),
+b AS MATERIALIZED (SELECT word, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: 16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1),
+  lambda c, y: xor(c // 256, t[xor(c, y) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM h, crc),
+k AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM w JOIN b USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * ((SELECT sum(s) FROM k)::DOUBLE + 10000) / ((CAST(s AS DOUBLE) + 1) * ((SELECT sum(t) FROM k)::DOUBLE + 10000)))) AS BIGINT) AS gain FROM k),
+d AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM w JOIN b USING (word) JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+  CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS UBIGINT) AS h FROM documents LEFT JOIN d USING (doc_id) WHERE doc_id IS NOT NULL),
+f AS (SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM e),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r) THEN rank END AS rank FROM f LEFT JOIN r USING (doc_id)
+"""
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+o AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS size)),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS a FROM o GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND a >= 30),
+k AS (SELECT c.*, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT k.lang, k.size, k.phrase, k.a, k.k, x.a AS l, y.a AS r, CAST(2000000 * CAST(k.a AS HUGEINT) // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score FROM k
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k.k + 1:], ' ')),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s) WHERE o = 1),
+z AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.size > b.size AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * CAST(c.a AS HUGEINT) >= 80 * CAST(b.a AS HUGEINT))),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n ON t.lang = n.lang WHERE rank <= 2000
+"""
+
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op4(table(spark, sf_dir, "documents"))
@@ -80,6 +124,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op10(table(spark, sf_dir, "conversations"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.op12(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -91,5 +147,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_chat": op10_chat,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_importance": op12_importance,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_near_dedup": OP4_SQL, "op8_top_k": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_near_dedup": OP4_SQL, "op8_top_k": OP8_SQL, "op11_embedding_dedup": OP11_SQL, "op12_importance": OP12_SQL, "op13_collocations": OP13_SQL}
