@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Quota of a dollar, the zone of business days, the upper edges of the histograms (seconds, milliseconds).
 QUOTA_PER_USD = 500000
 DAY, ZONE = 86400, 28800
 LATENCY_EDGES, TTFT_EDGES = (1, 2, 5, 10, 30, 60), (500, 1000, 2000, 5000, 10000)
@@ -183,3 +184,31 @@ def digest(*columns: str) -> Column:
 
 def usd(quota: Column) -> Column:
     return quota / QUOTA_PER_USD
+
+
+def row_text(*columns: Column) -> Column:
+    """A row's values as one text: each with its length before it, a null unlike a blank, so no two rows have the same."""
+    parts = [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
+    return F.concat_ws("|", *parts)
+
+
+#: Hexadecimal digits of a SHA-256 that one sum of a multiset hash takes (60 bits, so 2^63 rows stay below 38 digits), and how many sums.
+LANE_DIGITS, LANES = 15, 4
+
+
+def multiset_hash(items: Column, fields: list[str]) -> Column:
+    """SHA-256 of an array of structs as a multiset: the order of its items makes no difference, their number does.
+
+    Each item's SHA-256 is cut into lanes that are added up over the array, so nothing is sorted; the hash is that of the
+    number of items and the sums. Null and empty arrays have the same hash.
+    """
+    hashes = F.transform(items, lambda x: F.sha2(row_text(*(x[f] for f in fields)), 256))
+    zero = F.lit(0).cast("decimal(38,0)")
+
+    def lane(at: int) -> Column:
+        number = lambda h: F.conv(F.substring(h, at, LANE_DIGITS), 16, 10).cast("decimal(38,0)")
+        return F.coalesce(F.aggregate(hashes, zero, lambda total, h: (total + number(h)).cast("decimal(38,0)")), zero)
+
+    sums = [lane(1 + LANE_DIGITS * i) for i in range(LANES)]
+    size = F.coalesce(F.array_size(items), F.lit(0))
+    return F.sha2(F.concat_ws(":", size.cast("string"), *(s.cast("string") for s in sums)), 256)

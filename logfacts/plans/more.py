@@ -215,16 +215,6 @@ def u5_missing_set(spark, d):
     return _hours(spark, d).select("channel_id").distinct().join(now, "channel_id", "left_anti")
 
 
-@query(T.TRAFFIC + f" SELECT created_at // 60 * 60 AS bucket_ts, model_name, {T.measures_sql('success', 'failed')} FROM traffic WHERE created_at // 60 * 60 + 60 <= (SELECT max(created_at) FROM traffic) - 600 GROUP BY ALL")
-def r2_final_minutes(spark, d):
-    """Minutes that nothing can change any more, ten minutes after the newest row."""
-    rows = C.classified(T.logs(spark, d), T.RULES)
-    newest = F.broadcast(rows.agg(F.max("created_at").alias("newest")))
-    m = rollup.measures()
-    minutes = rows.groupBy(S.bucket("created_at", 60).alias("bucket_ts"), "model_name").agg(m["success"].alias("success"), m["failed"].alias("failed"))
-    return minutes.crossJoin(newest).where("bucket_ts + 60 <= newest - 600").drop("newest")
-
-
 @query(T.LOGS + ", " + T.REJECTIONS + " SELECT bucket_ts, node, substr(reason, 1, 64) AS reason, model, grp, count FROM rejections WHERE reason <> 'reason-3' AND bucket_ts % 7 <> 0")
 def p18_clean_rejections(spark, d):
     from logfacts.sources.tables import clean_rejections

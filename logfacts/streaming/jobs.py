@@ -16,16 +16,25 @@ from logfacts.operators.rollup import measures
 
 def minute_stream(logs: DataFrame, rules: C.Rules = C.Rules(), delay: str = "4 minutes") -> DataFrame:
     """Minute facts of a stream of log rows with an event time ``at``; a minute is put out again when late rows change it."""
-    rows = C.classified(logs.withWatermark("at", delay), rules)
+    return _minutes(C.classified(logs.withWatermark("at", delay), rules))
+
+
+def final_minutes(logs: DataFrame, rules: C.Rules = C.Rules(), delay: str = "10 minutes") -> DataFrame:
+    """The same for append mode: a minute is put out once, when the newest user traffic is ``delay`` past its end; rows of it
+    that come after that are dropped (``rollup.repaired`` takes them in)."""
+    return _minutes(C.classified(logs, rules).withWatermark("at", delay))
+
+
+def _minutes(rows: DataFrame) -> DataFrame:
     m = measures()
     names = ("success", "anomaly", "failed", "tokens", "quota", "max_use_time")
     out = rows.groupBy(F.window("at", "1 minute"), "model_name").agg(*(m[n].alias(n) for n in names))
     return out.select(F.unix_timestamp("window.start").alias("bucket_ts"), "model_name", *names)
 
 
-def final_minutes(logs: DataFrame, rules: C.Rules = C.Rules(), delay: str = "10 minutes") -> DataFrame:
-    """The same in append mode: a minute is put out once, when nothing can change it any more."""
-    return minute_stream(logs, rules, delay)
+def append_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends what is final to a table; Spark's file sink lists what each micro-batch wrote, so none counts twice."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def keyed_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
