@@ -21,7 +21,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,7 +35,7 @@ from logfacts.llm.shared import cut, drop
 #: A-Z go to lower case; . , ; : ! ? and 0x0A to 0x0D end a piece; a tab is a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 0x0A if b in b".,;:!?" or 0x0A <= b <= 0x0D else 0x20 if b == 0x09 else b for b in range(256))
 #: Counters are given out when they hold so many keys.
-HELD = 200_000
+HELD = 400_000
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -45,88 +45,125 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
             yield words
 
 
-def chunks(words: list[bytes], longest: int, every: int, most: int) -> Iterator[tuple[int, bytes]]:
-    """(words of overlap at the end, the chunk) of a piece."""
+def chunks(words: list[bytes], longest: int, every: int, most: int) -> Iterator[tuple[bytes, bytes]]:
+    """(own words, the overlap that follows) of each chunk of a piece."""
     starts = [i for i, word in enumerate(words) if zlib.crc32(word) % every == 0]
     start = 0
     for end in [*starts, len(words)]:
         while start < end:
             stop = min(end, start + most)
-            last = min(stop + longest - 1, len(words))
-            yield last - stop, b" ".join(words[start:last])
+            yield b" ".join(words[start:stop]), b" ".join(words[stop : stop + longest - 1])
             start = stop
 
 
-def _rows(counts: Counter, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    columns = [*zip(*counts, strict=True), list(counts.values())] if counts else [[]] * len(names)
-    batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
-    counts.clear()
-    return batch
-
-
 def dictionary(docs: DataFrame, text_col: str, lang_col: str, longest: int, every: int, most: int) -> DataFrame:
-    """(lang, tail, chunk, times): the distinct chunks of each language and how often the parse has them."""
-    names, kinds = ["lang", "tail", "chunk", "times"], [pa.string(), pa.int32(), pa.binary(), pa.int64()]
+    """(lang, own, rest, times): the distinct chunks of each language and how often the parse has them."""
+
+    def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, held in counts.items():
+            own, rest = zip(*held, strict=True) if held else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(own, pa.binary()), pa.array(rest, pa.binary()), pa.array(held.values(), pa.int64())], ["lang", "own", "rest", "times"])
+        counts.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                held = counts[lang]
                 for words in pieces(text.as_py() or b""):
-                    for tail, chunk in chunks(words, longest, every, most):
-                        counts[lang, tail, chunk] += 1
-                    if len(counts) > HELD:
-                        yield _rows(counts, names, kinds)
-        yield _rows(counts, names, kinds)
+                    for chunk in chunks(words, longest, every, most):
+                        held[chunk] += 1
+                if sum(map(len, counts.values())) > HELD:
+                    yield from rows(counts)
+        yield from rows(counts)
 
     source = docs.select(F.col(text_col).cast("string").cast("binary"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")))
-    parsed = source.mapInArrow(run, "lang string, tail int, chunk binary, times long")
-    return parsed.groupBy("lang", "tail", "chunk").agg(F.sum("times").alias("times"))
+    parsed = source.mapInArrow(run, "lang string, own binary, rest binary, times long")
+    return parsed.groupBy("lang", "own", "rest").agg(F.sum("times").alias("times"))
 
 
-def _bitmap(frequent: DataFrame, bits: int) -> bytes:
-    """One bit for the crc32 of each frequent phrase with its language before it: a fixed 2**bits bits, made by the executors."""
-    place = F.crc32(F.concat(F.encode("lang", "utf-8"), F.lit(bytearray(1)), "phrase")).bitwiseAND(F.lit((1 << bits) - 1))
+def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
+    """One bit for the crc32 of each frequent phrase, mixed with its language's: a fixed 2**bits bits, made by the executors."""
+    place = F.crc32("phrase").bitwiseXOR(F.crc32(F.encode("lang", "utf-8"))).bitwiseAND(F.lit((1 << bits) - 1))
     cells = frequent.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("held")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[cells.column("cell").to_numpy()] = cells.column("held").to_numpy()
-    return out.tobytes()
+    return out.view(np.uint8)
+
 
+def _known(bitmap: np.ndarray, phrases: list[bytes], lang: np.ndarray) -> np.ndarray:
+    """Whether each phrase's bit is set; ``lang`` has the crc32 of its language."""
+    place = (np.fromiter(map(zlib.crc32, phrases), np.uint32, len(phrases)) ^ lang) & np.uint32(8 * len(bitmap) - 1)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
-def counted(parse: DataFrame, base: int, sizes: list[int], known: bytes | None) -> DataFrame:
-    """(lang, phrase, f): occurrences of phrases of these sizes all of whose parts of ``base`` words are known.
 
-    With sizes [1] there is a further row a language, of phrase null, with the number of its words.
+def runs(words: list[bytes], left: np.ndarray, lang: np.ndarray, sizes: list[int], bitmaps: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, starts) of the runs of words whose single words, and pairs if there is a second bitmap, are all known.
+
+    ``left`` is the number of words from each one to the end of its chunk.
+    """
+    good, span = _known(bitmaps[0], words, lang), 1
+    if len(bitmaps) > 1:
+        at = np.flatnonzero(good[:-1] & good[1:] & (left[:-1] > 1))
+        pairs = np.zeros(len(words), bool)
+        pairs[at] = _known(bitmaps[1], [words[i] + b" " + words[i + 1] for i in at.tolist()], lang[at])
+        good, span = pairs, 2
+    for size in sizes:
+        whole = good & (left >= size)
+        for shift in range(1, size - span + 1):
+            whole[:-shift] &= good[shift:]
+        yield size, np.flatnonzero(whole)
+
+
+def counted(parse: DataFrame, sizes: list[int], bitmaps: list[np.ndarray]) -> DataFrame:
+    """(lang, phrase, f): occurrences of phrases of these sizes all of whose words, and then pairs, are known.
+
+    Without bitmaps words are counted, and a further row a language, of phrase null, has the number of its words.
     """
-    names, kinds = ["lang", "phrase", "f"], [pa.string(), pa.binary(), pa.int64()]
+
+    def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, held in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["lang", "phrase", "f"])
+        counts.clear()
+
+    def add(held: Counter, phrases: list[bytes], times: np.ndarray) -> None:
+        if (times == 1).all():
+            held.update(phrases)
+        else:
+            for phrase, n in zip(phrases, times.tolist(), strict=True):
+                held[phrase] += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        mask = len(known) * 8 - 1 if known else 0
+        counts: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
-            for lang, tail, chunk, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                words = chunk.as_py().split(b" ")
-                own = len(words) - tail
-                if known is None:
-                    counts[lang, None] += own * times
-                    for word in words[:own]:
-                        counts[lang, word] += times
-                else:
-                    parts = words if base == 1 else [b" ".join(words[i : i + base]) for i in range(len(words) - base + 1)]
-                    seed, good = zlib.crc32(lang.encode() + b"\0"), []
-                    for part in parts:
-                        place = zlib.crc32(part, seed) & mask
-                        good.append(known[place >> 3] >> (place & 7) & 1)
-                    for size in sizes:
-                        span = size - base + 1
-                        for i in range(min(own, len(parts) - span + 1)):
-                            if good[i] and all(good[i + 1 : i + span]):
-                                counts[lang, b" ".join(words[i : i + size])] += times
-                if len(counts) > HELD:
-                    yield _rows(counts, names, kinds)
-        yield _rows(counts, names, kinds)
-
-    found = parse.select("lang", "tail", "chunk", "times").mapInArrow(run, "lang string, phrase binary, f long")
+            langs, times = np.array(batch.column(0).to_pylist(), object), batch.column(3).to_numpy()
+            own, rest = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for lang in set(langs.tolist()):
+                # chunks that occur once by themselves, as their phrases are counted without a look at each
+                for rare in (True, False):
+                    some = np.flatnonzero((langs == lang) & ((times == 1) == rare))
+                    if not len(some):
+                        continue
+                    n_own = np.array([own[i].count(b" ") + 1 for i in some])
+                    if not bitmaps:
+                        weight = np.repeat(times[some], n_own)
+                        add(counts[lang], b" ".join([own[i] for i in some]).split(b" "), weight)
+                        counts[lang][None] += int(weight.sum())
+                        continue
+                    n_rest = np.array([rest[i].count(b" ") + 1 if rest[i] else 0 for i in some])
+                    words = b" ".join([own[i] + b" " + rest[i] if rest[i] else own[i] for i in some]).split(b" ")
+                    size = n_own + n_rest
+                    place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+                    starts, left, weight = place < np.repeat(n_own, size), np.repeat(size, size) - place, np.repeat(times[some], size)
+                    code = np.full(len(words), zlib.crc32(lang.encode()), np.uint32)
+                    for length, at in runs(words, left, code, sizes, bitmaps):
+                        at = at[starts[at]]
+                        add(counts[lang], [b" ".join(words[i : i + length]) for i in at.tolist()], weight[at])
+            if sum(map(len, counts.values())) > HELD:
+                yield from rows(counts)
+        yield from rows(counts)
+
+    found = parse.select("lang", "own", "rest", "times").mapInArrow(run, "lang string, phrase binary, f long")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
@@ -134,12 +171,12 @@ def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """(lang, phrase, size, f) of all phrases of up to ``longest`` words that occur at least ``least`` times, and of each
     language's number of words, whose phrase is null."""
     parse = cut(dictionary(docs, text_col, lang_col, longest, every, most))
-    levels = [cut(counted(parse, 1, [1], None).where(F.col("phrase").isNull() | (F.col("f") >= least)))]
-    for base, sizes in ((1, [2]), (2, list(range(3, longest + 1)))):
+    levels, bitmaps = [cut(counted(parse, [1], []).where(F.col("phrase").isNull() | (F.col("f") >= least)))], []
+    for sizes in ([2], list(range(3, longest + 1))):
         sizes = [s for s in sizes if s <= longest]
         if sizes:
-            known = _bitmap(levels[-1].where("phrase is not null"), bits)
-            levels.append(cut(counted(parse, base, sizes, known).where(F.col("f") >= least)))
+            bitmaps = [*bitmaps, _bitmap(levels[-1].where("phrase is not null"), bits)]
+            levels.append(cut(counted(parse, sizes, bitmaps).where(F.col("f") >= least)))
     drop(parse)
     phrase = F.col("phrase").cast("string")
     return reduce(DataFrame.union, levels).select("lang", phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("size"), "f")
