@@ -82,31 +82,37 @@ def dictionary(docs: DataFrame, text_col: str, lang_col: str, longest: int, ever
     return parsed.groupBy("lang", "own", "rest").agg(F.sum("times").alias("times"))
 
 
+#: Phrases are numbered by their words' crc32: that of what is before a word times this, and the word's.
+STEP = 1_000_003
+
+
 def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
-    """One bit for the crc32 of each frequent phrase, mixed with its language's: a fixed 2**bits bits, made by the executors."""
-    place = F.crc32("phrase").bitwiseXOR(F.crc32(F.encode("lang", "utf-8"))).bitwiseAND(F.lit((1 << bits) - 1))
+    """One bit for each frequent phrase's number, mixed with its language's crc32: a fixed 2**bits bits, made by the executors."""
+    number = F.aggregate(F.split(F.col("phrase").cast("string"), " "), F.lit(0).cast("long"), lambda h, w: h * STEP + F.crc32(F.encode(w, "utf-8")))
+    place = number.bitwiseXOR(F.crc32(F.encode("lang", "utf-8"))).bitwiseAND(F.lit((1 << bits) - 1))
     cells = frequent.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("held")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[cells.column("cell").to_numpy()] = cells.column("held").to_numpy()
     return out.view(np.uint8)
 
 
-def _known(bitmap: np.ndarray, phrases: list[bytes], lang: np.ndarray) -> np.ndarray:
-    """Whether each phrase's bit is set; ``lang`` has the crc32 of its language."""
-    place = (np.fromiter(map(zlib.crc32, phrases), np.uint32, len(phrases)) ^ lang) & np.uint32(8 * len(bitmap) - 1)
+def _known(bitmap: np.ndarray, numbers: np.ndarray, lang: int) -> np.ndarray:
+    """Whether the bit of each phrase's number is set; ``lang`` is the crc32 of its language."""
+    place = (numbers ^ lang) & (8 * len(bitmap) - 1)
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def runs(words: list[bytes], left: np.ndarray, lang: np.ndarray, sizes: list[int], bitmaps: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+def runs(words: list[bytes], left: np.ndarray, lang: int, sizes: list[int], bitmaps: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """(size, starts) of the runs of words whose single words, and pairs if there is a second bitmap, are all known.
 
     ``left`` is the number of words from each one to the end of its chunk.
     """
-    good, span = _known(bitmaps[0], words, lang), 1
+    numbers = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    good, span = _known(bitmaps[0], numbers, lang), 1
     if len(bitmaps) > 1:
         at = np.flatnonzero(good[:-1] & good[1:] & (left[:-1] > 1))
         pairs = np.zeros(len(words), bool)
-        pairs[at] = _known(bitmaps[1], [words[i] + b" " + words[i + 1] for i in at.tolist()], lang[at])
+        pairs[at] = _known(bitmaps[1], numbers[at] * STEP + numbers[at + 1], lang)
         good, span = pairs, 2
     for size in sizes:
         whole = good & (left >= size)
@@ -155,10 +161,10 @@ def counted(parse: DataFrame, sizes: list[int], bitmaps: list[np.ndarray]) -> Da
                     size = n_own + n_rest
                     place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
                     starts, left, weight = place < np.repeat(n_own, size), np.repeat(size, size) - place, np.repeat(times[some], size)
-                    code = np.full(len(words), zlib.crc32(lang.encode()), np.uint32)
-                    for length, at in runs(words, left, code, sizes, bitmaps):
+                    for length, at in runs(words, left, zlib.crc32(lang.encode()), sizes, bitmaps):
                         at = at[starts[at]]
-                        add(counts[lang], [b" ".join(words[i : i + length]) for i in at.tolist()], weight[at])
+                        phrases = [words[i] + b" " + words[i + 1] for i in at.tolist()] if length == 2 else [b" ".join(words[i : i + length]) for i in at.tolist()]
+                        add(counts[lang], phrases, weight[at])
             if sum(map(len, counts.values())) > HELD:
                 yield from rows(counts)
         yield from rows(counts)
