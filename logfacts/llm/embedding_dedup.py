@@ -77,7 +77,7 @@ class Cells:
         self.between = np.sqrt(np.maximum(2 - 2 * points @ points.T, 0))
         self.rows, self.weight = np.zeros((2, k), np.int64), np.zeros(k, np.int64)
         self.least, self.widest, self.first = np.full((2, k), np.inf), np.full((2, k), -np.inf), np.zeros(k, np.int64)
-        self.visitors = np.zeros(k, np.int64)
+        self.visitors, self.extra = np.zeros(k, np.int64), np.zeros(k, np.int64)
 
     def core(self, angle: np.ndarray) -> np.ndarray:
         return 2 * angle < self.angle - SLACK
@@ -123,28 +123,32 @@ def placed(classes: DataFrame, cells: Cells) -> DataFrame:
     return classes.select("id", "weight", "vec").mapInArrow(run, "id long, weight long, vec array<double>, cell int, core boolean, angle double")
 
 
-def _visitors(rows: DataFrame, cells: Cells) -> DataFrame:
-    """(cell, held): how many classes that are at home elsewhere may have links there."""
+def _outside(rows: DataFrame, cells: Cells) -> DataFrame:
+    """(cell, held, extra): how many classes that are at home elsewhere may have links there that only a product tells, and
+    the weight of those outside the core that are linked with all of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(cells.points), np.int64)
+        held, extra = (np.zeros(len(cells.points), np.int64) for _ in range(2))
         for batch in batches:
-            at_home, _, core, rest = cells.related(matrix(batch.column("vec"), cells.points.shape[1]), batch.column("cell").to_numpy())
-            total += ((core | rest) & ~at_home).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["cell", "held"])
+            at_home, linked, core, rest = cells.related(matrix(batch.column("vec"), cells.points.shape[1]), batch.column("cell").to_numpy())
+            held += ((core | rest) & ~at_home).sum(axis=0)
+            other = linked & ~(at_home & batch.column("core").to_numpy(zero_copy_only=False)[:, None])
+            extra += batch.column("weight").to_numpy() @ other
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held)), pa.int32()), pa.array(held), pa.array(extra)], ["cell", "held", "extra"])
 
-    return rows.select("vec", "cell").mapInArrow(run, "cell int, held long").groupBy("cell").agg(F.sum("held").alias("held"))
+    found = rows.select("weight", "vec", "cell", "core").mapInArrow(run, "cell int, held long, extra long")
+    return found.groupBy("cell").agg(F.sum("held").alias("held"), F.sum("extra").alias("extra"))
 
 
 def _settled(rows: DataFrame, cells: Cells) -> DataFrame:
-    """(id, links, to): the links with whole cores, and the core's first class as the spanning link."""
+    """(id, links, to): the links with whole cores, from both sides, and the core's first class as the spanning link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at_home, linked, _, _ = cells.related(matrix(batch.column("vec"), cells.points.shape[1]), batch.column("cell").to_numpy())
             row, cell = np.nonzero(linked)
             own = at_home[row, cell] & batch.column("core").to_numpy(zero_copy_only=False)[row]
-            links = cells.weight[cell] - np.where(own, batch.column("weight").to_numpy()[row], 0)
+            links = cells.weight[cell] + np.where(own, cells.extra[cell] - batch.column("weight").to_numpy()[row], 0)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column("id").to_numpy()[row]), pa.array(links), pa.array(cells.first[cell])], ["id", "links", "to"])
 
     return rows.select("id", "weight", "vec", "cell", "core").mapInArrow(run, "id long, links long, to long")
@@ -236,8 +240,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     at = cut(placed(classes, cells))
     cells.count(at.groupBy("cell", "core").agg(F.count("*").alias("held"), F.sum("weight").alias("weight"), F.min("angle").alias("least"), F.max("angle").alias("widest"), F.min("id").alias("first")).collect())
-    for r in _visitors(at, cells).collect():
-        cells.visitors[r.cell] = r.held
+    for r in _outside(at, cells).collect():
+        cells.visitors[r.cell], cells.extra[r.cell] = r.held, r.extra
     found = cut(_settled(at, cells).union(_compared(_dealt(at, cells), size, cosine)))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
