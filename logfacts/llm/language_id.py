@@ -5,8 +5,9 @@ buckets. A bucket's value is its share of the text's n-grams times its inverse d
 with follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties, so most weights are exactly zero), and a
 temperature fitted on documents kept aside makes the winning probability an honest score.
 
-The model is fitted on the whole texts of at most ``max_rows`` labelled rows, the ones with the smallest hash of their
-id, whatever the size of the input; so a language of fewer than about one in ``max_rows`` documents may have no example.
+The model is fitted on the whole texts of a sample of labelled rows, drawn by the hash of their ids: ``max_rows`` by the
+labels' shares, but ``least_rows`` of each label at least, so a rare language is learned too. The executors count the
+sample's n-grams; the driver gets these counts, whose size does not depend on that of the texts, and none of the texts.
 
 Rows: a null text, or one without a letter, gets ``und`` and score 0; rows with a null label are not learned from; if
 nothing can be learned from, every text gets ``und``. Other columns are ignored. Ties go to the label first in order.
@@ -20,10 +21,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfacts.llm import kernels as K
+from logfacts.llm.shared import cut, drop
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -96,22 +98,48 @@ class Vectors:
         return self.ids[inside].astype(np.int32), counts / max(counts.sum(), 1)
 
 
-def _vectors(texts: list[str]) -> Vectors:
-    ids, counts, sizes = [np.empty(0, np.uint16)], [np.empty(0, np.int32)], []
-    for a, b, buckets, owner in _pieces(pc.utf8_lower(pa.array(texts, pa.string())), 1 << 16):
+def _grouped(lowered: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct buckets of some texts one after another, their counts, and how many each text has."""
+    for a, b, buckets, owner in _pieces(lowered, 1 << 16):
         found, n = np.unique(owner * BUCKETS + buckets, return_counts=True)
-        ids.append((found % BUCKETS).astype(np.uint16))
-        counts.append(n.astype(np.int32))
-        sizes.append(np.bincount(found // BUCKETS, minlength=b - a))
-    return Vectors(np.concatenate(ids), np.concatenate(counts), np.concatenate([[0], *sizes]).cumsum())
+        yield (found % BUCKETS).astype(np.uint16), n.astype(np.int32), np.bincount(found // BUCKETS, minlength=b - a)
+
+
+def _flat(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Vectors:
+    ids, counts, sizes = zip((np.empty(0, np.uint16), np.empty(0, np.int32), np.zeros(1, np.int64)), *parts, strict=True)
+    return Vectors(np.concatenate(ids), np.concatenate(counts), np.concatenate(sizes).cumsum())
+
+
+def _vectors(texts: list[str]) -> Vectors:
+    return _flat(list(_grouped(pc.utf8_lower(pa.array(texts, pa.string())))))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(h, lang, text) to (h, lang, ids, counts): the executors count a text's n-grams, so no text goes to the driver.
+
+    A text has 2**16 buckets at most, so a row is of 400 KB at most however long its text is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = _flat(list(_grouped(pc.utf8_lower(batch.column("text").slice(i, 1)))))
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(i, 1), batch.column("lang").slice(i, 1), pa.array([found.ids.tobytes()]), pa.array([found.counts.tobytes()])], ["h", "lang", "ids", "counts"])
+
+    return rows.select("h", "lang", "text").mapInArrow(run, "h long, lang string, ids binary, counts binary")
 
 
 def fit(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model | None:
+    """A model from texts and their labels."""
+    return fit_vectors(_vectors(texts), labels, epochs, alpha, beta, l1, l2)
+
+
+def fit_vectors(vectors: Vectors, labels: list[str], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model | None:
     """FTRL-proximal over the rows in the given order; every eighth row is kept aside for the temperature."""
     names = sorted(set(labels))
     if not names:
         return None
-    vectors, target = _vectors(texts), np.array([names.index(x) for x in labels])
+    target = np.array([names.index(x) for x in labels])
     frequency = np.zeros(BUCKETS)
     for i in range(len(vectors)):
         frequency[vectors[i][0]] += 1
@@ -147,15 +175,31 @@ def _loss(logits: np.ndarray, target: np.ndarray) -> float:
     return float(np.mean(np.log(np.exp(logits - top).sum(axis=1)) + top[:, 0] - logits[np.arange(len(target)), target]))
 
 
-def train(labelled: DataFrame, max_rows: int = 2500) -> Model | None:
-    """(id, text, lang) to a model fitted on the whole texts of ``max_rows`` rows at most; rows without a text or label are left out."""
+def sampled(labelled: DataFrame, max_rows: int, least_rows: int) -> DataFrame:
+    """(h, lang, text): ``max_rows`` rows drawn by the hash of their ids, each label by its share but ``least_rows`` at least
+    (all that it has, if fewer), so a rare label is learned too. At most max_rows + labels x (least_rows + 1) rows."""
     rows = labelled.where("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    rows = rows.select(F.xxhash64("id", F.lit(5)).alias("h"), "id", "lang", "text")
-    keep = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h").alias("last")).first()["last"]
-    if keep is None:
-        return None
-    sample = rows.where(F.col("h") <= keep).select("h", "lang", "text").orderBy("h", "text").limit(max_rows).collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    rows = rows.select(F.xxhash64("id", F.lit(5)).alias("h"), "lang", "text")
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    whole = sizes.agg(F.sum("n")).first()[0] or 0
+    quota = sizes.select("lang", "n", F.greatest(F.lit(least_rows), F.ceil(F.col("n") * (max_rows / max(whole, 1)))).alias("quota"))
+    # hashes spread evenly: half as many again and 200 more lie under this bound, and only these are put in order
+    place = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n")
+    near = rows.join(quota, "lang").where(place <= 1.5 * F.col("quota") + 200)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= F.col("quota")).select("h", "lang", "text")
+
+
+def train(labelled: DataFrame, max_rows: int = 2500, least_rows: int = 50) -> Model | None:
+    """(id, text, lang) to a model fitted on the whole texts of a bounded sample; rows without a text or label are left out."""
+    sample = cut(_counted(sampled(labelled, max_rows, least_rows)).orderBy("h", "lang", "ids"))
+    parts, labels = [], []
+    for row in sample.orderBy("h", "lang", "ids").toLocalIterator():  # one partition's rows at a time
+        ids, counts = np.frombuffer(row["ids"], np.uint16), np.frombuffer(row["counts"], np.int32)
+        parts.append((ids, counts, np.array([len(ids)])))
+        labels.append(row["lang"])
+    drop(sample)
+    return fit_vectors(_flat(parts), labels)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
