@@ -56,14 +56,14 @@ def evidence(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows:
 
 
 def posteriors(docs: DataFrame, words: DataFrame, shares: list[float], scale: float = 1.0) -> DataFrame:
-    """(id, tokens, p_0, p_1, ...) of every document."""
+    """(id, tokens, p_0, p_1, ...) of every document; rows of one id are one document, with the tokens and words of all of them."""
     k = len(shares)
     rows = docs.where("id is not null").select("id", _words(F.coalesce("text", F.lit(""))).alias("all"))
     # counted before the words are exploded, or every word's row would carry and count them all again
     rows = rows.select("id", (F.size("all") - F.size(F.filter("all", lambda w: w == ""))).cast("long").alias("tokens"), F.array_distinct("all").alias("words"))
-    rows = rows.select("id", "tokens", F.explode_outer("words").alias("word"))
+    rows = rows.select("id", "tokens", F.posexplode_outer("words").alias("nth", "word"))
     # the word table is a written one, so the planner knows its size and broadcasts it if it is small
-    held = rows.join(words, "word", "left").groupBy("id").agg(F.max("tokens").alias("tokens"), *(F.sum(F.coalesce(f"w_{i}", F.lit(0.0))).alias(f"s_{i}") for i in range(k)))
+    held = rows.join(words, "word", "left").groupBy("id").agg(F.sum(F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("tokens"))).alias("tokens"), *(F.sum(F.coalesce(f"w_{i}", F.lit(0.0))).alias(f"s_{i}") for i in range(k)))
     logit = [F.round(F.lit(shares[i]) + scale * F.col(f"s_{i}"), 6) for i in range(k)]
     held = held.select("id", "tokens", *(x.alias(f"s_{i}") for i, x in enumerate(logit)))
     top = F.greatest(*(F.col(f"s_{i}") for i in range(k))) if k > 1 else F.col("s_0")
