@@ -87,3 +87,94 @@ def prunable(hour_facts: DataFrame, day_proofs: DataFrame, active_ranges: DataFr
     rows = hour_facts.withColumn("date_ts", S.day("hour_ts")).join(day_proofs.select("user_id", "date_ts"), ["user_id", "date_ts"], "left_semi")
     held = (active_ranges["user"] == rows["user_id"]) & (rows["hour_ts"] >= active_ranges["from_ts"]) & (rows["hour_ts"] < active_ranges["to_ts"])
     return rows.join(active_ranges, held, "left_anti")
+
+
+#: Days in the blocks by which gaps that go on over several days are closed.
+_DAYS_A_YEAR = 366
+
+
+def uncovered_ranges(complete: DataFrame, since: int, until: int, time: str = "bucket_ts", step: int = 60) -> DataFrame:
+    """(from_ts, to_ts): what of [since, until) no complete bucket covers, as whole ranges, oldest first.
+
+    A gap opens after a bucket whose next one is missing and closes at one whose former one is missing, both found by anti
+    joins. Opening and closing are brought together within a day; a gap that goes on closes at the first closing of a
+    later day, of which each day and each year keeps its first. So windows are over the buckets of a day, the days
+    of a year, and the years, never over all buckets.
+    """
+    at = complete.where((F.col(time) >= since) & (F.col(time) < until) & (F.pmod(F.col(time) - since, F.lit(step)) == 0)).select(F.col(time).cast("long").alias("at")).distinct()
+    edges = at.sparkSession.createDataFrame([(since - step,), (until,)], "at long")
+    at = at.union(edges)
+    opens = at.where(F.col("at") < until).withColumn("at", F.col("at") + step).join(at, "at", "left_anti").withColumn("open", F.lit(True))
+    closes = at.where(F.col("at") >= since).withColumn("before", F.col("at") - step).join(at.withColumnRenamed("at", "before"), "before", "left_anti").select("at").withColumn("open", F.lit(False))
+    day = F.floor((F.col("at") - since) / S.DAY)
+    marks = opens.union(closes).withColumns({"day": day, "year": F.floor(day / _DAYS_A_YEAR)})
+    w = Window.partitionBy("year", "day").orderBy("at")
+    paired = marks.withColumn("next", F.lead("at").over(w)).where("open")
+    days = marks.groupBy("year", "day").agg(F.min(F.when(~F.col("open"), F.col("at"))).alias("first"))
+    later_day = F.min("first").over(Window.partitionBy("year").orderBy("day").rowsBetween(1, Window.unboundedFollowing))
+    years = days.groupBy("year").agg(F.min("first").alias("first_of_year"))
+    later_year = F.min("first_of_year").over(Window.partitionBy(F.floor(F.col("year") / 1000)).orderBy("year").rowsBetween(1, Window.unboundedFollowing))
+    days = days.withColumn("later_day", later_day).drop("first")
+    rows = paired.join(days, ["year", "day"]).join(years.withColumn("later_year", later_year).drop("first_of_year"), "year")
+    return rows.select(F.col("at").alias("from_ts"), F.coalesce("next", "later_day", "later_year").alias("to_ts")).orderBy("from_ts")
+
+
+def next_uncovered(complete: DataFrame, since: int, until: int, time: str = "bucket_ts", step: int = 60) -> DataFrame:
+    """The oldest of the uncovered ranges, what a backfill does next; no row if all is covered."""
+    return uncovered_ranges(complete, since, until, time, step).limit(1)
+
+
+def controls_from_hours(states: DataFrame, epoch: str, measures: list[str]) -> DataFrame:
+    """Control totals of member-days from the proven hours of one source epoch; ``hours`` is how many of the 24 there are."""
+    proven = states.where((F.col("status") == "complete") & (F.col("source_epoch") == epoch) & (F.col("content_hash") != ""))
+    sums = [F.sum(m).alias(m) for m in measures]
+    return proven.groupBy("user_id", S.day("hour_ts").alias("date_ts")).agg(F.countDistinct("hour_ts").alias("hours"), F.count("*").alias("states"), *sums)
+
+
+def unreconciled_days(facts: DataFrame, controls: DataFrame, members: DataFrame, since: int, until: int, measures: list[str], from_hours: bool = False) -> DataFrame:
+    """(user_id, date_ts, reason) of every member-day of the range whose facts and control do not agree.
+
+    All days of all members are looked at. A day without a control has one of zero, unless controls come from hours
+    (``controls_from_hours``): then it is 'no control', as is one that lacks hours or has some twice. Other reasons, in
+    this order: 'unknown member' (facts or a control of no member), 'source rows' (not requests and refunds together),
+    'totals'. Facts and controls have ``measures``; controls have ``source_rows`` too.
+    """
+    inside = lambda df: df.where((F.col("date_ts") >= since) & (F.col("date_ts") < until))
+    days = F.broadcast(facts.sparkSession.range(since, until, S.DAY).withColumnRenamed("id", "date_ts"))  # one row a day
+    known = members.select("user_id").distinct()
+    calendar = known.crossJoin(days).withColumn("known", F.lit(True))
+    mine = inside(facts).groupBy("user_id", "date_ts").agg(*(F.sum(m).alias(f"f_{m}") for m in measures))
+    held = [c for c in ("hours", "states") if c in controls.columns]
+    theirs = inside(controls).select("user_id", "date_ts", "source_rows", *held, *(F.col(m).alias(f"c_{m}") for m in measures), F.lit(True).alias("told"))
+    rows = calendar.join(mine, ["user_id", "date_ts"], "full").join(theirs, ["user_id", "date_ts"], "full").fillna(0, ["source_rows", *(f"{s}_{m}" for s in "fc" for m in measures)])
+    unequal = F.lit(False)
+    for m in measures:
+        unequal |= F.col(f"f_{m}") != F.col(f"c_{m}")
+    incomplete = F.col("told").isNull() | (F.col("hours") != 24) | (F.col("states") != 24) if held else F.col("told").isNull()
+    reason = F.when(F.col("known").isNull(), "unknown member")
+    reason = reason.when(incomplete, "no control") if from_hours else reason
+    reason = reason.when(F.col("source_rows") != F.col("c_requests") + F.col("c_refund_records"), "source rows").when(unequal, "totals")
+    return rows.select("user_id", "date_ts", reason.alias("reason")).where("reason is not null")
+
+
+def fact_digests(facts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, rows, digest): SHA-256 digests of sets of facts that any engine can make again.
+
+    A row's SHA-256 counts by its first 60 bits; a group's digest is over the number, the xor and the sum of these, so
+    neither the order of rows nor an even number of copies goes unseen, and no list of rows is made.
+    """
+    pages = event_pages(facts, keys, columns)
+    return pages.select(*keys, F.col("events").alias("rows"), F.sha2(F.concat_ws(":", F.col("events").cast("string"), F.col("mixed").cast("string"), F.col("added").cast("decimal(38,0)").cast("string")), 256).alias("digest"))
+
+
+def facts_in_empty_ranges(facts: DataFrame, empty: DataFrame, time: str = "hour_ts") -> DataFrame:
+    """(user_id, first, rows): facts inside ranges (user_id, from_ts, to_ts) that were proven to have none; there must be no row."""
+    f = facts.select(F.col("user_id").alias("u"), F.col(time).alias("at"))
+    inside = (F.col("u") == F.col("user_id")) & (F.col("at") >= F.col("from_ts")) & (F.col("at") < F.col("to_ts"))
+    return f.join(empty.select("user_id", "from_ts", "to_ts"), inside).groupBy("user_id").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
+
+
+def staleness(coverage: DataFrame, until: int) -> DataFrame:
+    """(ready_through, behind, stale) of a range that ends at ``until``."""
+    behind = F.greatest(F.lit(until) - F.col("ready_through"), F.lit(0)).cast("long")
+    return coverage.select("ready_through", behind.alias("behind"), (behind > 0).alias("stale"))

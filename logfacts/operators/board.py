@@ -124,3 +124,14 @@ def container_status(state: Column, health: Column) -> Column:
     known = F.when(health.isin("none", "starting", "healthy", "unhealthy"), health).otherwise("unknown")
     running = F.when(known == "unhealthy", "bad").when(known.isin(*CONTAINER_HEALTH_WARN), "warn").otherwise("ok")
     return F.when(state.isin(*CONTAINER_BAD), "bad").when(state == "running", running).otherwise("warn")
+
+
+def recent_alerts(alerts: DataFrame, excluded: list[str] = (), prefix: str = "infra_", most: int = 20) -> DataFrame:  # type: ignore[assignment]
+    """The latest alerts of a kind's prefix, newest first: of the ``most`` latest those whose target is not excluded.
+
+    One whose kind ends with _FAILED is a warning and loses that ending, others are bad.
+    """
+    rows = alerts.where(F.col("kind").startswith(prefix)).orderBy(F.desc("ts"), F.desc("id")).limit(most)
+    rows = rows.where(~F.col("target").isin(*excluded)) if excluded else rows
+    failed = F.col("kind").endswith("_FAILED")
+    return rows.select("ts", F.regexp_replace("kind", "_FAILED$", "").alias("kind"), "target", "detail", F.when(failed, "warn").otherwise("bad").alias("status"))

@@ -48,6 +48,19 @@ def report(facts: DataFrame, *keys: str) -> DataFrame:
     return facts.groupBy(*keys).agg(n.alias("requests"), *classes, (F.sum("time_sum_ms") / n).alias("avg_ms"), F.max("time_max_ms").alias("max_ms"), F.sum("bytes_sent").alias("bytes"), S.rate(F.sum("with_id"), n).alias("id_coverage"))
 
 
+MOST_ROWS = 50
+
+
+def by_day(facts: DataFrame) -> DataFrame:
+    """The report by business day."""
+    return report(facts.withColumn("date_ts", S.day("bucket_ts")), "date_ts")
+
+
+def breakdown(facts: DataFrame, key: str, most: int = MOST_ROWS) -> DataFrame:
+    """(name, requests, n_4xx, n_5xx, avg_ms) of the routes or nodes with the most requests; equal ones by name."""
+    return report(facts, key).orderBy(F.desc("requests"), key).limit(most).select(F.col(key).alias("name"), "requests", "n_4xx", "n_5xx", "avg_ms")
+
+
 def valid_sample(now: int, retention_days: int = 7) -> Column:
     """Minutes inside the time that is kept, with counts, times and sizes that are possible and fit each other."""
     c = {k: F.col(k) for k in ("count", "status", "upstream_status", "time_sum_ms", "time_max_ms", "upstream_sum_ms", "upstream_count", "bytes_sent", "with_id")}

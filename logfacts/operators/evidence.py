@@ -11,11 +11,57 @@ from logfacts.functions import scalars as S
 OUTCOMES = ("succeeded", "client_timeout", "transport_failure", "protocol_failure", "semantic_failure", "user_cancelled")
 
 
+#: The version of events, the time around now that is accepted, and the longest texts in bytes.
+EVENT_VERSION, DAYS_BACK_MS, AHEAD_MS = 1, 370 * 86_400_000, 600_000
+MOST_BYTES = {"event_id": 128, "client_version": 64, "error_signature": 96, "request_id": 256, "logical_key": 256, "protocol": 48, "model": 128}
+MOST_RETRIES = 100
+
+
+def _token(name: str) -> Column:
+    return F.col(name).rlike(r"\A[A-Za-z0-9._:-]{1,%d}\z" % MOST_BYTES[name])
+
+
+def _plain(name: str, text: Column | None = None) -> Column:
+    """Not too long, and on one line."""
+    text = F.coalesce(F.col(name) if text is None else text, F.lit(""))
+    return (F.octet_length(text) <= MOST_BYTES[name]) & ~text.rlike("[\r\n\\x00]")
+
+
+def _trimmed(name: str) -> Column:
+    return F.regexp_replace(F.coalesce(name, F.lit("")), r"\A\s+|\s+\z", "")
+
+
+def faults(now_ms: int) -> Column:
+    """The rules that an event breaks, in their order: envelope, time, request, start, outcome, metadata, logical.
+
+    Columns: version, event_id, event_type, occurred_at_ms, request_id, logical_key, client_version, outcome,
+    error_signature, retry, protocol, model. A null text is a blank; a null number is wrong.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    kind, outcome = F.col("event_type"), text("outcome")
+    right = {
+        "envelope": (F.col("version") == EVENT_VERSION) & _token("event_id") & kind.isin("request_started", "request_outcome") & _token("client_version") & F.col("retry").between(0, MOST_RETRIES),
+        "time": F.col("occurred_at_ms").between(now_ms - DAYS_BACK_MS, now_ms + AHEAD_MS),
+        "request": (_trimmed("request_id") != "") & _plain("request_id", _trimmed("request_id")),
+        "start": (kind != "request_started") | (outcome == "") & (text("error_signature") == ""),
+        "outcome": (kind != "request_outcome") | outcome.isin(*OUTCOMES),
+        "metadata": ((text("error_signature") == "") | _token("error_signature")) & _plain("protocol") & _plain("model"),
+        "logical": _plain("logical_key", _trimmed("logical_key")),
+    }
+    return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in right.items())))
+
+
 def valid(now_ms: int) -> Column:
-    """Known types and outcomes, a plausible time and token-like names."""
+    """Whether a stored event, which has pseudonyms in place of its ids, is of a known type and outcome and of a plausible time."""
     kind, outcome = F.col("event_type"), F.col("outcome")
     right = (kind == "request_started") & outcome.isNull() | (kind == "request_outcome") & outcome.isin(*OUTCOMES)
-    return F.coalesce(right & (F.col("occurred_at_ms") > 0) & (F.col("occurred_at_ms") <= now_ms) & F.col("trace").rlike("^[A-Za-z0-9._:-]{1,128}$"), F.lit(False))
+    return F.coalesce(right & F.col("occurred_at_ms").between(now_ms - DAYS_BACK_MS, now_ms + AHEAD_MS) & F.col("trace").rlike(r"\A[A-Za-z0-9._:-]{1,128}\z"), F.lit(False))
+
+
+def split(events: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Pushed events that are accepted, and those that are not with their first fault as ``reason``."""
+    told = events.withColumn("faults_", faults(now_ms))
+    return told.where("size(faults_) = 0").drop("faults_"), told.where("size(faults_) > 0").withColumn("reason", F.col("faults_")[0]).drop("faults_")
 
 
 def starts(events: DataFrame) -> DataFrame:

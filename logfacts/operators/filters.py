@@ -29,6 +29,13 @@ def effective(facts: DataFrame, proven_hours: DataFrame, version: int = 5) -> Da
     return rows.where(F.when(current, F.col("traffic_class_version") == version).otherwise(F.col("traffic_class_version") != version)).drop("signed", "older")
 
 
+def of_vendor(rows: DataFrame, channels: DataFrame, vendor: str | None) -> DataFrame:
+    """Rows of the channels of one vendor; all rows if none is asked for."""
+    if not vendor:
+        return rows
+    return rows.join(channels.where(F.col("vendor") == vendor).select(F.col("id").alias("channel_id")), "channel_id", "left_semi")
+
+
 def in_scope(rows: DataFrame, since: int, until: int, time: str = "hour_ts", **equal: object) -> DataFrame:
     """Half-open range of time and equality on the given columns; None asks for nothing."""
     rows = rows.where((F.col(time) >= since) & (F.col(time) < until))
@@ -45,10 +52,17 @@ def visible(facts: DataFrame, published: DataFrame, time: str = "hour_ts") -> Da
     return facts.join(p, "user_id", "left").crossJoin(F.broadcast(some)).where(~F.col("some") | (F.col(time) >= F.col("floor"))).drop("floor", "some")
 
 
-def fact_view(day_facts: DataFrame, hour_facts: DataFrame, day_proofs: DataFrame) -> DataFrame:
-    """Day facts, and hour facts of the member-days that no day proof or day fact stands for."""
-    from logfacts.functions.scalars import day
+def fact_view(day_facts: DataFrame, hour_facts: DataFrame, day_proofs: DataFrame, until: int | None = None) -> DataFrame:
+    """Day facts, and hour facts of the member-days that no day proof or day fact stands for.
+
+    With ``until`` only what is before it counts, and a day stands for its hours only if it ends by then: of the day that
+    ``until`` lies in the hours before it are shown, as a whole day's row would tell of hours to come.
+    """
+    from logfacts.functions.scalars import DAY, ZONE, day
 
+    if until is not None:
+        full = (until + ZONE) // DAY * DAY - ZONE
+        day_facts, day_proofs, hour_facts = day_facts.where(F.col("date_ts") < full), day_proofs.where(F.col("date_ts") < full), hour_facts.where(F.col("hour_ts") < until)
     done = day_proofs.select("user_id", "date_ts").union(day_facts.select("user_id", "date_ts")).distinct()
     open_hours = hour_facts.withColumn("date_ts", day("hour_ts")).join(done, ["user_id", "date_ts"], "left_anti")
     columns = [c for c in day_facts.columns]

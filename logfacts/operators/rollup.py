@@ -86,7 +86,7 @@ def direct_hours(logs: DataFrame, rules: C.Rules = C.Rules()) -> tuple[DataFrame
     """User facts and internal-test facts per hour, straight from raw rows."""
     m = measures()
     user = C.classified(logs, rules).withColumn("hour_ts", S.bucket("created_at", 3600)).groupBy("hour_ts", "channel_id", "model_name", "grp").agg(*(m[n].alias(n) for n in HOUR_MEASURES))
-    tests = logs.where(F.col("type").isin(C.CONSUME, C.ERROR) & C.is_test(rules)).withColumns({**C.test_labels(rules), "hour_ts": S.bucket("created_at", 3600)})
+    tests = C.with_details(logs.where(F.col("type").isin(C.CONSUME, C.ERROR) & C.is_test(rules))).withColumns({**C.test_labels(rules), "hour_ts": S.bucket("created_at", 3600)})
     paid = F.col("type") == C.CONSUME
     tests = tests.groupBy("hour_ts", "channel_id", "model_name", "grp", "origin", "scope", "cost_basis").agg(
         F.count("*").alias("requests"), *(count_if(F.col("result") == r).alias(r) for r in ("success", "anomaly", "failed")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logfacts.functions import scalars as S
 from logfacts.operators.rollup import again
+from logfacts.sources.tables import kept
 
 COUNTS = ("success", "anomaly", "failed", "tokens", "quota", "sum_use_time")
 
@@ -22,10 +23,13 @@ def with_metrics(sums: DataFrame) -> DataFrame:
     })
 
 
-def with_rejections(hours: DataFrame, rejections: DataFrame | None = None) -> DataFrame:
-    """Outcome rows with a rejected count; rejections are rows of their own, of no channel."""
+def with_rejections(hours: DataFrame, rejections: DataFrame | None = None, channel: int | None = None, vendor: str | None = None) -> DataFrame:
+    """Outcome rows with a rejected count; rejections are rows of their own, of no channel.
+
+    A rejected request has met no channel, so under a filter by channel or vendor none is counted (``hours`` are filtered already).
+    """
     rows = hours.select("hour_ts", "channel_id", "model_name", "grp", *COUNTS).withColumn("rejected", F.lit(0).cast("long"))
-    if rejections is None:
+    if rejections is None or channel is not None or vendor:
         return rows
     more = rejections.select(S.bucket("bucket_ts", 3600).alias("hour_ts"), F.lit(None).cast("long").alias("channel_id"), F.col("model").alias("model_name"), "grp", *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.col("count").alias("rejected"))
     return rows.unionByName(more)
@@ -52,6 +56,7 @@ def levels(rows: DataFrame) -> DataFrame:
 
 def with_shares(report: DataFrame) -> DataFrame:
     """Each row's share of its level's requests and problems."""
+    report = kept(report)  # else the levels' totals would make all levels anew
     whole = report.groupBy("level").agg(F.sum("requests").alias("n"), F.sum("problems").alias("bad"))  # seven rows
     shares = {"request_share": S.rate_or_null(F.col("requests"), F.col("n")), "problem_share": S.rate_or_null(F.col("problems"), F.col("bad"))}
     return report.join(F.broadcast(whole), "level").withColumns(shares).drop("n", "bad")
@@ -97,17 +102,62 @@ def by_day(rows: DataFrame, *keys: str) -> DataFrame:
     return with_metrics(rows.groupBy(S.day("hour_ts").alias("date_ts"), *keys).agg(*again([*COUNTS, "rejected"])))
 
 
-def coverage(ledger: DataFrame, since: int, until: int, version: int = 5) -> DataFrame:
-    """Hours expected, complete, complete under an older version, missing, and the share that is proven."""
-    expected = (until - since) // 3600
-    inside = ledger.where((F.col("hour_ts") >= since) & (F.col("hour_ts") < until) & (F.col("status") == "complete"))
-    rows = inside.agg(F.countDistinct(F.when(F.col("traffic_class_version") == version, F.col("hour_ts"))).alias("completed"), F.countDistinct("hour_ts").alias("effective"))
-    e = F.lit(expected).cast("long")
-    return rows.select(e.alias("expected"), "completed", "effective", (F.col("effective") - F.col("completed")).alias("legacy"), (e - F.col("effective")).alias("missing"), S.rate_or_null(F.col("completed"), e).alias("percent"))
+#: Seconds after its end until an hour can be complete.
+FINALIZE_DELAY = 600
+
+
+def coverage(ledger: DataFrame, since: int, until: int, now: int, version: int = 5) -> DataFrame:
+    """How much of a range of hours is complete, under the current version (strict) or any (effective); one row.
+
+    The range ends with the last hour that is final at ``now``; an empty one is complete. If the only hour that lacks the current
+    version is that last one, and it is not in the ledger yet, queued or running, it is pending and no gap. The ledger has one row an hour.
+    """
+    final = max(now - FINALIZE_DELAY, 0) // 3600 * 3600
+    since, until = since // 3600 * 3600, min(until, final) // 3600 * 3600
+    n, last = max(0, until - since) // 3600, until - 3600
+    rows = ledger.where((F.col("hour_ts") >= since) & (F.col("hour_ts") < until))
+    done, current = F.col("status") == "complete", F.coalesce(F.col("traffic_class_version") == version, F.lit(False))
+    hours = lambda c: F.countDistinct(F.when(c, F.col("hour_ts")))
+    counts = rows.agg(hours(done & current).alias("completed"), hours(done).alias("effective"), F.max(F.when(F.col("hour_ts") == last, F.col("status"))).alias("last_status"))
+    whole = F.lit(n).cast("long")
+    share = lambda c: F.when(whole == 0, 100.0).otherwise(F.col(c) * 100.0 / whole)
+    missing, gone = whole - F.col("completed"), whole - F.col("effective")
+    pending = (missing == 1) & F.lit(n > 0 and until == final) & F.coalesce(F.col("last_status").isin("queued", "running"), F.lit(True))
+    return counts.select(
+        F.lit(since).alias("from_ts"), F.lit(until).alias("to_ts"), whole.alias("expected"), "completed", missing.alias("missing"), share("completed").alias("percent"), (missing == 0).alias("complete"),
+        "effective", gone.alias("effective_missing"), share("effective").alias("effective_percent"), (gone == 0).alias("effective_complete"), (F.col("effective") - F.col("completed")).alias("legacy"),
+        pending.alias("pending"), F.when(pending, F.lit(last)).alias("pending_ts"))
+
+
+def covered_rejections(rejections: DataFrame, ledger: DataFrame, samples: DataFrame, version: int = 5) -> DataFrame:
+    """Rejections of the hours that count: those with a complete ledger row of the version, or with an effective sample."""
+    done = ledger.where((F.col("status") == "complete") & (F.col("traffic_class_version") == version)).select("hour_ts")
+    hours = done.union(samples.select("hour_ts")).distinct()
+    return rejections.withColumn("hour_ts", S.bucket("bucket_ts", 3600)).join(hours, "hour_ts", "left_semi")
+
+
+def by_dimension(facts: DataFrame, channels: DataFrame, vendor: str | None = None) -> DataFrame:
+    """Outcomes by group, channel and model with the channel's name, vendor and whether it is still there; of one vendor only, if asked."""
+    dims = channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel_name"), "vendor", *(["status"] if "status" in channels.columns else []), F.lit(True).alias("known"))
+    sums = facts.groupBy("grp", "channel_id", "model_name").agg(*again(COUNTS))
+    rows = sums.join(dims, "channel_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return rows.where(F.col("vendor") == vendor) if vendor else rows
+
+
+def ranking(report: DataFrame, level: str, key: str) -> DataFrame:
+    """The rows of one level of the report, most requests first, then by key."""
+    return report.where(F.col("level") == level).orderBy(F.desc("requests"), F.asc(key))
+
+
+def vendor_label(facts: DataFrame, channels: DataFrame, several: str = "several") -> DataFrame:
+    """(grp, vendor): the vendor of a group's channels, blank if there is none, ``several`` if more than one."""
+    rows = facts.join(channels.select(F.col("id").alias("channel_id"), "vendor"), "channel_id", "left")
+    seen = rows.groupBy("grp").agg(F.countDistinct("vendor").alias("n"), F.min("vendor").alias("vendor"))
+    return seen.select("grp", F.when(F.col("n") == 0, "").when(F.col("n") == 1, F.col("vendor")).otherwise(several).alias("vendor"))
 
 
 def filter_lists(facts: DataFrame, channels: DataFrame) -> DataFrame:
-    """The distinct groups, models and vendors to choose from, sorted."""
+    """The distinct groups, models, vendors and channels to choose from, sorted; one row."""
     joined = facts.join(channels.select(F.col("id").alias("channel_id"), "vendor"), "channel_id", "left")
     text = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     return joined.agg(text("grp").alias("groups"), text("model_name").alias("models"), text("vendor").alias("vendors"))

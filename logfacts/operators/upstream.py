@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logfacts.functions import scalars as S
+
 BILL = "struct<total:double,daily:array<struct<date:string,cost:double,requests:bigint>>>"
 
 
@@ -125,3 +127,16 @@ def cache_split() -> Column:
 def settled() -> Column:
     """Subscription amount: what was consumed if that is stated, else the advance and its correction."""
     return F.coalesce("consumed", F.coalesce("pre", F.lit(0)) + F.coalesce("delta", F.lit(0)))
+
+
+def exposed(logs: DataFrame) -> DataFrame:
+    """(id, first_byte_ms, cache_read_tokens, cache_write_tokens, cost_usd): what a member sees of a request beside its columns.
+
+    The first byte's time is told of streams, the cost of consumption alone; without details the rest is 0.
+    """
+    d = lambda c: F.floor(F.coalesce(f"d.{c}", F.lit(0.0))).cast("long")
+    rows = logs.withColumn("d", details())
+    streamed = F.coalesce(F.col("is_stream"), F.lit(False)) & (F.col("d.frt") > 0)
+    split = (d("cache_creation_tokens_5m") > 0) | (d("cache_creation_tokens_1h") > 0)
+    written = F.when(split, d("cache_creation_tokens_5m") + d("cache_creation_tokens_1h")).otherwise(d("cache_creation_tokens"))
+    return rows.select("id", F.when(streamed, d("frt")).alias("first_byte_ms"), d("cache_tokens").alias("cache_read_tokens"), written.alias("cache_write_tokens"), F.when(F.col("type") == 2, S.usd(F.col("quota"))).alias("cost_usd"))

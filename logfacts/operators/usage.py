@@ -129,3 +129,32 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row of each key."""
     w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def ordered_tokens(tokens: DataFrame) -> DataFrame:
+    """Tokens with a place (``rank``) per user: living ones first, then by spending, by all that was ever spent, and by name."""
+    order = [F.col("deleted"), F.desc("consume_quota"), F.desc(F.coalesce("total_quota", F.lit(0))), F.asc("name"), F.asc("token_id")]
+    return tokens.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+
+
+def ordered_members(members: DataFrame, most: int) -> DataFrame:
+    """The members who used most, then by name."""
+    return members.orderBy(F.desc("used_quota"), "name", "user_id").limit(most)
+
+
+def page_totals(states: DataFrame, now: int, recent: int = 900) -> DataFrame:
+    """(hours, complete, pages, source_rows, recent_hours, recent_seconds) of page-wise imports; one row."""
+    done = F.col("status") == "complete"
+    new = done & (F.col("updated_at") >= now - recent)
+    rows = states.agg(F.count("*").alias("hours"), F.count_if(done).alias("complete"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.coalesce(F.sum("source_rows"), F.lit(0)).alias("source_rows"), F.count_if(new).alias("recent_hours"), F.min(F.when(new, F.col("updated_at"))).alias("first"))
+    return rows.withColumn("recent_seconds", F.coalesce(F.greatest(F.lit(now) - F.col("first"), F.lit(0)), F.lit(0)).cast("long")).drop("first")
+
+
+def proof_progress(proofs: DataFrame, hours: int) -> DataFrame:
+    """(user_id, hours, progress): how many of so many hours are proven."""
+    return proofs.groupBy("user_id").agg(F.countDistinct("hour_ts").alias("hours")).withColumn("progress", F.col("hours") * 100.0 / hours)
+
+
+def boundaries(logs: DataFrame) -> DataFrame:
+    """(user_id, first, last): when each member's log begins and ends."""
+    return logs.groupBy("user_id").agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))

@@ -83,11 +83,6 @@ def p16_valid_samples(spark, d):
     return rows.withColumns(faults).select("bucket_ts", "node", "route", "method", "status", "upstream_status", edge.valid_sample(NOW).alias("valid"))
 
 
-@query(EV + f" SELECT event_id FROM e WHERE occurred_at_ms <= {NOW * 1000}")
-def p17_valid_evidence(spark, d):
-    return _evidence(spark, d).where(evidence.valid(NOW * 1000)).select("event_id")
-
-
 @query(EV + " SELECT event_id, outcome FROM e WHERE event_type = 'request_outcome' AND outcome NOT IN ('succeeded', 'user_cancelled') ORDER BY occurred_at_ms DESC, event_id DESC LIMIT 100")
 def t7_latest_failures(spark, d):
     rows = _evidence(spark, d).where("event_type = 'request_outcome' and outcome not in ('succeeded', 'user_cancelled')")

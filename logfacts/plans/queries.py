@@ -337,12 +337,6 @@ def a22_timeline(spark, d):
     return rounded(stability.timeline(_rows(spark, d), _A, _B))
 
 
-@query(HOURS + f", l AS (SELECT DISTINCT hour_ts, CASE WHEN hour_ts // 3600 % 6 = 0 THEN 4 ELSE 5 END AS v, CASE WHEN hour_ts // 3600 % 11 = 0 THEN 'running' ELSE 'complete' END AS status FROM hours WHERE hour_ts >= {SINCE} AND hour_ts < {NOW}) SELECT CAST(240 AS BIGINT) AS expected, count(*) FILTER (WHERE status = 'complete' AND v = 5) AS completed, count(*) FILTER (WHERE status = 'complete') AS effective, count(*) FILTER (WHERE status = 'complete' AND v = 4) AS legacy, 240 - count(*) FILTER (WHERE status = 'complete') AS missing, round(count(*) FILTER (WHERE status = 'complete' AND v = 5) * 100.0 / 240, 6) AS percent FROM l")
-def a26_coverage(spark, d):
-    ledger = _hours(spark, d).select("hour_ts").distinct().withColumns({"traffic_class_version": F.when(F.expr("hour_ts div 3600 % 6") == 0, 4).otherwise(5), "status": F.when(F.expr("hour_ts div 3600 % 11") == 0, "running").otherwise("complete")})
-    return rounded(stability.coverage(ledger, SINCE, NOW))
-
-
 @query(HOURS + ", " + T.CHANNELS + " SELECT string_agg(DISTINCT grp, ',' ORDER BY grp) AS groups, string_agg(DISTINCT model_name, ',' ORDER BY model_name) AS models, string_agg(DISTINCT vendor, ',' ORDER BY vendor) AS vendors FROM hours LEFT JOIN channels ON id = channel_id")
 def u9_filter_lists(spark, d):
     return stability.filter_lists(_hours(spark, d), T.channels(spark, d))
@@ -779,18 +773,6 @@ def r7_cooldown(spark, d):
     return alerts.fired(events, {"anomaly_rate": 7200})
 
 
-_FIN = SINCE + 12 * 3600
-_WM = f"""wm AS (SELECT user_id, {_FIN} + n * 400 AS captured_at, user_id * 1000 + n * 50 AS used FROM (SELECT DISTINCT user_id FROM usage), (SELECT unnest(range(5)) AS n))"""
-
-
-@query(T.USAGE + f", {_WM}, h AS (SELECT user_id, sum(consume_quota - refund_quota) AS q FROM usage WHERE hour_ts >= {SINCE} AND hour_ts < {_FIN} GROUP BY 1) SELECT wm.user_id, CAST(coalesce(max(q), 0) + max(used) - min(used) AS BIGINT) AS quota FROM wm LEFT JOIN h ON h.user_id = wm.user_id GROUP BY 1")
-def r9_projection(spark, d):
-    facts = _usage(spark, d)
-    members = facts.select("user_id").distinct()
-    marks = members.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n")).select("user_id", (F.lit(_FIN) + F.col("n") * 400).alias("captured_at"), (F.col("user_id") * 1000 + F.col("n") * 50).alias("used_quota"))
-    return projection.project(facts, marks, members, SINCE, _FIN)
-
-
 @query(T.LOGS + " SELECT id, CASE WHEN type = 5 THEN CASE WHEN lower(content) LIKE '%timeout%' THEN 'timeout' WHEN content LIKE '%status_code=4%' THEN '4xx' WHEN content LIKE '%status_code=5%' THEN '5xx' ELSE 'other' END END AS kind, type = 2 AND token_name = 'probe' AND content = 'probe' AS test, frt FROM logs")
 def p4_classification(spark, d):
     return T.logs(spark, d).select("id", F.when(F.col("type") == 5, C.error_kind()).alias("kind"), C.is_test(T.RULES).alias("test"), C.json_long("$.frt").alias("frt"))
@@ -862,11 +844,6 @@ def r1_minute_stream(spark, d):
     return jobs.latest_of(spark.read.parquet(path), ["bucket_ts", "model_name"])
 
 
-@query(HOURS + " SELECT max(hour_ts) AS newest, count(DISTINCT hour_ts) AS hours, 1706659200 - max(hour_ts) - 3600 AS lag, 1706659200 - max(hour_ts) - 3600 > 7200 AS degraded FROM hours")
-def r8_health(spark, d):
-    return jobs.health(_hours(spark, d).select("hour_ts").distinct().withColumn("status", F.lit("complete")), 1706659200)
-
-
 @query("SELECT l_orderkey, l_linenumber, count(*) AS copies FROM (SELECT l_orderkey // 2 AS l_orderkey, l_linenumber FROM lineitem) GROUP BY ALL HAVING count(*) > 1")
 def u10_duplicate_keys(spark, d):
     rows = T.read(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 2).cast("long").alias("l_orderkey"), "l_linenumber")

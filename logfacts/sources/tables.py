@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """The same rows read back from a table of the shared folder, for what several jobs or parts of a plan read."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
     """Writes rows in place of the partitions that they belong to; other partitions stay."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -72,10 +72,3 @@ def fired_stream(events: DataFrame, cooldown: dict[str, int], default: int = 180
         yield pd.DataFrame({"kind": [key[0]] * len(sent), "target": [key[1]] * len(sent), "ts": sent})
 
     return events.groupBy("kind", "target").applyInPandasWithState(run, "kind string, target string, ts long", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def health(ledger: DataFrame, now: int, most_lag: int = 7200) -> DataFrame:
-    """Lag of the newest complete hour, and whether it is degraded."""
-    rows = ledger.where("status = 'complete'").agg(F.max("hour_ts").alias("newest"), F.count("*").alias("hours"))
-    lag = F.lit(now) - F.col("newest") - 3600
-    return rows.select("newest", "hours", lag.alias("lag"), F.coalesce(lag > most_lag, F.lit(True)).alias("degraded"))

@@ -98,7 +98,7 @@ def test_a_range_is_replaced_only_if_its_totals_agree(spark, days, tmp_path):
     assert not list((tmp_path / "t").glob("staged-*"))
     repair.repair_days(logs, path, start + S.DAY, start + 2 * S.DAY, T.RULES, 5)
     kept = {tuple(r) for r in ranges.facts(spark, path, "date_ts").where(F.col("date_ts") != start + S.DAY).collect()}
-    assert kept == {r for r in before if r[-1] != start + S.DAY}
+    assert kept == {r for r in before if r[0] != start + S.DAY}
     assert {(r.date_ts - start) // S.DAY: r.version for r in ranges.ledger(spark, path, "date_ts").collect()} == {0: 4, 1: 5, 2: 4}
 
 
