@@ -8,7 +8,7 @@ are read with ``spark.read.format("binaryFile")`` and the same reader.
 
 Equal payloads of at least ``least_bytes`` are stored once: the one with the largest id is the response, the others are
 revisits that name it. Only (id, digest, length) is shuffled to find out, and each digest's counts are summed before
-that, so a payload that a third of all rows share costs no more than others.
+that; rows of a digest with very many are dealt to several tasks, so a payload that a third of all rows share goes to no single one.
 
 Rows: a null id is left out; a null payload is empty; repeated rows of one id give as many records, and the largest
 id's response is then given by each of its rows. Other columns are ignored.
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfacts.llm.shared import cut
+from logfacts.llm.shared import cut, join_counted
 
 #: Fixed values of the format.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -58,7 +58,10 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
         raise BadArchive("no version line or no end of headers")
     headers = {}
     for line in lines[1:]:
-        name, colon, value = line.decode().partition(":")
+        try:
+            name, colon, value = line.decode().partition(":")
+        except UnicodeDecodeError as e:
+            raise BadArchive(f"header line {line[:60]!r}") from e
         if not colon or not name.strip():
             raise BadArchive(f"header line {line[:60]!r}")
         headers[name.strip().lower()] = value.strip()
@@ -66,7 +69,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
         if name not in headers:
             raise BadArchive(f"no {name}")
     size = headers["content-length"]
-    if not size.isdigit() or len(rest) != int(size) + 4 or rest[-4:] != b"\r\n\r\n":
+    if not (size.isascii() and size.isdigit()) or len(rest) != int(size) + 4 or rest[-4:] != b"\r\n\r\n":
         raise BadArchive(f"content-length {size} with {len(rest) - 4} bytes")
     block = rest[:-4]
     kind, digest = headers["warc-type"], headers.get("warc-payload-digest", "")
@@ -74,6 +77,9 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
         raise BadArchive("payload digest")
     if kind == "revisit" and ("warc-refers-to" not in headers or block):
         raise BadArchive("revisit without a target, or with a block")
+    stated = headers.get("warc-payload-length", "0")
+    if not (stated.isascii() and stated.isdigit()) or kind == "response" and "warc-payload-length" in headers and int(stated) != len(block):
+        raise BadArchive(f"payload length {stated[:60]}")
     return headers, block
 
 
@@ -81,17 +87,31 @@ def dictionary_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
 
 
+def _loaded(raw: bytes) -> zstandard.ZstdCompressionDict | None:
+    """The dictionary of a leading frame, which may be compressed itself; a frame without bytes is no dictionary."""
+    try:
+        if raw[:4] == struct.pack("<I", FRAME_MAGIC):
+            frame = zstandard.ZstdDecompressor().decompressobj()
+            raw = frame.decompress(raw)
+            if not frame.eof or frame.unused_data:
+                raise BadArchive("dictionary is cut off, or more than one frame")
+        if not raw:
+            return None
+        dictionary = zstandard.ZstdCompressionDict(raw)
+        zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()  # a damaged one is found out here
+    except zstandard.ZstdError as e:
+        raise BadArchive(f"dictionary: {e}") from e
+    return dictionary
+
+
 def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of one archive, a frame at a time."""
+    """Records of one archive, a frame at a time; whatever is wrong with its bytes raises BadArchive."""
     at, dictionary = 0, None
     if len(content) >= 8 and struct.unpack_from("<I", content)[0] == DICTIONARY_MAGIC:
         size = struct.unpack_from("<I", content, 4)[0]
         if 8 + size > len(content):
             raise BadArchive("dictionary is cut off")
-        loaded = content[8 : 8 + size]
-        if loaded[:4] == struct.pack("<I", FRAME_MAGIC):
-            loaded = zstandard.ZstdDecompressor().decompressobj().decompress(loaded)
-        dictionary, at = zstandard.ZstdCompressionDict(loaded) if loaded else None, 8 + size
+        dictionary, at = _loaded(content[8 : 8 + size]), 8 + size
     engine = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     view = memoryview(content)
     while at < len(content):
@@ -126,8 +146,9 @@ def train_dictionary(pages: DataFrame, most_rows: int = 256, size: int = 32768)
 def with_targets(pages: DataFrame, least_bytes: int) -> DataFrame:
     """(id, uri, payload) with digest, length and, where equal payloads are stored once, the id of the stored one."""
     pages = pages.withColumn("digest", F.sha1("payload")).withColumn("length", F.length("payload").cast("long"))
-    large = pages.where(F.col("length") >= least_bytes).groupBy("digest").agg(F.max("id").alias("target"), F.count("*").alias("copies")).where("copies > 1")
-    revisits = pages.where(F.col("length") >= least_bytes).select("id", "digest").join(large, "digest").where("id < target").select("id", "digest", "target").distinct()
+    marks = cut(pages.where(F.col("length") >= least_bytes).select("id", "digest"))  # so that payloads are hashed for this once
+    large = cut(marks.groupBy("digest").agg(F.max("id").alias("target"), F.count("*").alias("copies")).where("copies > 1"))
+    revisits = join_counted(marks, large, "digest", "copies", ["id"]).where("id < target").select("id", "digest", "target").distinct()
     return pages.join(revisits, ["id", "digest"], "left")
 
 
