@@ -22,10 +22,13 @@ def parse(lines: DataFrame, node: str = "node") -> DataFrame:
     number = lambda c: S.first_number(F.col(f"j.{c}"))
     named = lambda a, b: F.coalesce(F.when(F.col(f"j.{a}") != "", F.col(f"j.{a}")), F.col(f"j.{b}"))
     attempts = lambda c, none: F.when(S.has_attempts(F.col(f"j.{c}")), S.last_number(F.col(f"j.{c}"))).otherwise(none)
-    rows = lines.where(F.octet_length("line") <= MOST_LINE_BYTES).select(node, F.from_json("line", SCHEMA, {"mode": "PERMISSIVE"}).alias("j")).select(
-        node, F.when(number("ts") > 0, number("ts")).otherwise(number("msec")).alias("at"), S.method(named("method", "request_method")).alias("method"), S.route(named("path", "uri")).alias("route"), number("status").alias("status"),
+    values = [
+        F.when(number("ts") > 0, number("ts")).otherwise(number("msec")).alias("at"), S.method(named("method", "request_method")).alias("method"), S.route(named("path", "uri")).alias("route"), number("status").alias("status"),
         number("request_time").alias("seconds"), attempts("upstream_status", F.lit(0.0)).alias("upstream_status"), S.has_attempts(F.col("j.upstream_response_time")).alias("timed"), attempts("upstream_response_time", F.lit(0.0)).alias("upstream_seconds"),
-        number("bytes_sent").alias("bytes_sent"), (~F.trim(F.coalesce("j.request_id", F.lit(""))).isin("", "-")).alias("has_id"))
+        number("bytes_sent").alias("bytes_sent"), (~F.trim(F.coalesce("j.request_id", F.lit(""))).isin("", "-")).alias("has_id")]
+    parsed = lines.where(F.octet_length("line") <= MOST_LINE_BYTES).select(node, F.from_json("line", SCHEMA, {"mode": "PERMISSIVE"}).alias("j"))
+    # exploding one struct keeps the rules below from being pushed into the scan, where each would make its values, and parse the line, anew
+    rows = parsed.select(node, F.explode(F.array(F.struct(*values))).alias("v")).select(node, "v.*")
     status = lambda c: (F.col(c) == F.floor(c)) & F.col(c).between(100, 599)
     sound = (F.col("at") > 0) & status("status") & ((F.col("upstream_status") == 0) | status("upstream_status")) & F.col("seconds").between(0, 86400) & F.col("upstream_seconds").between(0, 86400) & F.col("bytes_sent").between(0, MOST_SENT)
     ms = lambda c: F.round(F.col(c) * 1000).cast("long")
