@@ -7,9 +7,10 @@ The distinct chunks of a language form a dictionary with the number of times the
 the dictionary is read. A phrase that begins in a chunk's own words lies wholly in that chunk, so it counts there, once,
 times the chunk's frequency; the overlap at the end only completes phrases, it begins none.
 
-Counting goes up level by level: words, pairs of frequent words, then longer phrases all of whose pairs are frequent
-(a phrase is no more frequent than its parts, so none is lost). What is frequent is known to the tasks as a bitmap of
-2**``bits`` bits, 8 MB whatever the data; bits that collide let a rare phrase be counted and dropped after that, no more.
+Counting goes up level by level: words, then the numbers of pairs of frequent words, then phrases all of whose pairs may
+be frequent (a phrase is no more frequent than its parts, so none is lost). What is frequent is known to the tasks as
+bitmaps of 2**``bits`` bits, 8 MB each whatever the data; numbers or bits that collide let a rare phrase be counted and
+dropped after that, no more, as the counts that decide are of the phrases themselves.
 
 All counts are sums with partial sums first, so a word, line or chunk that a third of all rows hold costs one row a
 task. Ranks come from a range partitioning, so no task holds a language.
@@ -82,15 +83,14 @@ def dictionary(docs: DataFrame, text_col: str, lang_col: str, longest: int, ever
     return parsed.groupBy("lang", "own", "rest").agg(F.sum("times").alias("times"))
 
 
-#: Phrases are numbered by their words' crc32: that of what is before a word times this, and the word's.
+#: A pair's number: the first word's crc32 times this, and the second's.
 STEP = 1_000_003
 
 
-def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each frequent phrase's number, mixed with its language's crc32: a fixed 2**bits bits, made by the executors."""
-    number = F.aggregate(F.split(F.col("phrase").cast("string"), " "), F.lit(0).cast("long"), lambda h, w: h * STEP + F.crc32(F.encode(w, "utf-8")))
-    place = number.bitwiseXOR(F.crc32(F.encode("lang", "utf-8"))).bitwiseAND(F.lit((1 << bits) - 1))
-    cells = frequent.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("held")).toArrow()
+def _bitmap(numbers: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each (lang, number), mixed with the language's crc32: a fixed 2**bits bits, made by the executors."""
+    place = F.col("number").bitwiseXOR(F.crc32(F.encode("lang", "utf-8"))).bitwiseAND(F.lit((1 << bits) - 1))
+    cells = numbers.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("held")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[cells.column("cell").to_numpy()] = cells.column("held").to_numpy()
     return out.view(np.uint8)
@@ -102,27 +102,71 @@ def _known(bitmap: np.ndarray, numbers: np.ndarray, lang: int) -> np.ndarray:
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def runs(words: list[bytes], left: np.ndarray, lang: int, sizes: list[int], bitmaps: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(size, starts) of the runs of words whose single words, and pairs if there is a second bitmap, are all known.
-
-    ``left`` is the number of words from each one to the end of its chunk.
-    """
+def _numbers(words: list[bytes], left: np.ndarray, lang: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pairs of known words begin, and the pairs' numbers. ``left`` is the number of words from each one to its chunk's end."""
     numbers = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
-    good, span = _known(bitmaps[0], numbers, lang), 1
-    if len(bitmaps) > 1:
-        at = np.flatnonzero(good[:-1] & good[1:] & (left[:-1] > 1))
-        pairs = np.zeros(len(words), bool)
-        pairs[at] = _known(bitmaps[1], numbers[at] * STEP + numbers[at + 1], lang)
-        good, span = pairs, 2
+    good = _known(bitmap, numbers, lang)
+    at = np.flatnonzero(good[:-1] & good[1:] & (left[:-1] > 1))
+    return at, numbers[at] * STEP + numbers[at + 1]
+
+
+def runs(words: list[bytes], left: np.ndarray, lang: int, sizes: list[int], bitmaps: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, starts) of the runs of words all of whose words, and then pairs, are known."""
+    at, numbers = _numbers(words, left, lang, bitmaps[0])
+    pairs = np.zeros(len(words), bool)
+    pairs[at] = _known(bitmaps[1], numbers, lang)
     for size in sizes:
-        whole = good & (left >= size)
-        for shift in range(1, size - span + 1):
-            whole[:-shift] &= good[shift:]
+        whole = pairs & (left >= size)
+        for shift in range(1, size - 1):
+            whole[:-shift] &= pairs[shift:]
         yield size, np.flatnonzero(whole)
 
 
+def _flat(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each language in a batch of chunks (lang, words, left, whether a word is its chunk's own, times), flat; chunks that
+    occur once by themselves, as their phrases are counted without a look at each."""
+    langs, times = np.array(batch.column(0).to_pylist(), object), batch.column(3).to_numpy()
+    own, rest = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+    for lang in set(langs.tolist()):
+        for rare in (True, False):
+            some = np.flatnonzero((langs == lang) & ((times == 1) == rare))
+            if len(some):
+                n_own = np.array([own[i].count(b" ") + 1 for i in some])
+                size = n_own + np.array([rest[i].count(b" ") + 1 if rest[i] else 0 for i in some])
+                words = b" ".join([own[i] + b" " + rest[i] if rest[i] else own[i] for i in some]).split(b" ")
+                place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+                yield lang, words, np.repeat(size, size) - place, place < np.repeat(n_own, size), np.repeat(times[some], size)
+
+
+def pair_numbers(parse: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(lang, number, f): how often pairs of known words with that number occur; unlike pairs may share one, which only makes f larger."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = defaultdict(list)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                numbers, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+                found, of = np.unique(numbers, return_inverse=True)
+                total = np.bincount(of, weights=times, minlength=len(found)).astype(np.int64)  # far below 2**53
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(total)], ["lang", "number", "f"])
+            held.clear()
+
+        for batch in batches:
+            for lang, words, left, own, times in _flat(batch):
+                at, numbers = _numbers(words, left, zlib.crc32(lang.encode()), bitmap)
+                mine = own[at]
+                held[lang].append((numbers[mine], times[at][mine]))
+            if sum(len(n) for parts in held.values() for n, _ in parts) > 4 * HELD:
+                yield from rows()
+        yield from rows()
+
+    found = parse.select("lang", "own", "rest", "times").mapInArrow(run, "lang string, number long, f long")
+    return found.groupBy("lang", "number").agg(F.sum("f").alias("f"))
+
+
 def counted(parse: DataFrame, sizes: list[int], bitmaps: list[np.ndarray]) -> DataFrame:
-    """(lang, phrase, f): occurrences of phrases of these sizes all of whose words, and then pairs, are known.
+    """(lang, phrase, f): occurrences of phrases of these sizes all of whose words, and pairs, are known.
 
     Without bitmaps words are counted, and a further row a language, of phrase null, has the number of its words.
     """
@@ -142,29 +186,17 @@ def counted(parse: DataFrame, sizes: list[int], bitmaps: list[np.ndarray]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
-            langs, times = np.array(batch.column(0).to_pylist(), object), batch.column(3).to_numpy()
-            own, rest = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for lang in set(langs.tolist()):
-                # chunks that occur once by themselves, as their phrases are counted without a look at each
-                for rare in (True, False):
-                    some = np.flatnonzero((langs == lang) & ((times == 1) == rare))
-                    if not len(some):
-                        continue
-                    n_own = np.array([own[i].count(b" ") + 1 for i in some])
-                    if not bitmaps:
-                        weight = np.repeat(times[some], n_own)
-                        add(counts[lang], b" ".join([own[i] for i in some]).split(b" "), weight)
-                        counts[lang][None] += int(weight.sum())
-                        continue
-                    n_rest = np.array([rest[i].count(b" ") + 1 if rest[i] else 0 for i in some])
-                    words = b" ".join([own[i] + b" " + rest[i] if rest[i] else own[i] for i in some]).split(b" ")
-                    size = n_own + n_rest
-                    place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
-                    starts, left, weight = place < np.repeat(n_own, size), np.repeat(size, size) - place, np.repeat(times[some], size)
-                    for length, at in runs(words, left, zlib.crc32(lang.encode()), sizes, bitmaps):
-                        at = at[starts[at]]
-                        phrases = [words[i] + b" " + words[i + 1] for i in at.tolist()] if length == 2 else [b" ".join(words[i : i + length]) for i in at.tolist()]
-                        add(counts[lang], phrases, weight[at])
+            if bitmaps:
+                for lang, words, left, own, times in _flat(batch):
+                    for size, at in runs(words, left, zlib.crc32(lang.encode()), sizes, bitmaps):
+                        at = at[own[at]]
+                        phrases = [words[i] + b" " + words[i + 1] for i in at.tolist()] if size == 2 else [b" ".join(words[i : i + size]) for i in at.tolist()]
+                        add(counts[lang], phrases, times[at])
+            else:
+                whole = batch.select(["lang", "own", "times"]).add_column(2, "rest", pa.array([b""] * batch.num_rows, pa.binary()))
+                for lang, words, _, _, times in _flat(whole):
+                    add(counts[lang], words, times)
+                    counts[lang][None] += int(times.sum())
             if sum(map(len, counts.values())) > HELD:
                 yield from rows(counts)
         yield from rows(counts)
@@ -177,12 +209,12 @@ def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """(lang, phrase, size, f) of all phrases of up to ``longest`` words that occur at least ``least`` times, and of each
     language's number of words, whose phrase is null."""
     parse = cut(dictionary(docs, text_col, lang_col, longest, every, most))
-    levels, bitmaps = [cut(counted(parse, [1], []).where(F.col("phrase").isNull() | (F.col("f") >= least)))], []
-    for sizes in ([2], list(range(3, longest + 1))):
-        sizes = [s for s in sizes if s <= longest]
-        if sizes:
-            bitmaps = [*bitmaps, _bitmap(levels[-1].where("phrase is not null"), bits)]
-            levels.append(cut(counted(parse, sizes, bitmaps).where(F.col("f") >= least)))
+    levels = [cut(counted(parse, [1], []).where(F.col("phrase").isNull() | (F.col("f") >= least)))]
+    if longest > 1:
+        known = _bitmap(levels[0].where("phrase is not null").select("lang", F.crc32("phrase").alias("number")), bits)
+        pairs = cut(pair_numbers(parse, known).where(F.col("f") >= least).select("lang", "number"))
+        levels.append(cut(counted(parse, list(range(2, longest + 1)), [known, _bitmap(pairs, bits)]).where(F.col("f") >= least)))
+        drop(pairs)
     drop(parse)
     phrase = F.col("phrase").cast("string")
     return reduce(DataFrame.union, levels).select("lang", phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("size"), "f")
