@@ -240,3 +240,8 @@ def registrable(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     best = tails.join(suffixes.select("suffix").distinct(), "suffix").groupBy("host").agg(F.min("from").alias("from"))
     address = F.col("host").rlike(r"^[0-9.]+$|^\[")
     return hosts.join(best, "host", "left").withColumn("domain", F.when(address | F.col("from").isNull(), F.col("host")).otherwise(F.array_join(F.slice(F.split("host", r"\."), F.col("from") - 1, F.lit(64)), "."))).drop("from")
+
+
+def missing_from(ids: DataFrame, snapshot: DataFrame, key: str = "channel_id") -> DataFrame:
+    """Ids that a snapshot does not have."""
+    return ids.select(key).distinct().join(snapshot.select(key).distinct(), key, "left_anti")

@@ -102,3 +102,14 @@ def first_outcomes(events: DataFrame) -> DataFrame:
     w = Window.partitionBy("logical").orderBy("retry", "occurred_at_ms", "event_id")
     rows = events.where("event_type = 'request_outcome' and outcome <> 'user_cancelled'")
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("logical", "trace", "outcome")
+
+
+def latest_failures(events: DataFrame, most: int = 100) -> DataFrame:
+    """The latest outcomes that are neither a success nor a cancellation."""
+    rows = events.where("event_type = 'request_outcome' and outcome not in ('succeeded', 'user_cancelled')")
+    return rows.orderBy(F.desc("occurred_at_ms"), F.desc("event_id")).limit(most)
+
+
+def timeline(events: DataFrame, logical: str) -> DataFrame:
+    """All events of one request, in their order."""
+    return events.where(F.col("logical") == logical).orderBy("occurred_at_ms", "event_id")

@@ -89,3 +89,14 @@ def service_level(minute_facts: DataFrame, now: int, target: float = 99.0, days:
 
 def freshness(minute_facts: DataFrame, now: int) -> DataFrame:
     return minute_facts.agg(F.max("bucket_ts").alias("newest"), F.min("bucket_ts").alias("oldest")).withColumn("age", F.lit(now) - F.col("newest"))
+
+
+def top_tokens(token_facts: DataFrame, most: int = 100) -> DataFrame:
+    """Tokens by what they cost; equal ones by name."""
+    sums = token_facts.groupBy("token_name").agg(*again(("success", "anomaly", "failed", "tokens", "quota")))
+    return sums.orderBy(F.desc("quota"), "token_name").limit(most)
+
+
+def top_rejections(rejections: DataFrame, most: int = 100) -> DataFrame:
+    """(reason, model, grp, n) with the most rejected requests."""
+    return rejections.groupBy("reason", "model", "grp").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "reason", "model", "grp").limit(most)

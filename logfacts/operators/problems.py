@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logfacts.functions import classify as C
 from logfacts.functions import scalars as S
 from logfacts.sources.tables import kept
 
@@ -39,3 +40,13 @@ def report(minutes: DataFrame, since: int, until: int) -> DataFrame:
     by = rows.groupBy("source", "signature_hash").agg(*_texts(), F.sum("count").alias("count"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), text("grp").alias("groups"), text("channel_id").alias("channels"), text("model_name").alias("models"))
     by = kept(by)  # a row a signature; read twice
     return by.crossJoin(F.broadcast(by.agg(F.sum("count").alias("total")))).withColumn("share", S.rate(F.col("count"), F.col("total"))).drop("total")
+
+
+def error_rows(logs: DataFrame) -> DataFrame:
+    """Error rows as ``signatures`` reads them."""
+    return logs.where(F.col("type") == C.ERROR).select("id", "created_at", "channel_id", "model_name", "grp", "content")
+
+
+def minute_coverage(minutes: DataFrame) -> DataFrame:
+    """(minutes, rows, newest) of the signatures taken in; one row."""
+    return minutes.agg(F.countDistinct("bucket_ts").alias("minutes"), F.sum("count").alias("rows"), F.max("last_ts").alias("newest"))

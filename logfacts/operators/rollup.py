@@ -148,3 +148,8 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], values: list
     for v in values:
         unequal = unequal | (F.col(f"{v}_a") != F.col(f"{v}_b"))
     return rows.where(unequal)
+
+
+def rejection_hours(rejections: DataFrame) -> DataFrame:
+    """Rejected requests per hour, node, reason, model and group, from those per minute."""
+    return rejections.groupBy(S.bucket("bucket_ts", 3600).alias("hour_ts"), "node", "reason", "model", "grp").agg(F.sum("count").alias("count"))

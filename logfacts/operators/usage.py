@@ -158,3 +158,15 @@ def proof_progress(proofs: DataFrame, hours: int) -> DataFrame:
 def boundaries(logs: DataFrame) -> DataFrame:
     """(user_id, first, last): when each member's log begins and ends."""
     return logs.groupBy("user_id").agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+
+
+def events(logs: DataFrame) -> DataFrame:
+    """Consumption and refunds in the order of a member's log: time, type, id; in order within each partition."""
+    rows = logs.where(F.col("type").isin(C.CONSUME, C.REFUND)).select("user_id", "created_at", "type", "id", "quota")
+    return rows.sortWithinPartitions("created_at", "type", "id")
+
+
+def member_rows(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members (user_id and what is to be shown of them) with their net quota, 0 without any facts."""
+    net = facts.groupBy("user_id").agg(F.sum(F.col("consume_quota") - F.col("refund_quota")).alias("net_quota"))
+    return members.join(net, "user_id", "left").fillna(0, ["net_quota"])

@@ -9,6 +9,7 @@ from logfacts.functions import scalars as S
 from logfacts.operators import audit, board, channels, edge, filters, rollup, stability, upstream, usage
 from logfacts.plans import testmap as T
 from logfacts.plans.queries import DAY_SQL, EDGE, HOURS, NOW, SINCE, _hours, _lines, _usage, query, rounded
+from logfacts.sources import tables
 
 # --- channels -----------------------------------------------------------------------------------------------------
 
@@ -187,3 +188,26 @@ def q5_facts_in_empty_ranges(spark, d):
     facts = _usage(spark, d)
     empty = facts.select("user_id").distinct().where("user_id % 5 = 0").select("user_id", F.lit(SINCE - 2 * S.DAY).alias("from_ts"), F.lit(SINCE).alias("to_ts"))
     return audit.facts_in_empty_ranges(facts, empty)
+
+
+# --- merging ------------------------------------------------------------------------------------------------------
+
+_KEYS = ("signature_hash", "channel_id")
+
+
+@query(T.LOGS + """, e AS (SELECT channel_id, model_name AS signature_hash, created_at, use_time, k % 50 = 0 AS truncated FROM logs WHERE type = 5)
+SELECT signature_hash, channel_id, count(*) AS count, min(created_at) AS first_ts, max(created_at) AS last_ts, max(use_time) AS largest, bool_or(truncated) AS truncated FROM e GROUP BY 1, 2""")
+def s11_merge_rules(spark, d):
+    """Five batches merged one after another: counts add up, first and last and flags combine."""
+    rows = T.logs(spark, d).where("type = 5").select("id", "channel_id", F.col("model_name").alias("signature_hash"), "created_at", "use_time", (F.col("k") % 50 == 0).alias("truncated"))
+    sums = lambda df: df.groupBy(*_KEYS).agg(F.count("*").alias("count"), F.min("created_at").alias("first_ts"), F.max("created_at").alias("last_ts"), F.max("use_time").alias("largest"), F.bool_or("truncated").alias("truncated"))
+    merged = sums(rows.where("id % 5 = 0"))
+    for i in range(1, 5):
+        merged = tables.merge_additive(merged, sums(rows.where(f"id % 5 = {i}")), list(_KEYS), ["count"], ["last_ts", "largest"], ["first_ts"], ["truncated"])
+    return merged
+
+
+@query(T.LOGS + """, u AS (SELECT user_id, CAST(sum(quota) FILTER (WHERE type = 2) AS BIGINT) AS used_quota FROM logs GROUP BY 1) SELECT user_id, coalesce(used_quota, 0) AS used_quota, 'user-' || (user_id % 7) AS name FROM u ORDER BY coalesce(used_quota, 0) DESC, name, user_id LIMIT 30""")
+def t5_members_by_use(spark, d):
+    rows = T.logs(spark, d).groupBy("user_id").agg(F.coalesce(F.sum(F.when(F.col("type") == 2, F.col("quota"))), F.lit(0)).cast("long").alias("used_quota"))
+    return usage.ordered_members(rows.withColumn("name", F.concat(F.lit("user-"), (F.col("user_id") % 7).cast("string"))), 30)

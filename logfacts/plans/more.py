@@ -85,13 +85,12 @@ def p16_valid_samples(spark, d):
 
 @query(EV + " SELECT event_id, outcome FROM e WHERE event_type = 'request_outcome' AND outcome NOT IN ('succeeded', 'user_cancelled') ORDER BY occurred_at_ms DESC, event_id DESC LIMIT 100")
 def t7_latest_failures(spark, d):
-    rows = _evidence(spark, d).where("event_type = 'request_outcome' and outcome not in ('succeeded', 'user_cancelled')")
-    return rows.orderBy(F.desc("occurred_at_ms"), F.desc("event_id")).limit(100).select("event_id", "outcome")
+    return evidence.latest_failures(_evidence(spark, d)).select("event_id", "outcome")
 
 
 @query(EV + " SELECT event_id, event_type, outcome FROM e WHERE logical = 'l77'")
 def t8_timeline(spark, d):
-    return _evidence(spark, d).where("logical = 'l77'").orderBy("occurred_at_ms", "event_id").select("event_id", "event_type", "outcome")
+    return evidence.timeline(_evidence(spark, d), "l77").select("event_id", "event_type", "outcome")
 
 
 @query(T.MINUTES + ", g AS (SELECT grp, sum(success + anomaly + failed) AS n FROM minutes GROUP BY 1) SELECT grp, CAST(n AS BIGINT) AS requests, row_number() OVER (ORDER BY n DESC, grp) AS rank FROM g")
@@ -114,19 +113,18 @@ def t9_hour_series(spark, d):
 @query(T.USAGE + """, t AS (SELECT user_id, sum(consume_quota - refund_quota) AS q FROM usage GROUP BY 1) SELECT c_custkey AS user_id, c_name AS username, n_name AS company, CAST(coalesce(q, 0) AS BIGINT) AS net_quota, CAST(c_acctbal AS DOUBLE) AS balance FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN t ON user_id = c_custkey""")
 def j13_member_matrix(spark, d):
     c, n = T.read(spark, d, "customer"), F.broadcast(T.read(spark, d, "nation"))  # nations are a fixed list
-    net = _usage(spark, d).groupBy("user_id").agg(F.sum(F.col("consume_quota") - F.col("refund_quota")).alias("net_quota"))
     rows = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"), F.col("n_name").alias("company"), F.col("c_acctbal").cast("double").alias("balance"))
-    return rows.join(net, "user_id", "left").fillna(0, ["net_quota"])
+    return usage.member_rows(rows, _usage(spark, d))
 
 
 @query(f"WITH {_PROOF} SELECT user_id, count(*) AS hours, round(count(*) * 100.0 / 40, 6) AS progress FROM p GROUP BY 1")
 def a44_proof_progress(spark, d):
-    return rounded(_proofs(spark, d).groupBy("user_id").agg(F.count("*").alias("hours"), (F.count("*") * 100.0 / 40).alias("progress")))
+    return rounded(usage.proof_progress(_proofs(spark, d), 40))
 
 
 @query(SIGNS + " SELECT count(DISTINCT bucket_ts) AS minutes, CAST(sum(count) AS BIGINT) AS rows, max(last_ts) AS newest FROM sg")
 def a27_problem_coverage(spark, d):
-    return problems.signatures(T.logs(spark, d).where("type = 5")).agg(F.countDistinct("bucket_ts").alias("minutes"), F.sum("count").alias("rows"), F.max("last_ts").alias("newest"))
+    return problems.minute_coverage(problems.signatures(problems.error_rows(T.logs(spark, d))))
 
 
 @query(HOURS + ", " + T.REJECTIONS + """, cover AS (SELECT DISTINCT hour_ts FROM hours WHERE hour_ts // 3600 % 3 = 0) SELECT bucket_ts // 3600 * 3600 AS hour_ts, CAST(sum(count) AS BIGINT) AS n FROM rejections WHERE bucket_ts // 3600 * 3600 IN (SELECT hour_ts FROM cover) GROUP BY 1""")
@@ -194,7 +192,7 @@ def q4_proofs_match_facts(spark, d):
 def q8_staleness(spark, d):
     until = NOW + S.DAY * 30
     rows = _hours(spark, d).agg((F.max("hour_ts") + 3600).alias("ready_through"))
-    return rows.select("ready_through", (F.lit(until) - F.col("ready_through")).alias("behind"), (F.lit(until) > F.col("ready_through")).alias("stale"))
+    return audit.staleness(rows, until)
 
 
 @query(T.LOGS + ", " + T.CHANNELS + " SELECT DISTINCT base_domain AS domain, grp FROM logs JOIN channels ON id2 = channel_id UNION SELECT 'domain-0.test', 'extra'".replace("id2", "channels.id"))
@@ -207,7 +205,7 @@ def u11_domain_groups(spark, d):
 @query(HOURS + ", b AS (SELECT DISTINCT channel_id FROM hours), n AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) SELECT channel_id FROM b WHERE channel_id NOT IN (SELECT s_suppkey FROM n)")
 def u5_missing_set(spark, d):
     now = T.read(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("channel_id"))
-    return _hours(spark, d).select("channel_id").distinct().join(now, "channel_id", "left_anti")
+    return channels.missing_from(_hours(spark, d), now)
 
 
 @query(T.LOGS + ", " + T.REJECTIONS + " SELECT bucket_ts, node, substr(reason, 1, 64) AS reason, model, grp, count FROM rejections WHERE reason <> 'reason-3' AND bucket_ts % 7 <> 0")

@@ -67,12 +67,12 @@ def s1_range_scan(spark, d):
 
 @query(T.LOGS + " SELECT user_id, created_at, CAST(type AS INTEGER) AS type, id, quota FROM logs WHERE type IN (2, 6)")
 def s2_usage_events(spark, d):
-    return T.logs(spark, d).where("type in (2, 6)").select("user_id", "created_at", "type", "id", "quota").sortWithinPartitions("created_at", "type", "id")
+    return usage.events(T.logs(spark, d))
 
 
 @query(T.LOGS + " SELECT id, created_at, channel_id, model_name, grp, content FROM logs WHERE type = 5")
 def s3_error_scan(spark, d):
-    return T.logs(spark, d).where("type = 5").select("id", "created_at", "channel_id", "model_name", "grp", "content")
+    return problems.error_rows(T.logs(spark, d))
 
 
 @query(T.MINUTES + " SELECT *, 5 AS traffic_class_version FROM minutes")
@@ -99,7 +99,7 @@ def a4_stability_hours(spark, d):
 
 @query(T.LOGS + ", " + T.REJECTIONS + " SELECT bucket_ts // 3600 * 3600 AS hour_ts, node, reason, model, grp, CAST(sum(count) AS BIGINT) AS count FROM rejections GROUP BY ALL")
 def a5_rejection_hours(spark, d):
-    return T.rejections(spark, d).groupBy(S.bucket("bucket_ts", 3600).alias("hour_ts"), "node", "reason", "model", "grp").agg(F.sum("count").alias("count"))
+    return rollup.rejection_hours(T.rejections(spark, d))
 
 
 @query(HOURS + " SELECT * FROM hours")
@@ -176,13 +176,12 @@ for _name, _dim, _most in (("model", "model_name", 200), ("group", "grp", 200),
 
 @query(T.TRAFFIC + f" SELECT token_name, {T.measures_sql('success', 'anomaly', 'failed', 'tokens', 'quota')} FROM traffic GROUP BY token_name ORDER BY quota DESC, token_name LIMIT 100")
 def a10_top_tokens(spark, d):
-    facts = rollup.token_minutes(T.logs(spark, d), T.RULES)
-    return facts.groupBy("token_name").agg(*rollup.again(("success", "anomaly", "failed", "tokens", "quota"))).orderBy(F.desc("quota"), "token_name").limit(100)
+    return kpi.top_tokens(rollup.token_minutes(T.logs(spark, d), T.RULES))
 
 
 @query(T.LOGS + ", " + T.REJECTIONS + " SELECT reason, model, grp, CAST(sum(count) AS BIGINT) AS n FROM rejections GROUP BY ALL ORDER BY n DESC, reason, model, grp LIMIT 100")
 def a11_top_rejections(spark, d):
-    return T.rejections(spark, d).groupBy("reason", "model", "grp").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "reason", "model", "grp").limit(100)
+    return kpi.top_rejections(T.rejections(spark, d))
 
 
 @query(T.MINUTES + f" SELECT model_name AS key, bucket_ts // 14400 * 14400 AS ts, {sums('success', 'anomaly', 'failed')} FROM minutes WHERE bucket_ts >= {SINCE} GROUP BY ALL")
