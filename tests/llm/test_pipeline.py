@@ -35,5 +35,5 @@ def test_entry_has_the_queries():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names and sum(n.startswith("op") for n in names) == 10
+    assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names and sum(n.startswith("op") for n in names) == 13
     assert set(__spark_entry__.oracle_sql()) <= names
