@@ -98,5 +98,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Trained models and the fit of the rates are beyond SQL; tests compare the stages with brute force.
+#: Trained models and the fit of the rates are beyond SQL; tests hold the stages against plain loops on small tables.
 ORACLE_SQL = None
