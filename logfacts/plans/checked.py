@@ -174,7 +174,7 @@ def j14_rate_config(spark, d):
 
 
 @query(HOURS + ", " + T.CHANNELS + """, p AS (SELECT DISTINCT hour_ts FROM hours WHERE hour_ts // 3600 % 3 <> 0 AND hour_ts // 3600 % 5 <> 0), r AS (SELECT h.*, base_domain AS domain, h.grp <> 'grp-4' AS priced FROM hours h JOIN p ON h.hour_ts = p.hour_ts JOIN channels ON id = channel_id WHERE h.hour_ts // 3600 % 7 <> 0)
-SELECT domain, round(coalesce(sum(quota / 500000.0 * 0.5 / 2.0) FILTER (WHERE priced), 0) / (SELECT count(*) FROM p) * 24, 6) AS daily_cost_usd, CASE WHEN coalesce(sum(quota) FILTER (WHERE NOT priced), 0) > 0 THEN 'grp-4' ELSE '' END AS missing_groups FROM r GROUP BY 1""")
+SELECT domain, round(coalesce(sum(quota / 500000.0 * 0.5 / 2.0) FILTER (WHERE priced), 0) / (SELECT count(*) FROM p) * 24, 4) AS daily_cost_usd, CASE WHEN coalesce(sum(quota) FILTER (WHERE NOT priced), 0) > 0 THEN 'grp-4' ELSE '' END AS missing_groups FROM r GROUP BY 1""")
 def a34_burn_of_one_version(spark, d):
     """Hours complete under an older version, facts of one, and names with blanks around them."""
     c = T.channels(spark, d).select(F.col("id").alias("channel_id"), F.concat(F.when(F.col("id") % 2 == 0, " ").otherwise(""), "base_domain").alias("domain"))
@@ -182,4 +182,4 @@ def a34_burn_of_one_version(spark, d):
     facts = _hours(spark, d).join(c, "channel_id").withColumns({"traffic_class_version": old(7), "grp": F.concat("grp", F.when(F.col("channel_id") % 3 == 0, " ").otherwise(""))})
     ledger = facts.select("hour_ts").distinct().where(hour % 3 != 0).withColumns({"status": F.lit("complete"), "traffic_class_version": old(5)})
     rates = T.channels(spark, d).select(F.col("id").alias("channel_id"), F.explode(F.array(*(F.lit(f"grp-{i}") for i in range(4)))).alias("grp")).withColumns({"upstream": F.lit(0.5), "site": F.lit(2.0)})
-    return rounded(channels.burn(facts, rates, ledger, 10))
+    return rounded(channels.burn(facts, rates, ledger, 10), 4)

@@ -67,8 +67,8 @@ def replace_range(rows: DataFrame, controls: DataFrame, path: str, by: str, sinc
     """
     spark, staged, names = rows.sparkSession, f"{path}/staged-{uuid.uuid4().hex}", list(measures)
     try:
-        # partitions are small beside the table: deal the rows by them, so that each is a file or a few
-        rows.repartition(F.col(by)).write.partitionBy(by).parquet(staged)
+        # dealt by partition, so that each is a file or a few; a large one is split at runtime
+        rows.hint("rebalance", by).write.partitionBy(by).parquet(staged)
         schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
         fresh = spark.read.schema(schema).parquet(staged)
         found = totals(fresh, by, measures)
@@ -82,7 +82,7 @@ def replace_range(rows: DataFrame, controls: DataFrame, path: str, by: str, sinc
         _mark(marks, path, by)
         for empty in (r[by] for r in marks.where("rows = 0").select(by).collect()):
             _delete(spark, f"{path}/facts/{by}={empty}")
-        fresh.repartition(F.col(by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{path}/facts")
+        fresh.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{path}/facts")
         done = marks.withColumn("status", F.lit("complete"))
         _mark(done, path, by)
         return done

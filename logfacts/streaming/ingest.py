@@ -5,6 +5,9 @@ decided about it (``status``). Spark's commit of that job is the mark that the e
 complete epochs only. A micro-batch that is run again after a failure overwrites its own folder with the same rows,
 as it looks at earlier epochs alone. So nothing is counted twice and nothing is lost, whatever fails when.
 
+Each micro-batch reads the keys and hashes of those accepted before, two columns of all epochs that are kept; deleting the
+folders of epochs that are older than any replay bounds that, and the facts are to be merged out of them before.
+
 An envelope is told by its keys (a node and its batch id). The first payload of a key counts; the same payload again is a
 duplicate, another payload under the same key is a conflict and is kept aside whole. Payloads are compared by
 a hash that does not depend on the order of their samples.
