@@ -56,7 +56,8 @@ _LANES = [f"CAST(sum(CAST('0x' || substr(h, {1 + S.LANE_DIGITS * i}, {S.LANE_DIG
 def f25_payload_hash(spark, d):
     rows = _batches(spark, d)
     of = lambda c: S.multiset_hash(c, list(FIELDS))
-    shuffled = F.array_sort("samples", lambda a, b: F.when(F.xxhash64(a["reason"], a["grp"], a["bucket_ts"]) < F.xxhash64(b["reason"], b["grp"], b["bucket_ts"]), -1).otherwise(1))
+    keyed = F.transform("samples", lambda s: F.struct(F.xxhash64(*(s[f] for f in FIELDS)).alias("key"), s.alias("sample")))  # equal samples may have equal keys, so no comparison of its own
+    shuffled = F.transform(F.sort_array(keyed), lambda x: x["sample"])
     changed = F.transform("samples", lambda s, i: s.withField("count", s["count"] + F.when(i == 0, 1).otherwise(0)))
     mine = of(F.col("samples"))
     return rows.select("node", "batch_id", mine.alias("payload_hash"), (of(shuffled) == mine).alias("same_when_shuffled"), (of(changed) != mine).alias("other_when_changed"))

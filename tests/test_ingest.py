@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from logfacts.functions import scalars as S
 from logfacts.operators import repair
+from logfacts.plans import ingest as plans
 from logfacts.plans import testmap as T
 from logfacts.sources import ranges
 from logfacts.streaming import ingest, jobs
@@ -26,6 +27,15 @@ def test_multiset_hash(spark):
     assert len(set(h)) == 6  # another number, a null unlike a blank, one copy more or less
 
 
+def test_payload_hash_of_large_batches(spark, tmp_path):
+    """Some thousands of samples in a batch, of which many differ by their model alone."""
+    n = F.col("id")
+    rows = spark.range(40000).select(n.alias("event_id"), F.timestamp_seconds(F.lit(1706313600) + F.pmod(F.xxhash64(n), F.lit(3600))).alias("ts"), F.pmod(F.xxhash64(n, F.lit(1)), F.lit(5)).alias("user_id"), F.lit("signup").alias("event_type"), F.lit(1.0).alias("value"), F.concat(F.lit('{"k": '), F.pmod(F.xxhash64(n, F.lit(2)), F.lit(100)).cast("string"), F.lit("}")).alias("props"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = plans.f25_payload_hash(spark, str(tmp_path)).collect()
+    assert {r.node for r in found} == {"node-0", "node-1"} and all(r.same_when_shuffled and r.other_when_changed for r in found)
+
+
 def test_a_replay_counts_once_and_a_conflict_is_kept_aside(spark, tmp_path):
     inbox = ingest.Inbox(str(tmp_path / "inbox"), FIELDS)
     one, two = [(60, "x", 1), (120, "y", 2)], [(120, "y", 2), (60, "x", 1)]
