@@ -92,37 +92,41 @@ def follow_ups(facts: DataFrame, until: int, balances: DataFrame, dormant_days:
     """Members to look after: dormant, dropping or low on balance, with reasons and urgency.
 
     ``balances`` may have eligible_from, the number of the first day of the window that counts for a member: days before
-    it are no days without consumption, and the rules on 14 days and on dormancy wait for as many days.
+    it are no days without consumption, and the rules on 14 days and on dormancy wait for as many days. Amounts are added
+    up and compared as whole quotas, so neither whole dollars nor a drop to just the bar hang on the order of rows.
     """
     if "eligible_from" not in balances.columns:
         balances = balances.withColumn("eligible_from", F.lit(0))
     balances = balances.withColumn("eligible_from", F.greatest(F.lit(0), F.least(F.lit(window), F.coalesce("eligible_from", F.lit(0)))))
     since = until - window * S.DAY
     ix = F.floor((F.col("hour_ts") - since) / S.DAY)
-    spent = S.usd((F.col("consume_quota") - F.col("refund_quota")).cast("double"))
-    inside = facts.where((F.col("hour_ts") >= since) & (F.col("hour_ts") < until)).groupBy("user_id", ix.alias("ix")).agg(F.sum(spent).alias("usd"))
-    part = lambda a, b: F.coalesce(F.sum(F.when((F.col("ix") >= a) & (F.col("ix") < b), F.col("usd"))), F.lit(0.0))
-    sums = inside.join(balances.select("user_id", "eligible_from"), "user_id").where("ix >= eligible_from").groupBy("user_id").agg(part(0, window).alias("spend"), part(window - 7, window).alias("last7"), part(window - 14, window - 7).alias("prev7"), F.max(F.when(F.col("usd") > 0, F.col("ix"))).alias("active"))
-    rows = balances.select("user_id", "balance_usd", (F.lit(window) - F.col("eligible_from")).alias("days")).join(sums, "user_id", "left").fillna(0.0, ["spend", "last7", "prev7"])
+    spent = F.col("consume_quota") - F.col("refund_quota")
+    inside = facts.where((F.col("hour_ts") >= since) & (F.col("hour_ts") < until)).groupBy("user_id", ix.alias("ix")).agg(F.sum(spent).alias("net"))
+    part = lambda a, b: F.coalesce(F.sum(F.when((F.col("ix") >= a) & (F.col("ix") < b), F.col("net"))), F.lit(0))
+    sums = inside.join(balances.select("user_id", "eligible_from"), "user_id").where("ix >= eligible_from").groupBy("user_id").agg(part(0, window).alias("spend"), part(window - 7, window).alias("last7"), part(window - 14, window - 7).alias("prev7"), F.max(F.when(F.col("net") > 0, F.col("ix"))).alias("active"))
+    rows = balances.select("user_id", "balance_usd", (F.lit(window) - F.col("eligible_from")).alias("days")).join(sums, "user_id", "left").fillna(0, ["spend", "last7", "prev7"])
     idle = F.when(F.col("active").isNotNull(), F.lit(window - 1) - F.col("active")).otherwise(F.col("days")).cast("long")
     rows = rows.withColumn("days_idle", idle)
     dormant = (F.col("days") >= dormant_days) & (F.col("days_idle") >= dormant_days)
-    drop = ~dormant & (F.col("days") >= 14) & (F.col("prev7") > 0) & (F.col("last7") < F.col("prev7") * (1 - drop_per_cent / 100))
+    drop = ~dormant & (F.col("days") >= 14) & (F.col("prev7") > 0) & (F.col("last7") * 100 < F.col("prev7") * (100 - drop_per_cent))
     low = F.coalesce(F.col("balance_usd") < low_balance_usd, F.lit(False))
     reasons = F.array_join(F.array_compact(F.array(F.when(dormant, "dormant"), F.when(drop, "drop"), F.when(low, "low balance"))), ",")
-    urgency = F.when(dormant, 50).when(drop, 35).otherwise(0) + F.when(low, 45).otherwise(0) + F.floor("spend")
+    urgency = F.when(dormant, 50).when(drop, 35).otherwise(0) + F.when(low, 45).otherwise(0) + S.div("spend", S.QUOTA_PER_USD)
     rows = rows.withColumns({"reasons": reasons, "urgency": urgency.cast("long"), "level": F.when(F.col("spend") > 0, "urgent").otherwise("info")})
-    return rows.where("reasons <> ''").select("user_id", "days_idle", "reasons", "urgency", "level", F.col("spend").alias("spend_usd"))
+    return rows.where("reasons <> ''").select("user_id", "days_idle", "reasons", "urgency", "level", S.usd(F.col("spend")).alias("spend_usd"))
 
 
 def by_company(found: DataFrame, members: DataFrame, companies: DataFrame) -> DataFrame:
-    """Follow-ups per company (id 0: none): members found, spend and urgency; a company without any member is one too."""
+    """Follow-ups per company (id 0: none): members found, spend and urgency; a company without any member is one too.
+
+    Dollars are added up with the six digits that a quota takes, so whole ones stay whole in any order of rows.
+    """
     rows = members.select("user_id", F.coalesce("group_id", F.lit(0)).alias("group_id")).join(found.select("user_id", "urgency", "spend_usd"), "user_id", "left")
-    sums = rows.groupBy("group_id").agg(F.count("urgency").alias("found"), F.coalesce(F.sum("spend_usd"), F.lit(0.0)).alias("spend_usd"), F.coalesce(F.sum("urgency"), F.lit(0)).alias("of_members"))
-    all_ = companies.select("group_id").join(sums, "group_id", "full").fillna(0.0, ["spend_usd"])
+    sums = rows.groupBy("group_id").agg(F.count("urgency").alias("found"), F.coalesce(F.sum(F.col("spend_usd").cast("decimal(28,6)")), F.lit(0)).alias("spend_usd"), F.coalesce(F.sum("urgency"), F.lit(0)).alias("of_members"))
+    all_ = companies.select("group_id").join(sums, "group_id", "full").withColumn("spend_usd", F.coalesce("spend_usd", F.lit(0)))
     empty = F.col("found").isNull()
     urgency = F.when(empty, 20).otherwise(F.floor("spend_usd") + F.col("of_members")).cast("long")
-    return all_.where(empty | (F.col("found") > 0)).select("group_id", F.coalesce("found", F.lit(0)).alias("members"), F.col("spend_usd"), empty.alias("without_members"), urgency.alias("urgency"))
+    return all_.where(empty | (F.col("found") > 0)).select("group_id", F.coalesce("found", F.lit(0)).alias("members"), F.col("spend_usd").cast("double").alias("spend_usd"), empty.alias("without_members"), urgency.alias("urgency"))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

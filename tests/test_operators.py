@@ -139,6 +139,17 @@ def test_follow_ups_wait_for_eligible_days_and_group_by_company(spark):
     assert rows == {7: (1, False, 45), 9: (0, True, 20), 0: (1, False, 50)}
 
 
+def test_follow_ups_add_up_exactly(spark):
+    facts = [(1, d * 86400, 50000, 0) for d in range(10)] + [(2, d * 86400, 100000, 0) for d in (16, 17, 18)] + [(2, 23 * 86400, 210000, 0)]  # ten times 0.1; 0.42 after 0.6, a drop of just 30 %
+    facts += [(3, 29 * 86400, 50000, 0), (3, 29 * 86400 + 3600, 100000, 0), (3, 29 * 86400 + 7200, 0, 150000)]  # 0.1 and 0.2 paid back
+    rows = spark.createDataFrame(facts, "user_id long, hour_ts long, consume_quota long, refund_quota long")
+    found = usage.follow_ups(rows, 30 * 86400, spark.createDataFrame([(1, 5.0), (2, 0.5), (3, 0.5)], "user_id long, balance_usd double"))
+    assert {r.user_id: (r.days_idle, r.reasons, r.urgency, r.level, r.spend_usd) for r in found.collect()} == {1: (20, "dormant", 51, "urgent", 1.0), 2: (6, "low balance", 46, "urgent", 1.02), 3: (30, "dormant,low balance", 95, "info", 0.0)}
+    tenths = spark.createDataFrame([(u, 0, 0.1) for u in range(10)], "user_id long, urgency long, spend_usd double")
+    one = usage.by_company(tenths, spark.range(10).select(F.col("id").alias("user_id"), F.lit(7).alias("group_id")), spark.createDataFrame([(7,)], "group_id int")).first()
+    assert (one.spend_usd, one.urgency) == (1.0, 1)
+
+
 def test_costs_by_form(spark):
     plain = '"model_ratio":1,"group_ratio":0.5,"completion_ratio":3,"cache_tokens":400'
     others = [
