@@ -119,9 +119,18 @@ def uncovered_ranges(complete: DataFrame, since: int, until: int, time: str = "b
     return rows.select(F.col("at").alias("from_ts"), F.coalesce("next", "later_day", "later_year").alias("to_ts")).orderBy("from_ts")
 
 
-def next_uncovered(complete: DataFrame, since: int, until: int, time: str = "bucket_ts", step: int = 60) -> DataFrame:
-    """The oldest of the uncovered ranges, what a backfill does next; no row if all is covered."""
-    return uncovered_ranges(complete, since, until, time, step).limit(1)
+def next_uncovered(complete: DataFrame, since: int, until: int | None = None, time: str = "bucket_ts", step: int = 60) -> DataFrame:
+    """(from_ts, to_ts): the oldest of the uncovered ranges, what a backfill does next; no row if all is covered.
+
+    Without ``until`` the range has no end: then there always is one, and its ``to_ts`` is null if no bucket follows.
+    """
+    at = complete.where((F.col(time) >= since) & (F.pmod(F.col(time) - since, F.lit(step)) == 0)).select(F.col(time).cast("long").alias("at"))
+    at = (at if until is None else at.where(F.col("at") < until)).distinct()
+    at = at.union(at.sparkSession.createDataFrame([(since - step,)], "at long"))
+    opens = at.withColumn("at", F.col("at") + step).join(at, "at", "left_anti").agg(F.min("at").alias("from_ts"))
+    end = F.lit(until).cast("long")
+    rows = at.crossJoin(F.broadcast(opens)).groupBy("from_ts").agg(F.coalesce(F.min(F.when(F.col("at") > F.col("from_ts"), F.col("at"))), end).alias("to_ts"))  # opens is one row
+    return rows if until is None else rows.where(F.col("from_ts") < until)
 
 
 def controls_from_hours(states: DataFrame, epoch: str, measures: list[str]) -> DataFrame:

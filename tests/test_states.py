@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from logfacts.functions import classify as C
 from logfacts.functions import scalars as S
 from logfacts.operators import audit, board, channels, edge, evidence, filters, health, projection, stability, usage
+from logfacts.plans import queries
+from logfacts.plans import states as plans
 from logfacts.streaming import states
 
 DAY, FIN = 0, 43200
@@ -155,6 +157,19 @@ def test_uncovered_ranges(spark, present):
     assert [tuple(r) for r in audit.next_uncovered(rows, since, until).collect()] == gaps(set(present), since, until)[:1]
 
 
+@pytest.mark.parametrize(("present", "found"), [([], (0, None)), ([0, 60], (120, None)), ([0, 60, 240], (120, 240)), ([300, 7, -60], (0, 300))])
+def test_next_uncovered_without_an_end(spark, present, found):
+    rows = spark.createDataFrame([(t,) for t in present], "bucket_ts long")
+    assert [tuple(r) for r in audit.next_uncovered(rows, 0).collect()] == [found]
+
+
+def test_the_next_gap_may_lie_after_the_present(spark, tmp_path):
+    """Logs without a gap until after the end of the windows that look back."""
+    minutes = spark.range(queries.SINCE, queries.NOW + 600, 60).select(F.timestamp_seconds("id").alias("ts"))
+    minutes.withColumns({"event_id": F.lit(1), "user_id": F.lit(1), "event_type": F.lit("view"), "value": F.lit(1.0), "props": F.lit('{"k": 1}')}).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in plans.w6_next_uncovered(spark, str(tmp_path)).collect()] == [(queries.NOW + 600, None)]
+
+
 def test_nothing_is_uncovered(spark):
     rows = spark.range(0, S.DAY, 60).withColumnRenamed("id", "bucket_ts")
     assert audit.uncovered_ranges(rows, 0, S.DAY).count() == 0
