@@ -23,11 +23,31 @@ def missing_ranges(present: DataFrame, since: int, until: int, most_hours: int =
     return rows.select("from_ts", F.least(F.col("from_ts") + 3600 * most_hours, "hour_ts").alias("to_ts")).orderBy(F.desc("from_ts"))
 
 
+#: Hours that one word of bits takes.
+_HOURS_A_WORD = 62
+
+
+def hour_words(proofs: DataFrame, since: int = 0) -> DataFrame:
+    """(user_id, word, bits): the hours from ``since`` on as bits of words, so a task keeps one row for many proofs and copies of one add nothing."""
+    n = S.div(F.col("hour_ts") - since, 3600)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(n, F.lit(_HOURS_A_WORD)).cast("int"))
+    return proofs.groupBy("user_id", S.div(n, _HOURS_A_WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _inside(proofs: DataFrame, since: int, until: int | None = None) -> DataFrame:
+    rows = proofs.where((F.col("hour_ts") >= since) & (F.pmod(F.col("hour_ts") - since, F.lit(3600)) == 0))
+    return rows if until is None else rows.where(F.col("hour_ts") < until)
+
+
 def contiguous(proofs: DataFrame, since: int) -> DataFrame:
     """(user_id, through): how far each member's hours are proven without a gap from the start on."""
-    w = Window.partitionBy("user_id").orderBy("hour_ts")
-    rows = proofs.where(F.col("hour_ts") >= since).select("user_id", "hour_ts").distinct().withColumn("rn", F.row_number().over(w))
-    return rows.where(F.col("hour_ts") == F.lit(since) + (F.col("rn") - 1) * 3600).groupBy("user_id").agg((F.max("hour_ts") + 3600).alias("through"))
+    bits = F.col("bits")
+    lowest = F.bit_count(F.bitwise_not(bits).bitwiseAND(bits + 1) - 1)  # the ones below the lowest zero
+    full = F.when(F.col("lowest") == _HOURS_A_WORD, 1).otherwise(0)
+    before = F.coalesce(F.sum(full).over(Window.partitionBy("user_id").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = hour_words(_inside(proofs, since), since).withColumn("lowest", lowest).withColumn("before", before)
+    reached = rows.where((F.col("before") == F.col("word")) & (F.col("lowest") > 0))  # all words before are there and full
+    return reached.groupBy("user_id").agg((F.max(F.col("word") * _HOURS_A_WORD + F.col("lowest")) * 3600 + since).alias("through"))
 
 
 def first_gap(proofs: DataFrame, since: int, until: int) -> DataFrame:
@@ -39,9 +59,9 @@ def first_gap(proofs: DataFrame, since: int, until: int) -> DataFrame:
 
 def day_ready(proofs: DataFrame, members: DataFrame, date_ts: int) -> DataFrame:
     """(user_id, hours, ready): whether all 24 hours of a business day are proven."""
-    dense = members.select("user_id").distinct().crossJoin(F.broadcast(proofs.sparkSession.range(date_ts, date_ts + S.DAY, 3600).withColumnRenamed("id", "hour_ts")))
-    seen = proofs.select("user_id", "hour_ts").distinct().withColumn("ok", F.lit(True))
-    return dense.join(seen, ["user_id", "hour_ts"], "left").groupBy("user_id").agg(F.count("ok").alias("hours"), F.bool_and(F.col("ok").isNotNull()).alias("ready"))
+    seen = hour_words(_inside(proofs, date_ts, date_ts + S.DAY), date_ts).select("user_id", F.bit_count("bits").alias("seen"))
+    hours = F.coalesce("seen", F.lit(0)).cast("long")
+    return members.select("user_id").distinct().join(seen, "user_id", "left").select("user_id", hours.alias("hours"), (hours == 24).alias("ready"))
 
 
 def digests(facts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logfacts.functions import classify as C
 from logfacts.functions import scalars as S
+from logfacts.operators.audit import hour_words
 from logfacts.operators.rollup import USAGE_MEASURES, again
 
 
@@ -156,7 +157,8 @@ def page_totals(states: DataFrame, now: int, recent: int = 900) -> DataFrame:
 
 def proof_progress(proofs: DataFrame, hours: int) -> DataFrame:
     """(user_id, hours, progress): how many of so many hours are proven."""
-    return proofs.groupBy("user_id").agg(F.countDistinct("hour_ts").alias("hours")).withColumn("progress", F.col("hours") * 100.0 / hours)
+    proven = F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))
+    return hour_words(proofs).groupBy("user_id").agg(proven.alias("hours")).withColumn("progress", F.col("hours") * 100.0 / hours)
 
 
 def boundaries(logs: DataFrame) -> DataFrame:

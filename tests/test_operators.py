@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from logfacts.functions import classify as C
 from logfacts.functions import scalars as S
 from logfacts.operators import alerts, audit, board, channels, edge, evidence, filters, kpi, problems, projection, rollup, stability, upstream, usage
+from logfacts.plans import queries
 from logfacts.sources import tables
 from logfacts.streaming import jobs
 
@@ -202,6 +204,27 @@ def test_gaps_and_proofs(spark):
     assert {r.user_id: r.gap for r in audit.first_gap(proofs, 0, 4 * 3600).collect()} == {1: 7200, 2: 0}
 
 
+def test_proofs_over_many_words(spark):
+    """Runs that end before, at and after the edges of words, with copies, gaps, earlier hours and times that are no hours, against a plain loop."""
+    hours = {u: set(range(u)) for u in (0, 1, 61, 62, 63, 123, 124, 125, 200)} | {300: set(range(200)) - {62}, 301: set(range(200)) - {61}, 302: set(range(124, 200)), 303: set(range(62)) | set(range(124, 130))}
+    rows = [(u, 7200 + h * 3600) for u, hs in hours.items() for h in hs] * 2 + [(1, 7200 + 1800), (62, 0), (0, 3600)]
+    proofs = spark.createDataFrame(rows, "user_id long, hour_ts long")
+    run = {u: next(h for h in range(400) if h not in hs) for u, hs in hours.items()}
+    assert {r.user_id: r.through for r in audit.contiguous(proofs, 7200).collect()} == {u: 7200 + n * 3600 for u, n in run.items() if n}
+    day = {r.user_id: (r.hours, r.ready) for r in audit.day_ready(proofs, spark.createDataFrame([(u,) for u in (0, 1, 62, 303, 999)], "user_id long"), 7200).collect()}
+    assert day == {0: (0, False), 1: (1, False), 62: (24, True), 303: (24, True), 999: (0, False)}
+    whole = proofs.where("hour_ts % 3600 = 0")
+    assert {r.user_id: r.hours for r in usage.proof_progress(whole, 40).collect()} == {u: len(hs) + (u in (0, 62)) for u, hs in hours.items()}
+
+
+def test_proofs_are_kept_as_one_row_a_member(spark):
+    """No task keeps a row per member and hour."""
+    proofs = queries._proofs(spark, "/root/testdata/sf0.001")
+    members = proofs.select("user_id")
+    for found in (usage.proof_progress(proofs, 40), audit.contiguous(proofs, queries.SINCE), audit.first_gap(proofs, queries.SINCE, queries.SINCE + 144000), audit.day_ready(proofs, members, queries.SINCE)):
+        assert not re.search(r"keys=\[[^\]]*hour_ts#\d+L?[,\]]", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_digests_do_not_depend_on_order_and_see_repeats(spark):
     rows = [(1, "a"), (1, "b"), (1, "b")]
     d = lambda r: audit.digests(spark.createDataFrame(r, "k int, v string"), ["k"], ["v"]).first().digest
