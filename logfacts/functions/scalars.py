@@ -168,8 +168,8 @@ def has_attempts(chain: Column) -> Column:
 def last_number(chain: Column) -> Column:
     """The last attempt's number; null if any attempt, as one without a number among others, is none."""
     parts = F.transform(F.filter(F.split(chain, "[,:]"), lambda x: x != ""), lambda x: F.trim(x).try_cast("double"))
-    whole = (F.size(parts) > 0) & F.forall(parts, lambda x: x.isNotNull())
-    return F.when(whole, finite(F.get(parts, F.size(parts) - 1)))
+    last = lambda p: F.when((F.size(p) > 0) & F.forall(p, lambda x: x.isNotNull()), finite(F.get(p, F.size(p) - 1)))
+    return F.get(F.transform(F.array(parts), last), F.lit(0))  # bound by the transform, so the chain is split once
 
 
 def band(share: Column) -> Column:

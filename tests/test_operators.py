@@ -251,6 +251,15 @@ def test_edge_lines(spark):
     assert {(r.method, r.upstream_count) for r in got} == {("GET", 1), ("OTHER", 1)}
 
 
+def test_edge_lines_are_made_once(spark):
+    """No condition makes lines anew, and lines that are too long are still left out."""
+    plan = edge.parse(queries._lines(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Filter .*octet_length", plan)
+    long = '{"ts":70,"status":200,"uri":"/%s"}'
+    lines = spark.createDataFrame([("n", long % ("a" * n)) for n in (1, edge.MOST_LINE_BYTES - 33, edge.MOST_LINE_BYTES)], "node string, line string")
+    assert edge.parse(lines).count() == lines.where(F.octet_length("line") <= edge.MOST_LINE_BYTES).count() == 2
+
+
 def test_snapshot_and_finance_and_domains(spark):
     before = spark.createDataFrame([(1, "a", 1, 5, 0), (2, "b", 2, 0, 0), (3, "c", 1, 5, 0)], "id long, name string, status int, enabled_since long, deleted_at long")
     now = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (4, "d", 1)], "id long, name string, status int")
